@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -32,6 +33,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stable_rows(df: DataFrame) -> DataFrame:
+    """A table whose row numbers are the same each time it is read: files or a checkpoint as they are, anything else is written once."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    as_read = all(re.match(r"[\s:+|-]*(Project|Filter|Relation|LogicalRDD|LocalRelation)\b", x) for x in plan.splitlines() if x.strip())
+    return df if as_read else checkpoint(df)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for one run's files, under the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{os.urandom(8).hex()}"
