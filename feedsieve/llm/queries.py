@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedsieve.llm import mixing, ngram_join, packing, pii, quality, token_io
+from feedsieve.llm import lm, mixing, ngram_join, packing, pii, quality, token_io, toxicity
 from feedsieve.llm.common import table
 
 
@@ -24,10 +24,18 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.op2(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op5(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op7(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -41,7 +49,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_ngram_join, op5_pii, op8_packing, op9_quality, op10_token_files)}
+    return {f.__name__: f for f in (op1_mixing, op2_ngram_join, op4_toxicity, op5_pii, op7_lm_scoring, op8_packing, op9_quality, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
