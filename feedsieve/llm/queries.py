@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedsieve.llm import lm, mixing, ngram_join, packing, pii, quality, token_io, toxicity
+from feedsieve.llm import lm, mixing, ngram_join, packing, pii, quality, substring_dedup, token_io, toxicity
 from feedsieve.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op5(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.op6(table(spark, sf_dir, "documents"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.op7(table(spark, sf_dir, "documents"))
 
@@ -49,8 +53,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_ngram_join, op4_toxicity, op5_pii, op7_lm_scoring, op8_packing, op9_quality, op10_token_files)}
+    return {f.__name__: f for f in (op1_mixing, op2_ngram_join, op4_toxicity, op5_pii, op6_line_dedup, op7_lm_scoring, op8_packing, op9_quality, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": ngram_join.SQL, "op9_quality": quality.SQL}
+    return {"op2_ngram_join": ngram_join.SQL, "op6_line_dedup": substring_dedup.SQL, "op9_quality": quality.SQL}
