@@ -63,3 +63,35 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def hashed_share(df: DataFrame, hashed: Column, most: int) -> DataFrame:
+    """About `most` rows of a table, or all if it has no more: those whose hash falls under a share of its range.
+
+    Nothing is ranked or gathered; the rows kept depend on their hashes and the table's size alone.
+    """
+    n = df.count()
+    return df if n <= most else df.where(F.pmod(hashed, F.lit(1 << 40)) < int((1 << 40) * most / n))
+
+
+#: Key tables of up to this many rows are broadcast after counting them; beyond it Spark chooses the join.
+BROADCAST_KEYS = 1_000_000
+
+
+def sized(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """A table of keys, to be broadcast if it is counted to be small enough."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table as Parquet in the shared folder, which is denser than a checkpoint and can be dropped."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table made by `written`, once nothing reads them any more."""
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -88,6 +88,13 @@ def find_exponent(sources: DataFrame, total: float, entropy: float | None = None
     return 1.0 if out is None else out
 
 
+def _covering(sources: DataFrame, exponent: float, total: float) -> float:
+    """The tokens at which the source that is thinned most gets one pass; a little is added against rounding."""
+    power = F.pow(F.col("tokens") / F.lit(total), F.lit(exponent))
+    row = sources.agg(F.sum(power), F.max(F.col("tokens") / power)).first()
+    return (row[0] or 0.0) * (row[1] or 0.0) * (1 + 1e-9) + 1
+
+
 def quotas(sources: DataFrame, exponent: float, total: float, budget: float, block_tokens: int) -> DataFrame:
     """Weight, whole passes, tokens of the last pass and blocks of each source."""
     power = F.pow(F.col("tokens") / F.lit(total), F.lit(exponent))
@@ -106,10 +113,11 @@ def _hash(*cols) -> Column:
     return F.xxhash64(*cols)
 
 
-def mix(docs: DataFrame, entropy: float | None = 0.95, max_repeats: float | None = 4.0, budget: int | None = None, block_tokens: int = 1 << 16, seed: int = 17, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def mix(docs: DataFrame, entropy: float | None = 0.95, max_repeats: float | None = 4.0, budget: int | None = None, block_tokens: int = 1 << 16, seed: int = 17, keys: tuple[str, ...] = ("doc_id",), cover: bool = False) -> DataFrame:
     """The mixture: a row for each time that a document is used, without its text.
 
-    `budget` is in tokens; all tokens of the input if none is given.
+    `budget` is in tokens; all tokens of the input if none is given.  With `cover` it is raised
+    to the least budget that gives every source one whole pass, so no document is left out.
     """
     measured = checkpoint(docs.select(*[F.col(k) for k in keys], F.col("source"), n_tokens(F.col("text")).alias("n_tokens")))
     sources = checkpoint(source_tokens(measured))
@@ -117,6 +125,8 @@ def mix(docs: DataFrame, entropy: float | None = 0.95, max_repeats: float | None
     budget = float(budget or total)
     block_tokens = max(block_tokens, int(total / MOST_BLOCKS))
     exponent = find_exponent(sources, total, entropy, max_repeats, budget)
+    if cover:
+        budget = max(budget, _covering(sources, exponent, total))
     plan = checkpoint(quotas(sources, exponent, total, budget, block_tokens))
     of = plan.select(F.col("source").alias("of"), "weight", "quota", "passes", "rest", "blocks")
     if plan.count() <= BROADCAST_SOURCES:

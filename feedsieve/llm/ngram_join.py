@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedsieve.llm.common import checkpoint, small_batches, stable_rows
+from feedsieve.llm.common import checkpoint, dropped, sized, small_batches, stable_rows, written
 from feedsieve.llm.components import components
 from feedsieve.llm.shingles import digest, mix64, shingle_sets
 
@@ -126,8 +126,14 @@ def _may_link(a: tuple, b: tuple, percent: int) -> bool:
     return 100 * most >= percent * (n + m - most)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return checkpoint(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+
+
 def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    facts = lambda s: nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "low", "f2", "f3")])
+    pairs = checkpoint(pairs)
+    own = checkpoint(nodes.select("node", "n", "low", "f2", "f3").join(sized(_ends(pairs)), "node"))
+    facts = lambda s: own.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "low", "f2", "f3")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,11 +145,11 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", *[f"{s}_{c}" for s in "ab" for c in ("n", "low", "f2", "f3")]).mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs whose whole sets reach the threshold.  Sets are worked out again, for the nodes of these pairs alone."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"))
-    texts = rows.join(nodes.join(wanted, "node").select("rid", "node"), "rid").select("node", "text")
+    # a node's number is that of the row that stands for it
+    rows = docs.select(F.monotonically_increasing_id().alias("node"), F.col("text").cast("string").alias("text"))
+    texts = rows.join(sized(_ends(pairs)), "node").select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,8 +174,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, pe
 
 def _first_pairs(prefix: DataFrame, percent: int) -> DataFrame:
     """All pairs at a light token; at a frequent one, each node with the node drawn for that token."""
-    token = Window.partitionBy("token")
-    rows = prefix.withColumn("df", F.count(F.lit(1)).over(token)).where("df > 1")
+    rows = prefix
     fits = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
     light = rows.where(f"df <= {LIGHT}")
     pairs = light.alias("x").join(light.alias("y"), F.expr("x.token = y.token AND x.node < y.node") & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
@@ -182,7 +187,7 @@ def _first_pairs(prefix: DataFrame, percent: int) -> DataFrame:
 
 def _later_pairs(prefix: DataFrame, roots: DataFrame, done: DataFrame, percent: int) -> DataFrame:
     """Pairs at frequent tokens that lie in different components and were not tried, by size class."""
-    heavy = prefix.join(prefix.groupBy("token").count().where(f"count > {LIGHT}").select("token"), "token")
+    heavy = prefix.where(f"df > {LIGHT}")
     named = heavy.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_tokens = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     rows = named.join(open_tokens, "token").withColumn("class", F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).cast("int"))
@@ -192,33 +197,53 @@ def _later_pairs(prefix: DataFrame, roots: DataFrame, done: DataFrame, percent:
     return pairs.join(done, ["a", "b"], "left_anti")
 
 
+def _least_known(counted: DataFrame) -> int:
+    """The least count that leaves at most KNOWN_FREQUENT tokens; counts are told apart by eighths of powers of two."""
+    step = F.floor(F.log2("count") * 8)
+    total, least = 0, 1 << 62
+    for r in counted.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("count").alias("least")).orderBy(F.desc("k")).collect():
+        total += r["n"]
+        if total > KNOWN_FREQUENT:
+            break
+        least = r["least"]
+    return least
+
+
 def link(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signed documents, nodes, roots): each document's set, each set's node, and the component root of linked nodes."""
+    """(signed documents, sets, roots): each document's set, each set's node, and the component root of linked nodes."""
     docs = stable_rows(docs)
-    signed = checkpoint(sign(docs, size, percent))
-    first = signed.where("n > 0").groupBy("sig").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least_id"))
-    facts = signed.where("n > 0").select("rid", "n", "low", "f2", "f3")
-    nodes = checkpoint(first.join(facts, "rid").withColumn("node", F.col("rid")))
-    frequent = _exploded(nodes).groupBy("token").count().where(f"count > {LIGHT}").orderBy(F.desc("count"), "token").limit(KNOWN_FREQUENT).toPandas()
+    full = written(sign(docs, size, percent), "sets")
+    signed = checkpoint(full.select("rid", "doc_id", "n", "sig"))
+    first = checkpoint(signed.where("n > 0").groupBy("sig").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least_id")))
+    copies = checkpoint(signed.where("n > 0").join(first, "sig").where("rid <> node").select("rid"))
+    nodes = written(full.where("n > 0").join(sized(copies), "rid", "left_anti").select(F.col("rid").alias("node"), "n", "low", "f2", "f3"), "nodes")
+    dropped(full)
+    counted = checkpoint(_exploded(nodes).groupBy("token").count().where(f"count > {LIGHT}"))
+    frequent = counted.where(F.col("count") >= _least_known(counted)).toPandas()
     tokens = frequent["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    prefix = checkpoint(_prefixes(nodes, tokens[order], frequent["count"].to_numpy(np.int64)[order], percent))
+    prefix = _prefixes(nodes, tokens[order], frequent["count"].to_numpy(np.int64)[order], percent)
+    shared = prefix.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
+    prefix = written(shared, "prefixes")
     tried = checkpoint(_first_pairs(prefix, percent))
-    links = checkpoint(_verified(checkpoint(_filtered(tried, nodes, percent)), docs, nodes, size, percent))
+    links = checkpoint(_verified(checkpoint(_filtered(tried, nodes, percent)), docs, size, percent))
     roots = components(links)
     later = checkpoint(_filtered(_later_pairs(prefix, roots, tried, percent), nodes, percent))
     if not later.isEmpty():
-        more = checkpoint(_verified(later, docs, nodes, size, percent))
+        more = checkpoint(_verified(later, docs, size, percent))
         if not more.isEmpty():
             roots = components(links.union(more))
-    return signed, nodes, roots
+    dropped(nodes)
+    dropped(prefix)
+    return signed, first, roots
 
 
 def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and row number of each document."""
     signed, nodes, roots = link(docs, size, percent)
+    roots = checkpoint(roots)
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("rid").alias("first_rid"))
+    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("node").alias("first_rid"))
     of_sig = named.select("sig", "root").join(least, "root").select("sig", "component_id", "first_rid")
     rows = signed.select("rid", "doc_id", "n", "sig").join(of_sig, "sig", "left")
     alone = F.col("sig").isNull()

@@ -7,7 +7,7 @@ has the same core or the same digits, so that an entity found once is found wher
 is repeated.  Edges grow with the tokens, never with their pairs.  Loopy message
 passing runs on all documents of a batch as one graph.
 
-Weights are trained here: tokens under base spans are the labels, on at most
+Weights are trained here: tokens under base spans are the labels, on about
 `TRAIN_DOCS` documents drawn by a hash (a parameter of `fit`); node weights by softmax
 regression, edge potentials from the label pairs seen on each kind of edge.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedsieve.llm.common import small_batches
+from feedsieve.llm.common import hashed_share, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -179,11 +179,11 @@ def fit_tokens(found: list[tuple[Tokens, np.ndarray]], steps: int = 400, rate: f
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
-    """Fits the field on at most `train_docs` documents with digits or at signs, drawn by hash."""
+    """Fits the field on about `train_docs` documents with digits or at signs, drawn by hash."""
     some = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]") & (F.length("text") < 20000))
-    rows = some.withColumn("h", F.xxhash64("text")).orderBy("h", "text").limit(train_docs).collect()
+    rows = hashed_share(some, F.xxhash64("text"), train_docs).collect()
     found = []
-    for r in rows:
+    for r in sorted(rows, key=lambda r: r["text"]):
         t = tokens_of(r["text"])
         found.append((t, token_labels(t, base_spans(r["text"]))))
     return fit_tokens(found)

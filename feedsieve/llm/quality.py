@@ -128,8 +128,10 @@ def keep_good(docs: DataFrame, version: str = "v2") -> DataFrame:
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     held = docs.select(row.alias("doc_id"), F.col("text"))
-    kept = apply_policy(ledger(held), version).where("kept")
-    return kept.select(*[F.col("doc_id").getField(c).alias(c) for c in docs.columns])
+    judged = apply_policy(ledger(held), version)
+    # a filter would be pushed below the ledger and work the rules out again inside it
+    kept = judged.select(F.explode(F.when(F.col("kept"), F.array("doc_id"))).alias("row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op9(docs: DataFrame) -> DataFrame:

@@ -194,7 +194,7 @@ def with_starts(files: DataFrame, rows: DataFrame) -> DataFrame:
     """Adds `start`, the ids of all documents before: a running sum over the files, which are few and have a row each."""
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = files.select(F.col("part").alias("p"), before.cast("long").alias("first"))
-    return rows.join(first, F.col("part") == F.col("p")).withColumn("start", F.col("first") + F.col("at")).drop("p", "first")
+    return rows.join(F.broadcast(first), F.col("part") == F.col("p")).withColumn("start", F.col("first") + F.col("at")).drop("p", "first")
 
 
 def op10(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:

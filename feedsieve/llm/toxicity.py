@@ -7,7 +7,7 @@ either class, the gold label being one more voter of limited trust, and correlat
 between voters, left over within a class, discount those that say the same.  Its
 posterior labels train a linear classifier on hit counts, which scores every text.
 
-The labelled sample is at most `TRAIN_ROWS` rows (a parameter), drawn by hash from
+The labelled sample is about `TRAIN_ROWS` rows (a parameter), drawn by hash from
 those that may be learned from.  Scores read the text alone.
 
 Defined cases: a null or empty text has no hits and gets the classifier's score for
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedsieve.llm.common import crc32_mod, small_batches
+from feedsieve.llm.common import crc32_mod, hashed_share, small_batches
 from feedsieve.llm.shingles import words
 
 TRAIN_ROWS = 16_000
@@ -177,9 +177,9 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """At most `most` labelled texts that may be learned from."""
+    """About `most` labelled texts that may be learned from."""
     ids = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("id").isNotNull())
-    ids = ids.where(crc32_mod(F.col("id"), FOLDS) != HELD_OUT).orderBy(F.xxhash64("id"), "id", "toxic").limit(most)
+    ids = hashed_share(ids.where(crc32_mod(F.col("id"), FOLDS) != HELD_OUT), F.xxhash64("id"), most)
     return docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "id").select("toxic", "text")
 
 
