@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedsieve.llm import lm, mixing, ngram_join, packing, pii, quality, substring_dedup, token_io, toxicity
+from feedsieve.llm import ann, lm, mixing, ngram_join, packing, pii, quality, substring_dedup, token_io, toxicity
 from feedsieve.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.op2(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.op3(table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +57,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_ngram_join, op4_toxicity, op5_pii, op6_line_dedup, op7_lm_scoring, op8_packing, op9_quality, op10_token_files)}
+    return {f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_nearest, op4_toxicity, op5_pii, op6_line_dedup, op7_lm_scoring, op8_packing, op9_quality, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
