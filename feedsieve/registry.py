@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedsieve.plans import curation
+from feedsieve.plans import calendar, curation, texts
 
-PLANS = (curation,)
+PLANS = (curation, calendar, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
