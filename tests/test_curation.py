@@ -1,0 +1,133 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from feedsieve.functions import keys, predicates
+from feedsieve.functions.matchers import term_count, term_match
+from feedsieve.operators import curate as C
+from feedsieve.operators import dedup as D
+
+ITEM = "arrival long, observed_s long, source_id string, source_name string, title string, link string, summary string, published_s long, published_has_tz boolean, official boolean, impact int, guid string, year int"
+
+
+def item(arrival, title, summary="", link="", official=False, impact=40, observed=1_000_000, published=None, source="x", guid=None):
+    return (arrival, observed, source, source, title, link, summary, observed - 3600 if published is None else published, True, official, impact, guid, 2026)
+
+
+def judge(spark, titles, **how):
+    rows = spark.createDataFrame([item(i, t, **how) for i, t in enumerate(titles)], ITEM)
+    return {r["arrival"]: r for r in predicates.with_gates(rows).collect()}
+
+
+@pytest.mark.parametrize(
+    ("gate", "yes", "no"),
+    [
+        ("is_upcoming_speech", ["Powell to testify before Congress", "Trump will speak at noon", "Lagarde scheduled remarks on rates"], ["Powell spoke to senators", "Local mayor to speak", "Bitcoin to rally"]),
+        ("is_forecast", ["Bitcoin could reach $200K", "Analysts expect cuts", "Bank raises price target on Apple"], ["CPI prints 3.2%, hotter than forecast", "Fed cuts rates"]),
+        ("is_technical_analysis", ["Golden cross forms on ETH", "BTC tests key support at $50,000"], ["SEC support for new rules grows"]),
+        ("is_memecoin_pump", ["Pepe soars 40%"], ["Dogecoin listed on exchange", "Bitcoin soars 4%"]),
+        ("has_real_event", ["Visa acquires startup", "OPEC meets", "Bitcoin falls"], ["Visa thoughts", "Smallcoin falls"]),
+        ("is_historical", ["Lessons from the 2021 bull market", "Why 2022 changed crypto"], ["Yields hit highest since 2021", "Fed cuts rates"]),
+        ("is_routine_move", ["Market wrap for Tuesday", "Stocks up 0.4%"], ["Fed cuts rates"]),
+        ("is_ad", ["Sponsored: buy now", "Best coins to buy"], ["Fed cuts rates"]),
+        ("matches_keywords", ["Gold climbs", "S&P 500 slips"], ["Canada boils"]),
+    ],
+)
+def test_gates(spark, gate, yes, no):
+    got = judge(spark, yes + no)
+    assert [got[i][gate] for i in range(len(yes + no))] == [True] * len(yes) + [False] * len(no)
+
+
+def test_noise_rules_and_exemptions(spark):
+    titles = ["In 2019 the token began", "Opinion on money", "Why is money round"]
+    assert [judge(spark, titles)[i]["noise_rule"] for i in range(3)] == ["R", "B", "D"]
+    assert [judge(spark, titles, official=True)[i]["noise_rule"] for i in range(3)] == [None] * 3
+    assert judge(spark, ["Fed cuts rates"], link="https://a/learn/x")[0]["noise_rule"] == "U"
+
+
+def test_score(spark):
+    got = judge(spark, ["Fed approves spot ETF for Bitcoin, Ethereum", "Nikkei outlook", "Quiet day"], impact=40)
+    assert [got[i]["score"] for i in range(3)] == [40 + 36 + 10, 0, 40]
+
+
+def test_null_texts_do_not_fail(spark):
+    rows = spark.createDataFrame([(1, 0, None, None, None, None, None, None, True, False, 10, None, 2026)], ITEM)
+    assert predicates.with_gates(rows).first()["reject_reason"] == "off_topic"
+
+
+def test_terms_match_whole_words_longest_first(spark):
+    df = spark.createDataFrame([("canada boil core cpi, eur/usd ada",)], "t string")
+    words = ("ada", "oil", "core cpi", "cpi", "eur/usd")
+    assert df.select(term_count(F.col("t"), words)).first()[0] == 3
+    assert df.select(term_match(F.col("t"), ("oil",))).first()[0] is False
+
+
+def story(spark, titles):
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    return [r[0] for r in df.select(keys.story_key(F.col("t"))).collect()]
+
+
+@pytest.mark.parametrize(("a", "b", "same"), [("BTC drops to $59K", "Bitcoin falls to $59,000", True), ("Rate at 7,25%", "Rate at 7.25%", True), ("Meta announces glasses", "Meta unveils glasses", True), ("Meta announces glasses", "Meta cancels glasses", False), ("Bitcoin surges", "BTC surges", False)])
+def test_story_keys(spark, a, b, same):
+    x, y = story(spark, [a, b])
+    assert (x == y) is same
+
+
+def test_subject_key_ignores_numbers(spark):
+    df = spark.createDataFrame([("SpaceX IPO raises $10bn",), ("SpaceX IPO raises $12bn",), ("Zuckerberg sells",)], "t string")
+    a, b, c = (r[0] for r in df.select(keys.subject_key(F.col("t"))).collect())
+    assert a == b != c
+
+
+def test_uid_prefers_guid_then_link(spark):
+    df = spark.createDataFrame([("g", "l", "s", "t"), ("", "l", "s", "t"), (None, None, "s", "t")], "g string, l string, s string, t string")
+    assert len({r[0] for r in df.select(keys.uid(*map(F.col, "glst"))).collect()}) == 3
+
+
+def test_age(spark):
+    rows = [(0, 3600 * h, tz) for h, tz in ((1, True), (24, True), (25, True), (None, True), (1, False), (-1, True)) if h is not None]
+    df = spark.createDataFrame([(10**6, 10**6 - s if s else None, tz) for _, s, tz in rows] + [(10**6, None, True)], "observed_s long, published_s long, published_has_tz boolean")
+    assert [r[0] for r in df.select(predicates.age_reason()).collect()] == [None, None, "old", "naive_date", "future", "no_date"]
+
+
+@pytest.mark.parametrize(("window", "most", "strict"), [(6, 1, False), (12, 2, True), (5, 3, True)])
+def test_windows_equal_a_plain_loop(spark, window, most, strict):
+    rng = random.Random(window)
+    rows = [(f"k{rng.choice('aabc')}", rng.randrange(200), i) for i in range(400)]
+    want, state = {}, {}
+    for k, t, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        held = [x for x in state.get(k, []) if (t - x < window if strict else t - x <= window)]
+        want[i] = len(held) < most
+        state[k] = held + [t] * want[i]
+    df = spark.createDataFrame(rows, "key string, t long, arrival long")
+    got = D.accept_window(df, "key", "t", window, most, strict)
+    assert {r["arrival"]: r["accepted"] for r in got.collect()} == want
+
+
+def test_exact_dedup_keeps_first_arrival(spark):
+    df = spark.createDataFrame([("u", 0, 2), ("u", 0, 1), ("v", 0, 3), ("u", 30, 4)], "uid string, cycle_s long, arrival long")
+    ledger = spark.createDataFrame([("v",)], "uid string")
+    assert sorted(r["arrival"] for r in D.exact_dedup(df, ledger).collect()) == [1, 4]
+
+
+def test_budget_equals_a_plain_loop(spark):
+    rng = random.Random(3)
+    rows = [(d, i, rng.randrange(101), rng.random() < 0.2, rng.choice((1, 2))) for d in range(6) for i in range(60)]
+    want = {}
+    for d in range(6):
+        used, limit = 0, 25
+        for _, i, impact, official, cost in [r for r in rows if r[0] == d]:
+            left = limit - used
+            ok = left > max(1, limit // 5) or (left > 0 and (official or impact >= 50)) or (left <= 0 and (official or impact >= 80))
+            want[d, i] = ok
+            used += cost * ok
+    df = spark.createDataFrame(rows, "day long, seq long, impact int, official boolean, cost int")
+    assert {(r["day"], r["seq"]): r["passed"] for r in C.daily_budget(df, 25).collect()} == want
+
+
+def test_curate_caps_a_burst(spark):
+    names = ["Visa", "Oracle", "Netflix", "Walmart", "Chevron", "Broadcom", "Palantir", "Exxon"]
+    rows = spark.createDataFrame([item(i, f"{n} acquires rival for cash, SEC approves", observed=10_000_020 + i, guid=str(i)) for i, n in enumerate(names)], ITEM)
+    assert C.curate(rows, cycle_seconds=3600).count() == 3
+    assert C.curate(rows, most=0, cycle_seconds=3600).count() == 8
