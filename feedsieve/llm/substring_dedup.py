@@ -85,8 +85,8 @@ def repeated(docs: DataFrame, min_words: tuple[int, int] = MIN_WORDS) -> DataFra
 def remove(docs: DataFrame, min_words: tuple[int, int] = MIN_WORDS) -> DataFrame:
     """All documents with repeated units cut out of `text`, and `removed`, the cut spans in original offsets."""
     docs = stable_rows(docs)
-    spans = repeated(docs, min_words).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cut"))
-    rows = docs.withColumn("dedup_row", F.monotonically_increasing_id()).join(spans, F.col("dedup_row") == F.col("rid"), "left").drop("dedup_row", "rid")
+    spans = repeated(docs, min_words).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cut")).withColumnRenamed("rid", "dedup_row")
+    rows = docs.withColumn("dedup_row", F.monotonically_increasing_id()).join(spans, "dedup_row", "left").drop("dedup_row")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     step = lambda a, s: F.struct((s["end"] + 1).alias("at"), F.concat(a["out"], F.call_function("substring", F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))).alias("out"))
     end = lambda a: F.concat(a["out"], F.call_function("substring", F.col("text"), (a["at"] + 1).cast("int"), F.length("text")))

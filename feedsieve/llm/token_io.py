@@ -56,7 +56,7 @@ class Writer:
 
     def __init__(self, path: str, width: int, frame_bytes: int = FRAME_BYTES):
         self.fs, self.path = _open(path)
-        self.out = self.fs.open_output_stream(self.path)
+        self.out = self.fs.open_output_stream(self.path, compression=None)
         self.dtype, self.frame_bytes = np.dtype(f"<u{width}"), frame_bytes
         self.zstd = zstandard.ZstdCompressor(level=3, write_checksum=True)
         self.frames: list[tuple[int, int, int]] = []
@@ -91,7 +91,6 @@ class Writer:
         self.out.write(struct.pack("<II", INDEX_FRAME, len(index)) + index)
         table = np.array(self.frames, "<u4").tobytes() + struct.pack("<IBI", len(self.frames), CHECKSUMS, SEEK_END)
         self.out.write(struct.pack("<II", SEEK_FRAME, len(table)) + table)
-        self.out.write(struct.pack("<Q", len(index)))
         self.out.close()
 
 
@@ -102,13 +101,13 @@ class Reader:
         files, name = _open(path)
         self.file = files.open_input_file(name)
         size = self.file.size()
-        tail = self.file.read_at(17, size - 17)
-        n, flags, magic, index_size = struct.unpack("<IBIQ", tail)
+        n, flags, magic = struct.unpack("<IBI", self.file.read_at(9, size - 9))
         if magic != SEEK_END or flags != CHECKSUMS:
             raise ValueError(f"{path} has no seek table")
-        table_at = size - 8 - 9 - 12 * n
-        self.frames = np.frombuffer(self.file.read_at(12 * n, table_at), "<u4").reshape(-1, 3).astype(np.int64)
-        index = self.file.read_at(index_size, table_at - 8 - index_size)
+        self.frames = np.frombuffer(self.file.read_at(12 * n, size - 9 - 12 * n), "<u4").reshape(-1, 3).astype(np.int64)
+        index_at = int(self.frames[:, 0].sum())  # the index follows the frames
+        index_size = struct.unpack("<I", self.file.read_at(4, index_at + 4))[0]
+        index = self.file.read_at(index_size, index_at + 8)
         n_docs, self.n_tokens, self.width = struct.unpack("<QQI", index[:20])
         self.zstd = zstandard.ZstdDecompressor()
         self.docs = np.frombuffer(self.zstd.decompress(index[20:], max_output_size=16 * n_docs), "<i8").reshape(-1, 2) if n_docs else np.zeros((0, 2), "<i8")
