@@ -8,6 +8,8 @@ of observation).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,6 +158,14 @@ AGE_REASON = """CASE
  END"""
 
 
+def layers() -> list[list[str]]:
+    """The gates in as few steps as their dependence allows; each step is one projection."""
+    depth: dict[str, int] = {}
+    for name, rule in GATES.items():
+        depth[name] = 1 + max((depth[w] for w in re.findall(r"\w+", rule) if w in depth), default=-1)
+    return [[n for n, d in depth.items() if d == k] for k in range(max(depth.values()) + 1)]
+
+
 def with_flags(items: DataFrame) -> DataFrame:
     """Adds the fields' flags and the year facts, each worked out once."""
     df = items.withColumns({k: F.expr(v) for k, v in FIELDS.items()})
@@ -174,8 +184,8 @@ def with_flags(items: DataFrame) -> DataFrame:
 def with_gates(items: DataFrame, least: int = V.MIN_IMPACT, require_anchor: bool = True) -> DataFrame:
     """Adds every predicate, `noise_rule`, `unpublished`, `score` and `reject_reason`."""
     df = with_flags(items)
-    for name, rule in GATES.items():
-        df = df.withColumn(name, F.expr(rule))
+    for layer in layers():
+        df = df.withColumns({name: F.expr(GATES[name]) for name in layer})
     df = df.withColumn("noise_rule", F.expr(NOISE_RULE))
     df = df.withColumn("unpublished", F.expr(UNPUBLISHED.format(anchor=str(require_anchor).lower())))
     df = df.withColumn("score", F.expr(SCORE))

@@ -72,10 +72,16 @@ FROM (SELECT *, {seconds} AS s, CAST(floor(abs(value)) AS INT) AS n FROM {events
 JOIN (SELECT * FROM (VALUES {values}) AS v(ix, id, name, kind, official, impact, enabled) WHERE enabled) c ON e.user_id % 20 = c.ix"""
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a small file gives fewer tasks; what follows is bound by pattern matching.  Large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items of a folder's events; the sources are a small constant table, joined by broadcast."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
-    return spark.sql(item_sql("{events}", "unix_seconds(ts)"), events=events)
+    return spark.sql(item_sql("{events}", "unix_seconds(ts)"), events=spread(events))
 
 
 DUCK_ITEMS = "items AS (" + item_sql("events", "floor(epoch(ts))::BIGINT") + ")"

@@ -12,12 +12,12 @@ from feedsieve.operators import curate as C
 from feedsieve.operators import ground
 from feedsieve.operators import posts as O
 from feedsieve.plans.curation import CYCLE
-from feedsieve.plans.items import DUCK_ITEMS, items
+from feedsieve.plans.items import DUCK_ITEMS, items, spread
 from feedsieve.sources import feeds
 
 
 def _documents(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
