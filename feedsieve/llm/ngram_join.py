@@ -12,10 +12,14 @@ tokens.  Three orders are used:
    tokens differ by more than the threshold allows.
 
 What is left is verified on whole sets.  Only links between components are needed, so
-a token shared by many nodes does not make all pairs: its nodes are compared with one
-node drawn for that token, components are formed, and only then nodes of that token
-that lie in different components are paired, by size class.  No pair that could link
-two components is skipped.
+a token shared by many nodes does not make all pairs: its nodes are compared with the
+most central one, which has the largest share of frequent tokens, and components are
+formed.  Where nodes of such a token still lie in different components, their whole sets
+are looked at: a token that no other of these nodes has cannot be shared, so `k`, the
+tokens that can, bounds every overlap.  Nodes whose bound is too low drop out, the rest
+get prefixes again, now by exact frequency over whole sets, and are paired if they lie in
+different components and both bounds allow a link.  No pair that could link two
+components is skipped.
 
 Defined cases: null or empty texts have no set and are alone; repeated rows are rows
 of one node; a null doc_id gets a row and does not name a component (null if no other
@@ -38,9 +42,11 @@ from feedsieve.llm.shingles import digest, mix64, shingle_sets
 #: Tokens whose hash lies in this share of all hashes come first in order 1.
 LOW_SHARE = 0.2
 #: A token in more nodes than this counts as frequent, and its nodes are not all paired at once.
-LIGHT = 32
+LIGHT = 8
 #: Frequent tokens known by count; the most frequent ones, if there are more.  This changes the order, not the result.
-KNOWN_FREQUENT = 300_000
+KNOWN_FREQUENT = 1_000_000
+#: Times that nodes without a possible partner are looked for; more rounds find more of them.
+WEEDING = 3
 SIGNED = "rid long, doc_id long, n long, sig binary, low binary, f2 binary, f3 binary"
 
 
@@ -87,27 +93,31 @@ def _exploded(nodes: DataFrame) -> DataFrame:
 
 
 def _prefixes(nodes: DataFrame, tokens: np.ndarray, counts: np.ndarray, percent: int) -> DataFrame:
-    """(token, node, n) of each node's prefix under order 1.  tokens: the frequent ones, sorted."""
+    """(token, node, n, share) of each node's prefix under order 1; share: of its tokens, the frequent ones.  tokens: these, sorted."""
     known = nodes.sparkSession.sparkContext.broadcast((tokens, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, how = known.value
         for batch in batches:
-            out, ids, ns = [], [], []
+            out, ids, ns, shares = [], [], [], []
             for node, n, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 mine = np.frombuffer(low, "<u8")
                 p = prefix_length(n, percent)
-                if len(mine) > p and len(often):
-                    # only tokens under the limit are ranked by count: those beyond it come after them
+                rank = np.zeros(len(mine))
+                if len(often):
                     at = np.minimum(np.searchsorted(often, mine), len(often) - 1)
-                    mine = mine[np.lexsort((mine, np.where(often[at] == mine, how[at], 0)))]
+                    rank = np.where(often[at] == mine, how[at], 0)
+                shares.append(np.full(p, (rank > 0).mean(), np.float32))
+                if len(mine) > p:
+                    # only tokens under the limit are ranked by count: those beyond it come after them
+                    mine = mine[np.lexsort((mine, rank))]
                 out.append(mine[:p])
                 ids.append(np.full(p, node))
                 ns.append(np.full(p, n))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ns))], ["token", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(shares))], ["token", "node", "n", "share"])
 
-    return nodes.select("node", "n", "low").mapInArrow(run, "token long, node long, n long")
+    return nodes.select("node", "n", "low").mapInArrow(run, "token long, node long, n long, share float")
 
 
 def _may_link(a: tuple, b: tuple, percent: int) -> bool:
@@ -145,17 +155,21 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", *[f"{s}_{c}" for s in "ab" for c in ("n", "low", "f2", "f3")]).mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs whose whole sets reach the threshold.  Sets are worked out again, for the nodes of these pairs alone."""
-    # a node's number is that of the row that stands for it
+def _sets(wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, set) of some nodes, worked out again from their texts; a node's number is that of the row that stands for it."""
     rows = docs.select(F.monotonically_increasing_id().alias("node"), F.col("text").cast("string").alias("text"))
-    texts = rows.join(sized(_ends(pairs)), "node").select("node", "text")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = shingle_sets(batch.column("text").fill_null("").to_pylist(), size)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "set"])
 
+    return written(rows.join(sized(wanted), "node").select("node", "text").mapInArrow(run, "node long, set binary"), "texts")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs whose whole sets reach the threshold."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -166,35 +180,67 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                     keep.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keep], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    found = checkpoint(texts.mapInArrow(sets, "node long, set binary"))
+    found = _sets(_ends(pairs), docs, size)
     left = found.select(F.col("node").alias("a"), F.col("set").alias("x"))
     right = found.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    out = checkpoint(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
+    dropped(found)
+    return out
 
 
 def _first_pairs(prefix: DataFrame, percent: int) -> DataFrame:
-    """All pairs at a light token; at a frequent one, each node with the node drawn for that token."""
+    """All pairs at a light token; at a frequent one, each node with the most central one."""
     rows = prefix
     fits = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
     light = rows.where(f"df <= {LIGHT}")
     pairs = light.alias("x").join(light.alias("y"), F.expr("x.token = y.token AND x.node < y.node") & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     heavy = rows.where(f"df > {LIGHT}")
-    drawn = heavy.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "node").alias("h"), F.col("node"), F.col("n"))).alias("c"))
+    drawn = heavy.groupBy("token").agg(F.max(F.struct(F.col("share"), F.xxhash64("node").alias("h"), F.col("node"), F.col("n"))).alias("c"))
     star = heavy.alias("x").join(drawn.alias("y"), "token").where("x.node <> y.c.node").where(f"100 * least(x.n, y.c.n) >= {percent} * greatest(x.n, y.c.n)")
     star = star.select(F.least("x.node", "y.c.node").alias("a"), F.greatest("x.node", "y.c.node").alias("b"))
     return pairs.union(star).distinct()
 
 
-def _later_pairs(prefix: DataFrame, roots: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Pairs at frequent tokens that lie in different components and were not tried, by size class."""
+def _shared_tokens(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, token, df, n, k) of tokens that lie in several of these nodes, for nodes that may reach the threshold with them."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x, "<i8") for x in batch.column("set").to_pylist()]
+            n = np.array([len(x) for x in found])
+            if len(n):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), n)), pa.array(np.concatenate(found)), pa.array(np.repeat(n, n))], ["node", "token", "n"])
+
+    rows = sets.mapInArrow(explode, "node long, token long, n long")
+    for _ in range(WEEDING):
+        rows = rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
+        rows = rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("node"))).where(f"100 * k >= {percent} * n")
+        rows = checkpoint(rows.select("node", "token", "n", "df", "k"))
+    return rows
+
+
+def _later_pairs(prefix: DataFrame, roots: DataFrame, tried: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs of nodes that met at frequent tokens, lie in different components, were not tried, and may link."""
     heavy = prefix.where(f"df > {LIGHT}")
-    named = heavy.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = checkpoint(heavy.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("token", "node", "root"))
     open_tokens = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    rows = named.join(open_tokens, "token").withColumn("class", F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).cast("int"))
+    wanted = checkpoint(named.join(open_tokens, "token").select("node").distinct())
+    if wanted.isEmpty():
+        return tried.limit(0)
+    found = _sets(wanted, docs, size)
+    rows = _shared_tokens(found, percent)
+    # tokens that no other node has come first in the order and are left out, so they use up the prefix
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
+    length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - (F.col("n") - F.col("k"))
+    rows = rows.withColumn("place", place).where(F.col("place") <= length).select("node", "token", "n", "k")
+    rows = rows.join(named.select("node", "root").distinct(), "node").withColumn("class", F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).cast("int"))
+    rows = checkpoint(rows)
     wide = rows.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
-    cond = F.expr(f"x.token = y.token AND x.class = y.class AND x.node < y.node AND x.root <> y.root AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+    bound = "least(x.k, y.k)"
+    cond = F.expr(f"x.token = y.token AND x.class = y.class AND x.node < y.node AND x.root <> y.root AND 100 * {bound} >= {percent} * (x.n + y.n - {bound})")
     pairs = rows.alias("x").join(wide.alias("y"), cond).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return pairs.join(done, ["a", "b"], "left_anti")
+    dropped(found)
+    return pairs.join(tried, ["a", "b"], "left_anti")
 
 
 def _least_known(counted: DataFrame) -> int:
@@ -228,7 +274,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     tried = checkpoint(_first_pairs(prefix, percent))
     links = checkpoint(_verified(checkpoint(_filtered(tried, nodes, percent)), docs, size, percent))
     roots = components(links)
-    later = checkpoint(_filtered(_later_pairs(prefix, roots, tried, percent), nodes, percent))
+    later = checkpoint(_filtered(_later_pairs(prefix, roots, tried, docs, size, percent), nodes, percent))
     if not later.isEmpty():
         more = checkpoint(_verified(later, docs, size, percent))
         if not more.isEmpty():
