@@ -12,9 +12,9 @@ magnitude, within which a word has its share of the class's training count; word
 without training count share one slot, as in the base score.  So the probabilities of
 all known words and one unknown word add up to one.
 
-Training.  Every part trains on a share of its training tokens by truncated
-backpropagation, in windows with the state carried over, from shared weights; the parts'
-weights are averaged after each round.  A word's own document is left out of its count
+Training.  Every part trains on all its training documents, each in one of the rounds, by
+truncated backpropagation, in windows with the state carried over, from shared weights;
+the parts' weights are averaged after each round.  A word's own document is left out of its count
 when its class is chosen as a training target, or unknown words would never be seen.
 Scoring carries the state through the whole document.
 
@@ -29,6 +29,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -50,8 +51,6 @@ TAILS = len(LEVELS) + 2
 SUFFIXES = 128
 HIDDEN = 32
 ROUNDS, LANES, STEPS = 3, 64, 16
-#: The network trains on this part of a part's tokens, and on so many at least.
-TRAIN_SHARE, TRAIN_TOKENS = 16, 120_000
 SEGMENT = 512
 RATE = 4e-3
 LN10 = float(np.log(10))
@@ -149,7 +148,7 @@ def corpus_of(counts: DataFrame) -> Corpus:
     return Corpus(total[0] or 0, total[1] or 0, top["word"].to_numpy(np.int64), c, mass, kinds)
 
 
-CODED = "part long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, tail double, codes binary, targets binary"
+CODED = "part long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, tail double, codes binary, targets binary, turn int"
 
 
 def encode(rows: DataFrame, counts: DataFrame, corpus: Corpus) -> DataFrame:
@@ -191,15 +190,12 @@ def encode(rows: DataFrame, counts: DataFrame, corpus: Corpus) -> DataFrame:
                 row = (d, h, len(w) + 1, int((c[w] > 0).sum()) + int(end_c > 0), float(base[w].sum() + np.log10((end_c + 1) / norm)), float(tail[w].sum()) + end_tail, np.append(code[w], end).tobytes(), b"" if h else np.append(less[w], end).tobytes())
                 for o, v in zip(out, row, strict=True):
                     o.append(v)
-        # the network trains on training documents in the order of a hash, up to a share of the part's tokens
-        goal, drawn = max(sum(out[2]) / TRAIN_SHARE, TRAIN_TOKENS), [False] * len(out[0])
-        for i in sorted((i for i, h in enumerate(out[1]) if not h), key=lambda i: (zlib.crc32(out[7][i]), i)):
-            if goal <= 0:
-                break
-            drawn[i] = True
-            goal -= out[2][i]
-        out[7] = [t if x else b"" for t, x in zip(out[7], drawn, strict=True)]
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary())
+        # every training document has its turn in one round; copies stand side by side and are dealt over the rounds
+        turn = [-1] * len(out[0])
+        for k, i in enumerate(sorted((i for i, h in enumerate(out[1]) if not h), key=lambda i: zlib.crc32(out[7][i]))):
+            turn[i] = k % ROUNDS
+        out.append(turn)
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.int32())
         part = docs["part"][0].as_py() if docs.num_rows else 0
         return pa.Table.from_arrays([pa.array([part] * len(out[0]), pa.int64()), *[pa.array(o, k) for o, k in zip(out, kinds, strict=True)]], [x.split()[0] for x in CODED.split(", ")])
 
@@ -392,20 +388,24 @@ def _unpacked(raw: bytes, like: dict) -> dict:
 
 
 def train(coded: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Rounds of training in every part, with averaged weights after each."""
+    """Rounds of training in every part, each on the documents whose turn it is, with averaged weights after each."""
     spark = coded.sparkSession
-    own = checkpoint(coded.where(F.length("targets") > 0).select("part", "codes", "targets"))
     w = start_weights(corpus)
     like = {k: np.zeros(v.shape, np.float32) for k, v in w.items()}
     for r in range(rounds):
         shared = spark.sparkContext.broadcast(_packed(w))
         rate = RATE / (1 + r)
 
-        def learn(table):
-            read = lambda c: [np.frombuffer(x, "<u2").astype(np.int64) for x in table[c].to_pylist()]
-            new = train_part(_unpacked(shared.value, like), read("codes"), read("targets"), rate)
-            n = float(sum(map(len, table["codes"].to_pylist())))
-            return pa.table({"g": pa.array([table["part"][0].as_py() % 16], pa.int32()), "n": pa.array([n]), "w": pa.array([_packed(new)], pa.binary())})
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # a part's rows lie side by side, as they were written group by group
+            total, n = None, 0.0
+            for _, rows in groupby((row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda row: row[0]):
+                codes, targets = ([np.frombuffer(x, "<u2").astype(np.int32) for x in c] for c in list(zip(*rows, strict=True))[1:])
+                size = float(sum(map(len, codes)))
+                new = np.frombuffer(_packed(train_part(_unpacked(shared.value, like), codes, targets, rate)), "<f4").astype(np.float64) * size
+                total, n = new if total is None else total + new, n + size
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], ["n", "w"])
 
         def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, n = None, 0.0
@@ -414,13 +414,13 @@ def train(coded: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> dict[str, n
                     x = np.frombuffer(raw, "<f4") * np.float32(k)
                     total, n = x if total is None else total + x, n + k
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n]), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], ["g", "n", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], ["n", "w"])
 
-        learned = own.groupBy("part").applyInArrow(learn, "g int, n double, w binary")
-        means = learned.mapInArrow(mean, "g int, n double, w binary").repartition(4, "n").mapInArrow(mean, "g int, n double, w binary").collect()
+        learned = coded.where(F.col("turn") == r).select("part", "codes", "targets").mapInArrow(learn, "n double, w binary")
+        means = learned.repartition(4, "n").mapInArrow(mean, "n double, w binary").collect()
         shared.destroy()
         if not means:
-            break
+            continue
         n = sum(x["n"] for x in means)
         w = _unpacked((sum(np.frombuffer(x["w"], "<f4").astype(np.float64) * x["n"] for x in means) / n).astype("<f4").tobytes(), like)
     return w
@@ -450,15 +450,20 @@ def document_scores(w: dict, docs: list[np.ndarray], lanes: int = 384, window: i
     return result
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """Counts, base score and the network's score of every document."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def encoded(docs: DataFrame) -> tuple[Corpus, DataFrame]:
+    """What the whole corpus tells, and all documents as codes."""
+    small_batches(docs.sparkSession)
     rows = stable_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), (crc32_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     same = Window.partitionBy("word")
     counts = checkpoint(part_words(rows).select("part", "word", F.sum("n").over(same).alias("c"), (F.min("part").over(same) == F.col("part")).alias("first")))
     corpus = corpus_of(counts)
-    coded = checkpoint(encode(rows, counts, corpus))
+    return corpus, checkpoint(encode(rows, counts, corpus))
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """Counts, base score and the network's score of every document."""
+    spark = docs.sparkSession
+    corpus, coded = encoded(docs)
     weights = spark.sparkContext.broadcast(_packed(train(coded, corpus)))
     like = {k: np.zeros(v.shape, np.float32) for k, v in start_weights(corpus).items()}
     tokens = corpus.tokens

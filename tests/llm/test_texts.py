@@ -199,6 +199,22 @@ def test_language_model(spark):
     assert lm.op7(empty(spark)).count() == 0
 
 
+def test_network_trains_on_every_training_document(spark, monkeypatch):
+    texts = [" ".join(f"w{(i * 7 + j) % 500}" for j in range(20_000)) for i in range(20)] + ["one copy"] * 30
+    seen = spark.sparkContext.accumulator(0)
+    plain = lm.train_part
+
+    def counted(w, docs, goals, rate):
+        seen.add(sum(map(len, goals)))
+        return plain(w, docs[:1], goals[:1], rate)
+
+    monkeypatch.setattr(lm, "train_part", counted)
+    docs = documents(spark, texts).coalesce(1)
+    corpus, coded = lm.encoded(docs)
+    lm.train(coded, corpus)
+    assert seen.value == corpus.tokens == sum(len(t.split()) + 1 for i, t in enumerate(texts) if bucket(i, 7) != 2)
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     c = lm.Corpus(10**6, 10**5, np.arange(lm.HEAD), np.sort(rng.integers(300, 9000, lm.HEAD))[::-1].copy(), np.full(lm.TAILS, 1e4), np.full(lm.TAILS, 1e3))
