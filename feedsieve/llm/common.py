@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 from collections.abc import Callable
 
@@ -33,13 +32,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stable_rows(df: DataFrame) -> DataFrame:
-    """A table whose row numbers are the same each time it is read: files or a checkpoint as they are, anything else is written once."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    as_read = all(re.match(r"[\s:+|-]*(Project|Filter|Relation|LogicalRDD|LocalRelation)\b", x) for x in plan.splitlines() if x.strip())
-    return df if as_read else checkpoint(df)
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for one run's files, under the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{os.urandom(8).hex()}"
@@ -90,6 +82,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """(rid, doc_id, text), numbered and written once: later scans may cut the input elsewhere, so a place in it is no key."""
+    return written(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), name)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table made by `written`, once nothing reads them any more."""
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

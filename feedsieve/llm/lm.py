@@ -34,11 +34,12 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedsieve.llm.common import checkpoint, crc32_mod, small_batches, stable_rows
+from feedsieve.llm.common import checkpoint, crc32_mod, dropped, small_batches, written
 from feedsieve.llm.shingles import words
 
 FOLDS, HELD_OUT = 7, 2
@@ -76,22 +77,36 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBa
             part, size = part + 1, 0
 
 
-def part_words(rows: DataFrame) -> DataFrame:
-    """(part, word, n): training count of each distinct word of each part; the end token is a word."""
+def in_parts(rows: DataFrame) -> DataFrame:
+    """The rows with their parts, written once, as a later scan of the input may be cut elsewhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, batch in _parts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([part] * batch.num_rows, pa.int64()), *batch.columns], ["part", *batch.schema.names])
+
+    return written(rows.mapInArrow(run, "part long, doc_id long, held_out boolean, text string"), "parts")
+
+
+def part_words(placed: DataFrame) -> DataFrame:
+    """(part, piece, word, n): training count of each distinct word of each part; the end token is a word.
+
+    A part that is read in several tasks or stretches gives its words once in each of these pieces.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, counts = None, [], []
+        piece = TaskContext.get().partitionId() << 24
 
         def out():
             k = np.concatenate(keys)
             unique, where = np.unique(k, return_inverse=True)
             n = np.bincount(where, np.concatenate(counts)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(unique), now)), pa.array(unique), pa.array(n)], ["part", "word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(unique), now)), pa.array(np.full(len(unique), piece)), pa.array(unique), pa.array(n)], ["part", "piece", "word", "n"])
 
-        for part, batch in _parts(batches):
+        for part, batch in ((p, b.filter(pc.equal(b.column("part"), p))) for b in batches for p in pc.unique(b.column("part")).to_pylist()):
             if part != now and keys:
                 yield out()
-                keys, counts = [], []
+                keys, counts, piece = [], [], piece + 1
             now = part
             train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
             k, _, codes, cuts = word_keys(batch.column("text").to_pylist())
@@ -101,7 +116,7 @@ def part_words(rows: DataFrame) -> DataFrame:
         if keys:
             yield out()
 
-    return rows.mapInArrow(run, "part long, word long, n long")
+    return placed.mapInArrow(run, "part long, piece long, word long, n long")
 
 
 def level(c: np.ndarray) -> np.ndarray:
@@ -151,20 +166,15 @@ def corpus_of(counts: DataFrame) -> Corpus:
 CODED = "part long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, tail double, codes binary, targets binary, turn int"
 
 
-def encode(rows: DataFrame, counts: DataFrame, corpus: Corpus) -> DataFrame:
+def encode(placed: DataFrame, counts: DataFrame, corpus: Corpus) -> DataFrame:
     """Each document as 16-bit codes, with its base score and the fixed factor of its tail words."""
     order = np.argsort(corpus.head)
     head, rank = corpus.head[order], np.arange(len(order))[order]
     norm = float(corpus.tokens + corpus.distinct + 1)
 
-    def with_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, batch in _parts(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([part] * batch.num_rows, pa.int64()), *batch.columns], ["part", *batch.schema.names])
-
     def run(docs, table):
-        known, count = table["word"].to_numpy(), table["c"].to_numpy()
-        by = np.argsort(known)
-        known, count = known[by], count[by]
+        known, by = np.unique(table["word"].to_numpy(), return_index=True)
+        count = table["c"].to_numpy()[by]
 
         def facts(keys):
             c = count[np.searchsorted(known, keys)]
@@ -199,7 +209,6 @@ def encode(rows: DataFrame, counts: DataFrame, corpus: Corpus) -> DataFrame:
         part = docs["part"][0].as_py() if docs.num_rows else 0
         return pa.Table.from_arrays([pa.array([part] * len(out[0]), pa.int64()), *[pa.array(o, k) for o, k in zip(out, kinds, strict=True)]], [x.split()[0] for x in CODED.split(", ")])
 
-    placed = rows.mapInArrow(with_part, "part long, doc_id long, held_out boolean, text string")
     return placed.groupBy("part").cogroup(counts.select("part", "word", "c").groupBy("part")).applyInArrow(run, CODED)
 
 
@@ -453,11 +462,13 @@ def document_scores(w: dict, docs: list[np.ndarray], lanes: int = 384, window: i
 def encoded(docs: DataFrame) -> tuple[Corpus, DataFrame]:
     """What the whole corpus tells, and all documents as codes."""
     small_batches(docs.sparkSession)
-    rows = stable_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), (crc32_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    placed = in_parts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc32_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     same = Window.partitionBy("word")
-    counts = checkpoint(part_words(rows).select("part", "word", F.sum("n").over(same).alias("c"), (F.min("part").over(same) == F.col("part")).alias("first")))
+    counts = checkpoint(part_words(placed).select("part", "word", F.sum("n").over(same).alias("c"), (F.min("piece").over(same) == F.col("piece")).alias("first")))
     corpus = corpus_of(counts)
-    return corpus, checkpoint(encode(rows, counts, corpus))
+    coded = checkpoint(encode(placed, counts, corpus))
+    dropped(placed)
+    return corpus, coded
 
 
 def score(docs: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedsieve.llm.common import checkpoint, dropped, sized, small_batches, stable_rows, written
+from feedsieve.llm.common import checkpoint, dropped, numbered, sized, small_batches, written
 from feedsieve.llm.components import components
 from feedsieve.llm.shingles import digest, mix64, shingle_sets
 
@@ -77,8 +77,7 @@ def sign(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], [x.split()[0] for x in SIGNED.split(", ")])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SIGNED)
+    return docs.select("rid", "doc_id", "text").mapInArrow(run, SIGNED)
 
 
 def _exploded(nodes: DataFrame) -> DataFrame:
@@ -157,7 +156,7 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def _sets(wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(node, set) of some nodes, worked out again from their texts; a node's number is that of the row that stands for it."""
-    rows = docs.select(F.monotonically_increasing_id().alias("node"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("rid").alias("node"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,8 +255,7 @@ def _least_known(counted: DataFrame) -> int:
 
 
 def link(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signed documents, sets, roots): each document's set, each set's node, and the component root of linked nodes."""
-    docs = stable_rows(docs)
+    """(signed documents, sets, roots) of numbered documents: each one's set, each set's node, and the component root of linked nodes."""
     full = written(sign(docs, size, percent), "sets")
     signed = checkpoint(full.select("rid", "doc_id", "n", "sig"))
     first = checkpoint(signed.where("n > 0").groupBy("sig").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least_id")))
@@ -286,6 +284,14 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
 
 def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and row number of each document."""
+    rows = numbered(docs, "rows")
+    out = _joined(rows, size, percent)
+    dropped(rows)
+    return out
+
+
+def _joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The join of numbered documents, which nothing reads afterwards."""
     signed, nodes, roots = link(docs, size, percent)
     roots = checkpoint(roots)
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -299,10 +305,9 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents without near copies: of each component, the row with the smallest doc_id stays."""
     columns = docs.columns
-    docs = stable_rows(docs)
-    joined = checkpoint(join(docs, size, percent))
+    rows = written(docs.withColumn("keep_rid", F.monotonically_increasing_id()), "rows")
+    joined = checkpoint(_joined(rows.select(F.col("keep_rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), size, percent))
     kept = joined.groupBy("first_rid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("rid"))).alias("k")).select(F.col("k.rid").alias("keep_rid"))
-    rows = docs.withColumn("keep_rid", F.monotonically_increasing_id())
     return rows.join(kept, "keep_rid", "left_semi").select(*columns)
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedsieve.llm.common import checkpoint, small_batches, stable_rows
+from feedsieve.llm.common import checkpoint, dropped, numbered, small_batches, written
 
 #: Least words of a line, and of a sentence.
 MIN_WORDS = (20, 8)
@@ -64,13 +64,20 @@ def units(docs: DataFrame, min_words: tuple[int, int] = MIN_WORDS) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, {2: pa.int32(), 7: pa.binary()}.get(i, pa.int64())) for i, c in enumerate(cols)], [x.split()[0] for x in UNITS.split(", ")])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, UNITS)
+    return docs.select("rid", "doc_id", "text").mapInArrow(run, UNITS)
 
 
 def repeated(docs: DataFrame, min_words: tuple[int, int] = MIN_WORDS) -> DataFrame:
     """One row for each removed unit: where it lay, and which document keeps the first occurrence."""
-    found = units(stable_rows(docs), min_words)
+    rows = numbered(docs, "rows")
+    out = _repeated(rows, min_words)
+    dropped(rows)
+    return out
+
+
+def _repeated(docs: DataFrame, min_words: tuple[int, int]) -> DataFrame:
+    """The removed units of numbered documents, which nothing reads afterwards."""
+    found = units(docs, min_words)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("rid"), F.col("start"))
     groups = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     spread = checkpoint(groups).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -84,9 +91,10 @@ def repeated(docs: DataFrame, min_words: tuple[int, int] = MIN_WORDS) -> DataFra
 
 def remove(docs: DataFrame, min_words: tuple[int, int] = MIN_WORDS) -> DataFrame:
     """All documents with repeated units cut out of `text`, and `removed`, the cut spans in original offsets."""
-    docs = stable_rows(docs)
-    spans = repeated(docs, min_words).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cut")).withColumnRenamed("rid", "dedup_row")
-    rows = docs.withColumn("dedup_row", F.monotonically_increasing_id()).join(spans, "dedup_row", "left").drop("dedup_row")
+    whole = written(docs.withColumn("dedup_row", F.monotonically_increasing_id()), "rows")
+    slim = whole.select(F.col("dedup_row").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spans = _repeated(slim, min_words).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cut")).withColumnRenamed("rid", "dedup_row")
+    rows = whole.join(spans, "dedup_row", "left").drop("dedup_row")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     step = lambda a, s: F.struct((s["end"] + 1).alias("at"), F.concat(a["out"], F.call_function("substring", F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))).alias("out"))
     end = lambda a: F.concat(a["out"], F.call_function("substring", F.col("text"), (a["at"] + 1).cast("int"), F.length("text")))

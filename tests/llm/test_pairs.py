@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from feedsieve.llm import ann, ngram_join, substring_dedup
+from feedsieve.llm import ann, lm, ngram_join, substring_dedup
 from feedsieve.llm.components import components
 from tests.llm.helpers import LOWER, ODD, SCHEMA, WORD, documents
 
@@ -98,6 +98,33 @@ def test_line_dedup_equals_brute_force(spark):
     assert shared.upper() not in clean[len(ODD) + 1]["text"] and shared in clean[len(ODD)]["text"]
 
 
+@pytest.mark.parametrize(("module", "step"), [(ngram_join, "_first_pairs"), (substring_dedup, "checkpoint"), (lm, "corpus_of")])
+def test_rows_stay_told_apart_when_a_later_scan_is_cut_elsewhere(spark, monkeypatch, tmp_path, module, step):
+    texts = near_texts(4, families=3, copies=8)
+    documents(spark, texts).repartition(8).write.parquet(str(tmp_path / "d"))
+    plain, least = getattr(module, step), "spark.sql.files.minPartitionNum"
+
+    def between(*args):
+        out = plain(*args)
+        spark.conf.set(least, "8")
+        return out
+
+    monkeypatch.setattr(module, step, between)
+    run = {ngram_join: ngram_join.op2, substring_dedup: substring_dedup.op6, lm: lm.op7}[module]
+    keep = {ngram_join: ("doc_id", "n_shingles", "component_id"), substring_dedup: ("doc_id", "start", "end", "kept_doc_id"), lm: ("doc_id", "n_tokens", "n_known", "base_score")}[module]
+    got = []
+    try:
+        for first in ("1", "8"):
+            spark.conf.set(least, first)
+            got.append(sorted(map(tuple, run(spark.read.parquet(str(tmp_path / "d"))).select(*keep).collect())))
+    finally:
+        spark.conf.unset(least)
+    if module is ngram_join:
+        assert got[0] == brute_components(texts, 3, 90)
+    assert len(got[0]) == len(got[1])
+    assert all(a == pytest.approx(b, rel=1e-9) for a, b in zip(*got, strict=True))
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(10, 24)) * 2
