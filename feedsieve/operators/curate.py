@@ -80,6 +80,25 @@ def curate(items: DataFrame, ledger: DataFrame | None = None, most: int = V.CYCL
     return cycle_cap(rows, most)
 
 
+def curate_after(items: DataFrame, sent: DataFrame, most: int = V.CYCLE_MAX, **how) -> DataFrame:
+    """`curate` after earlier runs, whose rows are in `sent` (uid, story_key, subject_key, cycle_s).
+
+    Earlier rows go through the windows first and count for their cycle's cap; they are not given
+    back.  A new row older than the last sent one counts at that one's cycle.
+    """
+    last = sent.agg(F.max("cycle_s")).first()[0]
+    if last is None:
+        return curate(items, None, most, **how)
+    new = rank_by_impact(candidates(items, **how).withColumn("cycle_s", F.greatest("cycle_s", F.lit(last)))).withColumn("_old", F.lit(0))
+    # no window reaches further back than the longest one
+    old = sent.where(F.col("cycle_s") >= last - 3600 * max(V.STORY_HOURS, V.SUBJECT_HOURS)).select("uid", "story_key", "subject_key", "cycle_s", F.lit(1).alias("_old"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("arrival"))
+    rows = new.unionByName(old, allowMissingColumns=True)
+    order = ("rank", "arrival", "uid")
+    rows = story_dedup(rows, order=order).where("accepted OR _old = 1").drop("accepted")
+    rows = subject_cap(rows, order=order).where("accepted OR _old = 1").drop("accepted")
+    return cycle_cap(rows, most).where("_old = 0").drop("_old")
+
+
 def sample_links(items: DataFrame, most: int = 3) -> DataFrame:
     """The first links (guid or title where there is none) of each source and cycle."""
     place = F.row_number().over(Window.partitionBy("cycle_s", "source_id").orderBy("arrival"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-SENT = "uid string, story_key string, source_id string, title string, link string, sent_at timestamp"
+SENT = "uid string, story_key string, source_id string, title string, link string, sent_at timestamp, subject_key string"
 FIRED = "event_id string, offset_label string, status string, fired_at timestamp"
 ARCHIVE = ("uid", "source_id", "source_name", "title", "link", "body", "official", "impact", "provider_used", "editor_used", "created_at")
 MAX_TITLE, MAX_LINK = 500, 1000
@@ -33,7 +33,8 @@ def absent(rows: DataFrame, ledger: DataFrame, key: list[str], order: str) -> Da
 
 def append_sent(rows: DataFrame, path: str) -> None:
     """Adds sent items once each; titles and links are cut to their columns' lengths."""
-    rows = rows.select("uid", "story_key", "source_id", F.substring("title", 1, MAX_TITLE).alias("title"), F.substring("link", 1, MAX_LINK).alias("link"), F.col("sent_at").cast("timestamp").alias("sent_at"))
+    subject = F.col("subject_key") if "subject_key" in rows.columns else F.lit(None).cast("string").alias("subject_key")
+    rows = rows.select("uid", "story_key", "source_id", F.substring("title", 1, MAX_TITLE).alias("title"), F.substring("link", 1, MAX_LINK).alias("link"), F.col("sent_at").cast("timestamp").alias("sent_at"), subject)
     absent(rows, read(rows.sparkSession, path, SENT), ["uid"], "sent_at").write.mode("append").parquet(path)
 
 

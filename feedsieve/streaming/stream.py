@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from feedsieve.functions import vocab as V
+from feedsieve.functions.keys import subject_key
 from feedsieve.operators import calendar as A
 from feedsieve.operators import curate as C
 from feedsieve.sources import ledgers
@@ -71,7 +72,8 @@ def curate_batch(ledger: str, rejected: str, emit: Callable[[DataFrame], None],
     """A `foreachBatch` function: judges a batch, emits what is new, and marks it sent afterwards.
 
     Items rejected for age or history go to a ledger of their own and are not judged again; low
-    scores are not marked.  Emission comes before the ledger, so a failure is tried again.
+    scores are not marked.  Emission comes before the ledger, so a failure is tried again.  The
+    story and subject windows and the cycle's cap go on from the sent ledger.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -80,12 +82,14 @@ def curate_batch(ledger: str, rejected: str, emit: Callable[[DataFrame], None],
         fresh = C.with_keys(batch).join(seen, "uid", "left_anti").persist()
         judged = C.judged(fresh, cycle_seconds)
         stale = judged.where(F.col("age_reason").isNotNull() | F.col("is_historical"))
-        chosen = C.curate(fresh.drop("uid", "story_key", "subject_key"), None, most, cycle_seconds=cycle_seconds).persist()
+        sent = ledgers.read(spark, ledger, ledgers.SENT).withColumn("subject_key", F.coalesce("subject_key", subject_key(F.col("title"))))
+        sent = sent.withColumn("cycle_s", C.cycle_start(F.unix_seconds("sent_at"), cycle_seconds))
+        chosen = C.curate_after(fresh.drop("uid", "story_key", "subject_key"), sent, most, cycle_seconds=cycle_seconds).persist()
         emit(chosen)
-        stamp = F.timestamp_seconds("observed_s").alias("sent_at")
-        keys = ("uid", "story_key", "source_id", "title", "link")
-        ledgers.append_sent(chosen.select(*keys, stamp), ledger)
-        ledgers.append_sent(stale.select(*keys, stamp), rejected)
+        keys = ("uid", "story_key", "subject_key", "source_id", "title", "link")
+        # a late item was sent in the cycle that it was judged in
+        ledgers.append_sent(chosen.select(*keys, F.timestamp_seconds(F.greatest("observed_s", "cycle_s")).alias("sent_at")), ledger)
+        ledgers.append_sent(stale.select(*keys, F.timestamp_seconds("observed_s").alias("sent_at")), rejected)
         chosen.unpersist()
         fresh.unpersist()
 

@@ -49,6 +49,28 @@ def test_curate_batch_emits_once(spark, tmp_path):
     assert len(out) == 1
 
 
+def test_curate_batch_windows_reach_over_batches(spark, tmp_path):
+    from tests.test_curation import ITEM, item
+
+    title, hour, at = "Visa acquires rival, SEC approves", 3600, 1_000_800
+    out = []
+    run = S.curate_batch(str(tmp_path / "sent"), str(tmp_path / "rejected"), lambda df: out.extend(r["uid"] for r in df.collect()))
+    for k, hours in enumerate((0, -1, 7)):  # one story under other uids, once late and once after its window
+        run(spark.createDataFrame([item(k, title, guid=f"g{k}", observed=at + hours * hour)], ITEM), k)
+        assert len(out) == (2 if k == 2 else 1)
+
+
+def test_cycle_cap_counts_earlier_batches(spark, tmp_path):
+    from tests.test_curation import ITEM, item
+
+    names = ["Visa", "Oracle", "Netflix", "Walmart"]
+    out = []
+    run = S.curate_batch(str(tmp_path / "sent"), str(tmp_path / "rejected"), lambda df: out.extend(df.collect()), cycle_seconds=3600)
+    for k in (0, 1):
+        run(spark.createDataFrame([item(i, f"{names[i]} acquires rival for cash, SEC approves", observed=10_000_820 + i, guid=str(i)) for i in (2 * k, 2 * k + 1)], ITEM), k)
+    assert len(out) == 3
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
