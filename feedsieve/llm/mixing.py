@@ -46,24 +46,26 @@ def source_tokens(measured: DataFrame) -> DataFrame:
     return measured.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
 
 
-def _facts(sources: DataFrame, exponents: list[float], total: float) -> list[tuple[float, float]]:
-    """(entropy, largest repetition at a budget of all tokens) for each exponent, in one pass over the sources."""
+def _facts(sources: DataFrame, exponents: list[float], total: float) -> list[tuple[float, float, float]]:
+    """(entropy, largest repetition at a budget of all tokens, and at the budget that covers every source once) for each exponent, in one pass over the sources."""
     p = F.col("tokens") / F.lit(total)
     row = sources.agg(
         *[F.sum(F.pow(p, F.lit(a))) for a in exponents],
         *[F.sum(F.pow(p, F.lit(a)) * F.log(p)) for a in exponents],
         *[F.max(F.pow(p, F.lit(a - 1))) for a in exponents],
+        *[F.max(F.pow(p, F.lit(1 - a))) for a in exponents],
     ).first()
     n = len(exponents)
-    return [(math.log(row[i]) - a * row[n + i] / row[i], row[2 * n + i] / row[i]) for i, a in enumerate(exponents)]
+    return [(math.log(row[i]) - a * row[n + i] / row[i], row[2 * n + i] / row[i], row[2 * n + i] * row[3 * n + i]) for i, a in enumerate(exponents)]
 
 
-def find_exponent(sources: DataFrame, total: float, entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None) -> float:
+def find_exponent(sources: DataFrame, total: float, entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None, cover: bool = False) -> float:
     """The exponent by bisection.
 
     `entropy`: a share of the entropy of equal weights; the largest exponent in [0, 1] that reaches it.
     `max_repeats`: passes over any source; the smallest exponent in [0, 1] that keeps to it.
     With both, the larger of the two, so the limit on repetition holds.
+    `cover`: the limit holds at the budget that gives every source one whole pass, where that is larger.
     """
     out = None
     n = sources.count()
@@ -71,7 +73,7 @@ def find_exponent(sources: DataFrame, total: float, entropy: float | None = None
         return 1.0
 
     def bisect(low: float, high: float, goes_low) -> float:
-        """goes_low(entropy, repeats): whether the wanted exponent is at or above this one."""
+        """goes_low(entropy, repeats, repeats when covering): whether the wanted exponent is at or above this one."""
         for _ in range(PASSES):
             step = (high - low) / (POINTS + 1)
             inner = [low + step * (i + 1) for i in range(POINTS)]
@@ -80,10 +82,11 @@ def find_exponent(sources: DataFrame, total: float, entropy: float | None = None
         return (low + high) / 2
 
     if entropy is not None:
-        out = bisect(0.0, TOP_EXPONENT, lambda h, r: h >= entropy * math.log(n))
+        out = bisect(0.0, TOP_EXPONENT, lambda h, r, c: h >= entropy * math.log(n))
     if max_repeats is not None:
         scale = (budget or total) / total
-        least = bisect(0.0, 1.0, lambda h, r: r * scale > max_repeats)
+        # covering adds a little against rounding, for which the limit leaves room
+        least = bisect(0.0, 1.0, lambda h, r, c: max(r * scale, c * (1 + 1e-6) if cover else 0.0) > max_repeats)
         out = least if out is None else max(out, least)
     return 1.0 if out is None else out
 
@@ -124,7 +127,7 @@ def mix(docs: DataFrame, entropy: float | None = 0.95, max_repeats: float | None
     total = float(sources.agg(F.sum("tokens")).first()[0] or 1)
     budget = float(budget or total)
     block_tokens = max(block_tokens, int(total / MOST_BLOCKS))
-    exponent = find_exponent(sources, total, entropy, max_repeats, budget)
+    exponent = find_exponent(sources, total, entropy, max_repeats, budget, cover)
     if cover:
         budget = max(budget, _covering(sources, exponent, total))
     plan = checkpoint(quotas(sources, exponent, total, budget, block_tokens))

@@ -263,6 +263,14 @@ def test_mixing_meets_target_and_budget(spark):
     assert mixing.op1(documents(spark, ODD)).count() > 0
 
 
+def test_covering_keeps_the_limit_on_repeats(spark):
+    # a source of ten words beside one that holds a third of all tokens
+    source = lambda i: "tiny" if i < 10 else "hot" if i < 210 else f"s{i % 6}"
+    docs = documents(spark, ["w"] * 10 + ["w " * 30] * 600, source=source)
+    times = {r["doc_id"]: r["count"] for r in mixing.mix_documents(docs, entropy=0.9, max_repeats=4.0, cover=True).groupBy("doc_id").count().collect()}
+    assert len(times) == 610 and max(times.values()) <= 4
+
+
 def test_pipeline_stages(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     good = [" ".join(f"w{(i * 37 + j * 11) % 997}x{j}" for j in range(80)) for i in range(12)]
