@@ -75,6 +75,19 @@ def sized(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= most else keys
 
 
+def free_name(wanted: str, columns: list[str]) -> str:
+    """A column name that begins as wanted and that no column has; Spark does not tell cases apart."""
+    used = {c.lower() for c in columns}
+    while wanted.lower() in used:
+        wanted += "_"
+    return wanted
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of a table by name, whatever signs the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table as Parquet in the shared folder, which is denser than a checkpoint and can be dropped."""
     path = shared_folder(df.sparkSession, name)

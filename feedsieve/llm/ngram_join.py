@@ -14,16 +14,27 @@ tokens.  Three orders are used:
 What is left is verified on whole sets.  Only links between components are needed, so
 a token shared by many nodes does not make all pairs: its nodes are compared with the
 most central one, which has the largest share of frequent tokens, and components are
-formed.  Where nodes of such a token still lie in different components, their whole sets
-are looked at: a token that no other of these nodes has cannot be shared, so `k`, the
-tokens that can, bounds every overlap.  Nodes whose bound is too low drop out, the rest
-get prefixes again, now by exact frequency over whole sets, and are paired if they lie in
-different components and both bounds allow a link.  No pair that could link two
-components is skipped.
+formed.  Nodes of such a token that still lie in different components go on:
+
+* their whole sets are looked at; a token that no other of these nodes has cannot be
+  shared, and nodes that have too few others drop out.  The rest get prefixes again, by
+  exact frequency.  Rare tokens make pairs; a frequent one names its central node.
+* each node of a central node `c` is written as its difference from it, the tokens that
+  only one of both has.  Two differences differ in the same tokens as the two sets, so
+  the join goes on among differences, which are short and whose tokens are rare.  A
+  difference that is small enough is itself a link.  Of two nodes in different
+  components at least one is no neighbour of `c`, so their differences share a token
+  (`least_shared`), and prefixes of the differences find all pairs that are left.
+* before that, nodes are looked at by profile (sizes of set and difference, and how much
+  of it no other node of `c` has).  Profiles that cannot reach each other make no pair,
+  so a group of near copies just under the threshold costs its profiles, not its pairs.
+
+No pair that could link two components is skipped.
 
 Defined cases: null or empty texts have no set and are alone; repeated rows are rows
 of one node; a null doc_id gets a row and does not name a component (null if no other
-id is reachable); an empty table gives no rows; other columns do not matter.
+id is reachable); an empty table gives no rows; other columns, whatever their names, do
+not matter and are kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -32,15 +43,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedsieve.llm.common import checkpoint, dropped, numbered, sized, small_batches, written
+from feedsieve.llm.common import checkpoint, columns_of, dropped, free_name, numbered, sized, small_batches, written
 from feedsieve.llm.components import components
 from feedsieve.llm.shingles import digest, mix64, shingle_sets
 
-#: Tokens whose hash lies in this share of all hashes come first in order 1.
-LOW_SHARE = 0.2
+#: Tokens whose hash lies in a share of all hashes come first in order 1; the share is so many times that of a prefix.
+LOW_PREFIXES = 2
 #: A token in more nodes than this counts as frequent, and its nodes are not all paired at once.
 LIGHT = 8
 #: Frequent tokens known by count; the most frequent ones, if there are more.  This changes the order, not the result.
@@ -64,7 +75,7 @@ def _fingerprints(values: np.ndarray, salt: int, count: int) -> bytes:
 def sign(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """For each document: its set's size and digest, its small-hash tokens, and two prefix fingerprints."""
     small_batches(docs.sparkSession)
-    limit = np.uint64(int(LOW_SHARE * 2**64))
+    limit = np.uint64(min(int(LOW_PREFIXES * (100 - percent) / 100 * 2**64), 2**64 - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,13 +103,13 @@ def _exploded(nodes: DataFrame) -> DataFrame:
 
 
 def _prefixes(nodes: DataFrame, tokens: np.ndarray, counts: np.ndarray, percent: int) -> DataFrame:
-    """(token, node, n, share) of each node's prefix under order 1; share: of its tokens, the frequent ones.  tokens: these, sorted."""
+    """(token, node, n, share, often) of each node's prefix under order 1; share: of its tokens, the frequent ones.  tokens: these, sorted."""
     known = nodes.sparkSession.sparkContext.broadcast((tokens, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, how = known.value
         for batch in batches:
-            out, ids, ns, shares = [], [], [], []
+            out, ids, ns, shares, flags = [], [], [], [], []
             for node, n, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 mine = np.frombuffer(low, "<u8")
                 p = prefix_length(n, percent)
@@ -109,14 +120,16 @@ def _prefixes(nodes: DataFrame, tokens: np.ndarray, counts: np.ndarray, percent:
                 shares.append(np.full(p, (rank > 0).mean(), np.float32))
                 if len(mine) > p:
                     # only tokens under the limit are ranked by count: those beyond it come after them
-                    mine = mine[np.lexsort((mine, rank))]
+                    order = np.lexsort((mine, rank))
+                    mine, rank = mine[order], rank[order]
                 out.append(mine[:p])
+                flags.append(rank[:p] > 0)
                 ids.append(np.full(p, node))
                 ns.append(np.full(p, n))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(shares))], ["token", "node", "n", "share"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(shares)), pa.array(np.concatenate(flags))], ["token", "node", "n", "share", "often"])
 
-    return nodes.select("node", "n", "low").mapInArrow(run, "token long, node long, n long, share float")
+    return nodes.select("node", "n", "low").mapInArrow(run, "token long, node long, n long, share float, often boolean")
 
 
 def _may_link(a: tuple, b: tuple, percent: int) -> bool:
@@ -187,21 +200,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return out
 
 
+def _ordered(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
 def _first_pairs(prefix: DataFrame, percent: int) -> DataFrame:
     """All pairs at a light token; at a frequent one, each node with the most central one."""
-    rows = prefix
     fits = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-    light = rows.where(f"df <= {LIGHT}")
+    light = prefix.where("NOT often")
     pairs = light.alias("x").join(light.alias("y"), F.expr("x.token = y.token AND x.node < y.node") & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    heavy = rows.where(f"df > {LIGHT}")
+    heavy = prefix.where("often")
     drawn = heavy.groupBy("token").agg(F.max(F.struct(F.col("share"), F.xxhash64("node").alias("h"), F.col("node"), F.col("n"))).alias("c"))
     star = heavy.alias("x").join(drawn.alias("y"), "token").where("x.node <> y.c.node").where(f"100 * least(x.n, y.c.n) >= {percent} * greatest(x.n, y.c.n)")
-    star = star.select(F.least("x.node", "y.c.node").alias("a"), F.greatest("x.node", "y.c.node").alias("b"))
-    return pairs.union(star).distinct()
+    return pairs.union(star.select(*_ordered("x.node", "y.c.node"))).distinct()
 
 
 def _shared_tokens(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, token, df, n, k) of tokens that lie in several of these nodes, for nodes that may reach the threshold with them."""
+    """(node, token, df, n, k) of tokens that lie in several of these nodes, for nodes that may reach the threshold with them; k: these tokens of the node."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,34 +227,115 @@ def _shared_tokens(sets: DataFrame, percent: int) -> DataFrame:
 
     rows = sets.mapInArrow(explode, "node long, token long, n long")
     for _ in range(WEEDING):
-        rows = rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
-        rows = rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("node"))).where(f"100 * k >= {percent} * n")
-        rows = checkpoint(rows.select("node", "token", "n", "df", "k"))
-    return rows
+        # joined back, not a window: the join of a token that many nodes have can be split
+        df = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        rows = checkpoint(rows.select("node", "token", "n").join(df, "token"))
+        k = rows.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("m")).where(f"100 * k >= {percent} * m")
+        rows = rows.join(k.select("node", "k"), "node")
+    return checkpoint(rows.select("node", "token", "n", "df", "k"))
+
+
+def farthest(n: Column, m: Column, percent: int) -> Column:
+    """The most tokens that two linked sets of n and m tokens may differ in."""
+    return F.floor((100 - percent) * (n + m) / (100 + percent)).cast("long")
+
+
+def least_shared(s: Column, z: Column, far: Column) -> Column:
+    """Tokens that two differences of s and z tokens share at least, if their sets differ in no more than `far`."""
+    return F.ceil((s + z - far) / 2).cast("long")
+
+
+def differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(c, node, n, s, diff, near) for (c, node): the tokens that only one of the node's and c's sets has, and whether both link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, s, diff, near = [], [], [], []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")
+                d = np.setxor1d(x, y, assume_unique=True)
+                n.append(len(x))
+                s.append(len(d))
+                diff.append(d.tobytes())
+                near.append((100 + percent) * len(d) <= (100 - percent) * (len(x) + len(y)))
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("node"), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(diff, pa.binary()), pa.array(near, pa.bool_())], ["c", "node", "n", "s", "diff", "near"])
+
+    of = sets.select("node", F.col("set").alias("x"))
+    to = sets.select(F.col("node").alias("c"), F.col("set").alias("y"))
+    return members.join(of, "node").join(to, "c").select("c", "node", "x", "y").mapInArrow(run, "c long, node long, n long, s long, diff binary, near boolean")
+
 
+def _difference_tokens(found: DataFrame) -> DataFrame:
+    """(c, node, key) of every token of every difference; key: a hash of c and the token."""
 
-def _later_pairs(prefix: DataFrame, roots: DataFrame, tried: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs of nodes that met at frequent tokens, lie in different components, were not tried, and may link."""
-    heavy = prefix.where(f"df > {LIGHT}")
-    named = checkpoint(heavy.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("token", "node", "root"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.frombuffer(x, "<u8") for x in batch.column("diff").to_pylist()]
+            n = np.array([len(x) for x in rows])
+            if n.sum():
+                c, node = (np.repeat(batch.column(k).to_numpy(), n) for k in ("c", "node"))
+                with np.errstate(over="ignore"):
+                    key = mix64(mix64(c.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + np.concatenate(rows)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(node), pa.array(key)], ["c", "node", "key"])
+
+    return found.select("c", "node", "diff").mapInArrow(run, "c long, node long, key long")
+
+
+def _pairs_of_differences(found: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of one central node in different components whose differences share enough tokens to link."""
+    tokens = _difference_tokens(found)
+    df = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = checkpoint(tokens.join(df, "key"))
+    k = shared.groupBy("c", "node").agg(F.count(F.lit(1)).alias("k"))
+    rows = found.select("c", "node", "n", "s").join(k, ["c", "node"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = checkpoint(rows)
+    profile = rows.groupBy("c", "n", "s", "k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    both = lambda x, y: farthest(F.col(f"{x}.n"), F.col(f"{y}.n"), percent)
+    least = lambda x, y: least_shared(F.col(f"{x}.s"), F.col(f"{y}.s"), both(x, y))
+    can = lambda x, y: F.least(f"{x}.k", f"{y}.k") >= least(x, y)
+    met = profile.alias("x").join(profile.alias("y"), (F.col("x.c") == F.col("y.c")) & can("x", "y") & ((F.col("x.lo") != F.col("y.hi")) | (F.col("x.hi") != F.col("y.lo"))))
+    alive = met.select("x.c", "x.n", "x.s", "x.k", least("x", "y").alias("least")).groupBy("c", "n", "s", "k").agg(F.min("least").alias("least"))
+    rows = rows.join(alive, ["c", "n", "s", "k"])
+    place = F.row_number().over(Window.partitionBy("c", "node").orderBy("df", "key"))
+    heads = shared.join(rows, ["c", "node"]).withColumn("place", place).where(F.col("place") <= F.col("k") - F.col("least") + 1)
+    heads = checkpoint(heads.select("key", "node", "n", "s", "k", "root", "place"))
+    fits = lambda x, y: F.col(f"{x}.place") <= F.col(f"{x}.k") - least(x, y) + 1
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    return heads.alias("x").join(heads.alias("y"), apart & can("x", "y") & fits("x", "y") & fits("y", "x")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _later_links(prefix: DataFrame, links: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Links of nodes that met at frequent tokens and lie in different components; None if there is no such node."""
+    named = checkpoint(prefix.where("often").select("token", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     open_tokens = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     wanted = checkpoint(named.join(open_tokens, "token").select("node").distinct())
     if wanted.isEmpty():
-        return tried.limit(0)
-    found = _sets(wanted, docs, size)
-    rows = _shared_tokens(found, percent)
+        return None
+    sets = _sets(wanted, docs, size)
+    rows = _shared_tokens(sets, percent)
     # tokens that no other node has come first in the order and are left out, so they use up the prefix
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
     length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - (F.col("n") - F.col("k"))
-    rows = rows.withColumn("place", place).where(F.col("place") <= length).select("node", "token", "n", "k")
-    rows = rows.join(named.select("node", "root").distinct(), "node").withColumn("class", F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).cast("int"))
-    rows = checkpoint(rows)
-    wide = rows.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
+    rows = rows.withColumn("place", place).where(F.col("place") <= length).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = checkpoint(rows.select("node", "token", "n", "k", "df", "root", F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).cast("int").alias("class")))
+    light = rows.where(f"df <= {LIGHT}")
     bound = "least(x.k, y.k)"
-    cond = F.expr(f"x.token = y.token AND x.class = y.class AND x.node < y.node AND x.root <> y.root AND 100 * {bound} >= {percent} * (x.n + y.n - {bound})")
-    pairs = rows.alias("x").join(wide.alias("y"), cond).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    near = F.expr(f"x.token = y.token AND x.node < y.node AND x.root <> y.root AND 100 * {bound} >= {percent} * (x.n + y.n - {bound})")
+    few = light.alias("x").join(light.alias("y"), near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    # linked sets lie in one class of sizes or in neighbouring ones, and so meet in one of these
+    wide = rows.where(f"df > {LIGHT}").withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1)))
+    share = (F.col("k") / F.col("n")).alias("share")
+    central = wide.groupBy("token", "class").agg(F.max(F.struct(share, F.xxhash64("node").alias("h"), F.col("node").alias("c"))).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    members = checkpoint(wide.join(central.select("token", "class", "m.c"), ["token", "class"]).select("c", "node").distinct())
+    found = written(differences(members, sets, percent), "differences")
+    star = found.where("near AND c <> node").select(*_ordered("c", "node"))
+    links = checkpoint(links.union(star))
+    roots = components(links)
+    pairs = few.union(_pairs_of_differences(found, roots, percent)).distinct()
+    out = checkpoint(links.union(_verified(checkpoint(_filtered(pairs, nodes, percent)), docs, size, percent)))
     dropped(found)
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    dropped(sets)
+    return out
 
 
 def _least_known(counted: DataFrame) -> int:
@@ -266,17 +362,15 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     frequent = counted.where(F.col("count") >= _least_known(counted)).toPandas()
     tokens = frequent["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    prefix = _prefixes(nodes, tokens[order], frequent["count"].to_numpy(np.int64)[order], percent)
-    shared = prefix.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
-    prefix = written(shared, "prefixes")
-    tried = checkpoint(_first_pairs(prefix, percent))
-    links = checkpoint(_verified(checkpoint(_filtered(tried, nodes, percent)), docs, size, percent))
-    roots = components(links)
-    later = checkpoint(_filtered(_later_pairs(prefix, roots, tried, docs, size, percent), nodes, percent))
-    if not later.isEmpty():
-        more = checkpoint(_verified(later, docs, size, percent))
-        if not more.isEmpty():
-            roots = components(links.union(more))
+    prefix = checkpoint(_prefixes(nodes, tokens[order], frequent["count"].to_numpy(np.int64)[order], percent))
+    # a token that is not known to be frequent lies in few nodes, so its window is small
+    rest = prefix.where("NOT often").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1").withColumn("often", F.col("df") > LIGHT).drop("df")
+    prefix = written(prefix.where("often").unionByName(rest), "prefixes")
+    links = checkpoint(_verified(checkpoint(_filtered(_first_pairs(prefix, percent), nodes, percent)), docs, size, percent))
+    roots = checkpoint(components(links))
+    more = _later_links(prefix, links, roots, nodes, docs, size, percent)
+    if more is not None:
+        roots = components(more)
     dropped(nodes)
     dropped(prefix)
     return signed, first, roots
@@ -304,11 +398,11 @@ def _joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents without near copies: of each component, the row with the smallest doc_id stays."""
-    columns = docs.columns
-    rows = written(docs.withColumn("keep_rid", F.monotonically_increasing_id()), "rows")
-    joined = checkpoint(_joined(rows.select(F.col("keep_rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), size, percent))
-    kept = joined.groupBy("first_rid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("rid"))).alias("k")).select(F.col("k.rid").alias("keep_rid"))
-    return rows.join(kept, "keep_rid", "left_semi").select(*columns)
+    row = free_name("row", docs.columns)
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    joined = checkpoint(_joined(rows.select(F.col(row).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), size, percent))
+    kept = joined.groupBy("first_rid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("rid"))).alias("k")).select(F.col("k.rid").alias(row))
+    return rows.join(kept, row, "left_semi").select(*columns_of(docs))
 
 
 def op2(docs: DataFrame) -> DataFrame:
