@@ -1,22 +1,25 @@
 """Mixing sources to target weights: temperature mixing in DataFrame expressions alone.
 
 Each source's share of all tokens is raised to an exponent and normalised.  The
-exponent is found by bisection: the largest one whose weights have at least the
-wanted entropy, or whose largest repetition stays under a limit.  Each pass over
-the small table of sources weighs fifteen inner points at once, which is four
-bisection steps.  A source then gets its weight of the token budget: whole passes
-over its documents and a part of one more.
+exponent is found by bisection so that the weights meet a target entropy: below one it
+levels sources that are too uneven, above one it sharpens sources that are too even.  A
+limit on repetition then keeps the exponent near enough to one.  Each pass over the
+small table of sources weighs fifteen inner points at once, which is four bisection
+steps.  A source then gets its weight of the token budget: whole passes over its
+documents and a part of one more.
 
 Each pass is a permutation of blocks: documents are dealt into blocks by a hash of
 pass and id, blocks are ordered by a hash, and whole blocks are taken while the
 budget lasts; only the block in which it ends is cut, at a document.  A block has
-about `block_tokens` tokens however large its source, so no task gathers a source,
-and `mix_at`, a place between 0 and 1 in the order of the mixture, spreads the
-blocks of every source evenly.
+about `block_tokens` tokens however large its source, and blocks are summed up in
+stretches of their order first, so no task gathers a source or all of its blocks.
+`mix_at`, a place between 0 and 1 in the order of the mixture, spreads the blocks of
+every source evenly.
 
 Defined cases: a null source is a source of its own; a null or empty text counts
-one token, its end; repeated rows are dealt apart as they come; an empty table
-gives an empty mixture; input columns of any name are kept by `mix_documents`.
+one token, its end; repeated rows are dealt apart as they come; sources that are all
+alike have exponent 1, as no exponent changes their weights; an empty table gives an
+empty mixture; input columns of any name are kept by `mix_documents`.
 """
 
 from __future__ import annotations
@@ -26,13 +29,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedsieve.llm.common import SPACES, checkpoint
+from feedsieve.llm.common import SPACES, checkpoint, columns_of, free_name
 
 POINTS = 15
 PASSES = 12
-TOP_EXPONENT = 1.0
-#: Blocks grow with the input so that their table stays small enough for one running sum a source.
-MOST_BLOCKS = 1_000_000
+#: The exponents that bisection may choose from.
+EXPONENTS = (0.0, 8.0)
+#: Blocks in one stretch of a pass's order, about; sums go over stretches, then inside each.
+STRETCH_BLOCKS = 4096
 #: Sources are broadcast up to this many rows; beyond it Spark chooses the join.
 BROADCAST_SOURCES = 10_000
 
@@ -59,36 +63,40 @@ def _facts(sources: DataFrame, exponents: list[float], total: float) -> list[tup
     return [(math.log(row[i]) - a * row[n + i] / row[i], row[2 * n + i] / row[i], row[2 * n + i] * row[3 * n + i]) for i, a in enumerate(exponents)]
 
 
-def find_exponent(sources: DataFrame, total: float, entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None, cover: bool = False) -> float:
+def find_exponent(sources: DataFrame, total: float, entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None, cover: bool = False, exponents: tuple[float, float] = EXPONENTS) -> float:
     """The exponent by bisection.
 
-    `entropy`: a share of the entropy of equal weights; the largest exponent in [0, 1] that reaches it.
-    `max_repeats`: passes over any source; the smallest exponent in [0, 1] that keeps to it.
-    With both, the larger of the two, so the limit on repetition holds.
+    `entropy`: a share of the entropy of equal weights; the exponent whose weights have it, or the
+    nearest one in `exponents`.  More even weights have a smaller exponent.
+    `max_repeats`: passes over any source.  Repetition grows on both sides of one, so the exponent is
+    moved towards one until it keeps to the limit.
     `cover`: the limit holds at the budget that gives every source one whole pass, where that is larger.
     """
-    out = None
-    n = sources.count()
-    if n < 2:
+    row = sources.agg(F.count(F.lit(1)).alias("n"), F.min("tokens").alias("least"), F.max("tokens").alias("most")).first()
+    if row["n"] < 2 or row["least"] == row["most"]:
         return 1.0
 
-    def bisect(low: float, high: float, goes_low) -> float:
-        """goes_low(entropy, repeats, repeats when covering): whether the wanted exponent is at or above this one."""
+    def bisect(low: float, high: float, goes_on) -> float:
+        """goes_on(entropy, repeats, repeats when covering): whether the wanted exponent is at or above this one."""
         for _ in range(PASSES):
             step = (high - low) / (POINTS + 1)
             inner = [low + step * (i + 1) for i in range(POINTS)]
-            passed = sum(goes_low(*f) for f in _facts(sources, inner, total))
+            passed = sum(goes_on(*f) for f in _facts(sources, inner, total))
             low, high = low + step * passed, low + step * (passed + 1)
         return (low + high) / 2
 
+    found = 1.0
     if entropy is not None:
-        out = bisect(0.0, TOP_EXPONENT, lambda h, r, c: h >= entropy * math.log(n))
+        found = bisect(*exponents, lambda h, r, c: h >= entropy * math.log(row["n"]))
     if max_repeats is not None:
         scale = (budget or total) / total
         # covering adds a little against rounding, for which the limit leaves room
-        least = bisect(0.0, 1.0, lambda h, r, c: max(r * scale, c * (1 + 1e-6) if cover else 0.0) > max_repeats)
-        out = least if out is None else max(out, least)
-    return 1.0 if out is None else out
+        repeats = lambda r, c: max(r * scale, c * (1 + 1e-6) if cover else 0.0)
+        if found < 1:
+            found = max(found, bisect(exponents[0], 1.0, lambda h, r, c: repeats(r, c) > max_repeats))
+        elif found > 1:
+            found = min(found, bisect(1.0, exponents[1], lambda h, r, c: repeats(r, c) <= max_repeats))
+    return found
 
 
 def _covering(sources: DataFrame, exponent: float, total: float) -> float:
@@ -116,7 +124,7 @@ def _hash(*cols) -> Column:
     return F.xxhash64(*cols)
 
 
-def mix(docs: DataFrame, entropy: float | None = 0.95, max_repeats: float | None = 4.0, budget: int | None = None, block_tokens: int = 1 << 16, seed: int = 17, keys: tuple[str, ...] = ("doc_id",), cover: bool = False) -> DataFrame:
+def mix(docs: DataFrame, entropy: float | None = 0.95, max_repeats: float | None = 4.0, budget: int | None = None, block_tokens: int = 1 << 16, seed: int = 17, keys: tuple[str, ...] = ("doc_id",), cover: bool = False, exponents: tuple[float, float] = EXPONENTS) -> DataFrame:
     """The mixture: a row for each time that a document is used, without its text.
 
     `budget` is in tokens; all tokens of the input if none is given.  With `cover` it is raised
@@ -126,8 +134,7 @@ def mix(docs: DataFrame, entropy: float | None = 0.95, max_repeats: float | None
     sources = checkpoint(source_tokens(measured))
     total = float(sources.agg(F.sum("tokens")).first()[0] or 1)
     budget = float(budget or total)
-    block_tokens = max(block_tokens, int(total / MOST_BLOCKS))
-    exponent = find_exponent(sources, total, entropy, max_repeats, budget, cover)
+    exponent = find_exponent(sources, total, entropy, max_repeats, budget, cover, exponents)
     if cover:
         budget = max(budget, _covering(sources, exponent, total))
     plan = checkpoint(quotas(sources, exponent, total, budget, block_tokens))
@@ -139,10 +146,17 @@ def mix(docs: DataFrame, entropy: float | None = 0.95, max_repeats: float | None
     dealt = dealt.where(F.col("pass") >= 0).withColumn("draw", _hash(*[F.col(k) for k in keys], F.col("pass"), F.lit(seed)))
     dealt = dealt.withColumn("block", F.pmod(F.col("draw"), F.col("blocks")))
     blocks = dealt.groupBy("source", "pass", "block").agg(F.sum("n_tokens").alias("block_sum"), F.first("rest").alias("rest"), F.first("passes").alias("passes"), F.first("quota").alias("quota"))
-    order = Window.partitionBy("source", "pass").orderBy(_hash(F.col("block"), F.col("pass"), F.lit(seed + 1)), "block")
-    before = F.coalesce(F.sum("block_sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pass_tokens = F.sum("block_sum").over(Window.partitionBy("source", "pass"))
-    blocks = blocks.withColumn("before", before).withColumn("pass_tokens", pass_tokens)
+    # the order of a pass is cut into stretches, so that sums run over stretches and then inside each
+    blocks = blocks.join(of.select(F.col("of").alias("s"), "blocks"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    blocks = blocks.withColumn("at", F.pmod(_hash(F.col("block"), F.col("pass"), F.lit(seed + 1)), F.lit(1 << 40)))
+    blocks = checkpoint(blocks.withColumn("stretch", F.floor(F.col("at") * F.ceil(F.col("blocks") / STRETCH_BLOCKS) / F.lit(1 << 40)).cast("long")).drop("blocks"))
+    whole = Window.partitionBy("source", "pass")
+    upto = whole.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocks.groupBy("source", "pass", "stretch").agg(F.sum("block_sum").alias("n"))
+    sums = sums.select(F.col("source").alias("s"), F.col("pass").alias("p"), F.col("stretch").alias("t"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("earlier"), F.sum("n").over(whole).alias("pass_tokens"))
+    inner = Window.partitionBy("source", "pass", "stretch").orderBy("at", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("pass") == F.col("p")) & (F.col("stretch") == F.col("t"))).drop("s", "p", "t")
+    blocks = blocks.withColumn("before", F.col("earlier") + F.coalesce(F.sum("block_sum").over(inner), F.lit(0)))
     room = F.when(F.col("pass") < F.col("passes"), F.col("block_sum")).otherwise(F.col("rest") - F.col("before"))
     blocks = blocks.withColumn("room", room).where("room > 0")
     first = F.col("pass") * F.col("pass_tokens") + F.col("before")
@@ -160,10 +174,17 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     Rows get a number first, as ids may repeat or be null; the numbered table is
     written once, so that both sides of the join see the same numbers.
     """
-    columns = docs.columns
-    numbered = checkpoint(docs.withColumn("mix_row", F.monotonically_increasing_id()))
-    used = mix(numbered, keys=("mix_row",), **how).select("mix_row")
-    return used.join(numbered, "mix_row").select(*columns)
+    row = free_name("row", docs.columns)
+    numbered = checkpoint(docs.withColumn(row, F.monotonically_increasing_id()))
+    slim = numbered.select(F.col(row).alias("doc_id"), "source", "text")
+    used = mix(slim, **how).select(F.col("doc_id").alias(row))
+    return used.join(numbered, row).select(*columns_of(docs))
+
+
+def shares(mixture: DataFrame) -> DataFrame:
+    """For each source: its weight, and the share of the mixture's tokens that it has got."""
+    got = mixture.groupBy("source").agg(F.first("weight").alias("weight"), F.first("exponent").alias("exponent"), F.sum("n_tokens").alias("tokens"))
+    return got.withColumn("share", F.col("tokens") / F.lit(got.agg(F.sum("tokens")).first()[0] or 1))
 
 
 def op1(docs: DataFrame) -> DataFrame:
