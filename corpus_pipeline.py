@@ -33,7 +33,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(docs, entropy=0.9, max_repeats=4.0, cover=True)
+    return mixing.mix_documents(docs, entropy=0.9, max_repeats=4.0, cover=True, exponents=(0.0, 1.0))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
