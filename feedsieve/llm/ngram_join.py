@@ -362,10 +362,11 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     frequent = counted.where(F.col("count") >= _least_known(counted)).toPandas()
     tokens = frequent["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    prefix = checkpoint(_prefixes(nodes, tokens[order], frequent["count"].to_numpy(np.int64)[order], percent))
+    whole = written(_prefixes(nodes, tokens[order], frequent["count"].to_numpy(np.int64)[order], percent), "prefixes")
     # a token that is not known to be frequent lies in few nodes, so its window is small
-    rest = prefix.where("NOT often").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1").withColumn("often", F.col("df") > LIGHT).drop("df")
-    prefix = written(prefix.where("often").unionByName(rest), "prefixes")
+    rest = whole.where("NOT often").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1").withColumn("often", F.col("df") > LIGHT).drop("df")
+    prefix = written(whole.where("often").unionByName(rest), "prefixes")
+    dropped(whole)
     links = checkpoint(_verified(checkpoint(_filtered(_first_pairs(prefix, percent), nodes, percent)), docs, size, percent))
     roots = checkpoint(components(links))
     more = _later_links(prefix, links, roots, nodes, docs, size, percent)
