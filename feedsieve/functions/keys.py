@@ -34,7 +34,9 @@ def normalise_number(token: Column) -> Column:
     decimal = F.contains(digits, F.lit(",")) & ~F.contains(digits, F.lit(".")) & digits.rlike(",[0-9]{1,2}$")
     plain = F.when(decimal, F.replace(digits, F.lit(","), F.lit("."))).otherwise(F.replace(digits, F.lit(","), F.lit("")))
     value = plain.try_cast("double") * F.coalesce(F.try_element_at(_map(V.MULTIPLIERS), suffix).cast("double"), F.lit(1.0))
-    written = F.when(value == F.floor(value), value.cast("bigint").cast("string")).otherwise(value.cast("string"))
+    # all digits are written out, also where a double would show an exponent
+    whole, part = value.try_cast("decimal(38,0)").cast("string"), F.regexp_replace(value.try_cast("decimal(38,18)").cast("string"), "0+$", "")
+    written = F.coalesce(F.when(value == F.floor(value), whole).otherwise(part), value.cast("string"))
     return F.concat(written, F.when(F.endswith(token, F.lit("%")), F.lit("%")).otherwise(F.lit("")))
 
 

@@ -289,7 +289,7 @@ RUMOR_WORD = r"\b(?:may|might)\b"
 # Limits.
 MIN_IMPACT, MAX_AGE_HOURS, STORY_HOURS, SUBJECT_HOURS, SUBJECT_MAX = 45, 24, 6, 12, 2
 CYCLE_SECONDS, CYCLE_MAX, QUEUE_MAX, DAILY_LIMIT = 30, 3, 200, 1000
-GRACE_MINUTES, MAX_TAGS, BREAKING_HOURS, MAX_POST = 20, 4, 2, 1500
+GRACE_MINUTES, TICK_SECONDS, MAX_TAGS, BREAKING_HOURS, MAX_POST = 20, 60, 4, 2, 1500
 OFFSETS = {"24h": 86400, "1h": 3600}
 DEFAULT_OFFSETS = {"critical": ("24h", "1h"), "standard": ("1h",), "special": ("1h",)}
 STATUSES = ("scheduled", "cancelled")

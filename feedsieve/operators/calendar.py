@@ -79,7 +79,8 @@ def validate(raw: DataFrame) -> DataFrame:
     )
     usual = F.create_map(*[x for k, v in V.DEFAULT_OFFSETS.items() for x in (F.lit(k), F.array(*[F.lit(o) for o in v]))])
     df = df.withColumn("error", error).withColumn("event_id", F.when(F.col("error").isNull(), event_id(F.col("_type"), F.col("_utc"))))
-    seen = F.row_number().over(Window.partitionBy("event_id").orderBy("entry_ix"))
+    # entries without an id are ranked alone
+    seen = F.row_number().over(Window.partitionBy(F.coalesce("event_id", F.concat(F.lit("#"), F.col("entry_ix")))).orderBy("entry_ix"))
     df = df.withColumn("error", F.coalesce("error", F.when(F.col("event_id").isNotNull() & (seen > 1), "duplicate event")))
     return df.select(
         "entry_ix", "event_id", F.col("_type").alias("type"), F.col("_title").alias("title"), F.col("_utc").alias("scheduled_utc"), F.col("_importance").alias("importance"),
@@ -89,9 +90,9 @@ def validate(raw: DataFrame) -> DataFrame:
 
 
 def load(raw: DataFrame) -> DataFrame:
-    """Valid events; raises with the errors of a load that has any, at most a hundred of them in the message."""
+    """Valid events; raises with all errors of a load that has any.  A calendar is a file that people write, so they are few."""
     rows = validate(raw)
-    bad = rows.where(F.col("error").isNotNull()).orderBy("entry_ix").limit(100).collect()
+    bad = rows.where(F.col("error").isNotNull()).orderBy("entry_ix").select("entry_ix", "error").collect()
     if bad:
         raise CalendarError("; ".join(f"entry {r['entry_ix']}: {r['error']}" for r in bad))
     return rows.drop("error", "entry_ix")

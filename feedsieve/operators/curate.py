@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedsieve.functions import keys, predicates
+from feedsieve.functions import text as T
 from feedsieve.functions import vocab as V
+from feedsieve.operators import posts
 from feedsieve.operators.dedup import exact_dedup, story_dedup, subject_cap
+from feedsieve.sources import ledgers
 
 
 def with_source(items: DataFrame, sources: DataFrame) -> DataFrame:
@@ -17,8 +23,23 @@ def with_source(items: DataFrame, sources: DataFrame) -> DataFrame:
     return items.join(sources.where("enabled"), "source_id")
 
 
-def union_sources(frames: list[DataFrame]) -> DataFrame:
-    """All source results together; a column that a source lacks is null."""
+def union_sources(sources: list[DataFrame | Callable[[], DataFrame]], schema: str | None = None) -> DataFrame:
+    """All source results together; a column that a source lacks is null.
+
+    A source may be a function that reads it.  If it fails in reading, which includes a file that is
+    not there or is no table, it contributes nothing and a warning is logged; `schema` is that of the
+    result if every source fails.
+    """
+    frames = []
+    for i, source in enumerate(sources):
+        try:
+            frames.append(source() if callable(source) else source)
+        except PySparkException as e:
+            logging.getLogger(__name__).warning("source %s contributes nothing: %s", i, e)
+    if not frames:
+        if schema is None:
+            raise ValueError("no source could be read, and no schema is given")
+        return SparkSession.active().createDataFrame([], schema)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -67,6 +88,14 @@ def cycle_cap(items: DataFrame, most: int = V.CYCLE_MAX) -> DataFrame:
 SLIM = ("arrival", "observed_s", "cycle_s", "source_id", "title", "link", "guid", "official", "is_upcoming_speech", "score", "uid", "story_key", "subject_key")
 
 
+def kept_once(df: DataFrame) -> DataFrame:
+    """A table that later steps read several times: cut off in the checkpoint folder, or cached where none is set."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None and (named := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        sc.setCheckpointDir(named)
+    return df.checkpoint(eager=True) if sc.getCheckpointDir() else df.persist()
+
+
 def candidates(items: DataFrame, ledger: DataFrame | None = None, **how) -> DataFrame:
     """Kept items with keys and ranks, one a uid and cycle; only the columns that later steps need."""
     return rank_by_impact(exact_dedup(with_keys(kept(items, **how)).select(*SLIM), ledger))
@@ -74,7 +103,7 @@ def candidates(items: DataFrame, ledger: DataFrame | None = None, **how) -> Data
 
 def curate(items: DataFrame, ledger: DataFrame | None = None, most: int = V.CYCLE_MAX, **how) -> DataFrame:
     """Items for the queue: gates, exact, story and subject deduplication, and the cycle's cap."""
-    rows = candidates(items, ledger, **how)
+    rows = kept_once(candidates(items, ledger, **how))
     rows = story_dedup(rows).where("accepted").drop("accepted")
     rows = subject_cap(rows).where("accepted").drop("accepted")
     return cycle_cap(rows, most)
@@ -92,7 +121,7 @@ def curate_after(items: DataFrame, sent: DataFrame, most: int = V.CYCLE_MAX, **h
     new = rank_by_impact(candidates(items, **how).withColumn("cycle_s", F.greatest("cycle_s", F.lit(last)))).withColumn("_old", F.lit(0))
     # no window reaches further back than the longest one
     old = sent.where(F.col("cycle_s") >= last - 3600 * max(V.STORY_HOURS, V.SUBJECT_HOURS)).select("uid", "story_key", "subject_key", "cycle_s", F.lit(1).alias("_old"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("arrival"))
-    rows = new.unionByName(old, allowMissingColumns=True)
+    rows = kept_once(new.unionByName(old, allowMissingColumns=True))
     order = ("rank", "arrival", "uid")
     rows = story_dedup(rows, order=order).where("accepted OR _old = 1").drop("accepted")
     rows = subject_cap(rows, order=order).where("accepted OR _old = 1").drop("accepted")
@@ -151,11 +180,73 @@ def funnel(rows: DataFrame) -> DataFrame:
     )
 
 
+AFTER_GATES = ("new", "story_dup", "subject_capped", "queued", "empty_keys")
+
+
+def funnel_after_gates(candidates: DataFrame, most: int = V.CYCLE_MAX) -> DataFrame:
+    """Counters of each cycle from candidates: new items, retellings, items over their subject's cap, and what is queued.
+
+    `empty_keys` counts candidates whose story key is empty, which are all one story.
+    """
+    rows = kept_once(candidates)
+    told = story_dedup(rows)
+    first = told.where("accepted").drop("accepted")
+    capped = subject_cap(first)
+    queued = cycle_cap(capped.where("accepted").drop("accepted"), most)
+    parts = [
+        rows.groupBy("cycle_s").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("story_key") == "").alias("m")).select("cycle_s", F.expr("stack(2, 'new', n, 'empty_keys', m) AS (what, n)")),
+        told.groupBy("cycle_s").agg(F.count_if(~F.col("accepted")).alias("n")).select("cycle_s", F.lit("story_dup").alias("what"), "n"),
+        capped.groupBy("cycle_s").agg(F.count_if(~F.col("accepted")).alias("n")).select("cycle_s", F.lit("subject_capped").alias("what"), "n"),
+        queued.groupBy("cycle_s").agg(F.count(F.lit(1)).alias("n")).select("cycle_s", F.lit("queued").alias("what"), "n"),
+    ]
+    counts = reduce(lambda a, b: a.union(b), parts)
+    return counts.groupBy("cycle_s").agg(*[F.coalesce(F.sum(F.when(F.col("what") == k, F.col("n"))), F.lit(0)).alias(k) for k in AFTER_GATES])
+
+
+def full_funnel(items: DataFrame, ledger: DataFrame | None = None, most: int = V.CYCLE_MAX, **how) -> DataFrame:
+    """All counters of each cycle, from the fetched items to the queue."""
+    after = funnel_after_gates(candidates(items, ledger, **how), most)
+    rows = funnel(judged(items, **how)).join(after, "cycle_s", "left")
+    return rows.select(*[c for c in rows.columns if c not in AFTER_GATES], *[F.coalesce(c, F.lit(0)).alias(c) for c in AFTER_GATES])
+
+
+def write_up(queued: DataFrame, generated: DataFrame, limit: int = V.DAILY_LIMIT, most: int = V.QUEUE_MAX) -> DataFrame:
+    """Queued items with their generated texts, judged for publication: the posts of a day's queue.
+
+    queued: items as `curate` gives them, with day and whatever rendering reads; generated: uid,
+    provider, raw.  A post costs one call, or two if it needs an editor.  `outcome` is `sent`,
+    `no_text` (nothing was generated), `budget` (the day's budget is spent) or the gate's problem.
+    """
+    drained = queue(queued, most)
+    read = generated.select("uid", "provider", T.parse_model_output(F.col("raw")).alias("_f")).select("uid", "provider", "_f.prefix", "_f.text", "_f.tickers")
+    rows = drained.join(read, "uid", "left")
+    editor = posts.needs_editor(posts.credibility_label(rows), F.col("score"), F.col("text"))
+    rows = rows.withColumns({"editor_used": F.coalesce(editor, F.lit(False)), "seq": F.col("drain"), "impact": F.col("score")})
+    rows = daily_budget(rows.withColumn("cost", F.when(F.col("editor_used"), 2).otherwise(1)), limit)
+    judged_posts = posts.quality_gate(posts.render(rows))
+    outcome = F.when(F.col("provider").isNull(), "no_text").when(~F.col("passed"), "budget").otherwise(F.coalesce("problem", F.lit("sent")))
+    return judged_posts.withColumn("outcome", outcome)
+
+
+def record(written: DataFrame, ledger: str, archive: str, rejected: str) -> None:
+    """Sends what `write_up` let pass to the ledger and the archive, and keeps the rest in a table of its own, with its outcome."""
+    written = kept_once(written)
+    sent = written.where("outcome = 'sent'").withColumn("sent_at", F.timestamp_seconds("observed_s"))
+    ledgers.append_archive(sent.withColumns({"created_at": F.col("sent_at"), "provider_used": F.col("provider")}), archive)
+    ledgers.append_sent(sent, ledger)
+    written.where("outcome <> 'sent'").select("uid", "story_key", "source_id", "title", "link", "outcome", "day").write.mode("append").parquet(rejected)
+
+
 def top_item(items: DataFrame) -> DataFrame:
     """The one item with the highest score; the first arrival of equals."""
     return items.orderBy(F.desc("score"), "arrival").limit(1)
 
 
-def status_metrics(sent: DataFrame, as_of_s: Column, hours: int = V.STORY_HOURS) -> DataFrame:
-    """Distinct ids, stories still in their window, and all published rows of a ledger."""
-    return sent.agg(F.count_distinct("uid").alias("seen"), F.count_distinct(F.when(as_of_s - F.col("sent_s") <= hours * 3600, F.col("story_key"))).alias("open_stories"), F.count(F.lit(1)).alias("published"))
+def status_metrics(sent: DataFrame, as_of_s: Column, hours: int = V.STORY_HOURS, limit: int = V.DAILY_LIMIT, cost: Column | None = None) -> DataFrame:
+    """Distinct ids, stories still in their window, all published rows of a ledger, and the day's budget: used and left.
+
+    A row costs one call, or what `cost` says; the day is that of `as_of_s`.
+    """
+    today = F.floor(F.col("sent_s") / 86400) == F.floor(as_of_s / 86400)
+    used = F.coalesce(F.sum(F.when(today & (F.col("sent_s") <= as_of_s), F.lit(1) if cost is None else cost)), F.lit(0)).cast("bigint")
+    return sent.agg(used.alias("budget_used"), F.greatest(F.lit(limit) - used, F.lit(0)).cast("bigint").alias("budget_left"), F.count_distinct("uid").alias("seen"), F.count_distinct(F.when(as_of_s - F.col("sent_s") <= hours * 3600, F.col("story_key"))).alias("open_stories"), F.count(F.lit(1)).alias("published"))

@@ -2,9 +2,13 @@
 
 The windows forget what they suppressed: a story is accepted again once the window has
 passed since its last *accepted* copy, which no fixed window function says.  Per key, times
-go through a fold in sorted order.  Keys may be hot, and a fold is sequential, so a key is
-first split wherever two neighbouring rows lie further apart than the window: state never
-reaches across such a gap, so the pieces are exact and fold in parallel.
+go through a fold in sorted order.
+
+Keys may be hot (a title without a usable token has the empty key), so rows do not go through
+the fold.  At one time a key can accept at most `most` rows, and these are the first ones in
+order.  So the fold sees each key and time once, with a count that partial aggregation made,
+and gives back how many rows are accepted then; rows are ranked within key and time, which
+are small groups.
 """
 
 from __future__ import annotations
@@ -26,45 +30,40 @@ def exact_dedup(items: DataFrame, ledger: DataFrame | None = None, cycle: str =
     return items.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def accept_window(items: DataFrame, key: str, time: str, window: int, most: int = 1, strict: bool = False, order: tuple[str, ...] = ("arrival",)) -> DataFrame:
+def accept_window(items: DataFrame, key: str, time: str, window: int, most: int = 1, strict: bool = False, order: tuple[str, ...] = ("arrival",), skip_empty: bool = False) -> DataFrame:
     """Adds `accepted`: whether fewer than `most` accepted rows of the key lie within the window before.
 
     Rows of a key go by time, then `order`.  With `strict`, a row exactly a window earlier is outside.
-    State is at most `most` times a key, so a piece is folded row by row in sorted order within its
-    partition; only key, time and order travel, and texts stay where they are.
+    With `skip_empty`, rows with an empty key are all accepted.  `items` is read twice.
     """
-    by = [time, *order]
+    kinds = dict(items.dtypes)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, piece, times = object(), None, []
+        last, times = object(), []
         for b in batches:
-            flags = []
-            for k, g, t in zip(b[key], b["_gaps"], b[time], strict=True):
-                if k != last or g != piece:
-                    last, piece, times = k, g, []
+            got = []
+            for k, t, n in zip(b[key], b[time], b["_n"], strict=True):
+                if k != last:
+                    last, times = k, []
                 times = [x for x in times if (t - x < window if strict else t - x <= window)]
-                ok = len(times) < most
-                if ok:
-                    times.append(t)
-                flags.append(ok)
-            yield b[[key, "_row"]].assign(accepted=flags)
-
-    numbered = items.withColumn("_row", F.struct(*[F.col(c) for c in order]))
-    slim = numbered.select(key, time, *[c for c in order if c not in (key, time)], "_row")
-    rows = Window.partitionBy(key).orderBy(*by)
-    pieced = slim.withColumn("_gap", F.when(F.col(time) - F.lag(time).over(rows) > window, 1).otherwise(0))
-    pieced = pieced.withColumn("_gaps", F.sum("_gap").over(rows.rowsBetween(Window.unboundedPreceding, 0)))
-    kind = dict(slim.dtypes)
-    sorted_rows = pieced.repartition(key, "_gaps").sortWithinPartitions(key, "_gaps", *by).select(key, "_gaps", time, "_row")
-    flagged = sorted_rows.mapInPandas(fold, f"{key} {kind[key]}, _row {kind['_row']}, accepted boolean").select("_row", "accepted")
-    return numbered.join(flagged, "_row").drop("_row")
-
-
-def story_dedup(items: DataFrame, hours: int = V.STORY_HOURS, time: str = "cycle_s", order: tuple[str, ...] = ("rank", "arrival")) -> DataFrame:
+                got.append(min(n, max(0, most - len(times))))
+                times += [t] * got[-1]
+            yield b[[key, time]].assign(_ok=got)
+
+    counted = items.groupBy(key, time).agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("_n"))
+    folded = counted.repartition(key).sortWithinPartitions(key, time).mapInPandas(fold, f"`{key}` {kinds[key]}, `{time}` {kinds[time]}, _ok long")
+    folded = folded.select(F.col(key).alias("_key"), F.col(time).alias("_time"), "_ok")
+    place = F.row_number().over(Window.partitionBy(key, time).orderBy(*order))
+    rows = items.withColumn("_place", place).join(folded, F.col(key).eqNullSafe(F.col("_key")) & F.col(time).eqNullSafe(F.col("_time")))
+    free = (F.col(key) == "") if skip_empty else F.lit(False)
+    return rows.withColumn("accepted", F.coalesce(free, F.lit(False)) | (F.col("_place") <= F.col("_ok"))).drop("_place", "_key", "_time", "_ok")
+
+
+def story_dedup(items: DataFrame, hours: int = V.STORY_HOURS, time: str = "cycle_s", order: tuple[str, ...] = ("rank", "arrival"), skip_empty: bool = False) -> DataFrame:
     """Adds `accepted`: one copy of a story in each window since its last accepted copy."""
-    return accept_window(items, "story_key", time, hours * 3600, 1, False, order)
+    return accept_window(items, "story_key", time, hours * 3600, 1, False, order, skip_empty)
 
 
-def subject_cap(items: DataFrame, hours: int = V.SUBJECT_HOURS, most: int = V.SUBJECT_MAX, time: str = "cycle_s", order: tuple[str, ...] = ("rank", "arrival")) -> DataFrame:
+def subject_cap(items: DataFrame, hours: int = V.SUBJECT_HOURS, most: int = V.SUBJECT_MAX, time: str = "cycle_s", order: tuple[str, ...] = ("rank", "arrival"), skip_empty: bool = False) -> DataFrame:
     """Adds `accepted`: at most `most` accepted items of a subject in any window."""
-    return accept_window(items, "subject_key", time, hours * 3600, most, True, order)
+    return accept_window(items, "subject_key", time, hours * 3600, most, True, order, skip_empty)

@@ -86,30 +86,34 @@ def needs_editor(label: Column, score: Column, text: Column) -> Column:
 
 
 def render(posts: DataFrame) -> DataFrame:
-    """Adds label, marker, body, tags and `post`.
+    """Adds label, marker, clean (the cleaned text), body, tags and `post`.
 
     posts: an item (title, summary, link, source_name, official, published_s, observed_s, year,
     is_upcoming_speech) joined with its generated fields prefix, text and tickers.
     """
     df = posts.withColumn("label", credibility_label(posts)).withColumn("_tick", T.sanitize(T.strip_urls(F.coalesce("tickers", F.lit("")))))
-    df = df.withColumn("_body", T.clean_body(F.coalesce(F.nullif("text", F.lit("")), F.nullif("summary", F.lit("")), F.col("title"))))
-    df = df.withColumn("marker", type_marker(_source("title", "summary", "_body"), F.col("_body"), F.col("_tick")))
+    df = df.withColumn("clean", T.clean_body(F.coalesce(F.nullif("text", F.lit("")), F.nullif("summary", F.lit("")), F.col("title"))))
+    df = df.withColumn("marker", type_marker(_source("title", "summary", "clean"), F.col("clean"), F.col("_tick")))
     df = df.withColumn("_prefix", F.concat("marker", gated_prefix(F.col("prefix"), F.col("is_upcoming_speech"), is_recent(F.col("published_s"), F.col("observed_s")))))
     df = df.withColumn("_source", _source("title", "summary"))
-    df = df.withColumn("body", ground.grounded(T.clean_artifacts(F.col("_body")), F.col("_source")))
+    df = df.withColumn("body", ground.grounded(T.clean_artifacts(F.col("clean")), F.col("_source")))
     df = df.withColumn("body", T.strip_invalid_years(F.col("body"), F.col("_source"), F.col("year")))
     df = df.withColumn("tags", hashtags(_source("title", "summary", "body", "_tick"), F.col("_prefix")))
     name = T.html_escape(F.coalesce(F.nullif("source_name", F.lit("")), F.lit("Источник")))
     link = F.when(F.coalesce("link", F.lit("")) != "", F.concat(F.lit('<a href="'), T.html_escape(F.col("link")), F.lit('">'), name, F.lit("</a>"))).otherwise(name)
     first = F.when(F.col("_prefix") != "", F.trim(F.concat_ws(" ", "_prefix", T.html_escape(F.col("body"))))).otherwise(T.html_escape(F.col("body")))
     lines = [first, F.when(F.col("_tick") != "", F.concat(F.lit("\n<code>"), T.html_escape(F.col("_tick")), F.lit("</code>"))), F.concat(F.lit("\n"), F.concat_ws(" · ", "label", link)), F.when(F.size("tags") > 0, F.concat(F.lit("\n"), F.array_join("tags", " ")))]
-    return df.withColumn("post", F.concat_ws("\n", *lines)).drop("_tick", "_body", "_prefix", "_source")
+    return df.withColumn("post", F.concat_ws("\n", *lines)).drop("_tick", "_prefix", "_source")
 
 
 def quality_gate(rendered: DataFrame) -> DataFrame:
     """Adds `problem`: why a post is not published; null if it is."""
-    checked = T.body_problem(T.clean_body(F.coalesce(F.nullif("text", F.lit("")), F.nullif("summary", F.lit("")), F.col("title"))))
-    return rendered.withColumn("problem", F.coalesce(checked, F.when(T.has_residual_artifact(F.col("post")), "artifact")))
+    return rendered.withColumn("problem", F.coalesce(T.body_problem(F.col("clean")), F.when(T.has_residual_artifact(F.col("post")), "artifact")))
+
+
+def emitted_and_rejected(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Posts that pass the gate, and the rest with their problems."""
+    return checked.where(F.col("problem").isNull()).drop("problem"), checked.where(F.col("problem").isNotNull())
 
 
 def reference_check(generated: DataFrame, items: DataFrame) -> DataFrame:

@@ -46,6 +46,10 @@ def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.funnel(_judged(spark, sf_dir))
 
 
+def full_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.full_funnel(items(spark, sf_dir), cycle_seconds=CYCLE)
+
+
 def per_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.per_source_counts(items(spark, sf_dir).withColumn("cycle_s", C.cycle_start(F.col("observed_s"), CYCLE)))
 
@@ -95,6 +99,16 @@ def status_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.status_metrics(sent, F.lit(1705276800))
 
 
+def write_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted items of each day with generated texts made from their titles, some of them too short, some missing."""
+    rows = items(spark, sf_dir)
+    extra = rows.select("arrival", "source_name", "summary", "published_s", "year")
+    queued = C.curate(rows, cycle_seconds=CYCLE).join(extra, "arrival").withColumn("day", F.floor(F.col("observed_s") / 86400).cast("bigint"))
+    raw = F.when(F.col("arrival") % 7 == 0, F.lit("ТЕКСТ: мало")).otherwise(F.concat(F.lit("ТЕКСТ: "), F.col("title"), F.lit(". It was reported today")))
+    generated = queued.where("arrival % 11 <> 0").select("uid", F.lit("m").alias("provider"), raw.alias("raw")).dropDuplicates(["uid"])
+    return C.write_up(queued, generated, limit=20).select("arrival", "day", "drain", "editor_used", "outcome")
+
+
 BASE = f"WITH RECURSIVE {DUCK_ITEMS}, timed AS (SELECT *, observed_s - observed_s % {CYCLE} AS cycle_s, {P.AGE_REASON.format(hours=24)} AS age_reason FROM items), {P.gates_sql('timed')}"
 KEPT = "kept AS (SELECT * FROM gated WHERE age_reason IS NULL AND NOT is_historical AND reject_reason IS NULL)"
 CANDIDATES = f"""{BASE}, {KEPT}, {keys_sql('kept')},
@@ -120,6 +134,16 @@ ORACLES = {
     "funnel": f"""{BASE} SELECT cycle_s, count(*) AS fetched, count(*) FILTER (WHERE age_reason IS NOT NULL) AS old, count(*) FILTER (WHERE age_reason IS NULL AND is_historical) AS historical,
  count(*) FILTER (WHERE age_reason IS NULL AND NOT is_historical AND reject_reason IS NOT NULL AND unpublished IS NULL) AS low_impact,
  count(*) FILTER (WHERE age_reason IS NULL AND NOT is_historical AND reject_reason IS NULL) AS kept FROM gated GROUP BY cycle_s""",
+    "full_funnel": f"""{CANDIDATES}, {_fold('s', 'cand', 'story_key', 6, 1)}, s_ok AS (SELECT * EXCLUDE (accepted, n) FROM s WHERE accepted), {_fold('j', 's_ok', 'subject_key', 12, 2)},
+q AS (SELECT * FROM j WHERE accepted QUALIFY row_number() OVER (PARTITION BY cycle_s ORDER BY rank, arrival) <= 3),
+f AS (SELECT cycle_s, count(*) AS fetched, count(*) FILTER (WHERE age_reason IS NOT NULL) AS old, count(*) FILTER (WHERE age_reason IS NULL AND is_historical) AS historical,
+ count(*) FILTER (WHERE age_reason IS NULL AND NOT is_historical AND reject_reason IS NOT NULL AND unpublished IS NULL) AS low_impact,
+ count(*) FILTER (WHERE age_reason IS NULL AND NOT is_historical AND reject_reason IS NULL) AS kept FROM gated GROUP BY cycle_s)
+SELECT f.*, coalesce(a.n, 0) AS new, coalesce(b.n, 0) AS story_dup, coalesce(c.n, 0) AS subject_capped, coalesce(d.n, 0) AS queued, coalesce(a.e, 0) AS empty_keys FROM f
+LEFT JOIN (SELECT cycle_s, count(*) AS n, count(*) FILTER (WHERE story_key = '') AS e FROM cand GROUP BY 1) a USING (cycle_s)
+LEFT JOIN (SELECT cycle_s, count(*) AS n FROM s WHERE NOT accepted GROUP BY 1) b USING (cycle_s)
+LEFT JOIN (SELECT cycle_s, count(*) AS n FROM j WHERE NOT accepted GROUP BY 1) c USING (cycle_s)
+LEFT JOIN (SELECT cycle_s, count(*) AS n FROM q GROUP BY 1) d USING (cycle_s)""",
     "per_source_counts": f"WITH {DUCK_ITEMS} SELECT observed_s - observed_s % {CYCLE} AS cycle_s, source_id, count(*) AS n FROM items GROUP BY ALL",
     "exact_dedup": f"{CANDIDATES} SELECT arrival, cycle_s, uid, score, rank::INT AS rank FROM cand",
     "story_dedup": f"{CANDIDATES}, {_fold('s', 'cand', 'story_key', 6, 1)} SELECT arrival, story_key, cycle_s, accepted FROM s",
@@ -138,6 +162,6 @@ f AS (SELECT day, 0::BIGINT AS n, 0::BIGINT AS seq, 0::BIGINT AS used, true AS p
   200 - used > 40 OR (200 - used > 0 AND (impact >= 50 OR official)) OR (used >= 200 AND (official OR impact >= 80)) FROM f JOIN o ON o.day = f.day AND o.n = f.n + 1)
 SELECT day, seq, passed FROM f WHERE n > 0""",
     "top_item": f"{BASE}, {KEPT} SELECT arrival, title, score FROM kept ORDER BY score DESC, arrival LIMIT 1",
-    "status_metrics": f"{CANDIDATES} SELECT count(DISTINCT uid) AS seen, count(DISTINCT story_key) FILTER (WHERE 1705276800 - cycle_s <= 21600) AS open_stories, count(*) AS published FROM cand",
+    "status_metrics": f"{CANDIDATES} SELECT count(*) FILTER (WHERE cycle_s // 86400 = 1705276800 // 86400 AND cycle_s <= 1705276800) AS budget_used, greatest(1000 - count(*) FILTER (WHERE cycle_s // 86400 = 1705276800 // 86400 AND cycle_s <= 1705276800), 0) AS budget_left, count(DISTINCT uid) AS seen, count(DISTINCT story_key) FILTER (WHERE 1705276800 - cycle_s <= 21600) AS open_stories, count(*) AS published FROM cand",
 }
-QUERIES = (item_keys, predicates, filter_items, score_inputs, curate_by_source, funnel, per_source_counts, exact_dedup, story_dedup, subject_cap, curate, cycle_cap, sample_links, priority_queue, daily_budget, top_item, status_metrics)
+QUERIES = (item_keys, predicates, filter_items, score_inputs, curate_by_source, funnel, full_funnel, per_source_counts, exact_dedup, story_dedup, subject_cap, curate, cycle_cap, sample_links, priority_queue, daily_budget, top_item, status_metrics, write_up)

@@ -9,28 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: id, name, kind, category, official, base impact, enabled
+#: id, name, kind, category, official, base impact, enabled.  All are invented; one name holds that of the source with stricter rules.
 SOURCES = (
-    ("coindesk", "CoinDesk", "rss", "crypto", False, 45, True),
-    ("cointelegraph", "Cointelegraph", "rss", "crypto", False, 40, True),
-    ("decrypt", "Decrypt", "rss", "crypto", False, 40, True),
-    ("theblock", "The Block", "rss", "crypto", False, 45, True),
-    ("cryptoslate", "CryptoSlate", "rss", "crypto", False, 35, True),
-    ("blockworks", "Blockworks", "rss", "crypto", False, 40, True),
-    ("beincrypto", "BeInCrypto", "rss", "crypto", False, 30, True),
-    ("bitcoinmagazine", "Bitcoin Magazine", "rss", "crypto", False, 35, True),
-    ("forkast", "Forkast", "rss", "crypto", False, 30, False),
-    ("marketwatch", "MarketWatch", "rss", "markets", False, 40, True),
-    ("investing", "Investing", "rss", "markets", False, 40, True),
-    ("zerohedge", "ZeroHedge", "rss", "markets", False, 30, True),
-    ("sec_press", "SEC", "rss", "regulator", True, 60, True),
-    ("fed_press", "Federal Reserve", "rss", "regulator", True, 60, True),
-    ("ecb_press", "ECB", "rss", "regulator", True, 55, True),
-    ("city_channel", "City Desk", "telegram", "markets", False, 30, True),
-    ("video_desk", "Video Desk", "youtube", "markets", False, 25, False),
-    ("forum_crypto", "Forum", "reddit", "crypto", False, 20, False),
-    ("wire_one", "Wire One", "rss", "markets", False, 40, True),
-    ("old_blog", "Old Blog", "rss", "crypto", False, 20, False),
+    ("ledger_daily", "Ledger Daily", "rss", "crypto", False, 45, True),
+    ("pine_street", "Pine Street Journal", "rss", "markets", False, 40, True),
+    ("chain_letter", "Chain Letter", "rss", "crypto", False, 35, True),
+    ("rates_office", "Office of Rates", "rss", "regulator", True, 60, True),
+    ("harbour_news", "Harbour News", "rss", "markets", False, 40, True),
+    ("zerohedge_mirror", "Zerohedge Mirror", "rss", "markets", False, 30, True),
+    ("token_times", "Token Times", "rss", "crypto", False, 40, True),
+    ("attic_notes", "Attic Notes", "rss", "crypto", False, 20, False),
+    ("bonds_bulletin", "Bonds Bulletin", "rss", "markets", False, 45, True),
+    ("listing_board", "Listing Board", "rss", "regulator", True, 55, True),
+    ("miner_mail", "Miner Mail", "rss", "crypto", False, 30, True),
+    ("quay_channel", "Quay Channel", "telegram", "markets", False, 30, True),
+    ("north_wire", "North Wire", "rss", "markets", False, 40, True),
+    ("clip_desk", "Clip Desk", "youtube", "markets", False, 25, False),
+    ("vault_post", "Vault Post", "rss", "crypto", False, 35, True),
+    ("square_forum", "Square Forum", "reddit", "crypto", False, 20, False),
+    ("treasury_desk", "Treasury Desk", "rss", "regulator", True, 60, True),
+    ("open_order", "Open Order", "rss", "markets", False, 35, True),
+    ("layer_two", "Layer Two Review", "rss", "crypto", False, 40, True),
+    ("dusk_edition", "Dusk Edition", "rss", "markets", False, 25, False),
 )
 
 #: {n} is a number from the event's value.

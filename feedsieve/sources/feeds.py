@@ -115,7 +115,21 @@ def stream_items(spark: SparkSession, path: str, schema: str = ITEM, source: str
     return spark.readStream.schema(schema).format(source).load(path)
 
 
+CALENDAR = "type string, title string, time string, tz string, importance string, offsets array<string>, source_url string, consensus string, status string"
+CALENDAR_FIELDS = ", ".join(f.replace(" ", ": ", 1) for f in CALENDAR.split(", "))
+
+
 def read_calendar(spark: SparkSession, path: str) -> DataFrame:
-    """Calendar entries as JSON lines, numbered in order; see `calendar.validate`."""
-    schema = "entry_ix int, type string, title string, time string, tz string, importance string, offsets array<string>, source_url string, consensus string, status string"
-    return spark.read.schema(schema).json(path)
+    """Calendar entries of a JSON file, numbered in order; see `calendar.validate`.
+
+    The file holds a list of entries.  A missing or empty file is an empty calendar; anything but
+    a list is an error.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], f"entry_ix int, {CALENDAR}")
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("value")).where("value <> ''")
+    read = F.try_parse_json("value")
+    checked = whole.select(F.when(read.isNotNull() & F.startswith("value", F.lit("[")), F.col("value")).otherwise(F.raise_error(F.lit("the top level of a calendar must be a list of entries"))).alias("value"))
+    entries = checked.select(F.posexplode(F.from_json("value", F.lit(f"array<struct<{CALENDAR_FIELDS}>>"))).alias("entry_ix", "x"))
+    return entries.select("entry_ix", "x.*")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 SENT = "uid string, story_key string, source_id string, title string, link string, sent_at timestamp, subject_key string"
 FIRED = "event_id string, offset_label string, status string, fired_at timestamp"
@@ -13,11 +12,11 @@ MAX_TITLE, MAX_LINK = 500, 1000
 
 
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A ledger; empty where none was written."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    """A ledger; empty where none was written.  One that is there and cannot be read is an error, or all would be sent again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def load_seen(spark: SparkSession, path: str) -> DataFrame:

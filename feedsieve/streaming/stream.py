@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,12 +24,16 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class AcceptWindow(StatefulProcessor):
-    """Accepts a row if fewer than `most` rows were accepted within the window before it."""
+    """Accepts a row if fewer than `most` rows were accepted within the window before it.
+
+    A key's state goes when the watermark has passed its last accepted row by the window.
+    """
 
     def __init__(self, key: str, time: str, window: int, most: int, strict: bool, columns: list[str]):
         self.key, self.time, self.window, self.most, self.strict, self.columns = key, time, window, most, strict, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.accepted = handle.getValueState("accepted", "times array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -43,24 +47,33 @@ class AcceptWindow(StatefulProcessor):
             if flags[-1]:
                 times.append(t)
         self.accepted.update((times,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max((max(times, default=0) + self.window + 1) * 1000, timerValues.getCurrentWatermarkInMs() + 1))
         yield batch[self.columns].assign(accepted=flags)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.accepted.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def _windowed(stream: DataFrame, key: str, time: str, window: int, most: int, strict: bool) -> DataFrame:
+def _windowed(stream: DataFrame, key: str, time: str, window: int, most: int, strict: bool, late_hours: int) -> DataFrame:
+    """Rows that come later than `late_hours` after the newest one are left out, as the age filter would do."""
     schema = ", ".join(f"{c} {t}" for c, t in stream.dtypes) + ", accepted boolean"
     worker = AcceptWindow(key, time, window, most, strict, stream.columns)
-    return stream.groupBy(key).transformWithStateInPandas(worker, schema, "Append", "none")
+    timed = stream.withColumn("_at", F.timestamp_seconds(F.col(time))).withWatermark("_at", f"{late_hours} hours")
+    return timed.groupBy(key).transformWithStateInPandas(worker, schema, "Append", "eventTime")
 
 
-def stream_story_dedup(stream: DataFrame, hours: int = V.STORY_HOURS, time: str = "cycle_s") -> DataFrame:
-    return _windowed(stream, "story_key", time, hours * 3600, 1, False)
+def stream_story_dedup(stream: DataFrame, hours: int = V.STORY_HOURS, time: str = "cycle_s", late_hours: int = V.MAX_AGE_HOURS) -> DataFrame:
+    return _windowed(stream, "story_key", time, hours * 3600, 1, False, late_hours)
 
 
-def stream_subject_cap(stream: DataFrame, hours: int = V.SUBJECT_HOURS, most: int = V.SUBJECT_MAX, time: str = "cycle_s") -> DataFrame:
-    return _windowed(stream, "subject_key", time, hours * 3600, most, True)
+def stream_subject_cap(stream: DataFrame, hours: int = V.SUBJECT_HOURS, most: int = V.SUBJECT_MAX, time: str = "cycle_s", late_hours: int = V.MAX_AGE_HOURS) -> DataFrame:
+    return _windowed(stream, "subject_key", time, hours * 3600, most, True, late_hours)
 
 
 def recent_once(stream: DataFrame, hours: int = V.MAX_AGE_HOURS) -> DataFrame:
@@ -113,3 +126,15 @@ def alert_batch(events: DataFrame, ledger: str, emit: Callable[[DataFrame], None
         new.unpersist()
 
     return run
+
+
+def ticks(spark: SparkSession, seconds: int = V.TICK_SECONDS) -> DataFrame:
+    """A stream of ticks (tick_s), one every so many seconds."""
+    rate = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return rate.select(F.unix_seconds("timestamp").alias("tick_s")).where(F.col("tick_s") % seconds == 0)
+
+
+def stream_alerts(ticking: DataFrame, events: DataFrame, checkpoint: str, ledger: str, emit: Callable[[DataFrame], None], available_now: bool = False, grace_minutes: int = V.GRACE_MINUTES):
+    """Starts the alerts of a calendar over a stream of ticks."""
+    trigger = {"availableNow": True} if available_now else {"processingTime": f"{V.TICK_SECONDS} seconds"}
+    return ticking.writeStream.foreachBatch(alert_batch(events, ledger, emit, grace_minutes)).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -46,6 +46,33 @@ def test_noise_rules_and_exemptions(spark):
     assert judge(spark, ["Fed cuts rates"], link="https://a/learn/x")[0]["noise_rule"] == "U"
 
 
+#: Headlines by the class that they stand for.
+NOISE = [
+    "In 2019 Visa opened its first lab", "The 2018 credit crunch revisited", "Back in 2016 miners were few", "Looking back at the dot-com years", "Year in review: coins and banks",
+    "This day in history: the first block", "What happened to the old exchanges", "The rise and fall of a lender", "Op-ed: taxes are too high", "In my opinion banks are wrong",
+    "Experts say prices mislead", "Editorial: rules are overdue", "Why is money round",
+]
+NEWS = ["The Fed cuts rates by 25 basis points", "SEC sues exchange over staking", "Visa acquires payments startup for $2bn", "Bitcoin falls 8% after CPI release", "ECB holds rates, signals pause"]
+
+
+def test_example_headlines(spark):
+    got = judge(spark, NOISE + NEWS)
+    assert all(got[i]["noise_rule"] for i in range(len(NOISE))), [NOISE[i] for i in range(len(NOISE)) if not got[i]["noise_rule"]]
+    assert [(t, got[len(NOISE) + i]["reject_reason"]) for i, t in enumerate(NEWS)] == [(t, None) for t in NEWS]
+
+
+@pytest.mark.parametrize(
+    ("title", "reason"),
+    [
+        ("Bitcoin could hit $300K by winter", "horoscope"), ("Analysts expect gold to climb", "non_news"), ("BTC eyes support at $40K, resistance at $45K", "non_news"), ("Shiba soars 60% overnight", "memecoin"),
+        ("Sponsored: win free coins today", "ad"), ("A recipe for plum pie", "off_topic"), ("Ceasefire talks resume near the border", "no_anchor"), ("Gold steady ahead of data", "no_event"),
+    ],
+)
+def test_reasons_of_examples(spark, title, reason):
+    assert judge(spark, [title])[0]["unpublished"] == reason
+    assert judge(spark, ["Ceasefire talks push oil prices up"])[0]["unpublished"] is None
+
+
 def test_score(spark):
     got = judge(spark, ["Fed approves spot ETF for Bitcoin, Ethereum", "Nikkei outlook", "Quiet day"], impact=40)
     assert [got[i]["score"] for i in range(3)] == [40 + 36 + 10, 0, 40]
@@ -131,3 +158,50 @@ def test_curate_caps_a_burst(spark):
     rows = spark.createDataFrame([item(i, f"{n} acquires rival for cash, SEC approves", observed=10_000_020 + i, guid=str(i)) for i, n in enumerate(names)], ITEM)
     assert C.curate(rows, cycle_seconds=3600).count() == 3
     assert C.curate(rows, most=0, cycle_seconds=3600).count() == 8
+
+
+def test_hot_key_is_folded_by_times_not_rows(spark):
+    rows = [("", i // 500, i) for i in range(20_000)] + [("a", 3, 1)]
+    df = spark.createDataFrame(rows, "key string, t long, arrival long")
+    got = D.accept_window(df, "key", "t", 5, 2)
+    want, held = set(), []
+    for _, t, i in rows[:-1]:
+        held = [x for x in held if t - x <= 5]
+        if len(held) < 2:
+            held.append(t)
+            want.add(i)
+    accepted = got.where("accepted AND key = ''")
+    assert {r["arrival"] for r in accepted.collect()} == want and got.count() == len(rows)
+    assert D.accept_window(df, "key", "t", 5, 2, skip_empty=True).where("accepted").count() == len(rows)
+
+
+def test_funnel_adds_up(spark):
+    names = ["Visa", "Oracle", "Netflix", "Walmart", "Chevron"]
+    rows = [item(i, f"{n} acquires rival for cash, SEC approves", observed=10_000_020 + i, guid=str(i)) for i, n in enumerate(names)]
+    rows += [item(10 + i, "Visa acquires rival for cash, SEC approves", observed=10_000_040 + i, guid=f"v{i}") for i in range(3)]
+    rows += [item(20, "A recipe for pie", observed=10_000_050, guid="r"), item(21, "SEC sues", observed=10_000_060, published=1, guid="o"), item(22, "Visa again", observed=20_000_000, guid="z")]
+    got = {r["cycle_s"]: r.asDict() for r in C.full_funnel(spark.createDataFrame(rows, ITEM), cycle_seconds=3600).collect()}
+    first = got[min(got)]
+    assert (first["fetched"], first["old"], first["kept"], first["new"], first["story_dup"], first["queued"]) == (10, 1, 8, 8, 3, 3)
+    assert first["new"] - first["story_dup"] - first["subject_capped"] == 5 and len(got) == 2
+
+
+def test_write_up_and_record(spark, tmp_path):
+    base = "uid string, story_key string, source_id string, source_name string, title string, summary string, link string, official boolean, published_s long, observed_s long, year int, is_upcoming_speech boolean, score int, arrival long, day long"
+    row = lambda i, official=False, score=50: (f"u{i}", f"s{i}", "x", "Wire", f"Visa buys lab {i} for $5bn", "", f"https://a.example/{i}", official, 0, 86400 + i, 2026, False, score, i, 1)
+    queued = spark.createDataFrame([row(0, True, 90), row(1), row(2), row(3), row(4, score=20), row(5, score=10)], base)
+    text = "ПРЕФИКС: ⚡️\nТЕКСТ: Visa покупает лабораторию за $5 млрд\nТИКЕРЫ: V"
+    generated = spark.createDataFrame([("u0", "m", text), ("u1", "m", '{"prefix": "", "text": "Visa покупает лабораторию за $5 млрд", "tickers": ""}'), ("u2", "m", "ТЕКСТ: мало"), ("u4", "m", text), ("u5", "m", text)], "uid string, provider string, raw string")
+    got = {r["uid"]: r for r in C.write_up(queued, generated, limit=5).collect()}
+    assert {k: r["outcome"] for k, r in got.items()} == {"u0": "sent", "u1": "sent", "u2": "too_few_words", "u3": "no_text", "u4": "budget", "u5": "budget"}
+    assert got["u0"]["editor_used"] and not got["u1"]["editor_used"] and "Visa покупает" in got["u0"]["post"] and "«" not in got["u0"]["post"]
+    paths = [str(tmp_path / x) for x in ("sent", "archive", "rejected")]
+    C.record(C.write_up(queued, generated, limit=5), *paths)
+    C.record(C.write_up(queued, generated, limit=5).where("uid = 'u0'"), *paths)
+    sent = spark.read.parquet(paths[0])
+    assert sorted(r["uid"] for r in sent.collect()) == ["u0", "u1"]
+    archive = spark.read.parquet(paths[1])
+    assert "dt" in archive.columns and archive.where("uid = 'u1'").first()["editor_used"] is False
+    assert spark.read.parquet(paths[2]).groupBy("outcome").count().count() == 3
+    left = C.status_metrics(sent.withColumn("sent_s", F.unix_seconds("sent_at")), F.lit(86400 + 100), limit=10).first()
+    assert (left["budget_used"], left["budget_left"], left["published"]) == (2, 8, 2)

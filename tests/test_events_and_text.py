@@ -67,13 +67,42 @@ def test_model_output(spark):
     assert tuple(got[0]) == ("⚡️", "Hi", None) and tuple(got[1]) == ("⚠️", "three", None) and tuple(got[2]) == tuple(got[3]) == (None, None, None)
 
 
-def test_grounding():
-    assert ground.with_known_numbers("It rose 71,000 and 9 more", "at 70,000") == "It rose 71,000 and [сумма не указана] more"
-    assert "[сумма" in ground.with_known_numbers("5 units", "none")
-    assert ground.with_known_names("John Smith: no. Mary: yes", "Mary said") == "представитель компании  no. Mary: yes"
-    assert ground.without_empty_quotes("He said «мы очень рады всем вам»", "nothing here") == "He said"
-    kept = "Note «exchange listed forty tokens» ended"
-    assert ground.without_empty_quotes(kept, "The exchange listed forty tokens") == kept
+def rewritten(spark, use, *pairs):
+    df = spark.createDataFrame(list(pairs), "body string, source string")
+    return [r[0] for r in df.select(use(F.col("body"), F.col("source"))).collect()]
+
+
+def test_grounding_of_numbers(spark):
+    got = rewritten(
+        spark, ground.validate_numbers,
+        ("It rose 71,000 and 9 more", "at 70,000"), ("5 units", "none"), ("Нефть стоит $95", "Crude rose to $95.0"), ("Цена $100 за баррель", "Oil is up"),
+        ("Up 3%\nТИКЕРЫ: BTC 5\nand 12 млн\nТИКЕРЫ: ETH 6", "3 and 12"), ("no number", ""), ("", "1"), ("1 000 000 and 2,5", "1000000 and 2.5"),
+    )
+    assert got[0] == "It rose 71,000 and [сумма не указана] more"
+    assert got[1].strip() == "[сумма не указана] units" and got[2] == "Нефть стоит $95" and got[3] == "Цена [сумма не указана] за баррель"
+    assert got[4] == "Up 3%\nand 12 млн\nТИКЕРЫ: ETH 6"
+    assert got[5:] == ["no number", "", "1 000 000 and 2,5"]
+
+
+def test_grounding_of_quotes(spark):
+    echo = "Visa Labs открыла новый центр разработки. Visa Labs: «новый центр разработки открыла»"
+    distinct = "Рынок вырос сегодня. Аналитик: «Регулятор готовит большие изменения для фондов»"
+    got = rewritten(
+        spark, ground.filter_quotes,
+        ("He said «мы очень рады всем вам»", "nothing here"), ("Note «exchange listed forty tokens» ended", "The exchange listed forty tokens"), ("CEO: «так будет»", "так будет"),
+        ("Аналитик: «Биткоин скоро будет стоить намного меньше»", "Visa wins a court case"), (echo, "Visa Labs новый центр разработки открыла"), (distinct, "Регулятор готовит большие изменения для фондов"),
+        ("Глава: «Биткоин достиг отметки $70 000»", "bitcoin достиг отметки $70 000"), ("no quote, at all,", "x"), ('A "first empty", "second empty"', "zzzz"),
+    )
+    assert got[:3] == ["He said", "Note «exchange listed forty tokens» ended", "CEO"]
+    assert got[3] == "Аналитик" and got[4] == "Visa Labs открыла новый центр разработки. Visa Labs" and got[5] == distinct
+    assert "Биткоин достиг" in got[6] and got[7] == "no quote, at all," and got[8] == "A"
+
+
+def test_grounding_of_names(spark):
+    got = rewritten(spark, ground.clean_made_up_names, ("John Smith: no. Mary: yes", "Mary said"), ("Иван Петров (глава банка): рост", "банк"), ("Elon Musk: hello", "Elon Musk said"), ("nobody here", ""))
+    assert got == ["представитель компании  no. Mary: yes", "представитель компании  рост", "Elon Musk: hello", "nobody here"]
+    whole = rewritten(spark, ground.grounded, ("John Smith: «мы очень рады всем вам» on 5 May", "nothing"), (None, "x"))
+    assert whole == ["представитель компании on [сумма не указана] May", ""]
 
 
 def test_labels_and_tags(spark):

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_batch_equals_stream(spark, tmp_path):
-    rows = [("a" if i % 3 else "b", i * 3600, i) for i in range(40)]
+    rows = [("a" if i % 3 else "b", 864000 + i * 3600, i) for i in range(40)]
     df = spark.createDataFrame(rows, "story_key string, cycle_s long, arrival long")
     for k in range(2):  # two files in order of time
         df.where(f"floor(arrival / 20) = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -25,6 +25,83 @@ def test_batch_equals_stream(spark, tmp_path):
     assert got == want
 
 
+def windowed(spark, tmp_path, make, df, files):
+    for k in range(files):
+        df.where(f"part = {k}").drop("part").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(df.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = make(live).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination(180)
+    return {r["arrival"]: r["accepted"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}, run
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_subject_cap_over_any_split_of_the_stream(spark, tmp_path, files):
+    rows = [(f"k{i % 3}", 864000 + i * 1800, i, i * files // 60) for i in range(60)]
+    df = spark.createDataFrame(rows, "subject_key string, cycle_s long, arrival long, part int")
+    got, _ = windowed(spark, tmp_path, S.stream_subject_cap, df, files)
+    assert got == {r["arrival"]: r["accepted"] for r in D.subject_cap(df, order=("arrival",)).collect()}
+
+
+def test_state_of_a_window_expires(spark, tmp_path):
+    day = 86400
+    rows = [(f"k{i}", 10 * day + i, i, 0) for i in range(50)] + [("z", 20 * day, 90, 1), ("z", 21 * day, 91, 2), ("k0", 21 * day, 92, 2)]
+    df = spark.createDataFrame(rows, "story_key string, cycle_s long, arrival long, part int")
+    got, run = windowed(spark, tmp_path, S.stream_story_dedup, df, 3)
+    assert all(got.values()) and len(got) == 53
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    assert max(kept) >= 50 > 10 > kept[-1]
+
+
+def test_tick_stream_fires_once(spark, tmp_path):
+    from feedsieve.operators import calendar as A
+    from tests.test_events_and_text import raw
+
+    events = A.load(raw(spark, {"tz": "UTC", "time": "2026-01-15 14:00"}))
+    posts, at = [], 1768485600 - 3600
+    for k in range(3):
+        spark.createDataFrame([(at + 60 * k,)], "tick_s long").coalesce(1).write.mode("append").parquet(str(tmp_path / "ticks"))
+    live = spark.readStream.schema("tick_s long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ticks"))
+    for _ in range(2):
+        S.stream_alerts(live, events, str(tmp_path / "c"), str(tmp_path / "fired"), lambda df: posts.extend(df.collect()), available_now=True).awaitTermination(120)
+    assert len(posts) == 1
+    assert S.ticks(spark).isStreaming and S.ticks(spark).columns == ["tick_s"]
+
+
+def test_calendar_files(spark, tmp_path):
+    from feedsieve.operators import calendar as A
+    from feedsieve.sources import feeds
+
+    assert feeds.read_calendar(spark, str(tmp_path / "none.json")).count() == 0
+    (tmp_path / "empty.json").write_text(" \n")
+    assert feeds.read_calendar(spark, str(tmp_path / "empty.json")).count() == 0
+    (tmp_path / "two.json").write_text('[{"type": "cpi", "title": "CPI", "time": "2026-01-15 08:30", "tz": "America/New_York", "importance": "critical"},\n {"type": "x"}]')
+    rows = feeds.read_calendar(spark, str(tmp_path / "two.json"))
+    assert [(r["entry_ix"], r["error"]) for r in A.validate(rows).orderBy("entry_ix").collect()] == [(0, None), (1, "missing title")]
+    assert A.load(rows.where("entry_ix = 0")).first()["scheduled_utc"].hour == 13
+    (tmp_path / "map.json").write_text('{"type": "cpi"}')
+    with pytest.raises(Exception, match="must be a list"):
+        feeds.read_calendar(spark, str(tmp_path / "map.json")).collect()
+    with pytest.raises(A.CalendarError) as e:
+        A.load(rows.sparkSession.range(150).selectExpr("CAST(id AS INT) AS entry_ix", *[f"CAST(NULL AS {t}) AS {c}" for c, t in (x.split() for x in feeds.CALENDAR.split(", "))]))
+    assert str(e.value).count("missing type") == 150
+
+
+def test_sources(spark, tmp_path):
+    from feedsieve.operators import curate as C
+    from feedsieve.sources import ledgers
+
+    good = spark.createDataFrame([("a", 1)], "source_id string, n int")
+    read = lambda: spark.read.parquet(str(tmp_path / "not there"))
+    rows = C.union_sources([good, read, spark.createDataFrame([("b",)], "source_id string")])
+    assert sorted((r["source_id"], r["n"]) for r in rows.collect()) == [("a", 1), ("b", None)]
+    assert C.union_sources([read], "source_id string").count() == 0
+    table = spark.createDataFrame([("a", "A", True), ("b", "B", False)], "source_id string, source_name string, enabled boolean")
+    assert [r["source_name"] for r in C.with_source(rows, table).collect()] == ["A"]
+    (tmp_path / "ledger").write_text("no table")
+    with pytest.raises(Exception):  # noqa: B017  what cannot be read is not empty
+        ledgers.read(spark, str(tmp_path / "ledger"), ledgers.SENT).collect()
+
+
 def test_alert_batch_fires_once(spark, tmp_path):
     from feedsieve.operators import calendar as A
     from tests.test_events_and_text import raw
