@@ -4,17 +4,20 @@ Equal vectors are one node.  The first graph comes from orders of all nodes: a b
 sample of pivots is drawn, nodes are sorted by nearest pivot and nearness to it, and the
 nodes of one stretch of that order are compared.  Then each round joins every node with its
 neighbours in both directions and compares these with one another, so neighbours of
-neighbours meet; each node keeps its best.  The search keeps a list of the best nodes for
-each query, starts it with the query's own neighbours, and in each round opens the best
-nodes not opened before, joins their neighbours in both directions, and scores them.  It
-stops when no list has a node left to open, or after `SEARCH_ROUNDS`.
+neighbours meet; each node keeps its best.  Rounds end after `ROUNDS`, or when the similarities of
+all edges gain less than `SETTLED` together.
+
+The search keeps a list of the best nodes for each query, starts it with the query's own
+neighbours, and in each round opens the best nodes not opened before, joins their
+neighbours (in both directions, of those that point at a node the best `FOLLOWERS`), and
+scores them.  It stops when no list has a node left to open, or after `SEARCH_ROUNDS`.
 
 The index holds every vector; graph degree, stretches and list lengths are parameters that
 trade recall for time.  Recall is measured against brute force in the tests.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do
-those of another length than the most common one.  Ties go to the smaller vec_id; repeated
-rows of one vec_id count as one; an empty table gives no rows.
+those of another length than the most common one.  Ties go to the smaller vec_id; rows
+that repeat a vec_id are candidates and queries of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,19 +35,20 @@ DEGREE = 24
 #: Neighbours in either direction that meet in a round; more of a node's followers than this wait for a later round.
 MEETING = 20
 PIVOTS, STRETCH, ORDERS = 256, 128, 3
-ROUNDS = 4
+ROUNDS, SETTLED = 4, 0.005
 LIST, OPENED, SEARCH_ROUNDS = 300, 24, 12
+#: Of the nodes that point at one, the search goes back to so many of the best.
+FOLLOWERS = 48
 EDGE = "node long, other long, sim float"
 
 
 def usable(vectors: DataFrame, key: str, value: str) -> DataFrame:
-    """(vec_id, vec) of vectors that take part, one row an id."""
+    """(vec_id, vec) of vectors that take part."""
     v = F.transform(F.col(value), lambda x: x.cast("double"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("vec")).where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & fine)
     common = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.where(F.size("vec") == (common["n"] if common else 0))
-    return rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    return rows.where(F.size("vec") == (common["n"] if common else 0))
 
 
 def _unit(vec: list) -> np.ndarray:
@@ -180,8 +184,14 @@ def build(u: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for k in range(1, ORDERS):
         graph = graph.union(first_graph(u, n, k, parts))
     graph = checkpoint(best(graph, DEGREE))
+    near = lambda g: g.agg(F.sum(F.abs("sim").cast("double"))).first()[0] or 0.0
+    before = near(graph)
     for _ in range(rounds if n > STRETCH else 0):
         graph = checkpoint(descend(graph, u))
+        now = near(graph)
+        if abs(now - before) < SETTLED * now:
+            break
+        before = now
     return graph
 
 
@@ -201,43 +211,45 @@ def _scored(pairs: DataFrame, queries: DataFrame, nodes: DataFrame) -> DataFrame
     return joined.mapInArrow(run, "query long, node long, score double")
 
 
-def search(graph: DataFrame, queries: DataFrame, nodes: DataFrame, most: int = LIST, rounds: int = SEARCH_ROUNDS) -> DataFrame:
-    """Greedy search: (query, node, score) of the best nodes found for each query node."""
-    near = checkpoint(graph.select(F.col("node").alias("from"), F.col("other").alias("node")).union(graph.select(F.col("other").alias("from"), "node")).distinct())
+def search(graph: DataFrame, queries: DataFrame, nodes: DataFrame, most: int = LIST, opened: int = OPENED, rounds: int = SEARCH_ROUNDS) -> DataFrame:
+    """Greedy search: (query, node, score) of all nodes that were scored for each query node."""
+    near = checkpoint(_both(graph, FOLLOWERS).select(F.col("hub").alias("from"), F.col("member").alias("node")))
     start = queries.select(F.col("node").alias("query")).join(near, F.col("query") == F.col("from")).select("query", "node")
     known = checkpoint(_scored(start, queries, nodes).withColumn("open", F.lit(False)))
     rank = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     for _ in range(rounds):
         listed = known.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= most)
-        todo = checkpoint(listed.where(~F.col("open")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= OPENED).select("query", F.col("node").alias("from")))
+        todo = checkpoint(listed.where(~F.col("open")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= opened).select("query", F.col("node").alias("from")))
         if todo.isEmpty():
             break
         met = todo.join(near, "from").select("query", "node").where("query <> node").distinct().join(known.select("query", "node"), ["query", "node"], "left_anti")
-        opened = known.join(todo.withColumnRenamed("from", "node").withColumn("now", F.lit(True)), ["query", "node"], "left").select("query", "node", "score", (F.col("open") | F.coalesce("now", F.lit(False))).alias("open"))
-        known = checkpoint(opened.union(_scored(met, queries, nodes).withColumn("open", F.lit(False))))
+        marked = known.join(todo.withColumnRenamed("from", "node").withColumn("now", F.lit(True)), ["query", "node"], "left").select("query", "node", "score", (F.col("open") | F.coalesce("now", F.lit(False))).alias("open"))
+        known = checkpoint(marked.union(_scored(met, queries, nodes).withColumn("open", F.lit(False))))
     return known.select("query", "node", "score")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", value: str = "embedding") -> DataFrame:
-    """The k nearest vectors of each query: query_id, rank, vec_id, score."""
-    small_batches(vectors.sparkSession, rows=4096)
-    rows = checkpoint(usable(vectors, key, value))
+    """The k nearest vectors of each query: query_id, rank, vec_id, score, and how many nodes were scored for it."""
+    small_batches(vectors.sparkSession)
+    rows = checkpoint(usable(vectors, key, value).withColumn("row", F.monotonically_increasing_id()))
     # equal vectors are one node; its k + 1 smallest ids are enough to answer with
-    copy = Window.partitionBy("vec").orderBy("vec_id")
-    first = rows.groupBy("vec").agg(F.min("vec_id").alias("node"))
-    nodes = checkpoint(first.select("node", "vec"))
-    members = checkpoint(rows.withColumn("r", F.row_number().over(copy)).where(F.col("r") <= k + 1).join(first, "vec").select("node", "vec_id"))
-    asked = checkpoint(rows.where(is_query).join(first, "vec").select(F.col("vec_id").alias("query_id"), "node"))
+    copy = Window.partitionBy("vec").orderBy("vec_id", "row")
+    first = checkpoint(rows.groupBy("vec").agg(F.min("row").alias("node")))
+    nodes = first.select("node", "vec")
+    members = checkpoint(rows.withColumn("r", F.row_number().over(copy)).where(F.col("r") <= k + 1).join(first, "vec").select("node", "vec_id", "row"))
+    asked = checkpoint(rows.where(is_query).join(first, "vec").select(F.col("vec_id").alias("query_id"), F.col("row").alias("asked"), "node"))
     u = checkpoint(units(nodes))
     queries = checkpoint(nodes.join(asked.select("node").distinct(), "node"))
     found = search(build(u), queries, nodes)
     top = Window.partitionBy("query").orderBy(F.desc("score"), "node")
+    scored = found.groupBy("query").agg(F.count(F.lit(1)).alias("n_scored"))
     found = found.withColumn("r", F.row_number().over(top)).where(F.col("r") <= 4 * k).select("query", "node", "score")
     own = _scored(queries.select(F.col("node").alias("query"), "node"), queries, nodes)
-    answers = asked.join(found.union(own).withColumnRenamed("node", "near").withColumnRenamed("query", "node"), "node").select("query_id", F.col("near").alias("node"), "score")
-    answers = answers.join(members, "node").where("vec_id <> query_id")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return answers.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    near = found.union(own).join(scored, "query", "left").select(F.col("query").alias("node"), F.col("node").alias("near"), "score", F.coalesce("n_scored", F.lit(0)).alias("n_scored"))
+    answers = asked.join(near, "node").select("query_id", "asked", F.col("near").alias("node"), "score", "n_scored")
+    answers = answers.join(members, "node").where("row <> asked")
+    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id", "row"))
+    return answers.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "n_scored")
 
 
 def op3(embeddings: DataFrame) -> DataFrame:

@@ -37,10 +37,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{os.urandom(8).hex()}"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
-    """Bounds the rows and bytes that go to a Python worker at once; texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows and bytes that go to a Python worker at once, as texts may be long; the same for all operators here."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def crc32_mod(doc_id: Column, mod: int) -> Column:

@@ -8,15 +8,17 @@ the parts, not with the words of the documents.
 Network.  A gated recurrent unit reads the last word and predicts the next one in two
 factors: a softmax over classes, then a softmax over the words of the class.  The most
 frequent words fill the head classes.  All other words lie in a class for their count's
-magnitude, within which a word has its share of the class's training count; words
-without training count share one slot, as in the base score.  So the probabilities of
-all known words and one unknown word add up to one.
+magnitude, within which a word has its share of the class's training count.  Words
+without training count make a class of their own, within which a word is spelled: each
+byte given the one before it, by counts over the words that occur once in a part.  So the
+probabilities of all words add up to one at most, and an unknown word costs its spelling.
 
 Training.  Every part trains on all its training documents, each in one of the rounds, by
 truncated backpropagation, in windows with the state carried over, from shared weights;
-the parts' weights are averaged after each round.  A word's own document is left out of its count
-when its class is chosen as a training target, or unknown words would never be seen.
-Scoring carries the state through the whole document.
+the parts' weights are averaged after each round.  A word's own document is left out of its
+count when its class is chosen as a training target, or unknown words would never be seen.
+Long documents go through several lanes in segments; a segment begins with the state that
+the round's first weights have there.  Scoring carries the state through the whole document.
 
 Words are told apart by 64-bit hashes.  Defined cases: a null text is empty and has its
 end token alone; repeated rows count each time; a null doc_id is hashed as an empty text;
@@ -45,26 +47,51 @@ from feedsieve.llm.shingles import words
 FOLDS, HELD_OUT = 7, 2
 PART_CHARS = 12_000_000
 END_KEY = 0x656E64
-HEAD, WIDTH = 1024, 32
+HEAD, WIDTH = 4096, 128
 #: Upper ends of the count classes after the unknown class; the last is open.
 LEVELS = (1, 2, 3, 5, 8, 16, 32, 64, 256)
 TAILS = len(LEVELS) + 2
 SUFFIXES = 128
 HIDDEN = 32
-ROUNDS, LANES, STEPS = 3, 64, 16
-SEGMENT = 512
-RATE = 4e-3
+ROUNDS, LANES, STEPS = 3, 512, 16
+#: So many weights are averaged at once.
+FAN_IN = 16
+SEGMENT = 2048
+RATE = 16e-3
 LN10 = float(np.log(10))
 
 
-def word_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys of the distinct words, suffix class of each, codes of all words, bounds of the texts)."""
+def spelled_pairs(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring bytes of words as 16-bit numbers, a blank before and after each word; and where each word's pairs begin."""
+    raw = [w.encode("utf-8", "surrogatepass") for w in names]
+    data = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8).astype(np.int64)
+    return data[:-1] * 256 + data[1:], np.cumsum([0, *[len(w) + 1 for w in raw]])[:-1]
+
+
+def spelling_of(counts: np.ndarray) -> np.ndarray:
+    """Log10 probability of each byte after each other one, from counts of pairs; a blank ends a word and does not follow a blank."""
+    n = counts.reshape(256, 256).astype(np.float64) + 0.1
+    n[32, 32] = 0
+    with np.errstate(divide="ignore"):
+        return np.log10(n / n.sum(1, keepdims=True))
+
+
+def spelled(spelling: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Log10 probability of each word, byte by byte to its end."""
+    if not len(names):
+        return np.zeros(0)
+    pairs, begins = spelled_pairs(names)
+    return np.add.reduceat(spelling.ravel()[pairs], begins)
+
+
+def word_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of the distinct words, suffix class of each, codes of all words, bounds of the texts, the distinct words)."""
     array, cuts = words(texts)
     coded = array.dictionary_encode()
     names = coded.dictionary.to_numpy(zero_copy_only=False)
     keys = pd.util.hash_array(names, categorize=False).view(np.int64) if len(names) else np.zeros(0, np.int64)
     suffix = np.fromiter((zlib.crc32(w[-2:].encode("utf-8", "surrogatepass")) % SUFFIXES for w in names), np.int64, len(names))
-    return keys, suffix, coded.indices.to_numpy(zero_copy_only=False), cuts
+    return keys, suffix, coded.indices.to_numpy(zero_copy_only=False), cuts, names
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -91,30 +118,37 @@ def part_words(placed: DataFrame) -> DataFrame:
     """(part, piece, word, n): training count of each distinct word of each part; the end token is a word.
 
     A part that is read in several tasks or stretches gives its words once in each of these pieces.
+    Part -1 has the pairs of bytes (as words) in training words that occur once in a piece.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, counts = None, [], []
+        now, keys, counts, names = None, [], [], []
         piece = TaskContext.get().partitionId() << 24
 
+        def rows(part, word, n):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(word), part)), pa.array(np.full(len(word), piece)), pa.array(word), pa.array(n.astype(np.int64))], ["part", "piece", "word", "n"])
+
         def out():
-            k = np.concatenate(keys)
-            unique, where = np.unique(k, return_inverse=True)
+            unique, at, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
             n = np.bincount(where, np.concatenate(counts)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(unique), now)), pa.array(np.full(len(unique), piece)), pa.array(unique), pa.array(n)], ["part", "piece", "word", "n"])
+            once = at[(n == 1) & (unique != END_KEY)]
+            pairs = np.bincount(spelled_pairs(np.concatenate(names)[once])[0], minlength=1 << 16) if len(once) else np.zeros(1 << 16, np.int64)
+            yield rows(now, unique, n)
+            yield rows(-1, np.flatnonzero(pairs), pairs[pairs > 0])
 
         for part, batch in ((p, b.filter(pc.equal(b.column("part"), p))) for b in batches for p in pc.unique(b.column("part")).to_pylist()):
             if part != now and keys:
-                yield out()
-                keys, counts, piece = [], [], piece + 1
+                yield from out()
+                keys, counts, names, piece = [], [], [], piece + 1
             now = part
             train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-            k, _, codes, cuts = word_keys(batch.column("text").to_pylist())
+            k, _, codes, cuts, w = word_keys(batch.column("text").to_pylist())
             n = np.bincount(codes, np.repeat(train, np.diff(cuts)), minlength=len(k)) if len(k) else np.zeros(0)
             keys += [k, np.array([END_KEY])]
             counts += [n, np.array([train.sum()])]
+            names += [w, np.array([""], object)]
         if keys:
-            yield out()
+            yield from out()
 
     return placed.mapInArrow(run, "part long, piece long, word long, n long")
 
@@ -134,6 +168,7 @@ class Corpus:
     head_counts: np.ndarray
     mass: np.ndarray
     kinds: np.ndarray
+    spelling: np.ndarray
 
     @property
     def slots(self) -> int:
@@ -149,7 +184,10 @@ class Corpus:
 
 
 def corpus_of(counts: DataFrame) -> Corpus:
-    own = counts.where("first and c > 0")
+    own = counts.where("part >= 0 and first and c > 0")
+    pairs = np.zeros(1 << 16)
+    for r in counts.where("part = -1 and first").select("word", "c").collect():
+        pairs[r["word"]] = r["c"]
     total = own.agg(F.sum("c"), F.count(F.lit(1))).first()
     top = own.orderBy(F.desc("c"), "word").limit(HEAD).select("word", "c").toPandas()
     upto = F.array(*[F.lit(x) for x in LEVELS])
@@ -160,7 +198,7 @@ def corpus_of(counts: DataFrame) -> Corpus:
     c = top["c"].to_numpy(np.int64)
     np.subtract.at(mass, level(c), c)
     np.subtract.at(kinds, level(c), 1)
-    return Corpus(total[0] or 0, total[1] or 0, top["word"].to_numpy(np.int64), c, mass, kinds)
+    return Corpus(total[0] or 0, total[1] or 0, top["word"].to_numpy(np.int64), c, mass, kinds, spelling_of(pairs))
 
 
 CODED = "part long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, tail double, codes binary, targets binary, turn int"
@@ -171,6 +209,7 @@ def encode(placed: DataFrame, counts: DataFrame, corpus: Corpus) -> DataFrame:
     order = np.argsort(corpus.head)
     head, rank = corpus.head[order], np.arange(len(order))[order]
     norm = float(corpus.tokens + corpus.distinct + 1)
+    spelling = corpus.spelling
 
     def run(docs, table):
         known, by = np.unique(table["word"].to_numpy(), return_index=True)
@@ -186,10 +225,11 @@ def encode(placed: DataFrame, counts: DataFrame, corpus: Corpus) -> DataFrame:
         out: list[list] = [[] for _ in range(8)]
         for begin in range(0, docs.num_rows, 500):
             some = docs.slice(begin, 500)
-            keys, suffix, codes, cuts = word_keys(some["text"].to_pylist())
+            keys, suffix, codes, cuts, names = word_keys(some["text"].to_pylist())
             c, r = facts(keys)
             base = np.log10((c + 1) / norm)
-            tail = np.where(r >= 0, 0.0, np.log10(np.maximum(c, 1) / np.where(c > 0, np.maximum(corpus.mass[level(c)], 1), 1)))
+            tail = np.where(r >= 0, 0.0, np.log10(np.maximum(c, 1) / np.maximum(corpus.mass[level(c)], 1)))
+            tail[c <= 0] = spelled(spelling, names[c <= 0])
             code = np.where(r >= 0, r, HEAD + level(c) * SUFFIXES + suffix).astype("<u2")
             less = np.where(r >= 0, r, HEAD + level(c - 1) * SUFFIXES + suffix).astype("<u2")
             end_code = end_rank if end_rank >= 0 else HEAD + int(level(np.array([end_c]))[0]) * SUFFIXES
@@ -209,7 +249,7 @@ def encode(placed: DataFrame, counts: DataFrame, corpus: Corpus) -> DataFrame:
         part = docs["part"][0].as_py() if docs.num_rows else 0
         return pa.Table.from_arrays([pa.array([part] * len(out[0]), pa.int64()), *[pa.array(o, k) for o, k in zip(out, kinds, strict=True)]], [x.split()[0] for x in CODED.split(", ")])
 
-    return placed.groupBy("part").cogroup(counts.select("part", "word", "c").groupBy("part")).applyInArrow(run, CODED)
+    return placed.groupBy("part").cogroup(counts.where("part >= 0").select("part", "word", "c").groupBy("part")).applyInArrow(run, CODED)
 
 
 def start_weights(corpus: Corpus, seed: int = 5) -> dict[str, np.ndarray]:
@@ -236,6 +276,12 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(-1, keepdims=True))
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(-1, keepdims=True))
+    p /= p.sum(-1, keepdims=True)
+    return p
+
+
 def class_of(codes: np.ndarray) -> np.ndarray:
     return np.where(codes < HEAD, codes // WIDTH, HEAD // WIDTH + (codes - HEAD) // SUFFIXES)
 
@@ -270,13 +316,18 @@ def _inputs(codes: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
     return before
 
 
-def states(w: dict, inputs: np.ndarray, first: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden states of a window, and the last one."""
-    out = np.empty((len(inputs), len(h), HIDDEN), np.float32)
+def states(w: dict, inputs: np.ndarray, first: np.ndarray, h: np.ndarray, keep: list | None = None, begin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hidden states of a window, and the last one.  Where `first` is set the state is new: zero, or the next row of `begin`, in the order of steps and lanes."""
+    out = np.empty((len(inputs), len(h), HIDDEN), w["u"].dtype)
     x = w["x"][inputs]
+    at = 0
     for t in range(len(inputs)):
         if first[t].any():
             h = h * ~first[t][:, None]
+            if begin is not None:
+                n = int(first[t].sum())
+                h[first[t]] = begin[at : at + n]
+                at += n
         g = h @ w["u"]
         zr = _sigmoid(x[t, :, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
@@ -302,17 +353,17 @@ def log_probs(w: dict, h: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def gradients(w: dict, inputs: np.ndarray, first: np.ndarray, used: np.ndarray, targets: np.ndarray, h0: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray, float]:
+def gradients(w: dict, inputs: np.ndarray, first: np.ndarray, used: np.ndarray, targets: np.ndarray, h0: np.ndarray, begin: np.ndarray | None = None) -> tuple[dict, np.ndarray, np.ndarray, float]:
     """Gradients of the mean negative log probability over one window, the input rows that `x` has them for, the last state, and that mean."""
     kept: list = []
-    hs, last = states(w, inputs, first, h0, kept)
+    hs, last = states(w, inputs, first, h0, kept, begin)
     flat, goal, use = hs.reshape(-1, HIDDEN), targets.ravel(), used.ravel()
     kind, heads, total = class_of(goal), HEAD // WIDTH, max(1, int(use.sum()))
     grad = {k: np.zeros_like(w[k]) for k in ("v", "bv")}
-    lp = _log_softmax(flat @ w["wc"] + w["bc"])
-    loss = -float(lp[np.arange(len(goal)), kind][use].sum())
-    d = np.exp(lp)
-    d[np.arange(len(goal)), kind] -= 1
+    d = _softmax(flat @ w["wc"] + w["bc"])
+    place = np.arange(len(goal)), kind
+    loss = -float(np.log(d[place][use]).sum())
+    d[place] -= 1
     d *= (use / total)[:, None].astype(np.float32)
     grad["wc"], grad["bc"] = flat.T @ d, d.sum(0)
     dh = d @ w["wc"].T
@@ -322,17 +373,17 @@ def gradients(w: dict, inputs: np.ndarray, first: np.ndarray, used: np.ndarray,
         at = order[ends[k] : ends[k + 1]]
         at = at[use[at]]
         if len(at):
-            lp = _log_softmax(flat[at] @ w["v"][k] + w["bv"][k])
-            own = goal[at] % WIDTH
-            loss -= float(lp[np.arange(len(at)), own].sum())
-            d = np.exp(lp)
-            d[np.arange(len(at)), own] -= 1
-            d /= total
-            grad["v"][k], grad["bv"][k] = flat[at].T @ d, d.sum(0)
+            own = flat[at]
+            d = _softmax(own @ w["v"][k] + w["bv"][k])
+            place = np.arange(len(at)), goal[at] % WIDTH
+            loss -= float(np.log(d[place]).sum())
+            d[place] -= 1
+            d *= w["u"].dtype.type(1 / total)
+            grad["v"][k], grad["bv"][k] = own.T @ d, d.sum(0)
             dh[at] += d @ w["v"][k].T
     dh = dh.reshape(hs.shape)
     carry = np.zeros_like(h0)
-    dx = np.empty((*inputs.shape, 3 * HIDDEN), np.float32)
+    dx = np.empty((*inputs.shape, 3 * HIDDEN), w["u"].dtype)
     dg = np.empty_like(dx)
     for t in range(len(inputs) - 1, -1, -1):
         h, z, r, n, gn = kept[t]
@@ -348,28 +399,63 @@ def gradients(w: dict, inputs: np.ndarray, first: np.ndarray, used: np.ndarray,
     words = inputs.ravel()
     order = np.argsort(words, kind="stable")
     rows, begins = np.unique(words[order], return_index=True)
-    grad["x"] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], begins, axis=0)
+    # summed along rows that lie in one piece, which is several times faster
+    grad["x"] = np.add.reduceat(np.ascontiguousarray(dx.reshape(-1, 3 * HIDDEN)[order].T), begins, axis=1).T
     return grad, rows, last, loss / total
 
 
+def boundary_states(w: dict, inputs: list[np.ndarray], size: int = SEGMENT, lanes: int = 256) -> list[np.ndarray]:
+    """The state of each document before every `size`-th word, the state carried through it from its beginning."""
+    out = [np.zeros((-(-len(x) // size), HIDDEN), np.float32) for x in inputs]
+    order = sorted((i for i in range(len(inputs)) if len(inputs[i]) > size), key=lambda i: -len(inputs[i]))
+    for begin in range(0, len(order), lanes):
+        some = order[begin : begin + lanes]
+        h = np.zeros((len(some), HIDDEN), np.float32)
+        for k in range(1, -(-len(inputs[some[0]]) // size)):
+            live = [i for i in some if len(inputs[i]) > k * size]
+            h = h[: len(live)]
+            words = np.stack([inputs[i][(k - 1) * size : k * size] for i in live], axis=1)
+            for a in range(0, size, 64):
+                _, h = states(w, words[a : a + 64], np.zeros(words[a : a + 64].shape, bool), h)
+            for j, i in enumerate(live):
+                out[i][k] = h[j]
+    return out
+
+
 def train_part(w: dict, docs: list[np.ndarray], goals: list[np.ndarray], rate: float = RATE) -> dict:
-    """One pass of truncated backpropagation with Adam over some documents."""
+    """One pass of truncated backpropagation with Adam over some documents, all of each.
+
+    Long documents are cut into segments, or a few of them would run on in lanes of their own.  A
+    segment begins with the state that its document has there under the weights that the pass
+    began with, so no state is lost at a cut.
+    """
     w = {k: v.copy() for k, v in w.items()}
     start = len(w["x"]) - 1
-    # long documents are learned in segments, or a few of them would run on in lanes of their own
-    docs, goals = ([d[a : a + SEGMENT] for d in many for a in range(0, len(d), SEGMENT)] for many in (docs, goals))
-    codes, first, used, held = lanes_of(docs, min(LANES, max(1, len(docs))))
-    targets = np.zeros_like(codes)
+    before = [np.concatenate((np.array([start]), d[:-1])) for d in docs]
+    carried = boundary_states(w, before)
+    cuts = [(i, a) for i, d in enumerate(docs) for a in range(0, len(d), SEGMENT)]
+    words, aims = ([many[i][a : a + SEGMENT] for i, a in cuts] for many in (before, goals))
+    tokens = sum(map(len, words))
+    lanes = min(LANES, max(16, tokens // (128 * STEPS)), max(1, len(words)))
+    inputs, first, used, held = lanes_of(words, lanes)
+    targets = np.zeros_like(inputs)
+    place: dict[tuple[int, int], np.ndarray] = {}
     for k, own in enumerate(held):
-        if own:
-            line = np.concatenate([goals[i] for i in own])
-            targets[: len(line), k] = line
-    inputs = _inputs(codes, first, start)
+        at = 0
+        for j in own:
+            targets[at : at + len(aims[j]), k] = aims[j]
+            i, a = cuts[j]
+            place[at, k] = carried[i][a // SEGMENT]
+            at += len(aims[j])
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    h = np.zeros((codes.shape[1], HIDDEN), np.float32)
-    for t, a in enumerate(range(0, len(codes), STEPS), 1):
+    h = np.zeros((lanes, HIDDEN), np.float32)
+    for t, a in enumerate(range(0, len(inputs), STEPS), 1):
         s = slice(a, a + STEPS)
-        grad, rows, h, _ = gradients(w, inputs[s], first[s], used[s], targets[s], h)
+        live = used[s].any(0)
+        at, of = np.nonzero(first[s])
+        begin = np.stack([place[a + x, y] for x, y in zip(at.tolist(), of.tolist(), strict=True)]) if len(at) else None
+        grad, rows, last, _ = gradients(w, inputs[s][:, live], first[s][:, live], used[s][:, live], targets[s][:, live], h[live], begin)
+        h[live] = last
         scale = min(1.0, 1.0 / (float(np.sqrt(sum(np.vdot(g, g) for g in grad.values()))) + 1e-9))
         step, unbias = rate / (1 - 0.9**t), 1 / (1 - 0.99**t)
         for k, g in grad.items():
@@ -401,6 +487,7 @@ def train(coded: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> dict[str, n
     spark = coded.sparkSession
     w = start_weights(corpus)
     like = {k: np.zeros(v.shape, np.float32) for k, v in w.items()}
+    parts = max(1, coded.rdd.getNumPartitions())
     for r in range(rounds):
         shared = spark.sparkContext.broadcast(_packed(w))
         rate = RATE / (1 + r)
@@ -414,24 +501,24 @@ def train(coded: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> dict[str, n
                 new = np.frombuffer(_packed(train_part(_unpacked(shared.value, like), codes, targets, rate)), "<f4").astype(np.float64) * size
                 total, n = new if total is None else total + new, n + size
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], ["n", "w"])
-
-        def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, n = None, 0.0
-            for b in batches:
-                for k, raw in zip(b.column("n").to_pylist(), b.column("w").to_pylist(), strict=True):
-                    x = np.frombuffer(raw, "<f4") * np.float32(k)
-                    total, n = x if total is None else total + x, n + k
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], ["n", "w"])
-
-        learned = coded.where(F.col("turn") == r).select("part", "codes", "targets").mapInArrow(learn, "n double, w binary")
-        means = learned.repartition(4, "n").mapInArrow(mean, "n double, w binary").collect()
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n]), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], ["task", "n", "w"])
+
+        def mean(rows: pa.Table) -> pa.Table:
+            n = rows.column("n").to_numpy()
+            total = sum(np.frombuffer(raw, "<f4") * np.float32(k / n.sum()) for k, raw in zip(n.tolist(), rows.column("w").to_pylist(), strict=True))
+            return pa.table({"task": pa.array([rows.column("task")[0].as_py() // FAN_IN], pa.int64()), "n": [n.sum()], "w": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+
+        means = coded.where(F.col("turn") == r).select("part", "codes", "targets").mapInArrow(learn, "task long, n double, w binary")
+        # tasks' weights meet in a tree, so neither a task nor the driver reads more than FAN_IN of them at once
+        left = parts
+        while left > 1:
+            means = means.groupBy(F.floor(F.col("task") / FAN_IN)).applyInArrow(mean, "task long, n double, w binary")
+            left = -(-left // FAN_IN)
+        found = means.collect()
         shared.destroy()
-        if not means:
-            continue
-        n = sum(x["n"] for x in means)
-        w = _unpacked((sum(np.frombuffer(x["w"], "<f4").astype(np.float64) * x["n"] for x in means) / n).astype("<f4").tobytes(), like)
+        if found:
+            n = sum(x["n"] for x in found)
+            w = _unpacked(sum(np.frombuffer(x["w"], "<f4").astype(np.float64) * (x["n"] / n) for x in found).astype("<f4").tobytes(), like)
     return w
 
 
@@ -481,17 +568,28 @@ def score(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = _unpacked(weights.value, like)
-        for batch in batches:
+        # codes are small, and many documents at once fill the lanes beside long ones
+        for batch in _gathered(batches, 4000):
             s = document_scores(w, [np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column("codes").to_pylist()])
             total = s / LN10 + batch.column("tail").to_numpy()
             cols = [batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([tokens] * batch.num_rows, pa.int64()), batch.column("base_score"), pa.array(total)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    # codes are small, and many documents at once fill the lanes beside long ones
-    small_batches(spark, rows=4000)
     found = coded.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "tail", "codes")
     return found.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int, size: int = 64 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of about so many rows, or fewer if these are large."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def op7(docs: DataFrame) -> DataFrame:
     return score(docs)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -60,6 +61,45 @@ def test_join_equals_brute_force(spark, monkeypatch, k, percent, light):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in brute_components(texts, k, percent)})
 
 
+def test_large_groups_of_near_copies_make_few_pairs(spark, monkeypatch):
+    """Two thousand copies of one text with up to four words changed: most lie just under the threshold, few pairs are looked at."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(100)]
+    texts = [" ".join(base)] * 300
+    for _ in range(2000):
+        t = list(base)
+        for i in rng.sample(range(100), rng.choice((1, 2, 3, 3, 4, 4))):
+            t[i] = word() if rng.random() < 0.9 else "same"
+        texts.append(" ".join(t))
+    seen = spark.sparkContext.accumulator(0)
+    plain = ngram_join._filtered
+
+    def counted(pairs, nodes, percent):
+        pairs = pairs.persist()
+        seen.add(pairs.count())
+        return plain(pairs, nodes, percent)
+
+    monkeypatch.setattr(ngram_join, "_filtered", counted)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.op2(documents(spark, texts)).collect()}
+    sets = [shingles(t, 3) for t in texts]
+    tokens = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(texts), len(tokens)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [tokens[g] for g in s]] = 1
+    n = m.sum(1)
+    common = m @ m.T
+    link = 100 * common >= 90 * (n[:, None] + n[None, :] - common)
+    root = np.arange(len(texts))
+    while True:
+        least = np.where(link, root[None, :], len(texts)).min(1)
+        if (least == root).all():
+            break
+        root = least
+    assert [got[i] for i in range(len(texts))] == root.tolist()
+    assert 200 < len(set(root.tolist())) and seen.value < 40 * len(texts)
+
+
 def test_join_of_odd_rows(spark):
     empty = documents(spark, []) if False else spark.createDataFrame([], SCHEMA)
     assert ngram_join.op2(empty).count() == 0
@@ -78,24 +118,48 @@ def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(1)
     line = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(n))
     shared, sentence = line(55), line(12) + "."
-    texts = [*ODD, f"{line(5)}\n{shared}\n{line(30)}", f"{shared.upper()}\n{line(9)}", f"{line(25)} {sentence} {line(30)}", f"{line(31)}. {sentence} {line(4)}", f"{shared}\n{shared}"]
+    verse = "\n".join(line(4) for _ in range(8))
+    texts = [*ODD, f"{line(5)}\n{shared}\n{line(30)}", f"{shared.upper()}\n{line(9)}", f"{line(25)}. {sentence} {line(30)}", f"{line(31)}. {sentence} {line(4)}", f"{shared}\n{shared}", f"{verse}\n{line(9)}.", f"{line(3)}.\n\n{verse}\n{line(7)}! {sentence} {shared}"]
     docs = documents(spark, texts)
-    seen, lines, want = {}, set(), []
-    units = [(u, i) for i, t in enumerate(texts) for u in substring_dedup.text_units(t or "")]
-    for (level, k, a, b, _, digest), i in sorted(units, key=lambda x: (x[0][0], x[1], x[0][2])):
-        first = seen.setdefault((level, digest), (i, a))
-        if first != (i, a) and not (level == 1 and (i, k) in lines):
-            want.append((i, a, b, first[0]))
-            if level == 0:
-                lines.add((i, k))
+    # units again, by splitting instead of matching
+    units = []
+    for i, t in enumerate(texts):
+        at, n = 0, 0
+        for piece in re.split(r"(\n)|(?<=[.!?])(?![.!?])", t or ""):
+            if piece and (words := piece.translate(LOWER).split()) and piece != "\n":
+                units.append((i, n, at, at + len(piece), tuple(words)))
+                n += 1
+            at += len(piece or "")
+    first = {}
+    for i, n, a, b, w in units:
+        first.setdefault(w, (i, a))
+    runs = []
+    for i, n, a, b, w in units:
+        if first[w] != (i, a):
+            if runs and runs[-1][0] == i and runs[-1][1] == n - 1:
+                runs[-1][1:4] = [n, runs[-1][2], b]
+                runs[-1][4] += len(w)
+            else:
+                runs.append([i, n, a, b, len(w), first[w][0]])
+    want = [(i, a, b, kept) for i, _, a, b, words, kept in runs if words >= substring_dedup.MIN_WORDS]
     got = substring_dedup.op6(docs).collect()
     assert sorted((r["doc_id"], r["start"], r["end"], r["kept_doc_id"]) for r in got) == sorted(want)
-    clean = {r["doc_id"]: r for r in substring_dedup.remove(docs).collect()}
+    n = len(ODD)
+    assert {n + 1, n + 4, n + 6} <= {w[0] for w in want} and not {n, n + 2, n + 3, n + 5} & {w[0] for w in want}
+    taken = docs.withColumnsRenamed({"kept": "removed", "rid": "row", "n_words": "cut"})
+    gone = substring_dedup.remove(taken)
+    assert gone.columns == [*taken.columns, "removed_"]
+    clean = {r["doc_id"]: r for r in gone.collect()}
     for i, t in enumerate(texts):
-        cut = sorted({(a, b) for d, a, b, _ in want if d == i})
-        assert [tuple(x) for x in clean[i]["removed"] or []] == cut
-        assert len(clean[i]["text"] or "") <= len(t or "")
-    assert shared.upper() not in clean[len(ODD) + 1]["text"] and shared in clean[len(ODD)]["text"]
+        cut = sorted((a, b) for d, a, b, _ in want if d == i)
+        assert [tuple(x) for x in clean[i]["removed_"] or []] == cut
+        keep, at = "", 0
+        for a, b in cut:
+            keep, at = keep + t[at:a], b
+        assert clean[i]["text"] == (None if t is None else keep + t[at:])
+    odd = spark.createDataFrame([(None, shared, "en", "s", 1, "x", 1, 2), (7, shared, "en", "s", 1, "x", 1, 2), (7, shared, "en", "s", 1, "x", 1, 2)], SCHEMA)
+    assert sorted((r["doc_id"] or 0, r["kept_doc_id"]) for r in substring_dedup.op6(odd).collect()) == [(0, 7), (7, 7)]
+    assert substring_dedup.op6(odd.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize(("module", "step"), [(ngram_join, "_first_pairs"), (substring_dedup, "checkpoint"), (lm, "corpus_of")])
@@ -145,6 +209,10 @@ def test_nearest(spark):
         hits += len({v for _, v, _ in own} & set(best.tolist()))
         total += 5
     assert hits / total >= 0.9
+    assert max(r["n_scored"] for r in got) < len(m)
+    twice = ann.op3(spark.createDataFrame([*rows[:60], (0, rows[1][1]), (50, rows[50][1])], "vec_id long, embedding array<double>")).collect()
+    assert sorted(r["query_id"] for r in twice) == [0] * 10 + [50] * 10
+    assert {(r["query_id"], r["vec_id"]) for r in twice if r["rank"] == 1 and r["score"] > 0.999999} >= {(0, 1), (50, 50)}
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")
     assert ann.op3(few).count() == 2
     assert ann.op3(df.limit(0)).count() == 0
