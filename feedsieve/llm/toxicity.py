@@ -2,18 +2,21 @@
 
 Voters are lexicon entries (whole words) and patterns (beginnings and endings of
 words) that stand out in toxic rows of the labelled sample.  A generative label model
-reads their votes: expectation maximisation estimates how often each voter fires in
-either class, the gold label being one more voter of limited trust, and correlations
-between voters, left over within a class, discount those that say the same.  Its
-posterior labels train a linear classifier on hit counts, which scores every text.
+reads their votes on labelled and unlabelled rows: expectation maximisation estimates the
+class balance, how often each voter fires in either class, and the correlations between
+voters that are left over within a class, which discount those that say the same.  A gold
+label, where there is one, is one more voter of limited trust (`GOLD_TRUST`), and rows without
+one weigh little (`UNLABELLED_TRUST`).  The model's posterior labels of the labelled rows train
+a linear classifier on hit counts, which scores every text.
 
-The labelled sample is about `TRAIN_ROWS` rows (a parameter), drawn by hash from
-those that may be learned from.  Scores read the text alone.
+The samples are about `TRAIN_ROWS` labelled and as many unlabelled documents (a parameter),
+drawn by hash of distinct ids from those that may be learned from.  Scores read the text alone.
 
 Defined cases: a null or empty text has no hits and gets the classifier's score for
-none; a null toxic label is no label; several labels of one id count each; repeated
-rows are scored row by row; with no label at all, no voter is found and every score is
-the prior; an empty table gives no rows; other columns do not matter.
+none; a null toxic label is no label; of several labels of one id the majority counts, toxic
+if they are even; an id that several rows have teaches once, by its least text; repeated rows
+are scored row by row; with no label at all, no voter is found and every score is the
+prior; an empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedsieve.llm.common import crc32_mod, hashed_share, small_batches
+from feedsieve.llm.common import checkpoint, crc32_mod, hashed_share, small_batches
 from feedsieve.llm.shingles import words
 
 TRAIN_ROWS = 16_000
@@ -37,6 +40,8 @@ MIN_TOXIC = 8
 MIN_EVIDENCE = 20.0
 MIN_LIFT = 6.0
 GOLD_TRUST = 0.95
+#: Weight of an unlabelled row in the label model; at full weight they may draw its classes to other differences between texts.
+UNLABELLED_TRUST = 0.02
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 MARKS = ".,;:!?\"'()[]{}<>#*$%&|-"
@@ -117,36 +122,43 @@ def features(counts: np.ndarray, n_words: np.ndarray, weights: np.ndarray) -> np
 
 @dataclass
 class LabelModel:
-    """Firing rates of the voters in either class, the class balance, and discounts for correlation."""
+    """Firing rates of the voters in either class, the class balance, and discounts for their correlations within a class."""
 
     rates: np.ndarray
     prior: float
     discount: np.ndarray
+    correlations: np.ndarray
 
     @property
     def weights(self) -> np.ndarray:
         return self.discount * np.log(self.rates[1] / self.rates[0])
 
     def posterior(self, votes: np.ndarray, gold: np.ndarray | None = None) -> np.ndarray:
+        """Chance of the toxic class for each row; gold: 1, 0, or -1 for rows without a label."""
         absent = self.discount * np.log((1 - self.rates[1]) / (1 - self.rates[0]))
         z = math.log(self.prior / (1 - self.prior)) + votes @ self.weights + (1 - votes) @ absent
         if gold is not None:
-            z = z + (2 * gold - 1) * math.log(GOLD_TRUST / (1 - GOLD_TRUST))
+            z = z + np.where(gold < 0, 0, 2 * gold - 1) * math.log(GOLD_TRUST / (1 - GOLD_TRUST))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 15) -> LabelModel:
+def fit_label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 15, trust: float = UNLABELLED_TRUST) -> LabelModel:
+    """Expectation maximisation; it starts from the labelled rows and then reads all of them, unlabelled ones with less weight."""
+    known = gold >= 0
+    weight = np.where(known, 1.0, trust)
     p = np.where(gold == 1, GOLD_TRUST, 1 - GOLD_TRUST)
     model = None
-    for _ in range(rounds):
-        share = np.stack((1 - p, p))
-        rates = (share @ votes + 0.05) / (share.sum(1, keepdims=True) + 1.0)
-        left = votes - (share.T @ rates)
+    for k in range(rounds):
+        rows = known if k == 0 else slice(None)
+        v, q, u = votes[rows], p[rows], weight[rows]
+        share = np.stack((1 - q, q)) * u
+        rates = (share @ v + 0.05) / (share.sum(1, keepdims=True) + 1.0)
+        left = (v - np.stack((1 - q, q)).T @ rates) * np.sqrt(u)[:, None]
         scale = np.sqrt((left**2).mean(0)) + 1e-9
-        related = np.abs((left.T @ left) / len(left) / np.outer(scale, scale))
+        related = (left.T @ left) / len(left) / np.outer(scale, scale)
         np.fill_diagonal(related, 0)
-        related[related < 0.3] = 0
-        model = LabelModel(np.clip(rates, 1e-5, 1 - 1e-5), float(np.clip(p.mean(), 1e-4, 0.999)), 1 / (1 + related.sum(1)))
+        related[np.abs(related) < 0.3] = 0
+        model = LabelModel(np.clip(rates, 1e-5, 1 - 1e-5), float(np.clip(share[1].sum() / u.sum(), 1e-4, 0.999)), 1 / (1 + np.abs(related).sum(1)), related)
         p = model.posterior(votes, gold)
     return model
 
@@ -176,16 +188,30 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(features(counts, n, self.weights) @ self.linear, -30, 30)))
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(toxic, text) of drawn ids (id, toxic), one row an id."""
+    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "id")
+    return rows.groupBy("id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     """About `most` labelled texts that may be learned from."""
-    ids = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("id").isNotNull())
-    ids = hashed_share(ids.where(crc32_mod(F.col("id"), FOLDS) != HELD_OUT), F.xxhash64("id"), most)
-    return docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "id").select("toxic", "text")
+    bad = F.col("toxic").cast("int")
+    ids = labels.where(bad.isin(0, 1) & F.col("doc_id").isNotNull() & (crc32_mod(F.col("doc_id"), FOLDS) != HELD_OUT))
+    ids = ids.groupBy(F.col("doc_id").alias("id")).agg((F.avg(bad) >= 0.5).cast("int").alias("toxic"))
+    return _texts(docs, hashed_share(ids, F.xxhash64("id"), most))
+
+
+def unlabelled_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+    """About `most` texts without a label, with toxic -1; not from the rows that are held out."""
+    ids = docs.select(F.col("doc_id").alias("id")).where(F.col("id").isNotNull() & (crc32_mod(F.col("id"), FOLDS) != HELD_OUT)).distinct()
+    drawn = hashed_share(ids, F.xxhash64("id", F.lit(1)), most)
+    return _texts(docs, drawn.join(labels.select(F.col("doc_id").alias("id")), "id", "left_anti").withColumn("toxic", F.lit(-1)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Scorer:
     small_batches(docs.sparkSession)
-    labelled = training_rows(docs, labels, most)
+    labelled = checkpoint(training_rows(docs, labels, most))
     voters = mine(labelled)
     place = {v: i for i, v in enumerate(voters)}
 
@@ -194,14 +220,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Scorer:
             counts, n = hits(batch.column("text").to_pylist(), place)
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(n, pa.int64()), pa.array([c.astype("<u2").tobytes() for c in np.minimum(counts, 60000)], pa.binary())], ["toxic", "n", "counts"])
 
-    got = labelled.mapInArrow(run, "toxic int, n long, counts binary").toPandas().sort_values(["toxic", "n", "counts"])
+    both = labelled.union(unlabelled_rows(docs, labels, most)) if voters else labelled
+    got = both.mapInArrow(run, "toxic int, n long, counts binary").toPandas().sort_values(["toxic", "n", "counts"])
     if not len(got):
         return Scorer([], np.zeros(0), np.array([-3.0, 0, 0, 0, 0]))
     counts = np.stack([np.frombuffer(c, "<u2") for c in got["counts"]]).astype(np.float64).reshape(len(got), len(voters))
     gold = got["toxic"].to_numpy(np.float64)
     votes = (counts > 0).astype(np.float64)
     model = fit_label_model(votes, gold)
-    return Scorer(voters, model.weights, fit_linear(features(counts, got["n"].to_numpy(), model.weights), model.posterior(votes, gold)))
+    known = gold >= 0
+    return Scorer(voters, model.weights, fit_linear(features(counts, got["n"].to_numpy(), model.weights)[known], model.posterior(votes, gold)[known]))
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:

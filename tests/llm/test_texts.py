@@ -46,6 +46,8 @@ def test_packing_gives_every_id_once(spark):
         assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
         assert size <= 1024 and size & (size - 1) == 0  # no padding
     assert packing.pack(empty(spark), tokenizer_path("byte_bpe_50k.json")).count() == 0
+    odd = documents(spark, ["a b"]).union(documents(spark, ["a b"])).union(documents(spark, ["c"]).withColumn("doc_id", F.lit(None).cast("long")))
+    assert sorted((r["doc_id"] is None, r["start"]) for r in packing.pack(odd, tokenizer_path("byte_bpe_50k.json")).collect() if r["start"] == 0) == [(False, 0), (False, 0), (True, 0)]
 
 
 def test_token_files_round_trip(spark):
@@ -58,6 +60,9 @@ def test_token_files_round_trip(spark):
     some = token_io.read(spark, files, [3, 40], with_ids=True).collect()
     assert {r["doc_id"]: list(r["ids"]) for r in some} == {i: want[i].tolist() for i in (3, 40)}
     assert token_io.op10(empty(spark), tokenizer_path("word_bpe_49k.json")).count() == 0
+    odd = documents(spark, ["a b"]).union(documents(spark, ["a b"])).union(documents(spark, ["c"]).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = token_io.op10(odd, tokenizer_path("word_bpe_49k.json")).collect()
+    assert sorted(r["start"] for r in rows) == [sum(sorted(x["n_tokens"] for x in rows if x["start"] < r["start"])) for r in sorted(rows, key=lambda r: r["start"])] and len(rows) == 3
 
 
 def test_reader_opens_only_needed_frames_and_checks_them(tmp_path):
@@ -255,6 +260,40 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.op4(docs, table.limit(0)).count() == len(rows)
 
 
+def test_label_model_recovers_known_voters():
+    """Rates, balance and correlations of voters drawn from a known model; posteriors are those of Bayes' rule."""
+    rng = np.random.default_rng(4)
+    n, prior = 20_000, 0.2
+    rates = np.array([[0.02, 0.05, 0.10, 0.03, 0.04], [0.50, 0.60, 0.40, 0.30, 0.45]])
+    truth = (rng.random(n) < prior).astype(int)
+    votes = (rng.random((n, 5)) < rates[truth]).astype(float)
+    votes = np.column_stack((votes, np.where(rng.random(n) < 0.95, votes[:, 4], 1 - votes[:, 4])))  # the last one repeats its neighbour
+    gold = np.where(rng.random(n) < 0.2, np.where(rng.random(n) < 0.97, truth, 1 - truth), -1)
+    model = toxicity.fit_label_model(votes, gold)
+    assert np.abs(model.rates[:, :5] - rates).max() < 0.05 and abs(model.prior - prior) < 0.03
+    assert model.correlations[4, 5] > 0.5 and np.abs(model.correlations[:4]).max() == 0
+    assert model.discount[0] == 1 and model.discount[4] < 0.7
+    assert ((model.posterior(votes) >= 0.5) == truth).mean() > 0.92
+    # every combination of votes of the voters that are independent, by Bayes' rule
+    alone = toxicity.LabelModel(model.rates[:, :4], model.prior, np.ones(4), np.zeros((4, 4)))
+    for v in itertools.product((0, 1), repeat=4):
+        like = [np.prod([r if x else 1 - r for r, x in zip(alone.rates[c], v, strict=True)]) * (alone.prior if c else 1 - alone.prior) for c in (0, 1)]
+        assert abs(alone.posterior(np.array([v], float))[0] - like[1] / sum(like)) < 1e-9
+
+
+def test_toxicity_of_repeated_rows_and_labels(spark):
+    texts = [f"word{i % 7} zzbad{i % 2} text" if i % 4 == 0 else f"word{i % 7} fine text" for i in range(400)]
+    docs = documents(spark, texts)
+    docs = docs.union(docs.where("doc_id = 0")).union(docs.where("doc_id = 0")).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    labels = [(i, int(i % 4 == 0)) for i in range(400)] + [(4, 1)] * 300 + [(8, 0)]
+    rows = toxicity.op4(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert len(rows) == 403 and len({r["score"] for r in rows if r["doc_id"] in (0, None)}) == 1
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    taught = toxicity.training_rows(docs, table).collect()
+    assert len(taught) == sum(bucket(i, 4) != 2 for i in range(400))
+    assert toxicity.unlabelled_rows(docs, table).count() == 0
+
+
 def test_language_model(spark):
     rng = random.Random(7)
     chain = {w: [rng.choice("abcdefgh") * 2 for _ in range(2)] for w in (c * 2 for c in "abcdefgh")}
@@ -299,14 +338,19 @@ def test_network_trains_on_every_training_document(spark, monkeypatch):
     assert seen.value == corpus.tokens == sum(len(t.split()) + 1 for i, t in enumerate(texts) if bucket(i, 7) != 2)
 
 
+def a_network(rng):
+    c = lm.Corpus(10**6, 10**5, np.arange(lm.HEAD), np.sort(rng.integers(300, 9000, lm.HEAD))[::-1].copy(), np.full(lm.TAILS, 1e4), np.full(lm.TAILS, 1e3), lm.spelling_of(rng.integers(0, 9, 1 << 16)))
+    return c, {k: v.astype(np.float64) for k, v in lm.start_weights(c).items()}
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
-    c = lm.Corpus(10**6, 10**5, np.arange(lm.HEAD), np.sort(rng.integers(300, 9000, lm.HEAD))[::-1].copy(), np.full(lm.TAILS, 1e4), np.full(lm.TAILS, 1e3))
-    w = {k: v.astype(np.float64) for k, v in lm.start_weights(c).items()}
+    _, w = a_network(rng)
     codes, inputs = rng.integers(0, 60, (6, 3)), rng.integers(0, 50, (6, 3))
     first = np.zeros((6, 3), bool)
     first[0] = first[3, 1] = True
-    args = (inputs, first, np.ones((6, 3), bool), codes, np.zeros((3, lm.HIDDEN)))
+    begin = np.concatenate((np.zeros((3, lm.HIDDEN)), rng.normal(size=(1, lm.HIDDEN))))
+    args = (inputs, first, np.ones((6, 3), bool), codes, np.zeros((3, lm.HIDDEN)), begin)
     grad = lm.gradients(w, *args)[0]
     for k, at in (("u", (3, 5)), ("wc", (2, 1)), ("bc", (0,)), ("v", (0, 2, 3)), ("bv", (1, 2))):
         old, e = w[k][at], 1e-3
@@ -318,6 +362,71 @@ def test_gradients_match_differences():
         assert abs((up - down) / 2 / e - grad[k][at]) < 1e-4
 
 
+def test_probabilities_add_up_to_one():
+    rng = np.random.default_rng(1)
+    c, w = a_network(rng)
+    h = rng.normal(size=(1, lm.HIDDEN))
+    tails = np.arange(lm.TAILS) * lm.SUFFIXES + lm.HEAD
+    codes = np.concatenate((np.arange(lm.HEAD), tails))
+    p = np.exp(lm.log_probs(w, np.repeat(h, len(codes), 0), codes))
+    assert abs(p.sum() - 1) < 1e-6 and abs(p[: lm.HEAD].sum() - 1) > 1e-3
+    assert np.allclose((10**c.spelling).sum(1), 1)
+    # words of at most two letters of an alphabet of three, and all that is longer, by the chance of each beginning
+    table = lm.spelling_of(np.where(np.isin(np.arange(1 << 16) % 256, [32, 97, 98]), 50, 0) * 1e9)
+    words = [x + y for x in "ab" for y in ["", *"ab"]]
+    begun = sum(10 ** (table[32, ord(x)] + table[ord(x), ord(y)]) * (1 - 10 ** table[ord(y), 32]) for x in "ab" for y in "ab")
+    assert abs((10 ** lm.spelled(table, np.array(words, object))).sum() + begun - 1) < 1e-6
+
+
+def plain_score(w, codes):
+    """One document, word by word."""
+    h, total, last = np.zeros(lm.HIDDEN), 0.0, len(w["x"]) - 1
+    for c in codes:
+        g, x = h @ w["u"], w["x"][last]
+        z, r = (1 / (1 + np.exp(-(x[k : k + lm.HIDDEN] + g[k : k + lm.HIDDEN]))) for k in (0, lm.HIDDEN))
+        n = np.tanh(x[2 * lm.HIDDEN :] + r * g[2 * lm.HIDDEN :])
+        h = (1 - z) * n + z * h
+        classes = h @ w["wc"] + w["bc"]
+        k = c // lm.WIDTH if c < lm.HEAD else lm.HEAD // lm.WIDTH + (c - lm.HEAD) // lm.SUFFIXES
+        total += classes[k] - np.log(np.exp(classes).sum())
+        if c < lm.HEAD:
+            inner = h @ w["v"][k] + w["bv"][k]
+            total += inner[c % lm.WIDTH] - np.log(np.exp(inner).sum())
+        last = c
+    return total
+
+
+def test_scores_in_lanes_and_carried_states_equal_a_plain_loop():
+    rng = np.random.default_rng(2)
+    c, w = a_network(rng)
+    docs = [rng.integers(0, c.codes, n) for n in (1, 700, 3, 260, 40, 129, 2)]
+    got = lm.document_scores(w, docs, lanes=3, window=50)
+    assert np.allclose(got, [plain_score(w, d) for d in docs], rtol=1e-5)
+    inputs = [np.concatenate(([c.codes], d[:-1])) for d in docs]
+    at = lm.boundary_states(w, inputs, size=128, lanes=2)
+    whole = lm.states(w, inputs[1][:, None], np.zeros((700, 1), bool), np.zeros((1, lm.HIDDEN)))[0][:, 0]
+    assert np.allclose(at[1][1:], whole[127::128][: len(at[1]) - 1], atol=1e-5) and not at[1][0].any()
+
+
+def test_unknown_words_cost_their_spelling(spark):
+    """Held-out texts with more unknown words have a lower score a token, and junk a lower one than words."""
+    rng = random.Random(3)
+    known = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(300)]
+    texts = []
+    for i in range(700):
+        w = [rng.choice(known) for _ in range(40)]
+        for _ in range(i % 20 if bucket(i, 7) == 2 else rng.randrange(3)):
+            w[rng.randrange(40)] = "".join(rng.choice("abcdefgh") for _ in range(8))
+        texts.append(" ".join(w))
+    junk = next(i for i in range(700, 800) if bucket(i, 7) == 2)
+    texts += ["x"] * (junk - 700) + [" ".join("#%{}~^"[rng.randrange(6)] * 9 + str(k) for k in range(40))]
+    rows = [r for r in lm.op7(documents(spark, texts)).collect() if r["held_out"] and r["n_tokens"] > 20]
+    share = np.array([1 - r["n_known"] / r["n_tokens"] for r in rows])
+    score = np.array([r["score"] / r["n_tokens"] for r in rows])
+    assert np.corrcoef(share, score)[0, 1] < -0.8
+    assert min(rows, key=lambda r: r["score"] / r["n_tokens"])["doc_id"] == junk
+
+
 def test_mixing_meets_target_and_budget(spark):
     texts = [" ".join(["w"] * (1 + i % 40)) for i in range(600)]
     docs = documents(spark, texts, source=lambda i: None if i % 50 == 0 else "hot" if i % 3 else f"s{i % 4}")
