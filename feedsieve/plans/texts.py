@@ -11,7 +11,7 @@ from feedsieve.functions.matchers import quoted
 from feedsieve.operators import curate as C
 from feedsieve.operators import ground
 from feedsieve.operators import posts as O
-from feedsieve.plans.curation import CYCLE
+from feedsieve.plans.curation import BASE, CYCLE
 from feedsieve.plans.items import DUCK_ITEMS, items, spread
 from feedsieve.sources import feeds
 
@@ -128,7 +128,20 @@ _LABEL = f"""CASE WHEN {_parts('low', V.RUMOR_PHRASES)} OR regexp_matches(tx, '{
  WHEN {_parts('low', V.OFFICIAL_PHRASES)} OR official OR {_parts("lower(source_name) || ' news.example'", V.OUTLETS)} THEN '{O.OFFICIAL}' ELSE '{O.RUMOR}' END"""
 _ITEMS = f"WITH {DUCK_ITEMS}, x AS (SELECT *, title || ' ' || summary AS tx, lower(title || ' ' || summary) AS low FROM items)"
 
+
+def _plain(text: str) -> str:
+    """Numbers as doubles.  Without look-around, a replacement is made again where matches may overlap."""
+    for pattern, put, times in (("([0-9])[\\s\u00a0]+([0-9])", "\\1\\2", 2), ("([0-9]),([0-9]{3})([^0-9]|$)", "\\1\\2\\3", 3), ("([0-9]+),([0-9]{1,2})([^0-9]|$)", "\\1.\\2\\3", 2)):
+        for _ in range(times):
+            text = f"regexp_replace({text}, '{pattern}', '{put}', 'g')"
+    return f"list_transform(regexp_extract_all({text}, '[0-9]+(?:\\.[0-9]+)?'), lambda v: v::DOUBLE)"
+
+
 ORACLES = {
+    "needs_editor": f"{BASE} SELECT arrival, (({_LABEL}) = '{O.OFFICIAL}' OR score >= 70) AND title <> '' AS needs_editor FROM (SELECT *, title || ' ' || summary AS tx FROM gated)",
+    "ungrounded_numbers": f"""WITH p AS (SELECT conv_id, turn, coalesce(text, '') AS body, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS source FROM conversations),
+n AS (SELECT conv_id, turn, {_plain('body')} AS b, {_plain('source')} AS s FROM p)
+SELECT conv_id, turn, len(b)::INT AS numbers, len(list_filter(b, lambda x: len(list_filter(s, lambda k: abs(x - k) / (k + 1e-9) <= 0.05)) = 0))::INT AS ungrounded FROM n""",
     "clean_text": f"{_DOCS} SELECT doc_id, md5({_URL('t')}) AS no_urls, md5({_SANE('t')}) AS sanitized, md5({_FORB('t')}) AS allowed, md5({_CONC('t')}) AS concrete, md5({_CONC(_FORB(_SANE(_URL('t'))))}) AS clean FROM d",
     "truncate_text": f"""{_DOCS}, h AS (SELECT *, t[1:{V.MAX_POST}] AS head FROM d), c AS (SELECT *, regexp_extract(head, '(?s)^(.*[.!?])', 1) AS cut FROM h)
 SELECT doc_id, md5(CASE WHEN length(t) <= {V.MAX_POST} THEN t WHEN cut <> '' THEN regexp_replace(cut, '\\s+$', '') ELSE regexp_replace(head, '\\s+$', '') || '...' END) AS cut, md5({_ESC('t')}) AS escaped FROM c""",
