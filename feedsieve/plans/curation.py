@@ -59,11 +59,11 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def story_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.story_dedup(_candidates(spark, sf_dir)).select("arrival", "story_key", "cycle_s", "accepted")
+    return D.story_dedup(C.kept_once(_candidates(spark, sf_dir))).select("arrival", "story_key", "cycle_s", "accepted")
 
 
 def subject_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.subject_cap(_candidates(spark, sf_dir)).select("arrival", "subject_key", "cycle_s", "accepted")
+    return D.subject_cap(C.kept_once(_candidates(spark, sf_dir))).select("arrival", "subject_key", "cycle_s", "accepted")
 
 
 def curate(spark: SparkSession, sf_dir: str) -> DataFrame:
