@@ -6,7 +6,7 @@ import os
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of every contract here, for Java regular expressions.
@@ -105,3 +105,17 @@ def dropped(df: DataFrame) -> None:
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def in_order(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The rows with `place`, their number from 0 in ascending order of the keys (nulls first), written once.
+
+    Rows are dealt by ranges of all keys and numbered within their ranges; only the ranges' sizes,
+    one row each, meet in one task.  Rows equal in all keys are numbered in any order.
+    """
+    ordered = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_at", 33)
+    sizes = ordered.groupBy(part.alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = F.broadcast(sizes.select("_range", before.cast("long").alias("_before")))
+    return ordered.withColumn("_range", part).join(firsts, "_range").withColumn("place", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_range", "_before", "_at")

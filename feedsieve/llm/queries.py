@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedsieve.llm import ann, lm, mixing, ngram_join, packing, pii, quality, substring_dedup, token_io, toxicity
+from feedsieve.llm import ann, lm, merkle, mixing, ngram_join, packing, pii, quality, runs, substring_dedup, token_io, topk, toxicity
 from feedsieve.llm.common import table
 
 
@@ -56,9 +56,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_io.op10(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op11(table(spark, sf_dir, "documents"))
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.op12(table(spark, sf_dir, "embeddings"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.op13(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_nearest, op4_toxicity, op5_pii, op6_line_dedup, op7_lm_scoring, op8_packing, op9_quality, op10_token_files)}
+    return {f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_nearest, op4_toxicity, op5_pii, op6_line_dedup, op7_lm_scoring, op8_packing, op9_quality, op10_token_files, op11_merkle, op12_topk, op13_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": ngram_join.SQL, "op6_line_dedup": substring_dedup.SQL, "op9_quality": quality.SQL}
+    return {"op2_ngram_join": ngram_join.SQL, "op6_line_dedup": substring_dedup.SQL, "op9_quality": quality.SQL, "op11_merkle": merkle.SQL, "op12_topk": topk.SQL}
