@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def normalise_number(token: Column) -> Column:
     value = plain.try_cast("double") * F.coalesce(F.try_element_at(_map(V.MULTIPLIERS), suffix).cast("double"), F.lit(1.0))
     # all digits are written out, also where a double would show an exponent
     whole, part = value.try_cast("decimal(38,0)").cast("string"), F.regexp_replace(value.try_cast("decimal(38,18)").cast("string"), "0+$", "")
-    written = F.coalesce(F.when(value == F.floor(value), whole).otherwise(part), value.cast("string"))
+    written = F.coalesce(F.when(value % 1 == 0, whole).otherwise(part), value.cast("string"))
     return F.concat(written, F.when(F.endswith(token, F.lit("%")), F.lit("%")).otherwise(F.lit("")))
 
 
@@ -77,6 +79,10 @@ def subject_tokens(title: Column) -> Column:
     return F.sort_array(F.array_distinct(F.concat(_alias(low), _alias(tickers), F.when(longest != "", F.array(longest)).otherwise(F.array().cast("array<string>")))))
 
 
+#: The key of a title without any token.
+EMPTY = sha256(b"").hexdigest()[:24]
+
+
 def _key(tokens: Column) -> Column:
     return F.substring(F.sha2(F.array_join(tokens, " "), 256), 1, 24)
 

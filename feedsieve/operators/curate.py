@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from feedsieve.functions import keys, predicates
 from feedsieve.functions import text as T
 from feedsieve.functions import vocab as V
-from feedsieve.operators import posts
-from feedsieve.operators.dedup import exact_dedup, story_dedup, subject_cap
+from feedsieve.operators import emission, posts
+from feedsieve.operators.dedup import exact_dedup
+from feedsieve.operators.kept import kept_once
 from feedsieve.sources import ledgers
 
 
@@ -62,13 +63,19 @@ def judged(items: DataFrame, cycle_seconds: int = V.CYCLE_SECONDS, least: int =
     return predicates.with_gates(df, least, require_anchor)
 
 
+#: Whether an item is old, undated or a retrospective; such a one counts as seen from then on.
+STALE = "age_reason IS NOT NULL OR (NOT official AND is_historical)"
+KEPT = f"NOT ({STALE}) AND reject_reason IS NULL"
+
+
+def _only(rows: DataFrame, keep: str, columns: list[str]) -> DataFrame:
+    """Rows that a condition over gates keeps: a filter would be pushed below the gates and work all flags out a second time inside it."""
+    return rows.select(F.explode(F.when(F.expr(keep), F.array(F.struct(*columns)))).alias("_row")).select("_row.*")
+
+
 def kept(items: DataFrame, **how) -> DataFrame:
     """Items that pass the age, history and quality gates."""
-    rows = judged(items, **how)
-    columns = [*items.columns, "cycle_s", "score", "is_upcoming_speech"]
-    keep = F.col("age_reason").isNull() & ~F.col("is_historical") & F.col("reject_reason").isNull()
-    # a filter would be pushed below the gates and work all flags out a second time inside it
-    return rows.select(F.explode(F.when(keep, F.array(F.struct(*columns)))).alias("_row")).select("_row.*")
+    return _only(judged(items, **how), KEPT, [*items.columns, "cycle_s", "score", "is_upcoming_speech"])
 
 
 def rank_by_impact(items: DataFrame) -> DataFrame:
@@ -88,44 +95,52 @@ def cycle_cap(items: DataFrame, most: int = V.CYCLE_MAX) -> DataFrame:
 SLIM = ("arrival", "observed_s", "cycle_s", "source_id", "title", "link", "guid", "official", "is_upcoming_speech", "score", "uid", "story_key", "subject_key")
 
 
-def kept_once(df: DataFrame) -> DataFrame:
-    """A table that later steps read several times: cut off in the checkpoint folder, or cached where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None and (named := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
-        sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True) if sc.getCheckpointDir() else df.persist()
+def flagged(items: DataFrame, **how) -> DataFrame:
+    """Judged items with keys, whether they are stale or kept, and only the columns that later steps need."""
+    rows = with_keys(judged(items, **how)).withColumns({"stale": F.expr(f"coalesce({STALE}, false)"), "kept": F.expr(f"coalesce({KEPT}, false)")})
+    return rows.select(*SLIM, "age_reason", "is_historical", "reject_reason", "unpublished", "stale", "kept")
+
+
+def candidates_of(rows: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """Kept items of `flagged` rows, one a uid and cycle, with ranks; not those in the ledger, or found stale before or in the same cycle."""
+    spans = rows.groupBy("uid").agg(F.min(F.when(F.col("stale"), F.col("cycle_s"))).alias("_stale_s"), F.max(F.when(F.col("kept"), F.col("cycle_s"))).alias("_last"))
+    stale = spans.where("_stale_s <= _last").drop("_last")
+    left = _only(rows, "kept", list(SLIM)).join(stale, "uid", "left").where("_stale_s IS NULL OR cycle_s < _stale_s").drop("_stale_s")
+    return rank_by_impact(exact_dedup(left, ledger))
 
 
 def candidates(items: DataFrame, ledger: DataFrame | None = None, **how) -> DataFrame:
-    """Kept items with keys and ranks, one a uid and cycle; only the columns that later steps need."""
-    return rank_by_impact(exact_dedup(with_keys(kept(items, **how)).select(*SLIM), ledger))
+    """Candidates of each cycle; see `candidates_of`."""
+    return candidates_of(kept_once(flagged(items, **how)), ledger)
+
+
+def decisions(items: DataFrame, ledger: DataFrame | None = None, most: int = V.CYCLE_MAX, **how) -> DataFrame:
+    """Every candidate with what becomes of it: `queued`, or why not; a uid is queued once."""
+    return emission.decided(candidates(items, ledger, **how), emission.Limits(most))
 
 
 def curate(items: DataFrame, ledger: DataFrame | None = None, most: int = V.CYCLE_MAX, **how) -> DataFrame:
-    """Items for the queue: gates, exact, story and subject deduplication, and the cycle's cap."""
-    rows = kept_once(candidates(items, ledger, **how))
-    rows = story_dedup(rows).where("accepted").drop("accepted")
-    rows = subject_cap(rows).where("accepted").drop("accepted")
-    return cycle_cap(rows, most)
+    """Items for the queue, each uid once: gates, exact, story and subject deduplication and the cycle's cap, as one loop over the cycles would do it.
+
+    An item that is passed over may be queued in a later cycle that delivers it again.
+    """
+    return decisions(items, ledger, most, **how).where(F.col("outcome") == emission.QUEUED).drop("outcome")
 
 
 def curate_after(items: DataFrame, sent: DataFrame, most: int = V.CYCLE_MAX, **how) -> DataFrame:
     """`curate` after earlier runs, whose rows are in `sent` (uid, story_key, subject_key, cycle_s).
 
-    Earlier rows go through the windows first and count for their cycle's cap; they are not given
-    back.  A new row older than the last sent one counts at that one's cycle.
+    Earlier rows are not queued again, hold their windows and count for their cycle's cap.  A new
+    row older than the last sent one counts at that one's cycle.
     """
     last = sent.agg(F.max("cycle_s")).first()[0]
     if last is None:
         return curate(items, None, most, **how)
-    new = rank_by_impact(candidates(items, **how).withColumn("cycle_s", F.greatest("cycle_s", F.lit(last)))).withColumn("_old", F.lit(0))
+    new = candidates(items, sent, **how).withColumn("cycle_s", F.greatest("cycle_s", F.lit(last)))
+    new = rank_by_impact(exact_dedup(new))
     # no window reaches further back than the longest one
-    old = sent.where(F.col("cycle_s") >= last - 3600 * max(V.STORY_HOURS, V.SUBJECT_HOURS)).select("uid", "story_key", "subject_key", "cycle_s", F.lit(1).alias("_old"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("arrival"))
-    rows = kept_once(new.unionByName(old, allowMissingColumns=True))
-    order = ("rank", "arrival", "uid")
-    rows = story_dedup(rows, order=order).where("accepted OR _old = 1").drop("accepted")
-    rows = subject_cap(rows, order=order).where("accepted OR _old = 1").drop("accepted")
-    return cycle_cap(rows, most).where("_old = 0").drop("_old")
+    recent = sent.where(F.col("cycle_s") >= last - 3600 * max(V.STORY_HOURS, V.SUBJECT_HOURS)).select("cycle_s", "uid", "story_key", "subject_key")
+    return emission.decided(new, emission.Limits(most), recent).where(F.col("outcome") == emission.QUEUED).drop("outcome")
 
 
 def sample_links(items: DataFrame, most: int = 3) -> DataFrame:
@@ -167,74 +182,80 @@ def per_source_counts(items: DataFrame) -> DataFrame:
     return items.groupBy("cycle_s", "source_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def gate_counts() -> dict[str, Column]:
+    fresh = F.col("age_reason").isNull()
+    historical = ~F.col("official") & F.col("is_historical")
+    return {
+        "fetched": F.count(F.lit(1)),
+        "old": F.count_if(~fresh),
+        "historical": F.count_if(fresh & historical),
+        "low_impact": F.count_if(fresh & ~historical & F.col("reject_reason").isNotNull() & F.col("unpublished").isNull()),
+        "kept": F.count_if(fresh & ~historical & F.col("reject_reason").isNull()),
+    }
+
+
 def funnel(rows: DataFrame) -> DataFrame:
     """Counters of each cycle from judged items."""
-    fresh = F.col("age_reason").isNull()
-    current = fresh & ~F.col("is_historical")
-    return rows.groupBy("cycle_s").agg(
-        F.count(F.lit(1)).alias("fetched"),
-        F.count_if(~fresh).alias("old"),
-        F.count_if(fresh & F.col("is_historical")).alias("historical"),
-        F.count_if(current & F.col("reject_reason").isNotNull() & F.col("unpublished").isNull()).alias("low_impact"),
-        F.count_if(current & F.col("reject_reason").isNull()).alias("kept"),
-    )
+    return rows.groupBy("cycle_s").agg(*[c.alias(k) for k, c in gate_counts().items()])
 
 
-AFTER_GATES = ("new", "story_dup", "subject_capped", "queued", "empty_keys")
+AFTER_GATES = ("new", "story_dup", "subject_capped", "over_cap", "queued", "empty_keys")
 
 
-def funnel_after_gates(candidates: DataFrame, most: int = V.CYCLE_MAX) -> DataFrame:
-    """Counters of each cycle from candidates: new items, retellings, items over their subject's cap, and what is queued.
+def after_gates(decided: DataFrame) -> DataFrame:
+    """Counters of each cycle from decisions: new items, retellings, items over their subject's or the cycle's cap, and what is queued.
 
-    `empty_keys` counts candidates whose story key is empty, which are all one story.
+    Once a cycle is full, nothing more is looked at.  `empty_keys` counts new items without any token in their titles, which are all one story.
     """
-    rows = kept_once(candidates)
-    told = story_dedup(rows)
-    first = told.where("accepted").drop("accepted")
-    capped = subject_cap(first)
-    queued = cycle_cap(capped.where("accepted").drop("accepted"), most)
-    parts = [
-        rows.groupBy("cycle_s").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("story_key") == "").alias("m")).select("cycle_s", F.expr("stack(2, 'new', n, 'empty_keys', m) AS (what, n)")),
-        told.groupBy("cycle_s").agg(F.count_if(~F.col("accepted")).alias("n")).select("cycle_s", F.lit("story_dup").alias("what"), "n"),
-        capped.groupBy("cycle_s").agg(F.count_if(~F.col("accepted")).alias("n")).select("cycle_s", F.lit("subject_capped").alias("what"), "n"),
-        queued.groupBy("cycle_s").agg(F.count(F.lit(1)).alias("n")).select("cycle_s", F.lit("queued").alias("what"), "n"),
-    ]
-    counts = reduce(lambda a, b: a.union(b), parts)
-    return counts.groupBy("cycle_s").agg(*[F.coalesce(F.sum(F.when(F.col("what") == k, F.col("n"))), F.lit(0)).alias(k) for k in AFTER_GATES])
+    is_ = lambda outcome: F.col("outcome") == outcome
+    new = ~is_(emission.SEEN)
+    counts = (F.count_if(new), F.count_if(is_(emission.STORY)), F.count_if(is_(emission.SUBJECT)), F.count_if(is_(emission.FULL)), F.count_if(is_(emission.QUEUED)), F.count_if(new & (F.col("story_key") == keys.EMPTY)))
+    return decided.groupBy("cycle_s").agg(*[c.alias(k) for k, c in zip(AFTER_GATES, counts, strict=True)])
 
 
 def full_funnel(items: DataFrame, ledger: DataFrame | None = None, most: int = V.CYCLE_MAX, **how) -> DataFrame:
-    """All counters of each cycle, from the fetched items to the queue."""
-    after = funnel_after_gates(candidates(items, ledger, **how), most)
-    rows = funnel(judged(items, **how)).join(after, "cycle_s", "left")
-    return rows.select(*[c for c in rows.columns if c not in AFTER_GATES], *[F.coalesce(c, F.lit(0)).alias(c) for c in AFTER_GATES])
+    """All counters of each cycle, from the fetched items to the queue; items are judged once."""
+    rows = kept_once(flagged(items, **how))
+    after = after_gates(emission.decided(candidates_of(rows, ledger), emission.Limits(most)))
+    found = funnel(rows).join(after, "cycle_s", "left")
+    return found.select(*[c for c in found.columns if c not in AFTER_GATES], *[F.coalesce(c, F.lit(0)).alias(c) for c in AFTER_GATES])
 
 
-def write_up(queued: DataFrame, generated: DataFrame, limit: int = V.DAILY_LIMIT, most: int = V.QUEUE_MAX) -> DataFrame:
+def write_up(queued: DataFrame, generated: DataFrame, limit: int = V.DAILY_LIMIT, most: int = V.QUEUE_MAX, ledger: DataFrame | None = None) -> DataFrame:
     """Queued items with their generated texts, judged for publication: the posts of a day's queue.
 
-    queued: items as `curate` gives them, with day and whatever rendering reads; generated: uid,
-    provider, raw.  A post costs one call, or two if it needs an editor.  `outcome` is `sent`,
-    `no_text` (nothing was generated), `budget` (the day's budget is spent) or the gate's problem.
+    queued: items as `curate` gives them, each uid once, with day and whatever rendering reads;
+    generated: uid, provider, raw.  `outcome` is the first that holds: `seen` (in the ledger by the
+    time it is drained), `budget` (the day's budget is spent), `no_text` (nothing was generated),
+    the gate's problem, `sent`.  What is sent costs one call, or two if it needs an editor; all
+    else costs nothing, so it takes no other post's place.
     """
     drained = queue(queued, most)
+    if ledger is not None:
+        drained = drained.join(ledger.select("uid", F.lit(True).alias("_sent")).distinct(), "uid", "left")
     read = generated.select("uid", "provider", T.parse_model_output(F.col("raw")).alias("_f")).select("uid", "provider", "_f.prefix", "_f.text", "_f.tickers")
     rows = drained.join(read, "uid", "left")
     editor = posts.needs_editor(posts.credibility_label(rows), F.col("score"), F.col("text"))
-    rows = rows.withColumns({"editor_used": F.coalesce(editor, F.lit(False)), "seq": F.col("drain"), "impact": F.col("score")})
-    rows = daily_budget(rows.withColumn("cost", F.when(F.col("editor_used"), 2).otherwise(1)), limit)
-    judged_posts = posts.quality_gate(posts.render(rows))
-    outcome = F.when(F.col("provider").isNull(), "no_text").when(~F.col("passed"), "budget").otherwise(F.coalesce("problem", F.lit("sent")))
-    return judged_posts.withColumn("outcome", outcome)
+    rows = posts.quality_gate(posts.render(rows.withColumn("editor_used", F.coalesce(editor, F.lit(False)))))
+    seen = F.coalesce("_sent", F.lit(False)) if ledger is not None else F.lit(False)
+    sound = ~seen & F.col("provider").isNotNull() & F.col("problem").isNull()
+    cost = F.when(~sound, 0).when(F.col("editor_used"), 2).otherwise(1)
+    rows = daily_budget(rows.withColumns({"seq": F.col("drain"), "impact": F.col("score"), "cost": cost}), limit)
+    outcome = F.when(seen, "seen").when(~F.col("passed"), "budget").when(F.col("provider").isNull(), "no_text").otherwise(F.coalesce("problem", F.lit("sent")))
+    return rows.withColumn("outcome", outcome).drop("_sent")
 
 
 def record(written: DataFrame, ledger: str, archive: str, rejected: str) -> None:
-    """Sends what `write_up` let pass to the ledger and the archive, and keeps the rest in a table of its own, with its outcome."""
+    """Sends what `write_up` let pass to the ledger and the archive, and keeps the rest in a table of its own, with its outcome.
+
+    Recorded twice it is as recorded once: each table takes a uid (the last one a uid, outcome and
+    day) once.  The ledger comes last, so what it lacks after a failure is recorded again.
+    """
     written = kept_once(written)
     sent = written.where("outcome = 'sent'").withColumn("sent_at", F.timestamp_seconds("observed_s"))
     ledgers.append_archive(sent.withColumns({"created_at": F.col("sent_at"), "provider_used": F.col("provider")}), archive)
+    ledgers.append_rejected(written.where("outcome <> 'sent'"), rejected)
     ledgers.append_sent(sent, ledger)
-    written.where("outcome <> 'sent'").select("uid", "story_key", "source_id", "title", "link", "outcome", "day").write.mode("append").parquet(rejected)
 
 
 def top_item(items: DataFrame) -> DataFrame:

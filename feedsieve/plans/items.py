@@ -84,4 +84,15 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(item_sql("{events}", "unix_seconds(ts)"), events=spread(events))
 
 
+#: Later cycles, in hours, that deliver an item again.
+DELIVERIES = ((0, 0), (1, 1), (2, 2), (3, 30))
+AGAIN = "SELECT * REPLACE (arrival * 4 + i AS arrival, observed_s + 3600 * h AS observed_s) FROM items, (VALUES " + ", ".join(map(str, DELIVERIES)) + ") AS d(i, h)"
+
+
+def redelivered(rows: DataFrame) -> DataFrame:
+    """Each item as a feed gives it that lists it for some polls and once more later."""
+    times = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(h).alias("h")) for i, h in DELIVERIES]))
+    return rows.withColumn("_d", times).withColumns({"arrival": F.col("arrival") * 4 + F.col("_d.i"), "observed_s": F.col("observed_s") + 3600 * F.col("_d.h")}).drop("_d")
+
+
 DUCK_ITEMS = "items AS (" + item_sql("events", "floor(epoch(ts))::BIGINT") + ")"

@@ -1,8 +1,10 @@
 """Curation and alerts over streams.
 
-Windows that forget what they suppressed keep a state per key and expire with event time.
-Whatever must happen once goes through `foreachBatch`: output first, then the ledger, both
-keyed, so a batch that is run again adds nothing.
+Windows that forget what they suppressed keep a state per key, which may start from a ledger, and
+expire with event time.  Whatever must happen once goes through `foreachBatch`: output first,
+then the ledger, both keyed, so a batch that is run again adds nothing.  `emit` is given the
+batch's number; an output that is keyed by it (see `to_folder`) is written over by a batch
+that is run again.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from feedsieve.operators import calendar as A
 from feedsieve.operators import curate as C
 from feedsieve.sources import ledgers
 
+Emit = Callable[[DataFrame, int], None]
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -36,6 +39,12 @@ class AcceptWindow(StatefulProcessor):
         self.handle = handle
         self.accepted = handle.getValueState("accepted", "times array<long>")
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Starts with a key's accepted times before the stream."""
+        times = sorted(int(t) for t in initialState[self.time])
+        self.accepted.update((times,))
+        self.handle.registerTimer((max(times) + self.window + 1) * 1000)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self.accepted.get()
         times = [int(t) for t in held[0]] if held else []
@@ -60,20 +69,50 @@ class AcceptWindow(StatefulProcessor):
         pass
 
 
-def _windowed(stream: DataFrame, key: str, time: str, window: int, most: int, strict: bool, late_hours: int) -> DataFrame:
-    """Rows that come later than `late_hours` after the newest one are left out, as the age filter would do."""
+def _windowed(stream: DataFrame, key: str, time: str, window: int, most: int, strict: bool, late_hours: int, earlier: DataFrame | None) -> DataFrame:
+    """Rows that come later than `late_hours` after the newest one are left out, as the age filter would do.
+
+    earlier: rows that were accepted before the stream began (the key and time columns), as from a
+    ledger; read once, when the stream starts without a checkpoint.
+    """
     schema = ", ".join(f"{c} {t}" for c, t in stream.dtypes) + ", accepted boolean"
     worker = AcceptWindow(key, time, window, most, strict, stream.columns)
     timed = stream.withColumn("_at", F.timestamp_seconds(F.col(time))).withWatermark("_at", f"{late_hours} hours")
-    return timed.groupBy(key).transformWithStateInPandas(worker, schema, "Append", "eventTime")
+    start = None if earlier is None else earlier.select(key, time).groupBy(key)
+    return timed.groupBy(key).transformWithStateInPandas(worker, schema, "Append", "eventTime", start)
+
 
+def stream_story_dedup(stream: DataFrame, hours: int = V.STORY_HOURS, time: str = "cycle_s", late_hours: int = V.MAX_AGE_HOURS, earlier: DataFrame | None = None) -> DataFrame:
+    return _windowed(stream, "story_key", time, hours * 3600, 1, False, late_hours, earlier)
 
-def stream_story_dedup(stream: DataFrame, hours: int = V.STORY_HOURS, time: str = "cycle_s", late_hours: int = V.MAX_AGE_HOURS) -> DataFrame:
-    return _windowed(stream, "story_key", time, hours * 3600, 1, False, late_hours)
 
+def stream_subject_cap(stream: DataFrame, hours: int = V.SUBJECT_HOURS, most: int = V.SUBJECT_MAX, time: str = "cycle_s", late_hours: int = V.MAX_AGE_HOURS, earlier: DataFrame | None = None) -> DataFrame:
+    return _windowed(stream, "subject_key", time, hours * 3600, most, True, late_hours, earlier)
 
-def stream_subject_cap(stream: DataFrame, hours: int = V.SUBJECT_HOURS, most: int = V.SUBJECT_MAX, time: str = "cycle_s", late_hours: int = V.MAX_AGE_HOURS) -> DataFrame:
-    return _windowed(stream, "subject_key", time, hours * 3600, most, True, late_hours)
+
+def to_folder(path: str) -> Emit:
+    """An output for `emit`: the rows of each batch in a folder of their own, which a batch that is run again writes over."""
+    return lambda rows, batch_id: rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def _cycles(stream: DataFrame, cycle_seconds: int, late_hours: int) -> DataFrame:
+    return stream.withColumn("_at", F.timestamp_seconds("observed_s")).withWatermark("_at", f"{late_hours} hours")
+
+
+def stream_funnel(stream: DataFrame, cycle_seconds: int = V.CYCLE_SECONDS, late_hours: int = V.MAX_AGE_HOURS) -> DataFrame:
+    """Counters of each cycle over a stream of items, for update output; equal to `curate.funnel` however the stream is split.
+
+    A cycle's state goes when the watermark has passed it.
+    """
+    rows = C.judged(_cycles(stream, cycle_seconds, late_hours), cycle_seconds)
+    by_cycle = rows.groupBy(F.window("_at", f"{cycle_seconds} seconds"), "cycle_s")
+    return by_cycle.agg(*[c.alias(k) for k, c in C.gate_counts().items()]).drop("window")
+
+
+def stream_source_counts(stream: DataFrame, cycle_seconds: int = V.CYCLE_SECONDS, late_hours: int = V.MAX_AGE_HOURS) -> DataFrame:
+    """Items of each cycle and source over a stream, for update output."""
+    rows = _cycles(stream, cycle_seconds, late_hours).withColumn("cycle_s", C.cycle_start(F.col("observed_s"), cycle_seconds))
+    return rows.groupBy(F.window("_at", f"{cycle_seconds} seconds"), "cycle_s", "source_id").agg(F.count(F.lit(1)).alias("n")).drop("window")
 
 
 def recent_once(stream: DataFrame, hours: int = V.MAX_AGE_HOURS) -> DataFrame:
@@ -81,47 +120,70 @@ def recent_once(stream: DataFrame, hours: int = V.MAX_AGE_HOURS) -> DataFrame:
     return stream.withWatermark("observed_at", f"{hours} hours").dropDuplicatesWithinWatermark(["uid"])
 
 
-def curate_batch(ledger: str, rejected: str, emit: Callable[[DataFrame], None], cycle_seconds: int = V.CYCLE_SECONDS, most: int = V.CYCLE_MAX) -> Callable[[DataFrame, int], None]:
+def curate_batch(ledger: str, rejected: str, emit: Emit, cycle_seconds: int = V.CYCLE_SECONDS, most: int = V.CYCLE_MAX, max_age: int = V.MAX_AGE_HOURS) -> Callable[[DataFrame, int], None]:
     """A `foreachBatch` function: judges a batch, emits what is new, and marks it sent afterwards.
 
     Items rejected for age or history go to a ledger of their own and are not judged again; low
     scores are not marked.  Emission comes before the ledger, so a failure is tried again.  The
     story and subject windows and the cycle's cap go on from the sent ledger.
+
+    A batch reads the ledgers' days from its oldest item's age limit and longest window on: what is
+    older cannot be delivered again within its age, and holds no window.
     """
+    reach = 3600 * max(max_age, V.STORY_HOURS, V.SUBJECT_HOURS)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = ledgers.load_seen(spark, ledger).select("uid").union(ledgers.load_seen(spark, rejected).select("uid")).distinct()
+        batch = batch.persist()
+        oldest = batch.agg(F.min("observed_s")).first()[0]
+        if oldest is None:
+            batch.unpersist()
+            return
+        since = F.to_date(F.timestamp_seconds(F.lit(oldest - reach)))
+        seen = ledgers.load_seen(spark, ledger, since).select("uid").union(ledgers.load_seen(spark, rejected, since).select("uid")).distinct()
         fresh = C.with_keys(batch).join(seen, "uid", "left_anti").persist()
-        judged = C.judged(fresh, cycle_seconds)
-        stale = judged.where(F.col("age_reason").isNotNull() | F.col("is_historical"))
-        sent = ledgers.read(spark, ledger, ledgers.SENT).withColumn("subject_key", F.coalesce("subject_key", subject_key(F.col("title"))))
+        judged = C.judged(fresh, cycle_seconds, max_age=max_age)
+        stale = judged.where(C.STALE)
+        sent = ledgers.read(spark, ledger, ledgers.SENT, since).withColumn("subject_key", F.coalesce("subject_key", subject_key(F.col("title"))))
         sent = sent.withColumn("cycle_s", C.cycle_start(F.unix_seconds("sent_at"), cycle_seconds))
-        chosen = C.curate_after(fresh.drop("uid", "story_key", "subject_key"), sent, most, cycle_seconds=cycle_seconds).persist()
-        emit(chosen)
+        chosen = C.curate_after(fresh.drop("uid", "story_key", "subject_key"), sent, most, cycle_seconds=cycle_seconds, max_age=max_age).persist()
+        emit(chosen, batch_id)
         keys = ("uid", "story_key", "subject_key", "source_id", "title", "link")
         # a late item was sent in the cycle that it was judged in
-        ledgers.append_sent(chosen.select(*keys, F.timestamp_seconds(F.greatest("observed_s", "cycle_s")).alias("sent_at")), ledger)
-        ledgers.append_sent(stale.select(*keys, F.timestamp_seconds("observed_s").alias("sent_at")), rejected)
-        chosen.unpersist()
-        fresh.unpersist()
+        days = 1 + reach // 86400
+        ledgers.append_sent(chosen.select(*keys, F.timestamp_seconds(F.greatest("observed_s", "cycle_s")).alias("sent_at")), ledger, days)
+        ledgers.append_sent(stale.select(*keys, F.timestamp_seconds("observed_s").alias("sent_at")), rejected, days)
+        for df in (chosen, fresh, batch):
+            df.unpersist()
 
     return run
 
 
-def stream_curate(stream: DataFrame, checkpoint: str, ledger: str, rejected: str, emit: Callable[[DataFrame], None], available_now: bool = False, **how):
+def stream_curate(stream: DataFrame, checkpoint: str, ledger: str, rejected: str, emit: Emit, available_now: bool = False, **how):
     """Starts the curation of a stream of items."""
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{V.CYCLE_SECONDS} seconds"}
     return stream.writeStream.foreachBatch(curate_batch(ledger, rejected, emit, **how)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def alert_batch(events: DataFrame, ledger: str, emit: Callable[[DataFrame], None], grace_minutes: int = V.GRACE_MINUTES) -> Callable[[DataFrame, int], None]:
-    """A `foreachBatch` function over ticks (tick_s): emits due alerts once and marks them fired afterwards."""
+Calendar = DataFrame | Callable[[SparkSession], DataFrame]
+
+
+def alert_batch(events: Calendar, ledger: str, emit: Emit, grace_minutes: int = V.GRACE_MINUTES) -> Callable[[DataFrame, int], None]:
+    """A `foreachBatch` function over ticks (tick_s): emits due alerts once and marks them fired afterwards.
+
+    events: a calendar, or a function that reads it as it stands.  The latter is read anew for each
+    batch, so an event that is moved, cancelled or added while the stream runs fires by its last state.
+    """
 
     def run(ticks: DataFrame, batch_id: int) -> None:
-        fired = ledgers.read(ticks.sparkSession, ledger, ledgers.FIRED)
-        new = A.render_alert(A.unfired(A.due_alerts(events, ticks.select("tick_s").distinct(), grace_minutes), fired)).persist()
-        emit(new)
+        spark = ticks.sparkSession
+        now = events(spark) if callable(events) else events
+        oldest = ticks.agg(F.min("tick_s")).first()[0]
+        # an alert that is due was fired within the grace before, or not at all
+        since = None if oldest is None else F.to_date(F.timestamp_seconds(F.lit(oldest - grace_minutes * 60)))
+        fired = ledgers.read(spark, ledger, ledgers.FIRED, since)
+        new = A.render_alert(A.unfired(A.due_alerts(now, ticks.select("tick_s").distinct(), grace_minutes), fired)).persist()
+        emit(new, batch_id)
         ledgers.mark_alerts_fired(new.withColumn("fired_at", F.timestamp_seconds("tick_s")), ledger)
         new.unpersist()
 
@@ -134,7 +196,7 @@ def ticks(spark: SparkSession, seconds: int = V.TICK_SECONDS) -> DataFrame:
     return rate.select(F.unix_seconds("timestamp").alias("tick_s")).where(F.col("tick_s") % seconds == 0)
 
 
-def stream_alerts(ticking: DataFrame, events: DataFrame, checkpoint: str, ledger: str, emit: Callable[[DataFrame], None], available_now: bool = False, grace_minutes: int = V.GRACE_MINUTES):
+def stream_alerts(ticking: DataFrame, events: Calendar, checkpoint: str, ledger: str, emit: Emit, available_now: bool = False, grace_minutes: int = V.GRACE_MINUTES):
     """Starts the alerts of a calendar over a stream of ticks."""
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{V.TICK_SECONDS} seconds"}
     return ticking.writeStream.foreachBatch(alert_batch(events, ledger, emit, grace_minutes)).option("checkpointLocation", checkpoint).trigger(**trigger).start()

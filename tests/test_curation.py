@@ -193,15 +193,17 @@ def test_write_up_and_record(spark, tmp_path):
     text = "ПРЕФИКС: ⚡️\nТЕКСТ: Visa покупает лабораторию за $5 млрд\nТИКЕРЫ: V"
     generated = spark.createDataFrame([("u0", "m", text), ("u1", "m", '{"prefix": "", "text": "Visa покупает лабораторию за $5 млрд", "tickers": ""}'), ("u2", "m", "ТЕКСТ: мало"), ("u4", "m", text), ("u5", "m", text)], "uid string, provider string, raw string")
     got = {r["uid"]: r for r in C.write_up(queued, generated, limit=5).collect()}
-    assert {k: r["outcome"] for k, r in got.items()} == {"u0": "sent", "u1": "sent", "u2": "too_few_words", "u3": "no_text", "u4": "budget", "u5": "budget"}
+    assert {k: r["outcome"] for k, r in got.items()} == {"u0": "sent", "u1": "sent", "u2": "too_few_words", "u3": "no_text", "u4": "sent", "u5": "budget"}
     assert got["u0"]["editor_used"] and not got["u1"]["editor_used"] and "Visa покупает" in got["u0"]["post"] and "«" not in got["u0"]["post"]
     paths = [str(tmp_path / x) for x in ("sent", "archive", "rejected")]
     C.record(C.write_up(queued, generated, limit=5), *paths)
-    C.record(C.write_up(queued, generated, limit=5).where("uid = 'u0'"), *paths)
+    C.record(C.write_up(queued, generated, limit=5), *paths)
     sent = spark.read.parquet(paths[0])
-    assert sorted(r["uid"] for r in sent.collect()) == ["u0", "u1"]
+    assert sorted(r["uid"] for r in sent.collect()) == ["u0", "u1", "u4"]
     archive = spark.read.parquet(paths[1])
-    assert "dt" in archive.columns and archive.where("uid = 'u1'").first()["editor_used"] is False
-    assert spark.read.parquet(paths[2]).groupBy("outcome").count().count() == 3
+    assert "dt" in archive.columns and archive.where("uid = 'u1'").first()["editor_used"] is False and archive.count() == 3
+    assert sorted(r["outcome"] for r in spark.read.parquet(paths[2]).collect()) == ["budget", "no_text", "too_few_words"]
+    seen = C.write_up(queued, generated, limit=5, ledger=sent.where("uid = 'u0'"))
+    assert {r["uid"]: r["outcome"] for r in seen.collect()} == {"u0": "seen", "u1": "sent", "u2": "too_few_words", "u3": "no_text", "u4": "sent", "u5": "sent"}
     left = C.status_metrics(sent.withColumn("sent_s", F.unix_seconds("sent_at")), F.lit(86400 + 100), limit=10).first()
-    assert (left["budget_used"], left["budget_left"], left["published"]) == (2, 8, 2)
+    assert (left["budget_used"], left["budget_left"], left["published"]) == (3, 7, 3)

@@ -62,7 +62,7 @@ def test_tick_stream_fires_once(spark, tmp_path):
         spark.createDataFrame([(at + 60 * k,)], "tick_s long").coalesce(1).write.mode("append").parquet(str(tmp_path / "ticks"))
     live = spark.readStream.schema("tick_s long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ticks"))
     for _ in range(2):
-        S.stream_alerts(live, events, str(tmp_path / "c"), str(tmp_path / "fired"), lambda df: posts.extend(df.collect()), available_now=True).awaitTermination(120)
+        S.stream_alerts(live, events, str(tmp_path / "c"), str(tmp_path / "fired"), lambda df, _: posts.extend(df.collect()), available_now=True).awaitTermination(120)
     assert len(posts) == 1
     assert S.ticks(spark).isStreaming and S.ticks(spark).columns == ["tick_s"]
 
@@ -109,7 +109,7 @@ def test_alert_batch_fires_once(spark, tmp_path):
     events = A.load(raw(spark, {"tz": "UTC", "time": "2026-01-15 14:00"}))
     ticks = spark.createDataFrame([(1768485600 - 3600 + 60,)], "tick_s long")
     posts = []
-    run = S.alert_batch(events, str(tmp_path / "fired"), lambda df: posts.extend(df.collect()))
+    run = S.alert_batch(events, str(tmp_path / "fired"), lambda df, _: posts.extend(df.collect()))
     run(ticks, 0)
     run(ticks, 1)
     assert len(posts) == 1
@@ -120,7 +120,7 @@ def test_curate_batch_emits_once(spark, tmp_path):
 
     rows = spark.createDataFrame([item(1, "Visa acquires rival, SEC approves", guid="g")], ITEM)
     out = []
-    run = S.curate_batch(str(tmp_path / "sent"), str(tmp_path / "rejected"), lambda df: out.extend(df.collect()))
+    run = S.curate_batch(str(tmp_path / "sent"), str(tmp_path / "rejected"), lambda df, _: out.extend(df.collect()))
     run(rows, 0)
     run(rows, 1)
     assert len(out) == 1
@@ -131,7 +131,7 @@ def test_curate_batch_windows_reach_over_batches(spark, tmp_path):
 
     title, hour, at = "Visa acquires rival, SEC approves", 3600, 1_000_800
     out = []
-    run = S.curate_batch(str(tmp_path / "sent"), str(tmp_path / "rejected"), lambda df: out.extend(r["uid"] for r in df.collect()))
+    run = S.curate_batch(str(tmp_path / "sent"), str(tmp_path / "rejected"), lambda df, _: out.extend(r["uid"] for r in df.collect()))
     for k, hours in enumerate((0, -1, 7)):  # one story under other uids, once late and once after its window
         run(spark.createDataFrame([item(k, title, guid=f"g{k}", observed=at + hours * hour)], ITEM), k)
         assert len(out) == (2 if k == 2 else 1)
@@ -142,7 +142,7 @@ def test_cycle_cap_counts_earlier_batches(spark, tmp_path):
 
     names = ["Visa", "Oracle", "Netflix", "Walmart"]
     out = []
-    run = S.curate_batch(str(tmp_path / "sent"), str(tmp_path / "rejected"), lambda df: out.extend(df.collect()), cycle_seconds=3600)
+    run = S.curate_batch(str(tmp_path / "sent"), str(tmp_path / "rejected"), lambda df, _: out.extend(df.collect()), cycle_seconds=3600)
     for k in (0, 1):
         run(spark.createDataFrame([item(i, f"{names[i]} acquires rival for cash, SEC approves", observed=10_000_820 + i, guid=str(i)) for i in (2 * k, 2 * k + 1)], ITEM), k)
     assert len(out) == 3
