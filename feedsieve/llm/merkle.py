@@ -7,7 +7,7 @@ for each level the digests left and right of its node.
 
 Trees grow by appending.  `Frontier` keeps the open run of each level; a run that is full, or
 closed at the end, becomes one node of the next level, and at that moment its members' witnesses
-are extended by their siblings.  Leaves are appended in aligned blocks of `ARITY ** HEIGHT`, each
+are extended by their siblings.  Leaves are appended in aligned blocks of `ARITY ** height`, each
 block in one task, which gives the blocks' roots.  These are appended in turn, so there are as
 many tiers as the largest group needs.  A second pass over the leaves appends them again with
 witnesses, which are then extended by their block's, so that witnesses are never shuffled.
@@ -30,7 +30,6 @@ from feedsieve.llm.common import ascii_lower, crc32_mod, in_order, sized, small_
 
 ARITY = 8
 HEIGHT = 4
-BLOCK = ARITY**HEIGHT
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 NODE = "tree long, place long, size long, digest binary"
 PATH = "lefts array<binary>, rights array<binary>"
@@ -51,10 +50,10 @@ def node_of(digests: list[bytes]) -> bytes:
     return sha256("".join(d.hex() for d in digests).encode()).digest()
 
 
-def height_of(size: int) -> int:
+def height_of(size: int, most: int) -> int:
     """Levels above the leaves of a tree, at most those of a block."""
     levels = 0
-    while size > 1 and levels < HEIGHT:
+    while size > 1 and levels < most:
         size, levels = -(-size // ARITY), levels + 1
     return levels
 
@@ -110,39 +109,40 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def _by_block(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.floor(F.col("place") / BLOCK)).repartition("tree", "block").sortWithinPartitions("tree", "block", "place")
+def _block(height: int) -> Column:
+    return F.floor(F.col("place") / ARITY**height).alias("block")
 
 
-def block_roots(nodes: DataFrame) -> DataFrame:
+def block_roots(nodes: DataFrame, height: int) -> DataFrame:
     """The roots of aligned blocks, as nodes of the next tier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _blocks(batches):
-            tree = Frontier(height_of(rows[0]["size"]), False)
+            tree = Frontier(height_of(rows[0]["size"], height), False)
             for row in rows:
                 tree.append(row["digest"])
-            made = (rows[0]["tree"], rows[0]["block"], -(-rows[0]["size"] // BLOCK), tree.close())
+            made = (rows[0]["tree"], rows[0]["block"], -(-rows[0]["size"] // ARITY**height), tree.close())
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(made, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["tree", "place", "size", "digest"])
 
-    return _by_block(nodes.select("tree", "place", "size", "digest")).mapInArrow(run, NODE)
+    ordered = nodes.select("tree", "place", "size", "digest", _block(height)).repartition("tree", "block").sortWithinPartitions("tree", "block", "place")
+    return ordered.mapInArrow(run, NODE)
 
 
-def witnessed(nodes: DataFrame, above: DataFrame, kept: str) -> DataFrame:
+def witnessed(nodes: DataFrame, above: DataFrame, kept: str, height: int) -> DataFrame:
     """Nodes with witnesses (lefts, rights), which go on with those of their block in `above` (tree, place, lefts, rights, root, subroot).
 
     A block's row goes before its nodes in the same task.  `kept` names further columns of the nodes, with types.
     """
     names = [c.split()[0] for c in kept.split(", ")] if kept else []
     facts = above.select("tree", F.col("place").alias("block"), F.lit(-1).cast("long").alias("place"), "lefts", "rights", "subroot", "root")
-    rows = nodes.select("tree", "place", "size", "digest", *names, F.floor(F.col("place") / BLOCK).alias("block")).unionByName(facts, allowMissingColumns=True)
+    rows = nodes.select("tree", "place", "size", "digest", *names, _block(height)).unionByName(facts, allowMissingColumns=True)
     schema = f"tree long, place long, digest binary, {kept + ', ' if kept else ''}{PATH}, subroot binary, root binary"
     kinds = {"long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}
     fields = {name: kinds[kind] for name, kind in (c.split() for c in schema.split(", "))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fact, *rows in _blocks(batches):
-            tree = Frontier(height_of(rows[0]["size"]), True)
+            tree = Frontier(height_of(rows[0]["size"], height), True)
             for row in rows:
                 tree.append(row["digest"])
             tree.close()
@@ -155,23 +155,23 @@ def witnessed(nodes: DataFrame, above: DataFrame, kept: str) -> DataFrame:
     return ordered.mapInArrow(run, schema)
 
 
-def _tiers(nodes: DataFrame) -> list[DataFrame]:
+def _tiers(nodes: DataFrame, height: int) -> list[DataFrame]:
     """The nodes, the roots of their blocks, the roots of these one's blocks, until each tree has one node."""
     tiers, most = [nodes], nodes.agg(F.max("size")).first()[0] or 0
     while most > 1:
-        tiers.append(written(block_roots(tiers[-1]), "merkle"))
-        most = -(-most // BLOCK)
+        tiers.append(written(block_roots(tiers[-1], height), "merkle"))
+        most = -(-most // ARITY**height)
     return tiers
 
 
-def _down(tiers: list[DataFrame], above: DataFrame) -> DataFrame:
+def _down(tiers: list[DataFrame], above: DataFrame, height: int) -> DataFrame:
     """Witnesses of the lowest tier but one, from the witness of each tree's root (tree, place 0)."""
     for tier in reversed(tiers[1:-1]):
-        above = written(witnessed(tier, above, ""), "merkle")
+        above = written(witnessed(tier, above, "", height), "merkle")
     return above
 
 
-def with_witnesses(rows: DataFrame, tree: str, kept: str) -> DataFrame:
+def with_witnesses(rows: DataFrame, tree: str, kept: str, height: int = HEIGHT) -> DataFrame:
     """Rows (`tree` column, doc_id, digest and `kept`) with tree root, dataset root and witness.
 
     Rows of a tree go by doc_id, then by digest; trees by their column's value in bytes.
@@ -183,13 +183,13 @@ def with_witnesses(rows: DataFrame, tree: str, kept: str) -> DataFrame:
     trees = in_order(trees, ["_first"], "merkle").withColumnRenamed("place", "_tree")
     names = [c.split()[0] for c in kept.split(", ")]
     leaves = placed.join(sized(trees), F.col(tree).eqNullSafe(F.col("_value"))).select(F.col("_tree").alias("tree"), (F.col("place") - F.col("_first")).alias("place"), "size", "digest", *names)
-    tiers = _tiers(leaves)
+    tiers = _tiers(leaves, height)
     tops = tiers[-1].select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("place"), F.lit(trees.count()).cast("long").alias("size"), "digest")
-    upper = _tiers(tops)
+    upper = _tiers(tops, height)
     root = upper[-1].select("tree", "place", *_nothing(), F.col("digest").alias("subroot"), F.col("digest").alias("root"))
-    whole = witnessed(tops, _down(upper, root), "")
+    whole = witnessed(tops, _down(upper, root, height), "", height)
     facts = whole.select(F.col("place").alias("tree"), F.lit(0).cast("long").alias("place"), "lefts", "rights", F.col("digest").alias("subroot"), "root")
-    return witnessed(leaves, _down(tiers, written(facts, "merkle")), kept)
+    return witnessed(leaves, _down(tiers, written(facts, "merkle"), height), kept, height)
 
 
 def _nothing() -> list[Column]:
@@ -211,7 +211,7 @@ def proof_digest(lefts: Column, rights: Column) -> Column:
     return F.sha2(F.array_join(F.zip_with(lefts, rights, lambda a, b: F.concat(_hex(a), _hex(b))), ""), 256)
 
 
-def manifest(docs: DataFrame, tree: str = "lang", other: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, tree: str = "lang", other: Column | None = None, height: int = HEIGHT) -> DataFrame:
     """(doc_id, digest, lefts, rights, subroot, root, changed) of every row: the manifest of documents by `tree`.
 
     `changed` is the digest of the row with the text `other` in place of its own, and null where `other` is null.
@@ -222,13 +222,13 @@ def manifest(docs: DataFrame, tree: str = "lang", other: Column | None = None) -
     if other is not None:
         changed = F.when(other.isNotNull(), changed)
     rows = docs.select(F.col(tree).cast("string").alias("_tree_value"), values[0].alias("doc_id"), leaf(values).alias("digest"), changed.alias("changed"))
-    return with_witnesses(rows, "_tree_value", "doc_id long, changed binary")
+    return with_witnesses(rows, "_tree_value", "doc_id long, changed binary", height)
 
 
-def op11(docs: DataFrame) -> DataFrame:
+def op11(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
     """A third of the rows are looked up with their text in lower case, the others as they are; see `manifest`."""
     tampered = F.when(crc32_mod(F.col("doc_id"), 3) == 0, ascii_lower(F.col("text").cast("string")))
-    rows = manifest(docs, other=tampered).withColumn("folded_root", folded(F.coalesce("changed", "digest"), F.col("lefts"), F.col("rights")))
+    rows = manifest(docs, other=tampered, height=height).withColumn("folded_root", folded(F.coalesce("changed", "digest"), F.col("lefts"), F.col("rights")))
     root = _hex(F.col("root"))
     return rows.select("doc_id", _hex(F.col("digest")).alias("leaf"), _hex(F.col("subroot")).alias("subroot"), root.alias("root"), proof_digest(F.col("lefts"), F.col("rights")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == root).alias("verified"))
 

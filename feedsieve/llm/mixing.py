@@ -1,9 +1,12 @@
 """Mixing sources to target weights: temperature mixing in DataFrame expressions alone.
 
 Each source's share of all tokens is raised to an exponent and normalised.  The
-exponent is found by bisection so that the weights meet a target entropy: below one it
-levels sources that are too uneven, above one it sharpens sources that are too even.  A
-limit on repetition then keeps the exponent near enough to one.  Each pass over the
+exponent is found by bisection so that the weights meet a target entropy, which is part of the
+way from the entropy that the sources have to that of equal weights unless one is given: below
+one it levels sources that are too uneven.  Above one it would sharpen sources that are more
+even than a target that is given; it goes so far only if `exponents` says so.  A limit on
+repetition then keeps the exponent near enough to one.  The mixture says what its target
+was, what entropy it has, and what stood in between (`limited_by`).  Each pass over the
 small table of sources weighs fifteen inner points at once, which is four bisection
 steps.  A source then gets its weight of the token budget: whole passes over its
 documents and a part of one more.
@@ -33,8 +36,10 @@ from feedsieve.llm.common import SPACES, checkpoint, columns_of, free_name
 
 POINTS = 15
 PASSES = 12
-#: The exponents that bisection may choose from.
-EXPONENTS = (0.0, 8.0)
+#: The exponents that bisection may choose from: sources are levelled, never sharpened.
+EXPONENTS = (0.0, 1.0)
+#: How far the target lies from the sources' own entropy to that of equal weights.
+LEVEL = 0.5
 #: Blocks in one stretch of a pass's order, about; sums go over stretches, then inside each.
 STRETCH_BLOCKS = 4096
 #: Sources are broadcast up to this many rows; beyond it Spark chooses the join.
@@ -99,6 +104,19 @@ def find_exponent(sources: DataFrame, total: float, entropy: float | None = None
     return found
 
 
+def target_entropy(sources: DataFrame, total: float, level: float = LEVEL) -> float:
+    """The entropy, as a share of that of equal weights, a part of the way from the sources' own to equal weights; 1 for fewer than two sources."""
+    n = sources.count()
+    return 1.0 if n < 2 else (1 - level) * _facts(sources, [1.0], total)[0][0] / math.log(n) + level
+
+
+def limited_by(exponent: float, reached: float, target: float | None, exponents: tuple[float, float]) -> str:
+    """What decided the exponent: the target, the end of the exponents, or the limit on repeats."""
+    if target is None or abs(reached - target) < 1e-6:
+        return "target"
+    return "exponents" if min(abs(exponent - e) for e in (*exponents, 1.0)) < 1e-6 else "repeats"
+
+
 def _covering(sources: DataFrame, exponent: float, total: float) -> float:
     """The tokens at which the source that is thinned most gets one pass; a little is added against rounding."""
     power = F.pow(F.col("tokens") / F.lit(total), F.lit(exponent))
@@ -124,9 +142,10 @@ def _hash(*cols) -> Column:
     return F.xxhash64(*cols)
 
 
-def mix(docs: DataFrame, entropy: float | None = 0.95, max_repeats: float | None = 4.0, budget: int | None = None, block_tokens: int = 1 << 16, seed: int = 17, keys: tuple[str, ...] = ("doc_id",), cover: bool = False, exponents: tuple[float, float] = EXPONENTS) -> DataFrame:
+def mix(docs: DataFrame, entropy: float | None = None, max_repeats: float | None = 4.0, budget: int | None = None, block_tokens: int = 1 << 16, seed: int = 17, keys: tuple[str, ...] = ("doc_id",), cover: bool = False, exponents: tuple[float, float] = EXPONENTS) -> DataFrame:
     """The mixture: a row for each time that a document is used, without its text.
 
+    `entropy` is a share of that of equal weights; see `target_entropy` if none is given.
     `budget` is in tokens; all tokens of the input if none is given.  With `cover` it is raised
     to the least budget that gives every source one whole pass, so no document is left out.
     """
@@ -134,7 +153,10 @@ def mix(docs: DataFrame, entropy: float | None = 0.95, max_repeats: float | None
     sources = checkpoint(source_tokens(measured))
     total = float(sources.agg(F.sum("tokens")).first()[0] or 1)
     budget = float(budget or total)
+    entropy = target_entropy(sources, total) if entropy is None else entropy
     exponent = find_exponent(sources, total, entropy, max_repeats, budget, cover, exponents)
+    n = max(2, sources.count())
+    reached = (_facts(sources, [exponent], total)[0][0] if sources.count() > 1 else math.log(n)) / math.log(n)
     if cover:
         budget = max(budget, _covering(sources, exponent, total))
     plan = checkpoint(quotas(sources, exponent, total, budget, block_tokens))
@@ -165,7 +187,7 @@ def mix(docs: DataFrame, entropy: float | None = 0.95, max_repeats: float | None
     inside = Window.partitionBy("source", "pass", "block").orderBy("draw", *keys)
     taken = taken.withColumn("place", F.row_number().over(inside)).withColumn("upto", F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     taken = taken.where((F.col("room") >= F.col("block_sum")) | (F.col("upto") <= F.col("room")))
-    return taken.select(*keys, "source", "n_tokens", "pass", "block", "place", "mix_at", "weight", F.lit(exponent).alias("exponent"))
+    return taken.select(*keys, "source", "n_tokens", "pass", "block", "place", "mix_at", "weight", F.lit(exponent).alias("exponent"), F.lit(entropy).alias("target_entropy"), F.lit(reached).alias("entropy"), F.lit(limited_by(exponent, reached, entropy, exponents)).alias("limited_by"))
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:

@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field.
 
 The patterns give the base spans, which always stay.  The field finds what patterns miss:
-entities broken by blanks or other signs, and repeats of an entity in another form.  Its
+entities broken by blanks or other signs, whole ones that a pattern swallows with the digits
+after them and then fails, and repeats of an entity in another form.  Its
 nodes are the tokens that hold a digit or an at sign, or stand beside a lone at sign.
 Nodes carry shape features; chain edges join neighbouring tokens; skip edges join a token
 with earlier ones that are equal or share most of the four-digit windows of the shorter
@@ -59,8 +60,10 @@ ROUNDS = 12
 #: Neighbours lie at most so many signs apart.
 NEAR = 3
 WINDOW = 4
-#: Broken copies for each training text at most.
-COPIES = 3
+#: Broken copies for each training text that has an entity.
+COPIES = 6
+#: The share of card and phone copies that are whole and swallowed.
+SWALLOWED = 0.5
 #: Tokens that one training text gives at most.
 TRAIN_TOKENS = 200
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_secret long, secrets string"
@@ -215,32 +218,43 @@ def broken(kind: int, entity: str, draw: random.Random) -> str:
     return draw.choice((entity, f"({entity})", f"{entity},"))
 
 
+def swallowed(kind: int, entity: str, draw: random.Random) -> str:
+    """What follows a card or phone number so that the pattern, which takes all it can, ends with too many digits and fails."""
+    number = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+    if kind == 3:
+        ip = ".".join(str(draw.randrange(256)) for _ in range(4))
+        return " " + draw.choice((ip, ip, f"20{number(2)}-0{draw.randint(1, 9)}-{draw.randint(10, 28)}", number(draw.randint(6, 10))))
+    return draw.choice((" ", "-")) + number(draw.randint(4, 8))
+
+
 def with_broken_copies(text: str, copies: int = COPIES) -> tuple[str, list[tuple[int, int, int]]]:
     """A training text with broken copies of some of its entities, and where these lie.
 
     A copy goes between two words, or instead of its entity, so that also broken entities without
-    a clear one are seen.  Drawn by the text alone.
+    a clear one are seen.  Some copies of card and phone numbers are whole, but stand before digits
+    that the pattern takes too.  Drawn by the text alone.
     """
     draw = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
     known = base_spans(text) + secret_spans(text)
-    edits: list[tuple[int, int, int, str]] = []
+    edits: list[tuple[int, int, int, str, str]] = []
     gaps = [m.start() for m in re.finditer(" ", text)] or [len(text)]
-    for k, a, b in draw.sample(known, min(copies, len(known))):
-        entity = broken(k, text[a:b], draw)
+    for k, a, b in draw.choices(known, k=copies) if known else ():
+        whole = k in (2, 3) and draw.random() < SWALLOWED
+        entity, tail = (text[a:b], swallowed(k, text[a:b], draw)) if whole else (broken(k, text[a:b], draw), "")
         at = draw.choice(gaps)
         if k < len(KINDS) and draw.random() < 0.15:
-            edits.append((a, b, k, entity))
+            edits.append((a, b, k, entity, tail))
         elif not any(x <= at < y for _, x, y in known):
-            edits.append((at, at, k, f" {entity}"))
+            edits.append((at, at, k, f" {entity}", tail))
     out, at, lies = [], 0, []
     size = 0
-    for a, b, k, entity in sorted(edits):
+    for a, b, k, entity, tail in sorted(edits):
         if a < at:
             continue
-        out += [text[at:a], entity]
+        out += [text[at:a], entity, tail]
         size += a - at
         lies.append((k, size + len(entity) - len(entity.lstrip()), size + len(entity)))
-        size += len(entity)
+        size += len(entity) + len(tail)
         at = b
     return "".join([*out, text[at:]]), sorted(lies, key=lambda x: x[1])
 
@@ -255,22 +269,27 @@ class Field:
 
 
 def training_rows(text: str, most: int = TRAIN_TOKENS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and neighbours' labels of a text's tokens that no pattern knows, and their labels; of more than `most` tokens, that many drawn by the text."""
+    """Features and neighbours' labels of a text's tokens that no pattern knows, and their labels; of more than `most` tokens, that many drawn by the text.
+
+    Each token comes twice, with the labels of all neighbours and with those of clamped ones alone:
+    were they always all given, its own features would hardly be learned.
+    """
     text, lies = with_broken_copies(text)
     tokens = tokens_of(text)
     given = token_labels(tokens, base_spans(text) + secret_spans(text))
     labels = np.where(given > 0, given, token_labels(tokens, lies))
     n = len(LABELS)
-    around = np.zeros((len(labels), 3 * n), np.float32)
+    around, clear = np.zeros((2, len(labels), 3 * n), np.float32)
     for side, edges in ((0, tokens.chain), (2, tokens.skip)):
         for i, j in edges:
-            around[j, side * n + labels[i]] += 1
-            around[i, (side + (side == 0)) * n + labels[j]] += 1
+            for known, a, b, at in ((given[i], i, j, side), (given[j], j, i, side + (side == 0))):
+                around[b, at * n + labels[a]] += 1
+                clear[b, at * n + labels[a]] += known > 0
     free = np.flatnonzero(given == 0)
     if len(free) > most:
         free = np.array(sorted(random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass"))).sample(free.tolist(), most)))
-    x = np.concatenate((tokens.features, around), axis=1)[free]
-    return np.minimum(x, 127).astype(np.int8), labels[free].astype(np.int8)
+    x = np.concatenate([np.concatenate((tokens.features, seen), axis=1)[free] for seen in (around, clear)])
+    return np.minimum(x, 127).astype(np.int8), np.tile(labels[free], 2).astype(np.int8)
 
 
 def fit_rows(x: np.ndarray, labels: np.ndarray, steps: int = 500, rate: float = 0.05, decay: float = 2e-4) -> Field:

@@ -1,8 +1,8 @@
 """Exact search for the largest inner products, by buckets of length.
 
 Vectors are grouped by length into buckets whose lengths differ by 5 % at most.  A query has
-a lower bound from the start: its k-th best product with a bounded number of the longest
-vectors.  That bound over the query's length says how long a vector must be at least, so buckets
+a lower bound from the start: its k-th best product with a bounded number of vectors, half of
+them the longest and half drawn by a hash.  That bound over the query's length says how long a vector must be at least, so buckets
 below it are never met.  Queries with like needs make groups, and a group meets a slice of a
 bucket in one task.
 
@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedsieve.llm.common import in_order, sized, small_batches, written
+from feedsieve.llm.common import hashed_share, in_order, sized, small_batches, written
 
 RATIO = 1.05
 SEEDS = 1024
 GROUP, SLICE = 4096, 2048
 #: From this cosine on, ranges of coordinates are worth looking up; below it they hold nearly all vectors.
-COORDINATES_FROM = 0.75
+COORDINATES_FROM = 0.6
 FOCUS = 4
 MOST = 1 << 26
 SLACK = 1e-9
@@ -145,15 +145,19 @@ class Cell:
 
 
 def with_bounds(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Adds `bound`, the k-th best product with the longest vectors, a bounded number; null where there are fewer than k."""
-    longest = vectors.orderBy(F.desc("norm"), "row").limit(SEEDS).select("row", "vec", "norm").toArrow()
-    seeds, seed_rows = matrix(longest.column("vec").combine_chunks()) if longest.num_rows else np.zeros((0, 0)), longest.column("row").to_numpy()
-    most = float(longest.column("norm")[0].as_py()) if longest.num_rows else 0.0
+    """Adds `bound`, the k-th best product with at most SEEDS vectors; minus infinity where there are fewer than k."""
+    half = SEEDS // 2
+    longest = vectors.orderBy(F.desc("norm"), "row").limit(half)
+    drawn = hashed_share(vectors, F.xxhash64("row"), half).limit(half)
+    seeds = longest.union(drawn).dropDuplicates(["row"]).select("row", "vec", "norm").toArrow().combine_chunks()
+    lists, seed_rows = seeds["vec"].combine_chunks(), seeds["row"].to_numpy()
+    vecs = matrix(lists) if len(seed_rows) else np.zeros((0, 0))
+    most = max(seeds["norm"].to_pylist(), default=0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                scores = products(matrix(b.column("vec")), seeds, most * max(b.column("norm").to_pylist())).astype(np.float64)
+                scores = products(matrix(b.column("vec")), vecs, most * max(b.column("norm").to_pylist())).astype(np.float64)
                 scores[b.column("row").to_numpy()[:, None] == seed_rows] = -np.inf
                 kth = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(b.num_rows, -np.inf)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kth)], [*b.schema.names, "bound"])

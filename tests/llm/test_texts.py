@@ -179,6 +179,20 @@ def test_field_finds_broken_entities(spark):
     assert true > 200 and true / (true + false) >= 0.9 and true / (true + missed) >= 0.8
 
 
+def test_field_finds_whole_entities_that_a_pattern_swallows(spark):
+    """A phone number before an address: the pattern takes both, counts too many digits, and fails."""
+    field = pii.fit(documents(spark, entity_texts(600, seed=3)))
+    draw, found, wrong = random.Random(8), 0, 0
+    for _ in range(60):
+        phone = f"+1 ({draw.randint(200, 999)}) 555-{draw.randint(1000, 9999)}"
+        text = f"please call {phone} {draw.randint(1, 255)}.{draw.randint(1, 255)}.7.9 said the note"
+        base, more, _ = pii.scan([text], field)[0]
+        assert [k for k, _, _ in base] == [1]
+        found += [(text[a:b], k) for k, a, b in more] == [(phone, 3)]
+        wrong += any(k != 3 for k, _, _ in more)
+    assert found >= 54 and wrong <= 2
+
+
 def test_personal_data_keeps_base_spans(spark):
     clear = entity_texts(150)
     broken = [pii.with_broken_copies(t)[0] for t in entity_texts(60, seed=10)]
@@ -466,7 +480,7 @@ def test_exponent_meets_the_target_from_both_sides(spark, monkeypatch, tilt, sid
         texts += ["w " * (5 + i % 7) for i in range(n)]
         of += [s] * n
     docs = documents(spark, texts, source=lambda i: of[i])
-    rows = mixing.mix(docs, entropy=0.95, max_repeats=4.0, block_tokens=100)
+    rows = mixing.mix(docs, entropy=0.95, max_repeats=4.0, block_tokens=100, exponents=(0.0, 8.0))
     got = rows.collect()
     tokens = {s: sum(len(t.split()) + 1 for t, o in zip(texts, of, strict=True) if o == s) for s in sizes}
     total, a = sum(tokens.values()), got[0]["exponent"]
@@ -492,6 +506,22 @@ def test_exponent_meets_the_target_from_both_sides(spark, monkeypatch, tilt, sid
     assert {r["exponent"] for r in same.collect()} == {1.0} and same.count() == 40
 
 
+def test_mixture_says_what_stood_in_its_way(spark):
+    sizes = [90, 80, 100, 70]
+    docs = documents(spark, ["w w w"] * 340, source=lambda i: f"s{next(k for k in range(4) if i < sum(sizes[: k + 1]))}")
+    facts = lambda **how: mixing.mix(docs, block_tokens=50, **how).first()
+    own = facts()
+    p = np.array(sizes) / 340
+    natural = -(p * np.log(p)).sum() / np.log(4)
+    assert own["limited_by"] == "target" and 0 < own["exponent"] < 1
+    assert abs(own["entropy"] - (1 + natural) / 2) < 1e-9 and abs(own["entropy"] - own["target_entropy"]) < 1e-9
+    even = facts(entropy=0.5)  # less even than the sources are: they are not sharpened
+    assert (even["limited_by"], even["exponent"]) == ("exponents", pytest.approx(1.0, abs=1e-6)) and even["entropy"] > 0.9
+    skewed = documents(spark, ["w w w"] * 400, source=lambda i: "a" if i < 390 else f"b{i % 2}")
+    held = mixing.mix(skewed, entropy=1.0, max_repeats=2.0, block_tokens=50).first()
+    assert held["limited_by"] == "repeats" and held["entropy"] < held["target_entropy"]
+
+
 def test_mixing_keeps_columns_of_any_name(spark):
     docs = documents(spark, ["a b", "c", None, "d e f"] * 5).withColumnsRenamed({"kept": "row", "rid": "block", "n_words": "pass"})
     docs = docs.union(docs.limit(3)).withColumn("odd.name", F.lit(1))
