@@ -9,9 +9,10 @@ Network.  A gated recurrent unit reads the last word and predicts the next one i
 factors: a softmax over classes, then a softmax over the words of the class.  The most
 frequent words fill the head classes.  All other words lie in a class for their count's
 magnitude, within which a word has its share of the class's training count.  Words
-without training count make a class of their own, within which a word is spelled: each
-byte given the one before it, by counts over the words that occur once in a part.  So the
-probabilities of all words add up to one at most, and an unknown word costs its spelling.
+without training count make a class of their own.  Within it, a word has an equal share among as
+many unseen words as the counts of rare ones let expect (`unseen_words`), or a little more if its
+spelling is likely: each byte given the one before it, by counts over the words that occur once
+in a part.  So the probabilities of all words add up to one, if there are no more unseen words.
 
 Training.  Every part trains on all its training documents, each in one of the rounds, by
 truncated backpropagation, in windows with the state carried over, from shared weights;
@@ -38,7 +39,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedsieve.llm.common import checkpoint, crc32_mod, dropped, small_batches, written
@@ -47,12 +48,14 @@ from feedsieve.llm.shingles import words
 FOLDS, HELD_OUT = 7, 2
 PART_CHARS = 12_000_000
 END_KEY = 0x656E64
-HEAD, WIDTH = 4096, 128
+HEAD, WIDTH = 4096, 64
 #: Upper ends of the count classes after the unknown class; the last is open.
 LEVELS = (1, 2, 3, 5, 8, 16, 32, 64, 256)
 TAILS = len(LEVELS) + 2
 SUFFIXES = 128
-HIDDEN = 32
+HIDDEN = 16
+#: The part of the unknown class that is shared equally; the rest goes by spelling.
+EQUAL = 0.9
 ROUNDS, LANES, STEPS = 3, 512, 16
 #: So many weights are averaged at once.
 FAN_IN = 16
@@ -84,6 +87,16 @@ def spelled(spelling: np.ndarray, names: np.ndarray) -> np.ndarray:
     return np.add.reduceat(spelling.ravel()[pairs], begins)
 
 
+def unseen_words(once: float, twice: float) -> float:
+    """How many words the corpus has not shown, by those that it has shown once and twice (Chao's lower bound); one at least."""
+    return max(1.0, once * once / (2 * twice) if twice else once * max(0.0, once - 1) / 2)
+
+
+def unknown(spelling: np.ndarray, names: np.ndarray, unseen: float) -> np.ndarray:
+    """Log10 probability of each unknown word within its class."""
+    return np.logaddexp(np.log(EQUAL / unseen), np.log1p(-EQUAL) + spelled(spelling, names) * LN10) / LN10
+
+
 def word_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(keys of the distinct words, suffix class of each, codes of all words, bounds of the texts, the distinct words)."""
     array, cuts = words(texts)
@@ -169,6 +182,7 @@ class Corpus:
     mass: np.ndarray
     kinds: np.ndarray
     spelling: np.ndarray
+    unseen: float
 
     @property
     def slots(self) -> int:
@@ -195,10 +209,11 @@ def corpus_of(counts: DataFrame) -> Corpus:
     mass, kinds = np.zeros(TAILS), np.zeros(TAILS)
     for r in own.groupBy(tail.alias("k")).agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("n")).collect():
         mass[r["k"]], kinds[r["k"]] = r["m"], r["n"]
+    unseen = unseen_words(kinds[1], kinds[2])
     c = top["c"].to_numpy(np.int64)
     np.subtract.at(mass, level(c), c)
     np.subtract.at(kinds, level(c), 1)
-    return Corpus(total[0] or 0, total[1] or 0, top["word"].to_numpy(np.int64), c, mass, kinds, spelling_of(pairs))
+    return Corpus(total[0] or 0, total[1] or 0, top["word"].to_numpy(np.int64), c, mass, kinds, spelling_of(pairs), unseen)
 
 
 CODED = "part long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, tail double, codes binary, targets binary, turn int"
@@ -209,7 +224,7 @@ def encode(placed: DataFrame, counts: DataFrame, corpus: Corpus) -> DataFrame:
     order = np.argsort(corpus.head)
     head, rank = corpus.head[order], np.arange(len(order))[order]
     norm = float(corpus.tokens + corpus.distinct + 1)
-    spelling = corpus.spelling
+    spelling, unseen = corpus.spelling, corpus.unseen
 
     def run(docs, table):
         known, by = np.unique(table["word"].to_numpy(), return_index=True)
@@ -229,7 +244,7 @@ def encode(placed: DataFrame, counts: DataFrame, corpus: Corpus) -> DataFrame:
             c, r = facts(keys)
             base = np.log10((c + 1) / norm)
             tail = np.where(r >= 0, 0.0, np.log10(np.maximum(c, 1) / np.maximum(corpus.mass[level(c)], 1)))
-            tail[c <= 0] = spelled(spelling, names[c <= 0])
+            tail[c <= 0] = unknown(spelling, names[c <= 0], unseen)
             code = np.where(r >= 0, r, HEAD + level(c) * SUFFIXES + suffix).astype("<u2")
             less = np.where(r >= 0, r, HEAD + level(c - 1) * SUFFIXES + suffix).astype("<u2")
             end_code = end_rank if end_rank >= 0 else HEAD + int(level(np.array([end_c]))[0]) * SUFFIXES
@@ -550,8 +565,11 @@ def encoded(docs: DataFrame) -> tuple[Corpus, DataFrame]:
     """What the whole corpus tells, and all documents as codes."""
     small_batches(docs.sparkSession)
     placed = in_parts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc32_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    same = Window.partitionBy("word")
-    counts = checkpoint(part_words(placed).select("part", "word", F.sum("n").over(same).alias("c"), (F.min("piece").over(same) == F.col("piece")).alias("first")))
+    pieces = written(part_words(placed), "words")
+    # summed before they meet, as a common word has a row in every piece; the join back splits such a word's rows
+    totals = pieces.groupBy("word").agg(F.sum("n").alias("c"), F.min("piece").alias("least"))
+    counts = checkpoint(pieces.join(totals, "word").select("part", "word", "c", (F.col("least") == F.col("piece")).alias("first")))
+    dropped(pieces)
     corpus = corpus_of(counts)
     coded = checkpoint(encode(placed, counts, corpus))
     dropped(placed)
