@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from feedsieve.functions import vocab as V
 from feedsieve.functions.matchers import contains_any, quoted
 
-# Characters that stay, what makes a sentence concrete, and the labels of model output.
+# Characters that stay, what makes a sentence concrete, corrupt strings and their repairs, years, and the labels of model output.
 ALLOWED = "Ѐ-ӿԀ-ԯA-Za-z0-9\\s.,!?:;'\"()\\[\\]«»—–\\-%$€£₽₿+/&№*@#°=<>~^|·↑↓→"
 CONCRETE = "[0-9$€£₽₿%]|«|»|[A-Za-z]{2,}"
 WORD = "[0-9A-Za-zЀ-ӿԀ-ԯ]+"
 SENTENCE_END = r"(?<=[.!?])\s+"
+CORRUPT = (("Cλυх", "Слух"), ("cλυх", "слух"), ("G00GL", "GOOGL"), ("\\cdot", "·"))
+COMMANDS, FRAGMENTS = r"\\[a-zA-Z]+", r"(?U)\b[а-яёА-ЯЁ]+·{3,}"
+YEAR = r"\b(19[0-9]{2}|20[0-9]{2})\b"
 LABELS = {"prefix": "ПРЕФИКС", "text": "ТЕКСТ", "tickers": "ТИКЕРЫ"}
 
 
@@ -61,10 +64,8 @@ def clean_body(text: Column) -> Column:
 
 def clean_artifacts(text: Column) -> Column:
     """Repairs known corrupt strings; drops backslash commands and cut-off word fragments."""
-    fixes = (("Cλυх", "Слух"), ("cλυх", "слух"), ("G00GL", "GOOGL"), ("\\cdot", "·"))
-    text = reduce(lambda t, f: F.replace(t, F.lit(f[0]), F.lit(f[1])), fixes, text)
-    text = F.regexp_replace(text, r"\\[a-zA-Z]+", "")
-    text = F.regexp_replace(text, r"(?U)\b[а-яёА-ЯЁ]+·{3,}", "")
+    text = reduce(lambda t, f: F.replace(t, F.lit(f[0]), F.lit(f[1])), CORRUPT, text)
+    text = F.regexp_replace(F.regexp_replace(text, COMMANDS, ""), FRAGMENTS, "")
     return strip(F.regexp_replace(text, " {2,}", " "))
 
 
@@ -111,7 +112,7 @@ def has_residual_artifact(body: Column) -> Column:
 
 def strip_invalid_years(body: Column, source: Column, year: Column) -> Column:
     """Drops sentences with a past year that the source does not name."""
-    form = F.lit(r"\b(19[0-9]{2}|20[0-9]{2})\b")
+    form = F.lit(YEAR)
     known = F.regexp_extract_all(source, form, F.lit(1))
     invented = lambda s: F.exists(F.regexp_extract_all(s, form, F.lit(1)), lambda y: (y.cast("int") < year) & ~F.array_contains(known, y))
     return strip(F.array_join(F.filter(sentences(body), lambda s: ~invented(s)), " "))

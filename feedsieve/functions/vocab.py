@@ -60,26 +60,20 @@ announces, announced, announce, unveils, unveiled, unveil, launches, launched, l
 debuts, debuted, rolls out, rolled out, releases, released, lists, listed, listing, delists, delisted, relists,
 acquires, acquired, acquisition, merges, merged, merger, buys, bought, purchases, purchased, sells, sold, stake,
 partners, partnered, raises, raised, secures, secured, closes round, funding round, ipo, spinoff, spin-off,
-delivers, delivered
-""") + terms("""
-reports, reported, posts, posted, earnings, guidance, beats, beat, misses, missed, results
-""") + terms("""
+delivers, delivered,
+reports, reported, posts, posted, earnings, guidance, beats, beat, misses, missed, results,
 approves, approved, approval, rejects, rejected, rejection, files, filed, filing, sues, sued, lawsuit, charges,
 charged, settles, settled, settlement, fines, fined, rules, ruled, ruling, verdict, indicts, indicted, passes,
 passed, enacts, enacted, signs, signed, ratifies, ratified, vetoes, vetoed, bans, banned, halts, halted, suspends,
 suspended, freezes, froze, frozen, seizes, seized, imposes, imposed, investigates, investigated, probe, issues,
-issued, orders, ordered, mandates, warns
-""") + terms("""
-hikes, hiked, cuts, cut, raises rates, holds, held, decision, statement, minutes, release, released
-""") + terms("""
+issued, orders, ordered, mandates, warns,
+hikes, hiked, cuts, cut, raises rates, holds, held, decision, statement, minutes, release, released,
 hack, hacked, hacks, breach, breached, exploit, exploited, drained, outage, halt, default, defaults, defaulted,
 bankruptcy, liquidation, liquidated, recall, recalls, layoffs, lays off, resigns, resigned, steps down, appoints,
-appointed, names, named, fires, fired, ousts
-""") + terms("""
+appointed, names, named, fires, fired, ousts,
 upgrade, upgraded, goes live, went live, mainnet, activates, activated, record, all-time high, milestone, confirms,
 confirmed, wins, won, hits, hit, reaches, reached, reach, tops, topped, touches, touched, crosses, crossed, breaches,
-breached, surpasses, surpassed, returns, returned, recovers, recovered, rebounds, rebounded, extends, hovers
-""") + terms("""
+breached, surpasses, surpassed, returns, returned, recovers, recovered, rebounds, rebounded, extends, hovers,
 ceasefire, invades, invaded, strikes, struck, agrees, agreed, withdraws, withdrew, deploys, deployed
 """)
 MOVE = terms("""
@@ -198,22 +192,19 @@ the, and, for, with, from, this, that, after, amid, into, over, says, say, could
 what, why, how, new, now, its, his, her, their, more, than, but, not, you, your, all, out, как, что, это, для, при,
 над, под, его, она, они
 """)
+#: A word and the name that it goes by.
 SYNONYMS = {
-    word: name
-    for name, words in {
-        "announce": "announces, announced, announcement, unveils, unveiled, unveil, reveals, revealed, introduces, introduced, debuts, debuted, presents, presented",
-        "launch": "launches, launched, releases, released, rollout, rolls",
-        "acquire": "acquires, acquired, acquisition, buys, bought, purchases, purchased, purchase",
-        "raise": "raises, raised, secures, secured",
-        "approve": "approves, approved, approval",
-        "reject": "rejects, rejected, rejection",
-        "sue": "sues, sued, lawsuit",
-        "charge": "charges, charged",
-        "partner": "partners, partnership, partnered",
-        "hike": "hikes, hiked",
-    }.items()
-    for word in terms(words)
-}
+    "announces": "announce", "announced": "announce", "announcement": "announce", "unveils": "announce", "unveiled": "announce", "unveil": "announce", "reveals": "announce", "revealed": "announce", "introduces": "announce", "introduced": "announce", "debuts": "announce", "debuted": "announce", "presents": "announce", "presented": "announce",
+    "launches": "launch", "launched": "launch", "releases": "launch", "released": "launch", "rollout": "launch", "rolls": "launch",
+    "acquires": "acquire", "acquired": "acquire", "acquisition": "acquire", "buys": "acquire", "bought": "acquire", "purchases": "acquire", "purchased": "acquire", "purchase": "acquire",
+    "raises": "raise", "raised": "raise", "secures": "raise", "secured": "raise",
+    "approves": "approve", "approved": "approve", "approval": "approve",
+    "rejects": "reject", "rejected": "reject", "rejection": "reject",
+    "sues": "sue", "sued": "sue", "lawsuit": "sue",
+    "charges": "charge", "charged": "charge",
+    "partners": "partner", "partnership": "partner", "partnered": "partner",
+    "hikes": "hike", "hiked": "hike",
+}
 MULTIPLIERS = {"k": 10**3, "тыс": 10**3, "thousand": 10**3, "m": 10**6, "млн": 10**6, "million": 10**6, "b": 10**9, "bn": 10**9, "млрд": 10**9, "billion": 10**9, "t": 10**12, "трлн": 10**12, "trillion": 10**12}
 NUMBER = r"\$?[0-9][0-9.,]*\s*(?:k|m|bn|b|t|млрд|млн|трлн|тыс|thousand|million|billion|trillion)?%?"
 

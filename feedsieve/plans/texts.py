@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedsieve.functions import text as T
@@ -11,7 +11,7 @@ from feedsieve.functions.matchers import quoted
 from feedsieve.operators import curate as C
 from feedsieve.operators import ground
 from feedsieve.operators import posts as O
-from feedsieve.plans.curation import BASE, CYCLE
+from feedsieve.plans.curation import BASE, CYCLE, DECIDED
 from feedsieve.plans.items import DUCK_ITEMS, items, spread
 from feedsieve.sources import feeds
 
@@ -50,19 +50,25 @@ def needs_editor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("arrival", O.needs_editor(O.credibility_label(rows), F.col("score"), F.col("title")).alias("needs_editor"))
 
 
+#: What is added to every text by turns: a quote, numbers and a speaker that it lacks, some that it has, a line of tickers.
+ADDED = (" «Мы рады новым возможностям»", " Sales grew to 777123 units and 4.5%.", " Quentin Marlowe: it will be so.", "", "\nТИКЕРЫ: BTC 5\nend")
+
+
 def _pairs(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return c.withColumn("source", F.coalesce(before, F.lit(""))).withColumn("body", F.coalesce("text", F.lit("")))
+    """Documents as sources, and as bodies their texts with other figures and an addition."""
+    added = F.element_at(F.array(*[F.lit(x) for x in ADDED]), (F.pmod("doc_id", F.lit(len(ADDED))) + 1).cast("int"))
+    return _documents(spark, sf_dir).withColumnRenamed("text", "source").withColumn("body", F.concat(F.translate("source", "37", "82"), added))
 
 
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the grounded texts, and how much of each went."""
     b, s = F.col("body"), F.col("source")
-    return _pairs(spark, sf_dir).select("conv_id", "turn", ground.filter_quotes(b, s).alias("quoted"), ground.validate_numbers(b, s).alias("numbers"), ground.clean_made_up_names(b, s).alias("names"))
+    rows = _pairs(spark, sf_dir).select("doc_id", "body", ground.filter_quotes(b, s).alias("q"), ground.validate_numbers(b, s).alias("n"), ground.clean_made_up_names(b, s).alias("w"))
+    return rows.select("doc_id", *[F.md5(c).alias(k) for k, c in (("quoted", "q"), ("numbers", "n"), ("names", "w"))], *[(F.col(c) != F.col("body")).alias(f"{k}_changed") for k, c in (("quoted", "q"), ("numbers", "n"), ("names", "w"))])
 
 
 def ungrounded_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("conv_id", "turn", F.size(T.plain_numbers(F.col("body"))).alias("numbers"), F.size(T.ungrounded_numbers(F.col("body"), F.col("source"))).alias("ungrounded"))
+    return _pairs(spark, sf_dir).select("doc_id", F.size(T.plain_numbers(F.col("body"))).alias("numbers"), F.size(T.ungrounded_numbers(F.col("body"), F.col("source"))).alias("ungrounded"))
 
 
 def strip_years(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +82,15 @@ def parse_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("arrival", "f.prefix", "f.text", "f.tickers")
 
 
+#: Generated texts by turns: sound ones, one with invented figures, a placeholder, too short a one, a token over and over.
+GENERATED = ("The deal was confirmed today.", "It cost 77 million in 2019. Volume was 123456.", "Lorem ipsum.", "", "go go go go", "Ivan Petrov: it is done.")
+
+
 def render_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.kept(items(spark, sf_dir), cycle_seconds=CYCLE)
-    fields = rows.withColumns({"prefix": F.lit("⚡️"), "text": F.concat_ws(" ", "title", F.lit("It cost 77 million in 2019. Volume was 123456.")), "tickers": F.lit("BTC: $1 (↑ 12%)")})
+    said = F.element_at(F.array(*[F.lit(x) for x in GENERATED]), (F.col("arrival") % len(GENERATED) + 1).cast("int"))
+    text = F.when(said == "", F.lit("ok")).otherwise(F.concat_ws(" ", "title", said))
+    fields = rows.withColumns({"prefix": F.lit("⚡️"), "text": text, "tickers": F.when(F.col("arrival") % 2 == 0, "BTC: $1 (↑ 12%)").otherwise("")})
     return O.quality_gate(O.render(fields)).select("arrival", "post", "problem")
 
 
@@ -137,11 +149,21 @@ def _plain(text: str) -> str:
     return f"list_transform(regexp_extract_all({text}, '[0-9]+(?:\\.[0-9]+)?'), lambda v: v::DOUBLE)"
 
 
+#: The write-up's queue of each day, what a sound post costs, and its budget of 20 calls, one item after the other.
+_WRITTEN = f"""{DECIDED}, q AS (SELECT *, observed_s // 86400 AS day, title || ' ' || summary AS tx FROM decided WHERE outcome = 'queued'),
+a AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY arrival) AS arrived FROM q),
+r AS (SELECT arrival, day, row_number() OVER (PARTITION BY day ORDER BY score DESC, arrival) AS drain, score, official, arrival % 11 <> 0 AS made, arrival % 7 <> 0 AS sound, arrival % 11 <> 0 AND (({_LABEL}) = '{O.OFFICIAL}' OR score >= 70) AS editor_used FROM a WHERE arrived <= 200),
+w AS (SELECT day, 0::BIGINT AS drain, 0::BIGINT AS used, true AS passed FROM (SELECT DISTINCT day FROM r)
+ UNION ALL SELECT day, drain, used + CASE WHEN ok AND made AND sound THEN CASE WHEN editor_used THEN 2 ELSE 1 END ELSE 0 END, ok FROM
+  (SELECT r.*, w.used, 20 - w.used > 4 OR (20 - w.used > 0 AND (r.score >= 50 OR r.official)) OR (w.used >= 20 AND (r.official OR r.score >= 80)) AS ok FROM w JOIN r ON r.day = w.day AND r.drain = w.drain + 1))"""
+
 ORACLES = {
+    "write_up": f"{_WRITTEN} SELECT r.arrival, r.day, r.drain::INT AS drain, r.editor_used, CASE WHEN NOT w.passed THEN 'budget' WHEN NOT r.made THEN 'no_text' WHEN NOT r.sound THEN 'too_few_words' ELSE 'sent' END AS outcome FROM r JOIN w USING (day, drain)",
     "needs_editor": f"{BASE} SELECT arrival, (({_LABEL}) = '{O.OFFICIAL}' OR score >= 70) AND title <> '' AS needs_editor FROM (SELECT *, title || ' ' || summary AS tx FROM gated)",
-    "ungrounded_numbers": f"""WITH p AS (SELECT conv_id, turn, coalesce(text, '') AS body, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS source FROM conversations),
-n AS (SELECT conv_id, turn, {_plain('body')} AS b, {_plain('source')} AS s FROM p)
-SELECT conv_id, turn, len(b)::INT AS numbers, len(list_filter(b, lambda x: len(list_filter(s, lambda k: abs(x - k) / (k + 1e-9) <= 0.05)) = 0))::INT AS ungrounded FROM n""",
+    "ungrounded_numbers": f"""WITH p AS (SELECT doc_id, coalesce(text, '') AS source FROM documents),
+q AS (SELECT doc_id, source, translate(source, '37', '82') || [{", ".join("'" + x + "'" for x in ADDED)}][1 + (doc_id % {len(ADDED)} + {len(ADDED)}) % {len(ADDED)}] AS body FROM p),
+n AS (SELECT doc_id, {_plain('body')} AS b, {_plain('source')} AS s FROM q)
+SELECT doc_id, len(b)::INT AS numbers, len(list_filter(b, lambda x: len(list_filter(s, lambda k: abs(x - k) / (k + 1e-9) <= 0.05)) = 0))::INT AS ungrounded FROM n""",
     "clean_text": f"{_DOCS} SELECT doc_id, md5({_URL('t')}) AS no_urls, md5({_SANE('t')}) AS sanitized, md5({_FORB('t')}) AS allowed, md5({_CONC('t')}) AS concrete, md5({_CONC(_FORB(_SANE(_URL('t'))))}) AS clean FROM d",
     "truncate_text": f"""{_DOCS}, h AS (SELECT *, t[1:{V.MAX_POST}] AS head FROM d), c AS (SELECT *, regexp_extract(head, '(?s)^(.*[.!?])', 1) AS cut FROM h)
 SELECT doc_id, md5(CASE WHEN length(t) <= {V.MAX_POST} THEN t WHEN cut <> '' THEN regexp_replace(cut, '\\s+$', '') ELSE regexp_replace(head, '\\s+$', '') || '...' END) AS cut, md5({_ESC('t')}) AS escaped FROM c""",

@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RSS = "channel struct<item array<struct<title string, link string, description string, summary string, guid string, pubDate string>>>"
-ATOM = "entry array<struct<title string, link array<struct<_href string, _rel string>>, summary string, content string, id string, published string, updated string>>"
+RSS = "title string, link string, description string, summary string, guid string, pubDate string"
+ATOM = "title string, link array<struct<_href string, _rel string>>, summary string, content string, id string, published string, updated string"
+#: Entities that pages use and feeds do not declare.
+ENTITIES = {"nbsp": " ", "mdash": "—", "ndash": "–", "laquo": "«", "raquo": "»", "ldquo": "“", "rdquo": "”", "lsquo": "‘", "rsquo": "’", "hellip": "…", "euro": "€", "pound": "£", "copy": "©", "reg": "®", "trade": "™", "bull": "•", "middot": "·"}
 MESSAGES = "array<struct<title string, link string, summary string, guid string>>"
 ITEM = "source_id string, source_name string, source_kind string, title string, link string, summary string, published timestamp, published_has_tz boolean, official boolean, impact int, guid string, observed_at timestamp, arrival long"
 TITLE_CHARS = 160
@@ -31,19 +33,60 @@ def _items(rows: DataFrame) -> DataFrame:
     return rows.select("source_id", "title", "link", "summary", guid.alias("guid"), feed_time(F.col("published")).alias("published"))
 
 
+def _entries(xml: Column, tag: str) -> Column:
+    """The texts of a document's elements of one name, each from its start to its end; one that is not closed is left out."""
+    end = f"</{tag}>"
+    begun = F.filter(F.split(xml, rf"(?=<{tag}[\s>])", -1), lambda x: x.rlike(rf"^<{tag}[\s>]") & F.contains(x, F.lit(end)))
+    return F.transform(begun, lambda x: F.concat(F.substring_index(x, end, 1), F.lit(end)))
+
+
+def _repaired(entry: Column) -> Column:
+    """An entry with bare ampersands and undeclared entities made readable; character data that is marked as such stays."""
+
+    def piece(x: Column) -> Column:
+        for name, sign in ENTITIES.items():
+            x = F.replace(x, F.lit(f"&{name};"), F.lit(sign))
+        return F.regexp_replace(x, r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)", "&amp;")
+
+    pieces = F.split(entry, r"(?=<!\[CDATA\[)|(?<=\]\]>)", -1)
+    mended = F.array_join(F.transform(pieces, lambda x: F.when(F.startswith(x, F.lit("<![CDATA[")), x).otherwise(piece(x))), "")
+    return F.when(F.contains(entry, F.lit("&")), mended).otherwise(entry)
+
+
+def _parsed(raw: DataFrame) -> DataFrame:
+    """A row for each entry of RSS and Atom documents, with its text and what could be read of it."""
+    docs = raw.select("source_id", _entries(F.col("xml"), "item").alias("items"), _entries(F.col("xml"), "entry").alias("entries"))
+    rss = docs.select("source_id", F.explode("items").alias("entry")).withColumn("x", F.from_xml(_repaired(F.col("entry")), RSS, {"mode": "PERMISSIVE"}))
+    rss = rss.select("source_id", "entry", "x.title", "x.link", F.coalesce("x.summary", "x.description").alias("summary"), "x.guid", F.col("x.pubDate").alias("published"))
+    atom = docs.where(F.size("items") == 0).select("source_id", F.explode("entries").alias("entry")).withColumn("x", F.from_xml(_repaired(F.col("entry")), ATOM, {"mode": "PERMISSIVE"}))
+    best = F.coalesce(F.filter("x.link", lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate")[0]["_href"], F.col("x.link")[0]["_href"])
+    atom = atom.select("source_id", "entry", "x.title", best.alias("link"), F.coalesce("x.summary", "x.content").alias("summary"), F.col("x.id").alias("guid"), "x.published")
+    return rss.unionByName(atom)
+
+
 def read_rss(raw: DataFrame) -> DataFrame:
     """Items of RSS and Atom documents (source_id, xml).
 
-    Entries without title or link are left out; only the publication date counts, never that
-    of a change; a document that cannot be read gives nothing.
+    Documents are cut into entries first and each is read alone, so one that cannot be read costs
+    itself and nothing else.  Bare ampersands and the usual undeclared entities are mended.  Entries
+    without title or link are left out; only the publication date counts, never that of a change.
     """
-    is_atom = F.col("xml").rlike(r"(?s)^\s*(?:<\?[^>]*\?>\s*)?(?:<!--.*?-->\s*)*<feed[\s>]")
-    rss = raw.where(~is_atom).select("source_id", F.explode(F.from_xml("xml", RSS, {"mode": "PERMISSIVE"})["channel"]["item"]).alias("x"))
-    rss = rss.select("source_id", "x.title", "x.link", F.coalesce("x.summary", "x.description").alias("summary"), "x.guid", F.col("x.pubDate").alias("published"))
-    atom = raw.where(is_atom).select("source_id", F.explode(F.from_xml("xml", ATOM, {"mode": "PERMISSIVE"})["entry"]).alias("x"))
-    best = F.coalesce(F.filter("x.link", lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate")[0]["_href"], F.col("x.link")[0]["_href"])
-    atom = atom.select("source_id", "x.title", best.alias("link"), F.coalesce("x.summary", "x.content").alias("summary"), F.col("x.id").alias("guid"), "x.published")
-    return _items(rss.unionByName(atom))
+    return _items(_parsed(raw))
+
+
+def unread_entries(raw: DataFrame) -> DataFrame:
+    """Entries of documents that give no item, as source_id and entry."""
+    return _parsed(raw).where((_filled("title") == "") | (_filled("link") == "")).select("source_id", "entry")
+
+
+def read_files(spark: SparkSession, folder: str, schema: str, source: str = "parquet", **options: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of a folder's files, and the files that gave none (path, length), as corrupt ones do.
+
+    A file that cannot be read, or breaks off while it is, loses what was not read of it and no other file.
+    """
+    rows = spark.read.schema(schema).format(source).options(ignoreCorruptFiles="true", ignoreMissingFiles="true", **options).load(folder)
+    files = spark.read.format("binaryFile").load(folder).select(F.col("_metadata.file_path").alias("path"), "length")
+    return rows, files.join(rows.select(F.col("_metadata.file_path").alias("path")).distinct(), "path", "left_anti")
 
 
 class _Channel(HTMLParser):
