@@ -4,18 +4,20 @@ Equal vectors are one node.  The first graph comes from orders of all nodes: a b
 sample of pivots is drawn, nodes are sorted by nearest pivot and nearness to it, and the
 nodes of one stretch of that order are compared.  Then each round joins every node with its
 neighbours in both directions and compares these with one another, so neighbours of
-neighbours meet; each node keeps its best.
+neighbours meet; each node keeps its best.  Rounds end when the graph hardly gains.
 
 The search keeps a list of the best nodes for each query, starts it with the query's own
 neighbours, and in each round opens the best nodes not opened before, joins their
-neighbours in both directions, and scores them.  It stops when no list has a node left to
-open, or after `SEARCH_ROUNDS`.
+neighbours, and scores them.  It ends when every list's nodes are opened, as then no
+neighbour of the best is unknown.  It walks a thinner graph: the best edges of a node in
+each direction, so a node that many point at is no dearer than others.
 
 The index holds every vector; graph degree, stretches and list lengths are parameters that
-trade recall for time.  Recall is measured against brute force in the tests.
+trade recall for time.  A query scores some thousand nodes at most, however large the
+table.  Recall is measured against brute force in the tests.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do
-those of another length than the most common one.  Ties go to the smaller vec_id; rows
+Vectors that are null, zero, or hold null or non-finite components take no part.  Shorter
+vectors count as filled up with zeros to the longest.  Ties go to the smaller vec_id; rows
 that repeat a vec_id are candidates and queries of their own; an empty table gives no rows.
 """
 
@@ -30,12 +32,20 @@ from pyspark.sql import functions as F
 
 from feedsieve.llm.common import checkpoint, small_batches
 
-DEGREE = 24
+DEGREE = 40
 #: Neighbours in either direction that meet in a round; more of a node's followers than this wait for a later round.
-MEETING = 20
+MEETING = 40
+#: New neighbours that a node takes from one meeting at most.
+TAKEN = 8
 PIVOTS, STRETCH, ORDERS = 256, 128, 3
-ROUNDS = 4
-LIST, OPENED, SEARCH_ROUNDS = 300, 24, 12
+#: Rounds go on while the sum of similarities gains this share, and at most so many.
+GAIN, ROUNDS = 0.004, 8
+#: Edges of a node in each direction that the search follows.
+WALKED = 24
+#: A search's list, the nodes that it opens in a round, and a bound on rounds that lists of this length do not reach.
+LIST, OPENED, SEARCH_ROUNDS = 160, 32, 12
+#: Ids of so many queries are broadcast.
+BROADCAST_QUERIES = 1_000_000
 EDGE = "node long, other long, sim float"
 
 
@@ -44,8 +54,10 @@ def usable(vectors: DataFrame, key: str, value: str) -> DataFrame:
     v = F.transform(F.col(value), lambda x: x.cast("double"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("vec")).where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & fine)
-    common = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("vec") == (common["n"] if common else 0))
+    sizes = rows.agg(F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most")).first()
+    if sizes["least"] == sizes["most"]:
+        return rows
+    return rows.withColumn("vec", F.concat("vec", F.array_repeat(F.lit(0.0), F.lit(sizes["most"]) - F.size("vec"))))
 
 
 def _unit(vec: list) -> np.ndarray:
@@ -56,12 +68,12 @@ def _unit(vec: list) -> np.ndarray:
 
 
 def units(nodes: DataFrame) -> DataFrame:
-    """(node, unit): vectors of length one as single-precision bytes, which the graph is built from."""
+    """(node, unit): vectors of length one as half-precision bytes, which the graph is built from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                u = _unit(b.column("vec").to_pylist()).astype("<f4")
+                u = _unit(b.column("vec").to_pylist()).astype("<f2")
                 yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([x.tobytes() for x in u], pa.binary())], ["node", "unit"])
 
     return nodes.select("node", "vec").mapInArrow(run, "node long, unit binary")
@@ -69,7 +81,7 @@ def units(nodes: DataFrame) -> DataFrame:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), "<f4").reshape(len(raw), -1)
+    return np.frombuffer(b"".join(raw), "<f2").reshape(len(raw), -1).astype(np.float32)
 
 
 def _top_edges(ids: np.ndarray, sims: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +100,7 @@ def _edges(parts: list) -> pa.RecordBatch:
 def first_graph(u: DataFrame, n: int, seed: int, parts: int) -> DataFrame:
     """Edges within stretches of an order by nearest pivot."""
     drawn = u.where(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 40)) <= int((1 << 40) * min(1.0, PIVOTS / max(1, n)))).limit(4 * PIVOTS).collect()
-    pivots = np.frombuffer(b"".join(r["unit"] for r in sorted(drawn, key=lambda r: r["node"])), "<f4").reshape(max(1, len(drawn)), -1) if drawn else np.zeros((1, 1), np.float32)
+    pivots = _matrix(pa.array([r["unit"] for r in sorted(drawn, key=lambda r: r["node"])], pa.binary())) if drawn else np.zeros((1, 1), np.float32)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,7 +167,10 @@ def descend(graph: DataFrame, u: DataFrame) -> DataFrame:
                 if b - a > 1:
                     sims = m[a:b] @ m[a:b].T
                     np.fill_diagonal(sims, -9)
-                    i, j = np.nonzero(sims > w[a:b, None])
+                    k = min(TAKEN, b - a - 1)
+                    top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+                    i, c = np.nonzero(np.take_along_axis(sims, top, 1) > w[a:b, None])
+                    j = top[i, c]
                     out.append((ids[a + i], ids[a + j], sims[i, j]))
             return _edges(out), (cuts[-2] if len(cuts) > 1 and not last else len(hub))
 
@@ -181,8 +196,12 @@ def build(u: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for k in range(1, ORDERS):
         graph = graph.union(first_graph(u, n, k, parts))
     graph = checkpoint(best(graph, DEGREE))
+    total = 0.0
     for _ in range(rounds if n > STRETCH else 0):
         graph = checkpoint(descend(graph, u))
+        before, total = total, graph.agg(F.sum(F.col("sim") + 1)).first()[0] or 0.0
+        if total - before < GAIN * total:
+            break
     return graph
 
 
@@ -202,11 +221,27 @@ def _scored(pairs: DataFrame, queries: DataFrame, nodes: DataFrame) -> DataFrame
     return joined.mapInArrow(run, "query long, node long, score double")
 
 
-def search(graph: DataFrame, queries: DataFrame, nodes: DataFrame, most: int = LIST, opened: int = OPENED, rounds: int = SEARCH_ROUNDS) -> DataFrame:
-    """Greedy search: (query, node, score) of all nodes that were scored for each query node."""
-    near = checkpoint(graph.select(F.col("node").alias("from"), F.col("other").alias("node")).union(graph.select(F.col("other").alias("from"), "node")).distinct())
+def _near(pairs: DataFrame, queries: DataFrame, u: DataFrame) -> DataFrame:
+    """(query, node, score) by half-precision units, which the walk is guided by."""
+    joined = pairs.join(queries.select(F.col("node").alias("query"), F.col("unit").alias("q")), "query").join(u, "node").select("query", "node", "q", "unit")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                s = np.einsum("ij,ij->i", _matrix(b.column("q")), _matrix(b.column("unit")))
+                yield pa.RecordBatch.from_arrays([b.column("query"), b.column("node"), pa.array(s, pa.float32())], ["query", "node", "score"])
+
+    return joined.mapInArrow(run, "query long, node long, score float")
+
+
+def search(graph: DataFrame, queries: DataFrame, u: DataFrame, most: int = LIST, opened: int = OPENED, rounds: int = SEARCH_ROUNDS) -> DataFrame:
+    """Greedy search: (query, node, score) of all nodes that were scored for each query node.
+
+    graph: edges; queries and u: node and unit of the queries and of all nodes.
+    """
+    near = checkpoint(_both(graph, WALKED).select(F.col("hub").alias("from"), F.col("member").alias("node")))
     start = queries.select(F.col("node").alias("query")).join(near, F.col("query") == F.col("from")).select("query", "node")
-    known = checkpoint(_scored(start, queries, nodes).withColumn("open", F.lit(False)))
+    known = checkpoint(_near(start, queries, u).withColumn("open", F.lit(False)))
     rank = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     for _ in range(rounds):
         listed = known.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= most)
@@ -215,7 +250,7 @@ def search(graph: DataFrame, queries: DataFrame, nodes: DataFrame, most: int = L
             break
         met = todo.join(near, "from").select("query", "node").where("query <> node").distinct().join(known.select("query", "node"), ["query", "node"], "left_anti")
         marked = known.join(todo.withColumnRenamed("from", "node").withColumn("now", F.lit(True)), ["query", "node"], "left").select("query", "node", "score", (F.col("open") | F.coalesce("now", F.lit(False))).alias("open"))
-        known = checkpoint(marked.union(_scored(met, queries, nodes).withColumn("open", F.lit(False))))
+        known = checkpoint(marked.union(_near(met, queries, u).withColumn("open", F.lit(False))))
     return known.select("query", "node", "score")
 
 
@@ -231,10 +266,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
     asked = checkpoint(rows.where(is_query).join(first, "vec").select(F.col("vec_id").alias("query_id"), F.col("row").alias("asked"), "node"))
     u = checkpoint(units(nodes))
     queries = checkpoint(nodes.join(asked.select("node").distinct(), "node"))
-    found = search(build(u), queries, nodes)
+    found = search(build(u), u.join(F.broadcast(queries.select("node")) if queries.count() <= BROADCAST_QUERIES else queries.select("node"), "node", "left_semi"), u)
     top = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     scored = found.groupBy("query").agg(F.count(F.lit(1)).alias("n_scored"))
-    found = found.withColumn("r", F.row_number().over(top)).where(F.col("r") <= 4 * k).select("query", "node", "score")
+    # the best by the walk's own scores are scored anew on the original vectors
+    best_found = found.withColumn("r", F.row_number().over(top)).where(F.col("r") <= 4 * k).select("query", "node")
+    found = _scored(best_found, queries, nodes)
     own = _scored(queries.select(F.col("node").alias("query"), "node"), queries, nodes)
     near = found.union(own).join(scored, "query", "left").select(F.col("query").alias("node"), F.col("node").alias("near"), "score", F.coalesce("n_scored", F.lit(0)).alias("n_scored"))
     answers = asked.join(near, "node").select("query_id", "asked", F.col("near").alias("node"), "score", "n_scored")
