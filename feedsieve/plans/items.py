@@ -43,6 +43,7 @@ TITLES = (
     "Powell to testify before Senate on Thursday", "Powell spoke about rates yesterday", "Trader says market will crash",
     "Musk says Tesla launches new plant", "Why is Nvidia so popular", "Lessons from the 2021 bull market",
     "Inflation rises to {n}%, highest since 2022", "Sponsored: best wallet to buy", "Курс меняется без причины",
+    "Exchange ledger of 2019 resurfaces in Cyprus", "Experts say money will change", "Bitcoin slump explained by miners", "Analyst believes SEC approves staking rules", "Market wrap: Oracle posts results", "?!",
 )
 SUMMARIES = ("", "SEC approves the filing today.", "The report was released this morning.", "Sources say talks continue.", "Shares were up 2.5% at the close.")
 COLUMNS = ("arrival", "observed_s", "source_id", "source_name", "source_kind", "title", "link", "summary", "published_s", "published_has_tz", "official", "impact", "guid", "year")
@@ -62,7 +63,7 @@ def item_sql(events: str, seconds: str) -> str:
     case = lambda on, texts: f"CASE {on} " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(texts)) + " END"
     values = ", ".join(f"({i}, {_text(s[0])}, {_text(s[1])}, {_text(s[2])}, {str(s[4]).lower()}, {s[5]}, {str(s[6]).lower()})" for i, s in enumerate(SOURCES))
     return f"""SELECT e.event_id AS arrival, e.s AS observed_s, c.id AS source_id, c.name AS source_name, c.kind AS source_kind,
- {case("e.event_id % 24", [_title(t) for t in TITLES])} AS title,
+ {case(f"e.event_id % {len(TITLES)}", [_title(t) for t in TITLES])} AS title,
  concat('https://news.example/', CASE WHEN e.event_id % 17 = 0 THEN 'learn/' ELSE 'story/' END, CAST(e.event_id AS STRING)) AS link,
  {case("e.event_id % 5", [_text(s) for s in SUMMARIES])} AS summary,
  CASE WHEN e.event_id % 41 = 0 THEN NULL WHEN e.event_id % 53 = 0 THEN e.s + 3600 ELSE e.s - (e.event_id * 37 % 30) * 3600 END AS published_s,

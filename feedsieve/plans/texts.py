@@ -34,8 +34,10 @@ def validate_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by their links, one in five of them in a section that brings no news."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", T.domain(F.col("url")).alias("domain"), F.lower("url").rlike("|".join(map(quoted, V.URL_SECTIONS))).alias("is_noise_url"))
+    url = F.concat("url", F.when(F.col("page_id") % 5 == 0, "/learn/more").otherwise(""))
+    return pages.select("page_id", T.domain(url).alias("domain"), F.lower(url).rlike("|".join(map(quoted, V.URL_SECTIONS))).alias("is_noise_url"))
 
 
 def labels_and_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +172,7 @@ SELECT doc_id, md5(CASE WHEN length(t) <= {V.MAX_POST} THEN t WHEN cut <> '' THE
     "validate_body": f"""{_DOCS}, w AS (SELECT *, {_STRIP('t')} AS s, list_transform(regexp_extract_all(t, '{T.WORD}'), lambda x: lower(x)) AS w FROM d)
 SELECT doc_id, CASE WHEN s = '' THEN 'empty' WHEN {_parts('lower(s)', V.PLACEHOLDERS)} THEN 'placeholder' WHEN len(w) < 3 THEN 'too_few_words'
  WHEN len(list_filter(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] = w[i + 1] AND w[i] = w[i + 2])) > 0 THEN 'repeated_token' END AS problem FROM w""",
-    "page_links": f"SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS domain, {_parts('lower(url)', V.URL_SECTIONS)} AS is_noise_url FROM pages",
+    "page_links": f"SELECT page_id, lower(regexp_extract(link, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS domain, {_parts('lower(link)', V.URL_SECTIONS)} AS is_noise_url FROM (SELECT *, url || CASE WHEN page_id % 5 = 0 THEN '/learn/more' ELSE '' END AS link FROM pages)",
     "labels_and_tags": f"""{_ITEMS} SELECT arrival, {_LABEL} AS label, CASE WHEN {_any('low', V.REGULATION, ' -')} THEN '{O.REGULATION}' WHEN {_any('low', V.DATA, ' -')} THEN '{O.DATA}' ELSE '{O.LARGE_MOVE}' END AS marker,
  array_to_string(list_filter([{_TAGS}], lambda v: v IS NOT NULL)[1:{V.MAX_TAGS}], ' ') AS tags FROM x""",
     "parse_output": f"WITH {DUCK_ITEMS} SELECT arrival, '⚡️' AS prefix, title AS text, NULL::VARCHAR AS tickers FROM items",
