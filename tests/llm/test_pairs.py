@@ -101,7 +101,7 @@ def test_large_groups_of_near_copies_make_few_pairs(spark, monkeypatch):
 
 
 def test_join_of_odd_rows(spark):
-    empty = documents(spark, []) if False else spark.createDataFrame([], SCHEMA)
+    empty = spark.createDataFrame([], SCHEMA)
     assert ngram_join.op2(empty).count() == 0
     rows = spark.createDataFrame([(None, "a b c d", "en", "s", 1, "x", 1, 2), (7, "a b c d", "en", "s", 1, "x", 1, 2), (7, "a b c d", "en", "s", 1, "x", 1, 2)], SCHEMA)
     assert sorted((r["doc_id"] or 0, r["component_id"]) for r in ngram_join.op2(rows).collect()) == [(0, 7), (7, 7), (7, 7)]
@@ -213,7 +213,10 @@ def test_nearest(spark):
     twice = ann.op3(spark.createDataFrame([*rows[:60], (0, rows[1][1]), (50, rows[50][1])], "vec_id long, embedding array<double>")).collect()
     assert sorted(r["query_id"] for r in twice) == [0] * 10 + [50] * 10
     assert {(r["query_id"], r["vec_id"]) for r in twice if r["rank"] == 1 and r["score"] > 0.999999} >= {(0, 1), (50, 50)}
-    few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")
+    few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>").withColumns({"node": F.lit(1), "row": F.lit("r"), "vec": F.lit(3), "unit": F.lit(None)})
     assert ann.op3(few).count() == 2
     assert ann.op3(df.limit(0)).count() == 0
+    # a shorter vector counts as filled up with zeros, as query and as candidate
+    mixed = spark.createDataFrame([(0, [3.0, 4.0]), (1, [3.0, 4.0, 0.0]), (2, [0.0, 0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in sorted(ann.op3(mixed).collect(), key=lambda r: r["rank"])] == [(1, pytest.approx(1.0)), (2, pytest.approx(0.0))]
     assert df.where(F.col("vec_id") == 0).count() == 1

@@ -318,13 +318,16 @@ def test_language_model(spark):
             w.append(rng.choice(chain[w[-1]]))
         texts.append(" ".join(w))
     texts += ODD
-    rows = {r["doc_id"]: r for r in lm.op7(documents(spark, texts)).collect()}
+    docs = documents(spark, texts).union(spark.createDataFrame([(None, None, None, None, None, None, None, None)], SCHEMA))
+    rows = {r["doc_id"]: r for r in lm.op7(docs).collect()}
+    assert (rows[None]["held_out"], rows[None]["n_tokens"]) == (False, 1)
     tokens = [[*WORD.findall((t or "").translate(LOWER)), None] for t in texts]
     counts = {}
     for i, ws in enumerate(tokens):
         if bucket(i, 7) != 2:
             for w in ws:
                 counts[w] = counts.get(w, 0) + 1
+    counts[None] += 1  # the end of the row without an id
     total = sum(counts.values())
     for i, ws in enumerate(tokens):
         r = rows[i]
