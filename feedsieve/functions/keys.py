@@ -18,8 +18,9 @@ def _map(table: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
 
 
-def _array(words) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+def _renamed(word: Column, table: dict) -> Column:
+    """A word as the table names it; looked up by hash first, as most words are not in the table."""
+    return F.when(word.isin(*table), F.coalesce(F.try_element_at(_map(table), word), word)).otherwise(word)
 
 
 def uid(guid: Column, link: Column, source_id: Column, title: Column) -> Column:
@@ -48,12 +49,12 @@ def _numbers(title: Column) -> Column:
 
 
 def _alias(words: Column) -> Column:
-    named = F.transform(words, lambda w: F.try_element_at(_map(V.ALIASES), w))
+    named = F.transform(F.filter(words, lambda w: w.isin(*V.ALIASES)), lambda w: F.try_element_at(_map(V.ALIASES), w))
     return F.filter(named, lambda x: x.isNotNull())
 
 
 def _canonical(words: Column) -> Column:
-    return F.transform(words, lambda w: F.coalesce(F.try_element_at(_map(V.SYNONYMS), w), w))
+    return F.transform(words, lambda w: _renamed(w, V.SYNONYMS))
 
 
 def story_tokens(title: Column) -> Column:
@@ -61,8 +62,8 @@ def story_tokens(title: Column) -> Column:
     title = F.trim(F.coalesce(title, F.lit("")))
     low = F.regexp_extract_all(F.lower(title), F.lit(WORDS), F.lit(0))
     tickers = F.transform(F.regexp_extract_all(title, F.lit(TICKER), F.lit(0)), F.lower)
-    assets = F.concat(_alias(low), F.transform(tickers, lambda t: F.coalesce(F.try_element_at(_map(V.ALIASES), t), t)))
-    words = _canonical(F.filter(low, lambda w: (F.length(w) >= 4) & ~F.array_contains(_array(V.STOPWORDS), w)))
+    assets = F.concat(_alias(low), F.transform(tickers, lambda t: _renamed(t, V.ALIASES)))
+    words = _canonical(F.filter(low, lambda w: (F.length(w) >= 4) & ~w.isin(*V.STOPWORDS)))
     numbers = _numbers(title)
     return F.sort_array(F.array_distinct(F.when(F.size(numbers) > 0, F.concat(numbers, assets)).otherwise(F.concat(assets, words))))
 
@@ -73,8 +74,7 @@ def subject_tokens(title: Column) -> Column:
     low = F.regexp_extract_all(F.lower(title), F.lit(WORDS), F.lit(0))
     tickers = F.transform(F.regexp_extract_all(title, F.lit(TICKER), F.lit(0)), F.lower)
     proper = F.transform(F.regexp_extract_all(title, F.lit(PROPER), F.lit(0)), F.lower)
-    skipped = _array((*V.STOPWORDS, *V.ALIASES))
-    names = _canonical(F.filter(proper, lambda w: ~F.array_contains(skipped, w)))
+    names = _canonical(F.filter(proper, lambda w: ~w.isin(*V.STOPWORDS, *V.ALIASES)))
     longest = F.aggregate(names, F.lit("").cast("string"), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
     return F.sort_array(F.array_distinct(F.concat(_alias(low), _alias(tickers), F.when(longest != "", F.array(longest)).otherwise(F.array().cast("array<string>")))))
 

@@ -3,11 +3,16 @@
 A `Flag` says what is looked for and in which field.  `column` builds the Spark
 expression; `sql` writes what DuckDB needs, whose patterns have no look-around: there,
 separators are doubled first, so neighbouring terms do not share one.
+
+Vocabularies are looked up, not searched for: a text is cut into words once, and only words
+that begin some term are kept (`known_words`).  A term of one word is there if its word is;
+a term of several words is searched for only where its first word is there.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,6 +23,11 @@ WORDLIKE = re.compile(r"[a-z0-9 '-]+")
 SPECIAL = re.compile(r"([.^$*+?()\[\]{}|\\&~#])")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once a row."""
+    return F.transform(F.array(value), use)[0]
+
+
 def quoted(text: str) -> str:
     """A term as a pattern that both engines read alike."""
     return SPECIAL.sub(r"\\\1", text)
@@ -33,21 +43,52 @@ def bounded_pattern(terms: list[str]) -> str:
     return "(?<![a-z0-9])(?:" + "|".join(map(quoted, terms)) + ")(?![a-z0-9])"
 
 
-def term_match(text: Column, terms: tuple[str, ...]) -> Column:
-    """Whether lower-case text holds any of the terms."""
+TOKEN = "[a-z0-9]+"
+
+
+def known_words(text: Column, *vocabularies: tuple[str, ...]) -> Column:
+    """The distinct words of lower-case text that a bounded term of the vocabularies begins with."""
+    firsts = sorted({re.findall(TOKEN, t)[0] for terms in vocabularies for t in _split(terms)[0]})
+    return F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))), lambda w: w.isin(firsts))
+
+
+def _has(words: Column, wanted: set[str]) -> Column:
+    return F.exists(words, lambda w: w.isin(sorted(wanted)))
+
+
+def _single(bounded: list[str]) -> tuple[set[str], list[str]]:
+    """(terms of one word, terms of several)"""
+    return {t for t in bounded if re.fullmatch(TOKEN, t)}, [t for t in bounded if not re.fullmatch(TOKEN, t)]
+
+
+def _phrase_match(text: Column, words: Column, phrases: list[str]) -> Column:
+    return _has(words, {re.findall(TOKEN, t)[0] for t in phrases}) & text.rlike(bounded_pattern(phrases))
+
+
+def term_match(text: Column, terms: tuple[str, ...], words: Column | None = None) -> Column:
+    """Whether lower-case text holds any of the terms; `words` are its known words."""
     bounded, anywhere = _split(terms)
-    return text.rlike("|".join(([bounded_pattern(bounded)] if bounded else []) + list(map(quoted, anywhere))))
+    words = known_words(text, terms) if words is None else words
+    single, phrases = _single(bounded)
+    found = [_has(words, single)] * bool(single) + [contains_any(text, tuple(anywhere))] * bool(anywhere) + [_phrase_match(text, words, phrases)] * bool(phrases)
+    return reduce(lambda a, b: a | b, found)
 
 
-def term_count(text: Column, terms: tuple[str, ...]) -> Column:
+def term_count(text: Column, terms: tuple[str, ...], words: Column | None = None) -> Column:
     """Distinct terms in lower-case text; of overlapping ones the leftmost, then longest."""
     bounded, anywhere = _split(terms)
-    n = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(bounded_pattern(bounded)), F.lit(0))))
+    words = known_words(text, terms) if words is None else words
+    single, phrases = _single(bounded)
+    n = F.size(F.filter(words, lambda w: w.isin(sorted(single))))
+    if phrases:
+        # terms overlap only where one of several words is there
+        every = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(bounded_pattern(bounded)), F.lit(0))))
+        n = F.when(_phrase_match(text, words, phrases), every).otherwise(n)
     return reduce(lambda a, t: a + F.contains(text, F.lit(t)).cast("int"), anywhere, n)
 
 
 def contains_any(text: Column, parts: tuple[str, ...]) -> Column:
-    return text.rlike("|".join(map(quoted, parts)))
+    return F.exists(F.array(*[F.lit(p) for p in dict.fromkeys(parts)]), lambda p: F.contains(text, p))
 
 
 def pattern(text: Column, regex: str) -> Column:
@@ -72,13 +113,14 @@ class Flag:
     field: str
     what: tuple[str, ...] | str
 
-    def column(self) -> Column:
+    def column(self, words: Column | None = None) -> Column:
+        """`words` are the field's known words."""
         text = F.col(self.field)
         match self.kind:
             case "terms":
-                return term_match(text, self.what)
+                return term_match(text, self.what, words)
             case "count":
-                return term_count(text, self.what)
+                return term_count(text, self.what, words)
             case "parts":
                 return contains_any(text, self.what)
             case "regex":

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedsieve.functions import vocab as V
-from feedsieve.functions.matchers import Flag
+from feedsieve.functions.matchers import Flag, known_words
 
 #: The fields that flags look at, as SQL that both engines read.
 FIELDS = {
@@ -170,7 +170,12 @@ def with_flags(items: DataFrame) -> DataFrame:
     """Adds the fields' flags and the year facts, each worked out once."""
     df = items.withColumns({k: F.expr(v) for k, v in FIELDS.items()})
     years, head_years = F.regexp_extract_all("text", F.lit(YEARS), F.lit(1)), F.regexp_extract_all("head", F.lit(YEARS), F.lit(1))
-    flags = {k: f.column() for k, f in FLAGS.items()}
+    vocabularies: dict[str, list] = {}
+    for f in FLAGS.values():
+        if f.kind in ("terms", "count"):
+            vocabularies.setdefault(f.field, []).append(f.what)
+    df = df.withColumns({f"_{field}_words": known_words(F.col(field), *v) for field, v in vocabularies.items()})
+    flags = {k: f.column(F.col(f"_{f.field}_words") if f.field in vocabularies else None) for k, f in FLAGS.items()}
     df = df.withColumns(flags | {"_years": years, "_head_years": head_years})
     y = F.col("year")
     return df.withColumns({
@@ -178,7 +183,7 @@ def with_flags(items: DataFrame) -> DataFrame:
         "past_year": F.exists("_years", lambda x: (x.cast("int") >= 2010) & (x.cast("int") < y)),
         "recent_year": F.exists("_years", lambda x: x.cast("int").isin(y, y - 1)),
         "this_year": F.contains("text", y.cast("string")),
-    }).drop("_years", "_head_years")
+    }).drop("_years", "_head_years", *[f"_{field}_words" for field in vocabularies])
 
 
 def with_gates(items: DataFrame, least: int = V.MIN_IMPACT, require_anchor: bool = True) -> DataFrame:

@@ -49,12 +49,16 @@ def cycle_start(observed_s: Column, seconds: int = V.CYCLE_SECONDS) -> Column:
     return observed_s - observed_s % seconds
 
 
+def with_uid(items: DataFrame) -> DataFrame:
+    return items.withColumn("uid", keys.uid(F.col("guid"), F.col("link"), F.col("source_id"), F.col("title")))
+
+
+def with_title_keys(items: DataFrame) -> DataFrame:
+    return items.withColumns({"story_key": keys.story_key(F.col("title")), "subject_key": keys.subject_key(F.col("title"))})
+
+
 def with_keys(items: DataFrame) -> DataFrame:
-    return items.withColumns({
-        "uid": keys.uid(F.col("guid"), F.col("link"), F.col("source_id"), F.col("title")),
-        "story_key": keys.story_key(F.col("title")),
-        "subject_key": keys.subject_key(F.col("title")),
-    })
+    return with_title_keys(with_uid(items))
 
 
 def judged(items: DataFrame, cycle_seconds: int = V.CYCLE_SECONDS, least: int = V.MIN_IMPACT, require_anchor: bool = True, max_age: int = V.MAX_AGE_HOURS) -> DataFrame:
@@ -92,12 +96,12 @@ def cycle_cap(items: DataFrame, most: int = V.CYCLE_MAX) -> DataFrame:
     return items.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
 
 
-SLIM = ("arrival", "observed_s", "cycle_s", "source_id", "title", "link", "guid", "official", "is_upcoming_speech", "score", "uid", "story_key", "subject_key")
+SLIM = ("arrival", "observed_s", "cycle_s", "source_id", "title", "link", "guid", "official", "is_upcoming_speech", "score", "uid")
 
 
 def flagged(items: DataFrame, **how) -> DataFrame:
-    """Judged items with keys, whether they are stale or kept, and only the columns that later steps need."""
-    rows = with_keys(judged(items, **how)).withColumns({"stale": F.expr(f"coalesce({STALE}, false)"), "kept": F.expr(f"coalesce({KEPT}, false)")})
+    """Judged items with their uids, whether they are stale or kept, and only the columns that later steps need."""
+    rows = with_uid(judged(items, **how)).withColumns({"stale": F.expr(f"coalesce({STALE}, false)"), "kept": F.expr(f"coalesce({KEPT}, false)")})
     return rows.select(*SLIM, "age_reason", "is_historical", "reject_reason", "unpublished", "stale", "kept")
 
 
@@ -106,7 +110,7 @@ def candidates_of(rows: DataFrame, ledger: DataFrame | None = None) -> DataFrame
     spans = rows.groupBy("uid").agg(F.min(F.when(F.col("stale"), F.col("cycle_s"))).alias("_stale_s"), F.max(F.when(F.col("kept"), F.col("cycle_s"))).alias("_last"))
     stale = spans.where("_stale_s <= _last").drop("_last")
     left = _only(rows, "kept", list(SLIM)).join(stale, "uid", "left").where("_stale_s IS NULL OR cycle_s < _stale_s").drop("_stale_s")
-    return rank_by_impact(exact_dedup(left, ledger))
+    return with_title_keys(rank_by_impact(exact_dedup(left, ledger)))
 
 
 def candidates(items: DataFrame, ledger: DataFrame | None = None, **how) -> DataFrame:

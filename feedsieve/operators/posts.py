@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedsieve.functions import text as T
 from feedsieve.functions import vocab as V
-from feedsieve.functions.matchers import contains_any, quoted
+from feedsieve.functions.matchers import contains_any, let, quoted
 from feedsieve.operators import ground
 
 # Labels and markers.
@@ -21,12 +24,21 @@ def _source(*columns: str) -> Column:
     return F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in columns])
 
 
-def keyword_match(text: Column, words: tuple[str, ...], substring: str = " -") -> Column:
-    """Any of the words, between word boundaries; those with a character of `substring` anywhere."""
-    whole = [w for w in words if not any(c in w for c in substring)]
-    part = [w for w in words if any(c in w for c in substring)]
-    found = text.rlike(r"(?U)\b(?:" + "|".join(map(quoted, whole)) + r")\b")
-    return found | contains_any(text, tuple(part)) if part else found
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0)))
+
+
+def keyword_match(text: Column, words: tuple[str, ...], substring: str = " -", found: Column | None = None) -> Column:
+    """Any of the words, between word boundaries; those with a character of `substring` anywhere.
+
+    A plain word is looked up among those of the text, which `found` holds if they are at hand.
+    """
+    part = tuple(w for w in words if any(c in w for c in substring))
+    plain = [w for w in words if re.fullmatch(r"\w+", w) and w not in part]
+    other = [w for w in words if w not in part and w not in plain]
+    ways = [F.exists(_words(text) if found is None else found, lambda w: w.isin(plain))] * bool(plain)
+    ways += [text.rlike(r"(?U)\b(?:" + "|".join(map(quoted, other)) + r")\b")] * bool(other) + [contains_any(text, part)] * bool(part)
+    return reduce(lambda a, b: a | b, ways)
 
 
 def is_established_source(official: Column, source_name: Column, link: Column) -> Column:
@@ -72,13 +84,16 @@ def gated_prefix(raw: Column, speech: Column, recent: Column) -> Column:
 def hashtags(text: Column, prefix: Column, most: int = V.MAX_TAGS) -> Column:
     """At most four tags: assets by alphabet of their names, then themes, then places."""
     low = F.lower(text)
-    rule = lambda tag, words: F.when(keyword_match(low, words, " .-"), tag)
     assets = {}
     for name, tag in sorted(V.ALIASES.items()):
         assets.setdefault(f"#{tag.upper()}", []).append(name)
     flag = F.try_element_at(F.create_map(*[F.lit(x) for kv in V.FLAG_TAGS.items() for x in kv]), F.regexp_extract(F.coalesce(prefix, F.lit("")), FLAG, 0))
-    tags = [rule(t, tuple(w)) for t, w in assets.items()] + [rule(t, w) for t, w in V.THEME_TAGS.items()] + [flag] + [rule(t, w) for t, w in V.GEO_TAGS.items()]
-    return F.slice(F.array_distinct(F.array_compact(F.array(*tags))), 1, most)
+
+    def tags(found: Column) -> Column:
+        rules = lambda table: [F.when(keyword_match(low, tuple(words), " .-", found), tag) for tag, words in table.items()]
+        return F.slice(F.array_distinct(F.array_compact(F.array(*rules(assets), *rules(V.THEME_TAGS), flag, *rules(V.GEO_TAGS)))), 1, most)
+
+    return let(_words(low), tags)
 
 
 def needs_editor(label: Column, score: Column, text: Column) -> Column:
