@@ -8,19 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedsieve.functions import vocab as V
+from feedsieve.functions.matchers import mapped, text_sql, words_in
 
 WORDS = r"[a-zA-Zа-яёА-ЯЁ]{3,}"
 TICKER = r"(?<![A-Za-z0-9_])[A-Z]{2,5}(?![A-Za-z0-9_])"
 PROPER = r"(?<![A-Za-z0-9_а-яёА-ЯЁ])[A-ZА-ЯЁ][a-zA-Zа-яёА-ЯЁ]{3,}(?![A-Za-z0-9_а-яёА-ЯЁ])"
 
 
-def _map(table: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-
-
-def _renamed(word: Column, table: dict) -> Column:
-    """A word as the table names it; looked up by hash first, as most words are not in the table."""
-    return F.when(word.isin(*table), F.coalesce(F.try_element_at(_map(table), word), word)).otherwise(word)
+def _renamed(words: Column, table: dict) -> Column:
+    """Words as the table names them; looked up by hash first, as most words are not in the table."""
+    pairs = ", ".join(f"{text_sql(k)}, {text_sql(v)}" for k, v in table.items())
+    known = ", ".join(map(text_sql, table))
+    return F.call_function("transform", words, F.expr(f"w -> CASE WHEN w IN ({known}) THEN coalesce(try_element_at(map({pairs}), w), w) ELSE w END"))
 
 
 def uid(guid: Column, link: Column, source_id: Column, title: Column) -> Column:
@@ -36,7 +35,7 @@ def normalise_number(token: Column) -> Column:
     digits, suffix = F.regexp_extract(bare, form, 1), F.regexp_extract(bare, form, 2)
     decimal = F.contains(digits, F.lit(",")) & ~F.contains(digits, F.lit(".")) & digits.rlike(",[0-9]{1,2}$")
     plain = F.when(decimal, F.replace(digits, F.lit(","), F.lit("."))).otherwise(F.replace(digits, F.lit(","), F.lit("")))
-    value = plain.try_cast("double") * F.coalesce(F.try_element_at(_map(V.MULTIPLIERS), suffix).cast("double"), F.lit(1.0))
+    value = plain.try_cast("double") * F.coalesce(F.try_element_at(mapped(V.MULTIPLIERS), suffix).cast("double"), F.lit(1.0))
     # all digits are written out, also where a double would show an exponent
     whole, part = value.try_cast("decimal(38,0)").cast("string"), F.regexp_replace(value.try_cast("decimal(38,18)").cast("string"), "0+$", "")
     written = F.coalesce(F.when(value % 1 == 0, whole).otherwise(part), value.cast("string"))
@@ -48,13 +47,16 @@ def _numbers(title: Column) -> Column:
     return F.filter(found, lambda x: x.isNotNull())
 
 
+def _without(words: Column, values) -> Column:
+    return F.call_function("filter", words, F.expr(f"w -> w NOT IN ({', '.join(map(text_sql, values))})"))
+
+
 def _alias(words: Column) -> Column:
-    named = F.transform(F.filter(words, lambda w: w.isin(*V.ALIASES)), lambda w: F.try_element_at(_map(V.ALIASES), w))
-    return F.filter(named, lambda x: x.isNotNull())
+    return _renamed(words_in(words, V.ALIASES), V.ALIASES)
 
 
 def _canonical(words: Column) -> Column:
-    return F.transform(words, lambda w: _renamed(w, V.SYNONYMS))
+    return _renamed(words, V.SYNONYMS)
 
 
 def story_tokens(title: Column) -> Column:
@@ -62,8 +64,8 @@ def story_tokens(title: Column) -> Column:
     title = F.trim(F.coalesce(title, F.lit("")))
     low = F.regexp_extract_all(F.lower(title), F.lit(WORDS), F.lit(0))
     tickers = F.transform(F.regexp_extract_all(title, F.lit(TICKER), F.lit(0)), F.lower)
-    assets = F.concat(_alias(low), F.transform(tickers, lambda t: _renamed(t, V.ALIASES)))
-    words = _canonical(F.filter(low, lambda w: (F.length(w) >= 4) & ~w.isin(*V.STOPWORDS)))
+    assets = F.concat(_alias(low), _renamed(tickers, V.ALIASES))
+    words = _canonical(_without(F.filter(low, lambda w: F.length(w) >= 4), V.STOPWORDS))
     numbers = _numbers(title)
     return F.sort_array(F.array_distinct(F.when(F.size(numbers) > 0, F.concat(numbers, assets)).otherwise(F.concat(assets, words))))
 
@@ -74,7 +76,7 @@ def subject_tokens(title: Column) -> Column:
     low = F.regexp_extract_all(F.lower(title), F.lit(WORDS), F.lit(0))
     tickers = F.transform(F.regexp_extract_all(title, F.lit(TICKER), F.lit(0)), F.lower)
     proper = F.transform(F.regexp_extract_all(title, F.lit(PROPER), F.lit(0)), F.lower)
-    names = _canonical(F.filter(proper, lambda w: ~w.isin(*V.STOPWORDS, *V.ALIASES)))
+    names = _canonical(_without(proper, (*V.STOPWORDS, *V.ALIASES)))
     longest = F.aggregate(names, F.lit("").cast("string"), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
     return F.sort_array(F.array_distinct(F.concat(_alias(low), _alias(tickers), F.when(longest != "", F.array(longest)).otherwise(F.array().cast("array<string>")))))
 

@@ -28,6 +28,34 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def text_sql(text: str) -> str:
+    """A literal of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def listed(values) -> Column:
+    """An array of texts; parsed at one go, where a call for each of hundreds of literals takes seconds."""
+    return F.expr(f"array({', '.join(map(text_sql, values))})")
+
+
+def mapped(table: dict) -> Column:
+    """A map from text to text or whole numbers, parsed at one go."""
+    return F.expr("map(" + ", ".join(f"{text_sql(k)}, {text_sql(v) if isinstance(v, str) else f'{v}L'}" for k, v in table.items()) + ")")
+
+
+def one_of(values) -> Column:
+    """The condition of `words_in` and `has_word`: a word is one of many, looked up by hash."""
+    return F.expr(f"w -> w IN ({', '.join(map(text_sql, values))})")
+
+
+def words_in(words: Column, values) -> Column:
+    return F.call_function("filter", words, one_of(values))
+
+
+def has_word(words: Column, values) -> Column:
+    return F.call_function("exists", words, one_of(values))
+
+
 def quoted(text: str) -> str:
     """A term as a pattern that both engines read alike."""
     return SPECIAL.sub(r"\\\1", text)
@@ -49,20 +77,16 @@ TOKEN = "[a-z0-9]+"
 def known_words(text: Column, *vocabularies: tuple[str, ...]) -> Column:
     """The distinct words of lower-case text that a bounded term of the vocabularies begins with."""
     firsts = sorted({re.findall(TOKEN, t)[0] for terms in vocabularies for t in _split(terms)[0]})
-    return F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))), lambda w: w.isin(firsts))
-
-
-def _has(words: Column, wanted: set[str]) -> Column:
-    return F.exists(words, lambda w: w.isin(sorted(wanted)))
+    return words_in(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))), firsts)
 
 
-def _single(bounded: list[str]) -> tuple[set[str], list[str]]:
+def _single(bounded: list[str]) -> tuple[list[str], list[str]]:
     """(terms of one word, terms of several)"""
-    return {t for t in bounded if re.fullmatch(TOKEN, t)}, [t for t in bounded if not re.fullmatch(TOKEN, t)]
+    return [t for t in bounded if re.fullmatch(TOKEN, t)], [t for t in bounded if not re.fullmatch(TOKEN, t)]
 
 
 def _phrase_match(text: Column, words: Column, phrases: list[str]) -> Column:
-    return _has(words, {re.findall(TOKEN, t)[0] for t in phrases}) & text.rlike(bounded_pattern(phrases))
+    return has_word(words, sorted({re.findall(TOKEN, t)[0] for t in phrases})) & text.rlike(bounded_pattern(phrases))
 
 
 def term_match(text: Column, terms: tuple[str, ...], words: Column | None = None) -> Column:
@@ -70,7 +94,9 @@ def term_match(text: Column, terms: tuple[str, ...], words: Column | None = None
     bounded, anywhere = _split(terms)
     words = known_words(text, terms) if words is None else words
     single, phrases = _single(bounded)
-    found = [_has(words, single)] * bool(single) + [contains_any(text, tuple(anywhere))] * bool(anywhere) + [_phrase_match(text, words, phrases)] * bool(phrases)
+    found = [has_word(words, single)] if single else []
+    found += [contains_any(text, tuple(anywhere))] if anywhere else []
+    found += [_phrase_match(text, words, phrases)] if phrases else []
     return reduce(lambda a, b: a | b, found)
 
 
@@ -79,7 +105,7 @@ def term_count(text: Column, terms: tuple[str, ...], words: Column | None = None
     bounded, anywhere = _split(terms)
     words = known_words(text, terms) if words is None else words
     single, phrases = _single(bounded)
-    n = F.size(F.filter(words, lambda w: w.isin(sorted(single))))
+    n = F.size(words_in(words, single)) if single else F.lit(0)
     if phrases:
         # terms overlap only where one of several words is there
         every = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(bounded_pattern(bounded)), F.lit(0))))
@@ -88,7 +114,7 @@ def term_count(text: Column, terms: tuple[str, ...], words: Column | None = None
 
 
 def contains_any(text: Column, parts: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*[F.lit(p) for p in dict.fromkeys(parts)]), lambda p: F.contains(text, p))
+    return F.exists(listed(dict.fromkeys(parts)), lambda p: F.contains(text, p))
 
 
 def pattern(text: Column, regex: str) -> Column:

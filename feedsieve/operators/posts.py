@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from feedsieve.functions import text as T
 from feedsieve.functions import vocab as V
-from feedsieve.functions.matchers import contains_any, let, quoted
+from feedsieve.functions.matchers import contains_any, has_word, let, mapped, quoted
 from feedsieve.operators import ground
 
 # Labels and markers.
@@ -36,8 +36,9 @@ def keyword_match(text: Column, words: tuple[str, ...], substring: str = " -", f
     part = tuple(w for w in words if any(c in w for c in substring))
     plain = [w for w in words if re.fullmatch(r"\w+", w) and w not in part]
     other = [w for w in words if w not in part and w not in plain]
-    ways = [F.exists(_words(text) if found is None else found, lambda w: w.isin(plain))] * bool(plain)
-    ways += [text.rlike(r"(?U)\b(?:" + "|".join(map(quoted, other)) + r")\b")] * bool(other) + [contains_any(text, part)] * bool(part)
+    ways = [has_word(_words(text) if found is None else found, plain)] if plain else []
+    ways += [text.rlike(r"(?U)\b(?:" + "|".join(map(quoted, other)) + r")\b")] if other else []
+    ways += [contains_any(text, part)] if part else []
     return reduce(lambda a, b: a | b, ways)
 
 
@@ -87,7 +88,7 @@ def hashtags(text: Column, prefix: Column, most: int = V.MAX_TAGS) -> Column:
     assets = {}
     for name, tag in sorted(V.ALIASES.items()):
         assets.setdefault(f"#{tag.upper()}", []).append(name)
-    flag = F.try_element_at(F.create_map(*[F.lit(x) for kv in V.FLAG_TAGS.items() for x in kv]), F.regexp_extract(F.coalesce(prefix, F.lit("")), FLAG, 0))
+    flag = F.try_element_at(mapped(V.FLAG_TAGS), F.regexp_extract(F.coalesce(prefix, F.lit("")), FLAG, 0))
 
     def tags(found: Column) -> Column:
         rules = lambda table: [F.when(keyword_match(low, tuple(words), " .-", found), tag) for tag, words in table.items()]
