@@ -1,10 +1,12 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from feedsieve.functions import keys, predicates
-from feedsieve.functions.matchers import term_count, term_match
+from feedsieve.functions import vocab as V
+from feedsieve.functions.matchers import known_words, term_count, term_match
 from feedsieve.operators import curate as C
 from feedsieve.operators import dedup as D
 
@@ -236,3 +238,21 @@ def test_write_up_and_record(spark, tmp_path):
     assert {r["uid"]: r["outcome"] for r in seen.collect()} == {"u0": "seen", "u1": "sent", "u2": "too_few_words", "u3": "no_text", "u4": "sent", "u5": "sent"}
     left = C.status_metrics(sent.withColumn("sent_s", F.unix_seconds("sent_at")), F.lit(86400 + 100), limit=10).first()
     assert (left["budget_used"], left["budget_left"], left["published"]) == (3, 7, 3)
+
+
+def test_terms_that_are_looked_up_equal_terms_that_are_searched_for(spark):
+    rng = random.Random(5)
+    vocabularies = (V.TIER1, V.CATALYST, V.EVENT, V.RELEVANT)
+    parts = [t for v in vocabularies for t in v] + ["the", "a-b", "x", "'", "etf's", "bitcoins", "2024", "банк", ""]
+    texts = ["".join(rng.choice(parts) + rng.choice((" ", " ", "-", "", ", ", "'", "  ")) for _ in range(rng.randint(0, 9))) for _ in range(800)]
+
+    def searched(text, terms):
+        whole = sorted((t for t in terms if re.fullmatch("[a-z0-9 '-]+", t)), key=lambda t: -len(t))
+        found = re.findall("(?<![a-z0-9])(?:" + "|".join(map(re.escape, whole)) + ")(?![a-z0-9])", text)
+        return len(set(found)) + sum(t in text for t in terms if t not in whole)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("w", known_words(F.col("t"), *vocabularies))
+    wanted = [c for v in vocabularies for c in (term_count(F.col("t"), v, F.col("w")), term_match(F.col("t"), v))]
+    for i, *got in df.select("i", *wanted).collect():
+        n = [searched(texts[i], v) for v in vocabularies]
+        assert got == [x for k in n for x in (k, k > 0)], texts[i]
