@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedsieve.llm.common import checkpoint, columns_of, dropped, free_name, numbered, sized, small_batches, written
+from feedsieve.llm.common import checkpoint, columns_of, dropped, free_name, numbered, shuffles_removed, sized, small_batches, written
 from feedsieve.llm.components import components
 from feedsieve.llm.shingles import digest, mix64, shingle_sets
 
@@ -387,8 +387,9 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def _joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The join of numbered documents, which nothing reads afterwards."""
-    signed, nodes, roots = link(docs, size, percent)
-    roots = checkpoint(roots)
+    with shuffles_removed(docs.sparkSession):
+        signed, nodes, roots = link(docs, size, percent)
+        roots = checkpoint(roots)
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("node").alias("first_rid"))
     of_sig = named.select("sig", "root").join(least, "root").select("sig", "component_id", "first_rid")

@@ -1,5 +1,7 @@
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -114,6 +116,20 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
 
 
+def test_the_join_leaves_no_shuffle_files_but_those_of_its_result(spark):
+    folder = spark.conf.get("spark.local.dir")
+    held = lambda: {f for _, _, names in os.walk(folder) for f in names if f.startswith("shuffle_")}
+    before, key = held(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    found = ngram_join.join(documents(spark, near_texts(3, families=2, copies=6)), 3, 90)
+    for _ in range(60):
+        if not (left := held() - before):
+            break
+        time.sleep(0.5)
+    assert not left
+    assert spark.conf.get(key) == "false"  # the session is as it was
+    assert found.count() == found.count() and len(found.collect()) == len(found.collect())
+
+
 def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(1)
     line = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(n))
