@@ -51,6 +51,15 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+#: Rows of a few numbers that make a partition worth a task.
+ROWS_A_TASK = 25_000
+
+
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """A table of about so many rows in no more partitions than they are worth, however many a shuffle makes."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for one run's files, under the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{os.urandom(8).hex()}"

@@ -116,6 +116,20 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
 
 
+def test_small_tables_of_edges_lie_in_few_partitions(spark):
+    keys = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        found = components(spark.createDataFrame([(i, i + 1) for i in range(50) if i % 10], "a long, b long"))
+        assert found.rdd.getNumPartitions() <= 2
+        assert {r["node"]: r["root"] for r in found.collect()} == {i: i if i == 0 else (i - 1) // 10 * 10 + 1 for i in range(1, 51)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_the_join_leaves_no_shuffle_files_but_those_of_its_result(spark):
     folder = spark.conf.get("spark.local.dir")
     held = lambda: {f for _, _, names in os.walk(folder) for f in names if f.startswith("shuffle_")}
