@@ -182,7 +182,8 @@ class Corpus:
     mass: np.ndarray
     kinds: np.ndarray
     spelling: np.ndarray
-    unseen: float
+    #: One at least; tests and callers that do not score unknown words leave it out.
+    unseen: float = 1.0
 
     @property
     def slots(self) -> int:
