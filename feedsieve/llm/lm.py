@@ -97,14 +97,20 @@ def unknown(spelling: np.ndarray, names: np.ndarray, unseen: float) -> np.ndarra
     return np.logaddexp(np.log(EQUAL / unseen), np.log1p(-EQUAL) + spelled(spelling, names) * LN10) / LN10
 
 
-def word_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys of the distinct words, suffix class of each, codes of all words, bounds of the texts, the distinct words)."""
+def word_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of the distinct words, codes of all words, bounds of the texts, the distinct words)."""
     array, cuts = words(texts)
     coded = array.dictionary_encode()
     names = coded.dictionary.to_numpy(zero_copy_only=False)
     keys = pd.util.hash_array(names, categorize=False).view(np.int64) if len(names) else np.zeros(0, np.int64)
-    suffix = np.fromiter((zlib.crc32(w[-2:].encode("utf-8", "surrogatepass")) % SUFFIXES for w in names), np.int64, len(names))
-    return keys, suffix, coded.indices.to_numpy(zero_copy_only=False), cuts, names
+    return keys, coded.indices.to_numpy(zero_copy_only=False), cuts, names
+
+
+def suffix_classes(names: np.ndarray) -> np.ndarray:
+    """The class of each word's last two characters; each pair of these is hashed once."""
+    ends = [w[-2:] for w in names]
+    of = {x: zlib.crc32(x.encode("utf-8", "surrogatepass")) % SUFFIXES for x in set(ends)}
+    return np.fromiter(map(of.__getitem__, ends), np.int64, len(ends))
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -155,7 +161,7 @@ def part_words(placed: DataFrame) -> DataFrame:
                 keys, counts, names, piece = [], [], [], piece + 1
             now = part
             train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-            k, _, codes, cuts, w = word_keys(batch.column("text").to_pylist())
+            k, codes, cuts, w = word_keys(batch.column("text").to_pylist())
             n = np.bincount(codes, np.repeat(train, np.diff(cuts)), minlength=len(k)) if len(k) else np.zeros(0)
             keys += [k, np.array([END_KEY])]
             counts += [n, np.array([train.sum()])]
@@ -241,8 +247,10 @@ def encode(placed: DataFrame, counts: DataFrame, corpus: Corpus) -> DataFrame:
         out: list[list] = [[] for _ in range(8)]
         for begin in range(0, docs.num_rows, 500):
             some = docs.slice(begin, 500)
-            keys, suffix, codes, cuts, names = word_keys(some["text"].to_pylist())
+            keys, codes, cuts, names = word_keys(some["text"].to_pylist())
             c, r = facts(keys)
+            suffix = np.zeros(len(keys), np.int64)
+            suffix[r < 0] = suffix_classes(names[r < 0])
             base = np.log10((c + 1) / norm)
             tail = np.where(r >= 0, 0.0, np.log10(np.maximum(c, 1) / np.maximum(corpus.mass[level(c)], 1)))
             tail[c <= 0] = unknown(spelling, names[c <= 0], unseen)
@@ -283,23 +291,38 @@ def start_weights(corpus: Corpus, seed: int = 5) -> dict[str, np.ndarray]:
     return {"x": n(corpus.codes + 1, 3 * HIDDEN), "u": n(HIDDEN, 3 * HIDDEN, k=HIDDEN**-0.5), "wc": n(HIDDEN, corpus.classes, k=0.05), "bc": bias.astype(np.float32), "v": n(heads, HIDDEN, WIDTH, k=0.05), "bv": (word.reshape(heads, WIDTH) - word.reshape(heads, WIDTH).max(1, keepdims=True)).astype(np.float32)}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _biased(w: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Output weights of the classes and of the words in them, with the biases as a last row."""
+    return np.concatenate((w["wc"], w["bc"][None])), np.concatenate((w["v"], w["bv"][:, None]), axis=1)
+
+
+def _with_one(h: np.ndarray) -> np.ndarray:
+    """The states with a last column of ones for the biases."""
+    out = np.ones((len(h), HIDDEN + 1), h.dtype)
+    out[:, :HIDDEN] = h
+    return out
+
+
+def _wide(weights: np.ndarray) -> bool:
+    """Whether logits may come near the range of single precision.  States lie between -1 and 1, so the weights bound them."""
+    return bool(np.abs(weights).sum(-2).max() > 60)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(-1, keepdims=True)
-    return z - np.log(np.exp(z).sum(-1, keepdims=True))
+def _exponentials(z: np.ndarray, goal: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Turns logits into exponentials in place, each row's up to a factor; the rows' sums, and the log probability of each row's goal."""
+    if wide:
+        z -= z.max(-1, keepdims=True)
+    aim = z[np.arange(len(goal)), goal]
+    sums = np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype)
+    return sums, aim - np.log(sums)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    p = np.exp(z - z.max(-1, keepdims=True))
-    p /= p.sum(-1, keepdims=True)
-    return p
+#: The class of each code.
+CLASSES = np.concatenate((np.arange(HEAD) // WIDTH, HEAD // WIDTH + np.arange(TAILS * SUFFIXES) // SUFFIXES)).astype(np.uint16)
 
 
 def class_of(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes < HEAD, codes // WIDTH, HEAD // WIDTH + (codes - HEAD) // SUFFIXES)
+    return CLASSES[codes]
 
 
 def lanes_of(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
@@ -333,39 +356,71 @@ def _inputs(codes: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
 
 
 def states(w: dict, inputs: np.ndarray, first: np.ndarray, h: np.ndarray, keep: list | None = None, begin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden states of a window, and the last one.  Where `first` is set the state is new: zero, or the next row of `begin`, in the order of steps and lanes."""
-    out = np.empty((len(inputs), len(h), HIDDEN), w["u"].dtype)
-    x = w["x"][inputs]
-    at = 0
-    for t in range(len(inputs)):
-        if first[t].any():
-            h = h * ~first[t][:, None]
-            if begin is not None:
-                n = int(first[t].sum())
-                h[first[t]] = begin[at : at + n]
-                at += n
-        g = h @ w["u"]
-        zr = _sigmoid(x[t, :, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(x[t, :, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
-        new = n + z * (h - n)
-        if keep is not None:
-            keep.append((h, z, r, n, g[:, 2 * HIDDEN :]))
-        out[t] = h = new
-    return out, h
-
-
-def log_probs(w: dict, h: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Natural log probability of each word's class and, for head words, of the word in it."""
-    kind = class_of(codes)
-    out = np.take_along_axis(_log_softmax(h @ w["wc"] + w["bc"]), kind[:, None], 1)[:, 0].astype(np.float64)
-    heads = HEAD // WIDTH
-    order = np.argsort(kind, kind="stable")
-    ends = np.searchsorted(kind[order], np.arange(heads + 1))
-    for k in range(heads):
-        at = order[ends[k] : ends[k + 1]]
-        if len(at):
-            out[at] += np.take_along_axis(_log_softmax(h[at] @ w["v"][k] + w["bv"][k]), (codes[at] % WIDTH)[:, None], 1)[:, 0]
+    """Hidden states of a window, and the last one.  Where `first` is set the state is new: zero, or the next row of `begin`, in the order of steps and lanes.
+
+    The lanes of a unit lie side by side, so a gate of all lanes is in one piece.  Both gates and the
+    tanh are worked out of one kind of exponential: 1 / (1 + exp(-a)), and twice that of 2a, less one.
+    """
+    kind, gates = w["u"].dtype, 2 * HIDDEN
+    signs = np.repeat(np.array([-1, -1, -2], kind), HIDDEN)
+    u = np.ascontiguousarray((w["u"] * signs).T)
+    x = np.empty((len(inputs), 3 * HIDDEN, len(h)), kind)
+    np.multiply(np.take(w["x"], inputs, axis=0).transpose(0, 2, 1), signs[:, None], out=x)
+    out = np.empty((len(inputs), HIDDEN, len(h)), kind)
+    before, inner = (np.empty_like(out) for _ in range(2)) if keep is not None else (None, None)
+    g = np.empty((3 * HIDDEN, len(h)), kind)
+    h, at = np.ascontiguousarray(h.T, kind), 0
+    with np.errstate(over="ignore"):  # a gate of zero
+        for t, new in enumerate(first.any(1).tolist()):
+            if new:
+                h = h * ~first[t]
+                if begin is not None:
+                    n = int(first[t].sum())
+                    h[:, first[t]] = begin[at : at + n].T
+                    at += n
+            np.matmul(u, h, out=g)
+            if keep is not None:
+                before[t], inner[t] = h, g[gates:]
+            zr, n = x[t, :gates], x[t, gates:]
+            zr += g[:gates]
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            g[gates:] *= zr[HIDDEN:]
+            n += g[gates:]
+            np.exp(n, out=n)
+            n += 1
+            np.divide(2, n, out=n)
+            n -= 1
+            h = np.subtract(h, n, out=out[t])
+            h *= zr[:HIDDEN]
+            h += n
+    if keep is not None:
+        inner *= kind.type(-0.5)
+        keep += [before, x, inner]
+    return out.transpose(0, 2, 1), h.T
+
+
+def _by_class(kind: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The places of head words in order of their class, and each class that occurs with the bounds of its places."""
+    order = np.argsort(kind.astype(np.uint16, copy=False), kind="stable")  # numbers of 16 bits are sorted without comparisons
+    ends = np.searchsorted(kind[order], np.arange(HEAD // WIDTH + 1)).tolist()
+    return order[: ends[-1]], [(k, a, b) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
+
+
+def log_probs(w: dict, h: np.ndarray, codes: np.ndarray, rows: int = 4096) -> np.ndarray:
+    """Natural log probability of each word's class and, for head words, of the word in it; so many rows at once as a core's cache holds."""
+    kind, flat, (wc, v) = class_of(codes), _with_one(h), _biased(w)
+    out, wide = np.empty(len(codes)), _wide(wc)
+    for a in range(0, len(codes), rows):
+        out[a : a + rows] = _exponentials(flat[a : a + rows] @ wc, kind[a : a + rows], wide)[1]
+    order, spans = _by_class(kind)
+    own, goal, inner, wide = flat[order], codes[order] % WIDTH, np.empty(len(order)), _wide(v)
+    for k, begin, end in spans:
+        for a in range(begin, end, rows):
+            s = slice(a, min(end, a + rows))
+            inner[s] = _exponentials(own[s] @ v[k], goal[s], wide)[1]
+    out[order] += inner
     return out
 
 
@@ -373,50 +428,63 @@ def gradients(w: dict, inputs: np.ndarray, first: np.ndarray, used: np.ndarray,
     """Gradients of the mean negative log probability over one window, the input rows that `x` has them for, the last state, and that mean."""
     kept: list = []
     hs, last = states(w, inputs, first, h0, kept, begin)
-    flat, goal, use = hs.reshape(-1, HIDDEN), targets.ravel(), used.ravel()
-    kind, heads, total = class_of(goal), HEAD // WIDTH, max(1, int(use.sum()))
+    before, gates, inner = kept
+    flat, goal, use = _with_one(hs.reshape(-1, HIDDEN)), targets.ravel(), used.ravel()
+    kind, total, (wc, v), number = class_of(goal), max(1, int(use.sum())), _biased(w), w["u"].dtype
     grad = {k: np.zeros_like(w[k]) for k in ("v", "bv")}
-    d = _softmax(flat @ w["wc"] + w["bc"])
-    place = np.arange(len(goal)), kind
-    loss = -float(np.log(d[place][use]).sum())
-    d[place] -= 1
-    d *= (use / total)[:, None].astype(np.float32)
-    grad["wc"], grad["bc"] = flat.T @ d, d.sum(0)
-    dh = d @ w["wc"].T
-    order = np.argsort(kind, kind="stable")
-    ends = np.searchsorted(kind[order], np.arange(heads + 1))
-    for k in range(heads):
-        at = order[ends[k] : ends[k + 1]]
-        at = at[use[at]]
-        if len(at):
-            own = flat[at]
-            d = _softmax(own @ w["v"][k] + w["bv"][k])
-            place = np.arange(len(at)), goal[at] % WIDTH
-            loss -= float(np.log(d[place]).sum())
-            d[place] -= 1
-            d *= w["u"].dtype.type(1 / total)
-            grad["v"][k], grad["bv"][k] = own.T @ d, d.sum(0)
-            dh[at] += d @ w["v"][k].T
-    dh = dh.reshape(hs.shape)
-    carry = np.zeros_like(h0)
-    dx = np.empty((*inputs.shape, 3 * HIDDEN), w["u"].dtype)
-    dg = np.empty_like(dx)
-    for t in range(len(inputs) - 1, -1, -1):
-        h, z, r, n, gn = kept[t]
-        dnew = dh[t] + carry
-        dn = dnew * (1 - z) * (1 - n * n)
-        dz = dnew * (h - n) * z * (1 - z)
-        dr = dn * gn * r * (1 - r)
-        dx[t, :, :HIDDEN], dx[t, :, HIDDEN : 2 * HIDDEN], dx[t, :, 2 * HIDDEN :] = dz, dr, dn
-        dg[t, :, : 2 * HIDDEN], dg[t, :, 2 * HIDDEN :] = dx[t, :, : 2 * HIDDEN], dn * r
-        carry = (dnew * z + dg[t] @ w["u"].T) * ~first[t][:, None]
-    before = np.stack([k[0] for k in kept]).reshape(-1, HIDDEN)
-    grad["u"] = before.T @ dg.reshape(-1, 3 * HIDDEN)
-    words = inputs.ravel()
-    order = np.argsort(words, kind="stable")
-    rows, begins = np.unique(words[order], return_index=True)
-    # summed along rows that lie in one piece, which is several times faster
-    grad["x"] = np.add.reduceat(np.ascontiguousarray(dx.reshape(-1, 3 * HIDDEN)[order].T), begins, axis=1).T
+    # exponentials less the sum at the goal are the errors of a row times its sum, which narrow matrices are divided by instead
+    d = flat @ wc
+    sums, found = _exponentials(d, kind, _wide(wc))
+    loss = -float(found[use].sum(dtype=np.float64))
+    d[np.arange(len(goal)), kind] -= sums
+    weight = (use / total / sums).astype(number)[:, None]
+    both = d.T @ (flat * weight)
+    grad["wc"], grad["bc"] = np.ascontiguousarray(both[:, :HIDDEN].T), both[:, HIDDEN].copy()
+    dh = (d @ w["wc"].T) * weight
+    order, spans = _by_class(np.where(use, kind, HEAD // WIDTH))
+    own, goal = flat[order], goal[order] % WIDTH
+    d, back = np.empty((len(order), WIDTH), number), np.empty((len(order), HIDDEN), number)
+    for k, a, b in spans:
+        np.matmul(own[a:b], v[k], out=d[a:b])
+    sums, found = _exponentials(d, goal, _wide(v))
+    loss -= float(found.sum(dtype=np.float64))
+    d[np.arange(len(goal)), goal] -= sums
+    weight = (1 / total / sums).astype(number)[:, None]
+    own *= weight
+    for k, a, b in spans:
+        both = own[a:b].T @ d[a:b]
+        grad["v"][k], grad["bv"][k] = both[:HIDDEN], both[HIDDEN]
+        np.matmul(d[a:b], w["v"][k].T, out=back[a:b])
+    back *= weight
+    dh[order] += back
+    dh = np.ascontiguousarray(dh.reshape(hs.shape).transpose(0, 2, 1))
+    z, r, n = (gates[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
+    # what a state's error is multiplied by for each gate
+    to_n = (1 - z) * (1 - n * n)
+    to_z = (before - n) * (z * (1 - z))
+    to_r = inner * (r * (1 - r))
+    # side by side: errors of the candidate's recurrent part, of both gates, and of the candidate
+    e = np.empty((len(inputs), 4 * HIDDEN, len(h0)), number)
+    du, dz, dr, dn = (e[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+    u = np.ascontiguousarray(np.roll(w["u"], HIDDEN, axis=1))
+    carry = np.zeros((HIDDEN, len(h0)), number)
+    for t, new in zip(range(len(inputs) - 1, -1, -1), first.any(1).tolist()[::-1], strict=True):
+        carry += dh[t]
+        np.multiply(carry, to_n[t], out=dn[t])
+        np.multiply(carry, to_z[t], out=dz[t])
+        np.multiply(dn[t], to_r[t], out=dr[t])
+        np.multiply(dn[t], r[t], out=du[t])
+        carry *= z[t]
+        carry += u @ e[t, : 3 * HIDDEN]
+        if new:
+            carry *= ~first[t]
+    grad["u"] = np.roll((before @ e[:, : 3 * HIDDEN].transpose(0, 2, 1)).sum(0), -HIDDEN, axis=1)
+    # each input word's errors, summed for one unit's gate after the other
+    here = np.zeros(len(w["x"]), bool)
+    here[inputs] = True
+    rows, which = np.flatnonzero(here), (np.cumsum(here) - 1)[inputs.ravel()]
+    errors = np.ascontiguousarray(e[:, HIDDEN:].transpose(1, 0, 2)).reshape(3 * HIDDEN, -1)
+    grad["x"] = np.ascontiguousarray(np.array([np.bincount(which, x, len(rows)) for x in errors], number).T)
     return grad, rows, last, loss / total
 
 
@@ -476,13 +544,22 @@ def train_part(w: dict, docs: list[np.ndarray], goals: list[np.ndarray], rate: f
         step, unbias = rate / (1 - 0.9**t), 1 / (1 - 0.99**t)
         for k, g in grad.items():
             at = rows if k == "x" else slice(None)  # words that did not occur are left alone
-            g *= scale
             mk, vk = m[k][at], v[k][at]
-            mk += 0.1 * (g - mk)
+            g *= scale
+            mk *= 0.9
+            mk += 0.1 * g
             g *= g
-            vk += 0.01 * (g - vk)
-            m[k][at], v[k][at] = mk, vk
-            w[k][at] -= step * mk / (np.sqrt(vk * unbias) + 1e-8)
+            g *= 0.01
+            vk *= 0.99
+            vk += g
+            np.multiply(vk, unbias, out=g)
+            np.sqrt(g, out=g)
+            g += 1e-8
+            np.divide(mk, g, out=g)
+            g *= step
+            w[k][at] -= g
+            if k == "x":
+                m[k][at], v[k][at] = mk, vk
     return w
 
 

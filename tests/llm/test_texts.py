@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -379,6 +380,108 @@ def test_gradients_match_differences():
         assert abs((up - down) / 2 / e - grad[k][at]) < 1e-4
 
 
+def plain_window(w, inputs, first, targets, h0):
+    """Loss and gradients of one window, lane by lane as rows, each class's softmax written out in steps."""
+    sigmoid = lambda x: 0.5 * np.tanh(0.5 * x) + 0.5
+    size, heads, h, kept, out = lm.HIDDEN, lm.HEAD // lm.WIDTH, h0, [], []
+    x = w["x"][inputs]
+    for t in range(len(inputs)):
+        h = h * ~first[t][:, None]
+        g = h @ w["u"]
+        zr = sigmoid(x[t, :, : 2 * size] + g[:, : 2 * size])
+        z, r = zr[:, :size], zr[:, size:]
+        n = np.tanh(x[t, :, 2 * size :] + r * g[:, 2 * size :])
+        kept.append((h, z, r, n, g[:, 2 * size :]))
+        h = n + z * (h - n)
+        out.append(h)
+    hs = np.stack(out)
+    flat, goal = hs.reshape(-1, size), targets.ravel()
+    kind = np.where(goal < lm.HEAD, goal // lm.WIDTH, heads + (goal - lm.HEAD) // lm.SUFFIXES)
+    grad, loss = {k: np.zeros_like(v) for k, v in w.items()}, 0.0
+
+    def errors(z, aim):
+        p = np.exp(z - z.max(-1, keepdims=True))
+        p /= p.sum(-1, keepdims=True)
+        place = np.arange(len(aim)), aim
+        lost = -float(np.log(p[place]).sum()) / len(goal)
+        p[place] -= 1
+        return p / p.dtype.type(len(goal)), lost
+
+    d, lost = errors(flat @ w["wc"] + w["bc"], kind)
+    loss += lost
+    grad["wc"], grad["bc"], dh = flat.T @ d, d.sum(0), d @ w["wc"].T
+    order = np.argsort(kind, kind="stable")
+    ends = np.searchsorted(kind[order], np.arange(heads + 1))
+    for k in range(heads):
+        at = order[ends[k] : ends[k + 1]]
+        if len(at):
+            d, lost = errors(flat[at] @ w["v"][k] + w["bv"][k], goal[at] % lm.WIDTH)
+            loss += lost
+            grad["v"][k], grad["bv"][k] = flat[at].T @ d, d.sum(0)
+            dh[at] += d @ w["v"][k].T
+    dh, carry, dx = dh.reshape(hs.shape), np.zeros_like(h0), []
+    for t in range(len(inputs) - 1, -1, -1):
+        h, z, r, n, gn = kept[t]
+        dnew = dh[t] + carry
+        dn = dnew * (1 - z) * (1 - n * n)
+        dz, dr = dnew * (h - n) * z * (1 - z), dn * gn * r * (1 - r)
+        dg = np.concatenate((dz, dr, dn * r), axis=1)
+        grad["u"] += h.T @ dg
+        dx.append(np.concatenate((dz, dr, dn), axis=1))
+        carry = (dnew * z + dg @ w["u"].T) * ~first[t][:, None]
+    order = np.argsort(inputs.ravel(), kind="stable")
+    rows, begins = np.unique(inputs.ravel()[order], return_index=True)
+    grad["x"][rows] = np.add.reduceat(np.ascontiguousarray(np.concatenate(dx[::-1])[order].T), begins, axis=1).T
+    return grad, loss
+
+
+def a_window(rng, c, lanes=280):
+    """Codes of a window about as uneven as words are, and a few new documents."""
+    size = lm.STEPS, lanes
+    draw = lambda: np.where(rng.random(size) < 0.6, lm.HEAD ** rng.random(size) - 1, rng.integers(lm.HEAD, c.codes, size)).astype(np.int32)
+    first = rng.random((lm.STEPS, lanes)) < 0.01
+    return draw(), first, draw(), rng.uniform(-0.5, 0.5, (lanes, lm.HIDDEN))
+
+
+@pytest.mark.parametrize("times", [1, 40])
+def test_gradients_equal_plain_ones(times):
+    """Also with weights so large that exponentials of plain logits would leave single precision."""
+    rng = np.random.default_rng(4)
+    c, w = a_network(rng)
+    w = {k: v * (times if k in ("wc", "v") else 1) for k, v in w.items()}
+    if times > 1:
+        w["wc"][:] *= 40
+        assert lm._wide(np.concatenate((w["wc"], w["bc"][None])))
+    inputs, first, targets, h = a_window(rng, c)
+    grad, rows, _, loss = lm.gradients(w, inputs, first, np.ones_like(first), targets, h)
+    plain, expected = plain_window(w, inputs, first, targets, h)
+    assert abs(loss - expected) < 1e-6 * expected and (rows == np.unique(inputs)).all()
+    for k, g in grad.items():
+        assert np.allclose(g, plain[k][rows] if k == "x" else plain[k], rtol=1e-5, atol=1e-6 * np.abs(plain[k]).max()), k
+    some = np.concatenate((targets.ravel()[:900], np.arange(lm.HEAD)))
+    states = rng.uniform(-1, 1, (len(some), lm.HIDDEN)).astype(np.float32)
+    single = {k: v.astype(np.float32) for k, v in w.items()}
+    assert np.allclose(lm.log_probs(single, states, some, rows=700), lm.log_probs(w, states.astype(np.float64), some), rtol=1e-4, atol=1e-3)
+
+
+def test_a_window_costs_less_than_a_plain_one():
+    """CPU time against the same window in plain steps, so the machine's speed cancels out."""
+    rng = np.random.default_rng(5)
+    c, w = a_network(rng)
+    w = {k: v.astype(np.float32) for k, v in w.items()}
+    inputs, first, targets, h = a_window(rng, c)
+    h, used = h.astype(np.float32), np.ones_like(first)
+
+    def cost(work):
+        began = time.thread_time()
+        work()
+        return time.thread_time() - began
+
+    pairs = [(cost(lambda: lm.gradients(w, inputs, first, used, targets, h)), cost(lambda: plain_window(w, inputs, first, targets, h))) for _ in range(25)]
+    ours, plain = (min(x) for x in zip(*pairs, strict=True))
+    assert ours < 0.75 * plain
+
+
 def test_probabilities_add_up_to_one():
     rng = np.random.default_rng(1)
     c, w = a_network(rng)
