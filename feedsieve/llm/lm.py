@@ -66,9 +66,9 @@ LN10 = float(np.log(10))
 
 def spelled_pairs(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Neighbouring bytes of words as 16-bit numbers, a blank before and after each word; and where each word's pairs begin."""
-    raw = [w.encode("utf-8", "surrogatepass") for w in names]
-    data = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8).astype(np.int64)
-    return data[:-1] * 256 + data[1:], np.cumsum([0, *[len(w) + 1 for w in raw]])[:-1]
+    data = np.frombuffer(" ".join(["", *names, ""]).encode("utf-8", "surrogatepass"), np.uint8)
+    # words hold no blanks, so each blank but the last is before a word
+    return data[:-1].astype(np.int64) * 256 + data[1:], np.flatnonzero(data == 32)[:-1]
 
 
 def spelling_of(counts: np.ndarray) -> np.ndarray:
@@ -209,18 +209,16 @@ def corpus_of(counts: DataFrame) -> Corpus:
     pairs = np.zeros(1 << 16)
     for r in counts.where("part = -1 and first").select("word", "c").collect():
         pairs[r["word"]] = r["c"]
-    total = own.agg(F.sum("c"), F.count(F.lit(1))).first()
     top = own.orderBy(F.desc("c"), "word").limit(HEAD).select("word", "c").toPandas()
-    upto = F.array(*[F.lit(x) for x in LEVELS])
-    tail = F.size(F.filter(upto, lambda x: x < F.col("c"))) + 1
-    mass, kinds = np.zeros(TAILS), np.zeros(TAILS)
+    tail = sum(((F.col("c") > x).cast("int") for x in LEVELS), F.lit(1))
+    mass, kinds = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
     for r in own.groupBy(tail.alias("k")).agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("n")).collect():
         mass[r["k"]], kinds[r["k"]] = r["m"], r["n"]
-    unseen = unseen_words(kinds[1], kinds[2])
+    tokens, distinct, unseen = int(mass.sum()), int(kinds.sum()), unseen_words(float(kinds[1]), float(kinds[2]))
     c = top["c"].to_numpy(np.int64)
     np.subtract.at(mass, level(c), c)
     np.subtract.at(kinds, level(c), 1)
-    return Corpus(total[0] or 0, total[1] or 0, top["word"].to_numpy(np.int64), c, mass, kinds, spelling_of(pairs), unseen)
+    return Corpus(tokens, distinct, top["word"].to_numpy(np.int64), c, mass, kinds, spelling_of(pairs), unseen)
 
 
 CODED = "part long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, tail double, codes binary, targets binary, turn int"
@@ -238,7 +236,10 @@ def encode(placed: DataFrame, counts: DataFrame, corpus: Corpus) -> DataFrame:
         count = table["c"].to_numpy()[by]
 
         def facts(keys):
-            c = count[np.searchsorted(known, keys)]
+            # looked up in ascending order, as neighbours are then at hand
+            order, place = np.argsort(keys), np.empty(len(keys), np.int64)
+            place[order] = np.searchsorted(known, keys[order])
+            c = count[place]
             at = np.minimum(np.searchsorted(head, keys), max(0, len(head) - 1))
             is_head = head[at] == keys if len(head) else np.zeros(len(keys), bool)
             return c, np.where(is_head, rank[at] if len(head) else 0, -1)
@@ -297,10 +298,10 @@ def _biased(w: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _with_one(h: np.ndarray) -> np.ndarray:
-    """The states with a last column of ones for the biases."""
-    out = np.ones((len(h), HIDDEN + 1), h.dtype)
-    out[:, :HIDDEN] = h
-    return out
+    """The states, one a row, with a last column of ones for the biases."""
+    out = np.ones((*h.shape[:-1], HIDDEN + 1), h.dtype)
+    out[..., :HIDDEN] = h
+    return out.reshape(-1, HIDDEN + 1)
 
 
 def _wide(weights: np.ndarray) -> bool:
@@ -429,7 +430,7 @@ def gradients(w: dict, inputs: np.ndarray, first: np.ndarray, used: np.ndarray,
     kept: list = []
     hs, last = states(w, inputs, first, h0, kept, begin)
     before, gates, inner = kept
-    flat, goal, use = _with_one(hs.reshape(-1, HIDDEN)), targets.ravel(), used.ravel()
+    flat, goal, use = _with_one(hs), targets.ravel(), used.ravel()
     kind, total, (wc, v), number = class_of(goal), max(1, int(use.sum())), _biased(w), w["u"].dtype
     grad = {k: np.zeros_like(w[k]) for k in ("v", "bv")}
     # exponentials less the sum at the goal are the errors of a row times its sum, which narrow matrices are divided by instead
@@ -483,8 +484,9 @@ def gradients(w: dict, inputs: np.ndarray, first: np.ndarray, used: np.ndarray,
     here = np.zeros(len(w["x"]), bool)
     here[inputs] = True
     rows, which = np.flatnonzero(here), (np.cumsum(here) - 1)[inputs.ravel()]
-    errors = np.ascontiguousarray(e[:, HIDDEN:].transpose(1, 0, 2)).reshape(3 * HIDDEN, -1)
-    grad["x"] = np.ascontiguousarray(np.array([np.bincount(which, x, len(rows)) for x in errors], number).T)
+    grad["x"] = np.empty((len(rows), 3 * HIDDEN), number)
+    for k in range(3 * HIDDEN):
+        grad["x"][:, k] = np.bincount(which, e[:, HIDDEN + k].ravel(), len(rows))
     return grad, rows, last, loss / total
 
 
@@ -627,7 +629,7 @@ def document_scores(w: dict, docs: list[np.ndarray], lanes: int = 384, window: i
         live = used[s].any(0)
         out = np.zeros(codes[s].shape, np.float32)
         hs, last = states(w, inputs[s][:, live], first[s][:, live], h[live])
-        out[:, live] = log_probs(w, hs.reshape(-1, HIDDEN), codes[s][:, live].ravel()).reshape(hs.shape[:2])
+        out[:, live] = log_probs(w, hs, codes[s][:, live].ravel()).reshape(hs.shape[:2])
         found[s] = out
         h[live] = last
     result = np.zeros(len(docs))
