@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from feedsieve.functions import keys, predicates
 from feedsieve.functions import text as T
 from feedsieve.functions import vocab as V
+from feedsieve.functions.matchers import quoted
 from feedsieve.operators import emission, posts
 from feedsieve.operators.dedup import exact_dedup
 from feedsieve.operators.kept import kept_once
@@ -99,6 +100,36 @@ def cycle_cap(items: DataFrame, most: int = V.CYCLE_MAX) -> DataFrame:
 SLIM = ("arrival", "observed_s", "cycle_s", "source_id", "title", "link", "guid", "official", "is_upcoming_speech", "score", "uid")
 
 
+#: What the gates and the title keys read of an entry besides its link, and what they say.
+CONTENT = ("title", "summary", "source_id", "source_name", "official", "impact", "year")
+TITLE_KEYS = ("story_key", "subject_key")
+SAID = ("score", "is_upcoming_speech", "is_historical", "reject_reason", "unpublished")
+#: So many judged contents go to every executor; more are joined by a shuffle.
+FEW_CONTENTS = 100_000
+
+
+def judged_once(entries: DataFrame, least: int = V.MIN_IMPACT, require_anchor: bool = True) -> DataFrame:
+    """Entries with their uids, title keys and what the gates say, each content judged once: feeds repeat theirs, and the gates do not read the time.
+
+    Of a link the gates see only whether a noisy section is in it, so the content holds that section.  `entries` is read twice.
+    """
+    section = F.regexp_extract(F.lower(F.coalesce("link", F.lit(""))), "|".join(map(quoted, V.URL_SECTIONS)), 0)
+    rows = entries.withColumn("_content", F.struct(*CONTENT, section.alias("link")))
+    # few contents would be put into few tasks, though they are the costly part
+    tasks = max(entries.sparkSession.sparkContext.defaultParallelism, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    contents = rows.select("_content").distinct().repartition(tasks)
+    judged = kept_once(with_title_keys(predicates.with_gates(contents.select("_content", "_content.*"), least, require_anchor)).select("_content", *SAID, *TITLE_KEYS))
+    few = judged.limit(FEW_CONTENTS + 1).count() <= FEW_CONTENTS
+    return with_uid(rows.join(F.broadcast(judged) if few else judged, "_content").drop("_content"))
+
+
+def delivered_flags(rows: DataFrame, cycle_seconds: int = V.CYCLE_SECONDS, max_age: int = V.MAX_AGE_HOURS) -> DataFrame:
+    """Deliveries of judged entries with their cycles, and whether they are stale or kept; only what decisions need."""
+    rows = rows.withColumn("cycle_s", cycle_start(F.col("observed_s"), cycle_seconds)).withColumn("age_reason", predicates.age_reason(max_age))
+    rows = rows.withColumns({"stale": F.expr(f"coalesce({STALE}, false)"), "kept": F.expr(f"coalesce({KEPT}, false)")})
+    return rows.select("arrival", "cycle_s", "uid", "score", *TITLE_KEYS, "stale", "kept")
+
+
 def flagged(items: DataFrame, **how) -> DataFrame:
     """Judged items with their uids, whether they are stale or kept, and only the columns that later steps need."""
     rows = with_uid(judged(items, **how)).withColumns({"stale": F.expr(f"coalesce({STALE}, false)"), "kept": F.expr(f"coalesce({KEPT}, false)")})
@@ -106,11 +137,14 @@ def flagged(items: DataFrame, **how) -> DataFrame:
 
 
 def candidates_of(rows: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """Kept items of `flagged` rows, one a uid and cycle, with ranks; not those in the ledger, or found stale before or in the same cycle."""
-    spans = rows.groupBy("uid").agg(F.min(F.when(F.col("stale"), F.col("cycle_s"))).alias("_stale_s"), F.max(F.when(F.col("kept"), F.col("cycle_s"))).alias("_last"))
-    stale = spans.where("_stale_s <= _last").drop("_last")
-    left = _only(rows, "kept", list(SLIM)).join(stale, "uid", "left").where("_stale_s IS NULL OR cycle_s < _stale_s").drop("_stale_s")
-    return with_title_keys(rank_by_impact(exact_dedup(left, ledger)))
+    """Kept items of `flagged` or `delivered_flags` rows, one a uid and cycle, with ranks; not those in the ledger, or found stale before or in the same cycle."""
+    columns = [c for c in (*SLIM, *TITLE_KEYS) if c in rows.columns]
+    # of what is stale only the cycle is needed, so one shuffle by uid serves both
+    both = _only(rows, "kept OR stale", ["uid", "cycle_s", "kept", *(F.when(F.col("kept"), F.col(c)).alias(c) for c in columns if c not in ("uid", "cycle_s"))])
+    stale_s = F.min(F.when(~F.col("kept"), F.col("cycle_s"))).over(Window.partitionBy("uid"))
+    left = both.withColumn("_stale_s", stale_s).where("kept AND (_stale_s IS NULL OR cycle_s < _stale_s)").select(*columns)
+    found = rank_by_impact(exact_dedup(left, ledger))
+    return found if "story_key" in columns else with_title_keys(found)
 
 
 def candidates(items: DataFrame, ledger: DataFrame | None = None, **how) -> DataFrame:
@@ -123,6 +157,15 @@ def decisions(items: DataFrame, ledger: DataFrame | None = None, most: int = V.C
     return emission.decided(candidates(items, ledger, **how), emission.Limits(most))
 
 
+def decisions_of_deliveries(entries: DataFrame, deliver: Callable[[DataFrame], DataFrame], ledger: DataFrame | None = None, most: int = V.CYCLE_MAX, cycle_seconds: int = V.CYCLE_SECONDS, max_age: int = V.MAX_AGE_HOURS, **how) -> DataFrame:
+    """`decisions` on the deliveries of entries (arrival, cycle_s, rank, uid, keys, outcome): an entry is judged before it is delivered.
+
+    deliver: gives the deliveries of a table of entries, which differ in arrival and observed_s only.
+    """
+    rows = delivered_flags(deliver(judged_once(entries, **how)), cycle_seconds, max_age)
+    return emission.decided(candidates_of(rows, ledger).drop("score"), emission.Limits(most))
+
+
 def curate(items: DataFrame, ledger: DataFrame | None = None, most: int = V.CYCLE_MAX, **how) -> DataFrame:
     """Items for the queue, each uid once: gates, exact, story and subject deduplication and the cycle's cap, as one loop over the cycles would do it.
 

@@ -11,10 +11,17 @@ the slice before is thought to leave: none at first.  Slices whose guess was wro
 what that slice did leave, until no guess is wrong.  Stories and subjects are forgotten after
 hours, so most slices are right after a second pass; the result is exact in any case.  A state
 holds what was emitted within the longest window, and uids that are delivered once more.
+
+The fold does not see every row.  In a cycle, of the candidates with the same story and subject at most
+one is emitted: the first whose uid was not emitted before.  A uid that is delivered for the first
+time is such a one, so what stands behind it in its cycle, story and subject is not emitted (`contenders`).
+Nor can a uid have been emitted that was no contender before, which leaves fewer contenders (`narrowed`).
+The fold says what is emitted; what becomes of all rows follows from that by joins.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -27,6 +34,8 @@ from feedsieve.functions import vocab as V
 from feedsieve.operators.kept import kept_once
 
 SLICE_HOURS = 240
+#: So few rows are folded without asking whether they can be made fewer.
+ENOUGH = 100_000
 #: What becomes of a candidate.
 QUEUED, SEEN, STORY, SUBJECT, FULL = "queued", "seen", "story", "subject", "cycle_cap"
 MARK = "array<struct<cycle_s:bigint,uid:string,until_s:bigint,story_key:string,subject_key:string>>"
@@ -96,45 +105,62 @@ class State:
 
 
 MARK_FIELDS = ("cycle_s", "uid", "until_s", "story_key", "subject_key")
+#: Before all ranks, and before all cycles.
+BEFORE = -(1 << 62)
 
 
 def _fold(batches: Iterator[pd.DataFrame], limits: Limits) -> Iterator[pd.DataFrame]:
-    """Rows of each slice in order, after a row that brings its state; gives decisions, and a row with the state it leaves."""
+    """Rows of each slice in order, after a row that brings its state; gives the rows that are emitted, and a row with the state that is left."""
     state, at, after = State(limits), None, 0
-    keys = ["slice", "arrival", "cycle_s"]
+    fields = ["slice", "rank", "arrival", "cycle_s", "uid", "story_key", "subject_key"]
 
-    def decisions(part: pd.DataFrame, outcomes: list) -> pd.DataFrame:
-        return part[keys].assign(outcome=pd.Series(outcomes, part.index, dtype=object), marks=None).dropna(subset="outcome")
+    def emitted(part: pd.DataFrame, which: list[int]) -> pd.DataFrame:
+        return part.iloc[which][fields].assign(marks=None)
 
     def left() -> pd.DataFrame:
         marks = [dict(zip(MARK_FIELDS, m, strict=True)) for m in state.at(after)]
-        return pd.DataFrame({"slice": [at], "arrival": [0], "cycle_s": [0], "outcome": pd.Series([None], dtype=object), "marks": [marks]})
+        none = pd.Series([None], dtype=object)
+        return pd.DataFrame({"slice": [at], "rank": [0], "arrival": [0], "cycle_s": [0], "uid": none, "story_key": none, "subject_key": none, "marks": [marks]})
 
     for b in batches:
-        outcomes: list[str | None] = []
-        where = 0
-        for k, row in enumerate(b[["slice", "brings", *MARK_FIELDS]].itertuples(index=False, name=None)):
+        which: list[int] = []
+        for k, row in enumerate(zip(*(b[c] for c in ("slice", "brings", *MARK_FIELDS)), strict=True)):
             if row[0] != at:
-                yield decisions(b.iloc[where:k], outcomes[where:k])
+                yield emitted(b, which)
                 if at is not None:
                     yield left()
-                state, at, where = State(limits), row[0], k
+                state, at, which = State(limits), row[0], []
             if row[1]:
                 after = int(b["after_s"].iloc[k])
                 for m in b["marks"].iloc[k]:
                     state.add(tuple(m[f] for f in MARK_FIELDS))
-                outcomes.append(None)
-            else:
-                outcomes.append(state.visit(*row[2:]))
-        yield decisions(b.iloc[where:], outcomes[where:])
+            elif state.visit(*row[2:]) == QUEUED:
+                which.append(k)
+        yield emitted(b, which)
     if at is not None:
         yield left()
 
 
-def delivered_until(candidates: DataFrame) -> DataFrame:
-    """Adds `until_s`, the last cycle that delivers the uid; before its own cycle if that is the only one."""
-    spans = candidates.groupBy("uid").agg(F.min("cycle_s").alias("_first"), F.max("cycle_s").alias("_last")).where("_first < _last").drop("_first")
-    return candidates.join(spans, "uid", "left").withColumn("until_s", F.coalesce("_last", F.col("cycle_s") - 1)).drop("_last")
+def delivered(candidates: DataFrame) -> DataFrame:
+    """Adds `first_s` and `until_s`, the first and the last cycle that deliver the uid."""
+    uid = Window.partitionBy("uid")
+    return candidates.withColumns({"first_s": F.min("cycle_s").over(uid), "until_s": F.max("cycle_s").over(uid)})
+
+
+def contenders(rows: DataFrame) -> DataFrame:
+    """The rows (with first_s) that may be emitted: in a cycle, story and subject up to the first one whose uid is new."""
+    ahead = Window.partitionBy("cycle_s", "story_key", "subject_key").orderBy("rank", "arrival").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_new", F.max(F.col("cycle_s") == F.col("first_s")).over(ahead)).where("_new IS NULL OR NOT _new").drop("_new")
+
+
+def narrowed(rows: DataFrame, enough: int = ENOUGH) -> DataFrame:
+    """The contenders among contenders, as long as they are many and get fewer; any of these tables leads to the same decisions."""
+    left = kept_once(contenders(rows))
+    was, n = math.inf, left.count()
+    while enough < n < 0.8 * was:
+        left = kept_once(contenders(left.withColumn("first_s", F.min("cycle_s").over(Window.partitionBy("uid")))))
+        was, n = n, left.count()
+    return left
 
 
 def decided(candidates: DataFrame, limits: Limits = Limits(), sent: DataFrame | None = None, slice_hours: int = SLICE_HOURS) -> DataFrame:  # noqa: B008
@@ -142,7 +168,49 @@ def decided(candidates: DataFrame, limits: Limits = Limits(), sent: DataFrame |
 
     sent: what was emitted before the first cycle, or in it (cycle_s, uid, story_key, subject_key), as far back as the windows reach.
     """
-    rows = kept_once(delivered_until(candidates).withColumn("slice", F.floor(F.col("cycle_s") / (slice_hours * 3600))))
+    # what was observed at no time is in no cycle
+    rows = kept_once(delivered(candidates.where("cycle_s IS NOT NULL")))
+    fresh = rows if sent is None else rows.join(sent.select("uid").distinct(), "uid", "left_anti")
+    # without a window of stories, a cycle may emit several of a story
+    narrow = (narrowed(fresh) if limits.story >= 0 else fresh).withColumn("slice", F.floor(F.col("cycle_s") / (slice_hours * 3600)))
+    no = F.lit(0).cast("bigint")
+    narrow = narrow.select("slice", F.lit(False).alias("brings"), no.alias("after_s"), F.lit(None).cast(MARK).alias("marks"), "cycle_s", F.col("rank").cast("bigint").alias("rank"), "arrival", "uid", "until_s", "story_key", "subject_key")
+    marks = _emitted(narrow, limits, sent)
+    if sent is not None:
+        marks = marks.unionByName(sent.select("cycle_s", F.lit(BEFORE).alias("rank"), F.lit(BEFORE).alias("arrival"), "uid", "story_key", "subject_key", F.lit(BEFORE).alias("seen_s")))
+    marks = kept_once(marks)
+    found = rows.join(marks.groupBy("uid").agg(F.min("seen_s").alias("_seen_s")), "uid", "left")
+    full, place = F.lit(False), F.struct("rank", "arrival")
+    if limits.most > 0:
+        nth = F.row_number().over(Window.partitionBy("cycle_s").orderBy("rank", "arrival"))
+        filled = marks.withColumn("_nth", nth).where(F.col("_nth") == limits.most).select("cycle_s", place.alias("_full"))
+        found, full = found.join(filled, "cycle_s", "left"), _behind("_full")
+    story = told(narrow, marks, limits.story).withColumnRenamed("cycle_s", "_cycle_s")
+    found = found.join(story, (F.col("cycle_s") == F.col("_cycle_s")) & F.col("story_key").eqNullSafe(F.col("_story_key")), "left")
+    outcome = F.when(F.col("_seen_s") == F.col("cycle_s"), QUEUED).when(F.col("_seen_s") < F.col("cycle_s"), SEEN).when(full, FULL).when(_behind("_told"), STORY).otherwise(SUBJECT)
+    return found.withColumn("outcome", outcome).select(*candidates.columns, "outcome")
+
+
+def _behind(place: str):
+    """Whether a row stands behind a place in its cycle; null if there is none."""
+    return (F.col("rank") > F.col(f"{place}.rank")) | ((F.col("rank") == F.col(f"{place}.rank")) & (F.col("arrival") > F.col(f"{place}.arrival")))
+
+
+def told(rows: DataFrame, marks: DataFrame, window: int) -> DataFrame:
+    """The place (rank, arrival) in a cycle behind which a story is told, for cycles and stories of rows that have one (cycle_s, _story_key, _told)."""
+    here = F.min(F.when(F.col("_emitted"), F.struct("rank", "arrival")))
+    both = rows.select("cycle_s", "story_key", F.lit(None).cast("bigint").alias("rank"), F.lit(None).cast("bigint").alias("arrival"), F.lit(False).alias("_emitted")).distinct()
+    both = both.unionByName(marks.select("cycle_s", "story_key", F.col("rank").cast("bigint").alias("rank"), F.col("arrival").cast("bigint").alias("arrival"), F.lit(True).alias("_emitted")))
+    times = both.groupBy("cycle_s", "story_key").agg(here.alias("_here"))
+    earlier = Window.partitionBy("story_key").orderBy("cycle_s").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("_here").isNotNull(), F.col("cycle_s"))).over(earlier)
+    start = F.struct(F.lit(BEFORE).alias("rank"), F.lit(BEFORE).alias("arrival"))
+    place = F.when(F.col("cycle_s") - last <= window, start).when(F.lit(window >= 0), F.col("_here"))
+    return times.withColumn("_told", place).where("_told IS NOT NULL").select("cycle_s", F.col("story_key").alias("_story_key"), "_told")
+
+
+def _emitted(rows: DataFrame, limits: Limits, sent: DataFrame | None) -> DataFrame:
+    """What is emitted of rows in slices (cycle_s, rank, arrival, uid, story_key, subject_key, seen_s)."""
     order = Window.orderBy("slice")
     firsts = rows.groupBy("slice").agg(F.min("cycle_s").alias("first_s"))
     slices = kept_once(firsts.select("slice", F.coalesce(F.lead("first_s").over(order), F.lit(1 << 62)).alias("after_s"), F.lag("slice").over(order).alias("before")))
@@ -153,28 +221,27 @@ def decided(candidates: DataFrame, limits: Limits = Limits(), sent: DataFrame |
         first = slices.where("before IS NULL").select("slice", F.lit(True).alias("first"))
         used = used.join(first.join(F.broadcast(given)), "slice", "left").select("slice", F.coalesce("given", "marks").alias("marks"))
     used = kept_once(used)
-    schema = f"slice bigint, arrival bigint, cycle_s bigint, outcome string, marks {MARK}"
+    schema = f"slice bigint, rank bigint, arrival bigint, cycle_s bigint, uid string, story_key string, subject_key string, marks {MARK}"
     no = F.lit(0).cast("bigint")
-    narrow = rows.select("slice", F.lit(False).alias("brings"), no.alias("after_s"), F.lit(None).cast(MARK).alias("marks"), "cycle_s", "rank", "arrival", "uid", "until_s", "story_key", "subject_key")
-    # the number of the fold that a slice's decisions are taken from
+    # the number of the fold that a slice's rows are taken from
     turn = slices.select("slice", F.lit(0).alias("turn"))
     folds: list[DataFrame] = []
     todo, ends = used, slices.select("slice", F.array().cast(MARK).alias("marks"))
     while True:
         brought = todo.join(slices, "slice").select("slice", F.lit(True).alias("brings"), "after_s", "marks", no.alias("cycle_s"), no.alias("rank"), no.alias("arrival"), F.lit("").alias("uid"), no.alias("until_s"), F.lit("").alias("story_key"), F.lit("").alias("subject_key"))
-        taken = narrow.join(F.broadcast(todo.select("slice")), "slice", "left_semi").unionByName(brought)
+        taken = rows.join(F.broadcast(todo.select("slice")), "slice", "left_semi").unionByName(brought)
         ordered = taken.repartition("slice").sortWithinPartitions("slice", F.desc("brings"), "cycle_s", "rank", "arrival")
         folded = kept_once(ordered.mapInPandas(lambda batches: _fold(batches, limits), schema))
-        folds.append(folded.where("outcome IS NOT NULL").select("slice", "arrival", "cycle_s", "outcome", F.lit(len(folds)).alias("turn")))
-        ends = kept_once(_put(ends, folded.where("outcome IS NULL").select("slice", "marks")))
+        folds.append(folded.where("marks IS NULL").drop("marks").withColumn("turn", F.lit(len(folds))))
+        ends = kept_once(_put(ends, folded.where("marks IS NOT NULL").select("slice", "marks")))
         turn = _put(turn, todo.select("slice", F.lit(len(folds) - 1).alias("turn")))
         came = slices.where("before IS NOT NULL").select("slice", "before").join(ends.select(F.col("slice").alias("before"), "marks"), "before").select("slice", "marks")
         todo = kept_once(came.join(used.select("slice", F.col("marks").alias("was")), "slice").where(F.col("marks") != F.col("was")).drop("was"))
         if todo.isEmpty():
             break
         used, turn = kept_once(_put(used, todo)), kept_once(turn)
-    found = reduce(lambda a, b: a.union(b), folds).join(F.broadcast(turn), ["slice", "turn"]).drop("slice", "turn")
-    return rows.drop("until_s", "slice").join(found, ["cycle_s", "arrival"])
+    found = reduce(lambda a, b: a.union(b), folds).join(F.broadcast(turn), ["slice", "turn"])
+    return found.select("cycle_s", "rank", "arrival", "uid", "story_key", "subject_key", F.col("cycle_s").alias("seen_s"))
 
 
 def _put(table: DataFrame, rows: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def curate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items delivered again one, two and thirty cycles later, as feeds list an entry for hours; what becomes of each delivery."""
-    return C.decisions(redelivered(items(spark, sf_dir)), cycle_seconds=CYCLE).select("arrival", "cycle_s", "uid", "outcome")
+    return C.decisions_of_deliveries(items(spark, sf_dir), redelivered, cycle_seconds=CYCLE).select("arrival", "cycle_s", "uid", "outcome")
 
 
 def cycle_cap(spark: SparkSession, sf_dir: str) -> DataFrame:

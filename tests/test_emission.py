@@ -9,6 +9,7 @@ from feedsieve.operators import curate as C
 from feedsieve.operators import emission as M
 from feedsieve.operators import posts
 from feedsieve.functions import text as T
+from feedsieve.plans.items import redelivered
 from feedsieve.sources import feeds, ledgers
 from feedsieve.streaming import stream as S
 from tests.test_curation import ITEM, item
@@ -100,6 +101,63 @@ def test_coupling_where_steps_alone_differ(spark):
     assert {r["arrival"]: r["outcome"] for r in got} == {0: "queued", 1: "cycle_cap", 2: "queued"}
 
 
+@pytest.mark.parametrize("most", [3, 0])
+def test_the_fold_sees_few_rows_of_crowded_cycles(spark, monkeypatch, most):
+    """Copies that are delivered in three cycles: what it takes to decide does not grow with their number."""
+    rng = random.Random(7)
+    rows = []
+    for first, s in {(rng.randrange(60), rng.randrange(40)) for _ in range(150)}:
+        for copy in range(20):
+            rows += [(HOUR * (first + k) + 10_000_800, rng.random(), f"u{first}-{s}-{copy}", f"s{s}", f"j{s % 9}") for k in range(3)]
+    rows.sort()
+    rank, made = {}, []
+    for i, (cycle, _, uid, story, subject) in enumerate(rows):
+        rank[cycle] = rank.get(cycle, 0) + 1
+        made.append((cycle, rank[cycle], i, uid, story, subject, "t"))
+    frame = spark.createDataFrame(made, CANDIDATE)
+    narrowed, seen = M.narrowed, []
+
+    def counted(rows):
+        left = narrowed(rows, 0)
+        seen.append((M.contenders(rows).count(), left.count()))
+        return left
+
+    monkeypatch.setattr(M, "narrowed", counted)
+    got = M.decided(frame, M.Limits(most), slice_hours=20).collect()
+    assert {r["arrival"]: r["outcome"] for r in got} == loop(made, most) and len(got) == len(made)
+    (once, left), groups = seen[0], len({(r[0], r[4], r[5]) for r in made})
+    assert left < 3 * groups < once < len(made)
+
+
+def test_what_was_sent_is_not_emitted_days_later(spark):
+    rows = [(HOUR * 24 * 30, 1, 0, "x", "s0", "j0", ""), (HOUR * 24 * 30, 2, 1, "y", "s0", "j0", ""), (0, 1, 2, "z", "s1", "j1", "")]
+    sent = spark.createDataFrame([(0, "x", "s0", "j0")], "cycle_s long, uid string, story_key string, subject_key string")
+    got = M.decided(spark.createDataFrame(rows, CANDIDATE), M.Limits(3), sent).collect()
+    assert {r["arrival"]: r["outcome"] for r in got} == {0: "seen", 1: "queued", 2: "queued"} == loop(rows, 3, [(0, "x", "s0", "j0")])
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_entries_are_judged_once_and_delivered_often(spark, monkeypatch, few):
+    """A content is judged once, whatever is missing in it, and decisions on the deliveries are as if each had been judged."""
+    good, at = "acquires rival for cash, SEC approves", 10_000_800
+    rows = [item(i, f"{n} {good}", observed=at + 900 * i, published=at - 60, guid=f"g{i % 17}", link=link, official=i % 5 == 0) for i, (n, link) in enumerate((n, link) for n in TITLES for link in (None, "https://x.example/LEARN/1", "https://x.example/story/2", "") for _ in range(3))]
+    rows += [item(100 + i, None, summary=None, observed=at + i, published=None if i % 2 else at, guid=None, link=None, official=True) for i in range(4)]
+    entries = spark.createDataFrame(rows, ITEM)
+    monkeypatch.setattr(C, "FEW_CONTENTS", few)
+    seen, with_gates = [], C.predicates.with_gates
+
+    def counted(frame, *how):
+        seen.append(frame.count())
+        return with_gates(frame, *how)
+
+    monkeypatch.setattr(C.predicates, "with_gates", counted)
+    got = C.decisions_of_deliveries(entries, redelivered, cycle_seconds=HOUR).collect()
+    assert len(seen) == 1 and seen[0] <= 2 * 2 * len(TITLES) + 1
+    expected = C.decisions(redelivered(entries), cycle_seconds=HOUR).collect()
+    pairs = lambda found: sorted((r["arrival"], r["cycle_s"], r["uid"], r["rank"], r["story_key"], r["subject_key"], r["outcome"]) for r in found)
+    assert pairs(got) == pairs(expected) and {r["outcome"] for r in got} >= {"queued", "seen", "story"}
+
+
 TITLES = ["Visa", "Oracle", "Netflix", "Walmart", "Chevron"]
 
 
