@@ -9,8 +9,10 @@ Every decision depends on those before it, so time goes forward in one fold.  To
 machines, time is cut into slices that are folded side by side, each from the state that
 the slice before is thought to leave: none at first.  Slices whose guess was wrong are folded again from
 what that slice did leave, until no guess is wrong.  Stories and subjects are forgotten after
-hours, so most slices are right after a second pass; the result is exact in any case.  A state
-holds what was emitted within the longest window, and uids that are delivered once more.
+hours, so most slices are often right after a second pass.  Where they are not (a story that never ends
+may keep its beat for ever), runs of slices are folded in one go, each four times as long as before, so
+that few passes do in any case; the result is exact.  A state holds what was emitted within the longest
+window, and uids that are delivered once more.
 
 The fold does not see every row.  In a cycle, of the candidates with the same story and subject at most
 one is emitted: the first whose uid was not emitted before.  A uid that is delivered for the first
@@ -110,15 +112,15 @@ BEFORE = -(1 << 62)
 
 
 def _fold(batches: Iterator[pd.DataFrame], limits: Limits) -> Iterator[pd.DataFrame]:
-    """Rows of each slice in order, after a row that brings its state; gives the rows that are emitted, and a row with the state that is left."""
-    state, at, after = State(limits), None, 0
+    """Rows of each slice in order, after a row that brings its state, or none to go on from the slice before; gives the rows that are emitted, and a row with the state that is left."""
+    state, at, after, last = State(limits), None, 0, []
     fields = ["slice", "rank", "arrival", "cycle_s", "uid", "story_key", "subject_key"]
 
     def emitted(part: pd.DataFrame, which: list[int]) -> pd.DataFrame:
         return part.iloc[which][fields].assign(marks=None)
 
     def left() -> pd.DataFrame:
-        marks = [dict(zip(MARK_FIELDS, m, strict=True)) for m in state.at(after)]
+        marks = [dict(zip(MARK_FIELDS, m, strict=True)) for m in last]
         none = pd.Series([None], dtype=object)
         return pd.DataFrame({"slice": [at], "rank": [0], "arrival": [0], "cycle_s": [0], "uid": none, "story_key": none, "subject_key": none, "marks": [marks]})
 
@@ -128,16 +130,19 @@ def _fold(batches: Iterator[pd.DataFrame], limits: Limits) -> Iterator[pd.DataFr
             if row[0] != at:
                 yield emitted(b, which)
                 if at is not None:
+                    last = state.at(after)
                     yield left()
                 state, at, which = State(limits), row[0], []
             if row[1]:
                 after = int(b["after_s"].iloc[k])
-                for m in b["marks"].iloc[k]:
-                    state.add(tuple(m[f] for f in MARK_FIELDS))
+                marks = b["marks"].iloc[k]
+                for m in last if marks is None else [tuple(m[f] for f in MARK_FIELDS) for m in marks]:
+                    state.add(m)
             elif state.visit(*row[2:]) == QUEUED:
                 which.append(k)
         yield emitted(b, which)
     if at is not None:
+        last = state.at(after)
         yield left()
 
 
@@ -213,7 +218,7 @@ def _emitted(rows: DataFrame, limits: Limits, sent: DataFrame | None) -> DataFra
     """What is emitted of rows in slices (cycle_s, rank, arrival, uid, story_key, subject_key, seen_s)."""
     order = Window.orderBy("slice")
     firsts = rows.groupBy("slice").agg(F.min("cycle_s").alias("first_s"))
-    slices = kept_once(firsts.select("slice", F.coalesce(F.lead("first_s").over(order), F.lit(1 << 62)).alias("after_s"), F.lag("slice").over(order).alias("before")))
+    slices = kept_once(firsts.select("slice", F.coalesce(F.lead("first_s").over(order), F.lit(1 << 62)).alias("after_s"), F.lag("slice").over(order).alias("before"), F.row_number().over(order).alias("ix")))
     used = slices.select("slice", F.array().cast(MARK).alias("marks"))
     if sent is not None:
         mark = F.struct("cycle_s", "uid", F.col("cycle_s").alias("until_s"), "story_key", "subject_key")
@@ -227,20 +232,25 @@ def _emitted(rows: DataFrame, limits: Limits, sent: DataFrame | None) -> DataFra
     turn = slices.select("slice", F.lit(0).alias("turn"))
     folds: list[DataFrame] = []
     todo, ends = used, slices.select("slice", F.array().cast(MARK).alias("marks"))
-    while True:
-        brought = todo.join(slices, "slice").select("slice", F.lit(True).alias("brings"), "after_s", "marks", no.alias("cycle_s"), no.alias("rank"), no.alias("arrival"), F.lit("").alias("uid"), no.alias("until_s"), F.lit("").alias("story_key"), F.lit("").alias("subject_key"))
-        taken = rows.join(F.broadcast(todo.select("slice")), "slice", "left_semi").unionByName(brought)
-        ordered = taken.repartition("slice").sortWithinPartitions("slice", F.desc("brings"), "cycle_s", "rank", "arrival")
-        folded = kept_once(ordered.mapInPandas(lambda batches: _fold(batches, limits), schema))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while (wrong := todo.count()) > 0:
+        length = 4 ** max(0, len(folds) - 1)
+        runs = slices.withColumn("run", F.floor(F.col("ix") / length))
+        starts = todo.join(runs, "slice").groupBy("run").agg(F.min("ix").alias("start"))
+        again = kept_once(runs.join(F.broadcast(starts), "run").where("ix >= start").join(todo, "slice", "left").select("slice", "run", "after_s", (F.col("ix") > F.col("start")).alias("goes_on"), F.when(F.col("ix") == F.col("start"), F.col("marks")).alias("marks")))
+        brought = again.select("run", "slice", F.lit(True).alias("brings"), "after_s", "marks", no.alias("cycle_s"), no.alias("rank"), no.alias("arrival"), F.lit("").alias("uid"), no.alias("until_s"), F.lit("").alias("story_key"), F.lit("").alias("subject_key"))
+        taken = rows.join(F.broadcast(again.select("slice", "run")), "slice").unionByName(brought)
+        ordered = taken.repartition(min(4 * wrong, tasks), "run").sortWithinPartitions("run", "slice", F.desc("brings"), "cycle_s", "rank", "arrival")
+        folded = kept_once(ordered.drop("run").mapInPandas(lambda batches: _fold(batches, limits), schema))
         folds.append(folded.where("marks IS NULL").drop("marks").withColumn("turn", F.lit(len(folds))))
+        turn = kept_once(_put(turn, again.select("slice", F.lit(len(folds) - 1).alias("turn"))))
         ends = kept_once(_put(ends, folded.where("marks IS NOT NULL").select("slice", "marks")))
-        turn = _put(turn, todo.select("slice", F.lit(len(folds) - 1).alias("turn")))
         came = slices.where("before IS NOT NULL").select("slice", "before").join(ends.select(F.col("slice").alias("before"), "marks"), "before").select("slice", "marks")
+        used = kept_once(_put(used, came.join(F.broadcast(again.where("goes_on").select("slice")), "slice", "left_semi")))
         todo = kept_once(came.join(used.select("slice", F.col("marks").alias("was")), "slice").where(F.col("marks") != F.col("was")).drop("was"))
-        if todo.isEmpty():
-            break
-        used, turn = kept_once(_put(used, todo)), kept_once(turn)
-    found = reduce(lambda a, b: a.union(b), folds).join(F.broadcast(turn), ["slice", "turn"])
+        used = kept_once(_put(used, todo))
+    none = rows.sparkSession.createDataFrame([], schema).drop("marks").withColumn("turn", F.lit(0))
+    found = reduce(lambda a, b: a.union(b), folds, none).join(F.broadcast(turn), ["slice", "turn"])
     return found.select("cycle_s", "rank", "arrival", "uid", "story_key", "subject_key", F.col("cycle_s").alias("seen_s"))
 
 

@@ -129,6 +129,17 @@ def test_the_fold_sees_few_rows_of_crowded_cycles(spark, monkeypatch, most):
     assert left < 3 * groups < once < len(made)
 
 
+def test_a_story_that_never_ends_takes_few_passes(spark, monkeypatch):
+    """Its copies go out every seven hours, in a beat that each slice takes over from the one before."""
+    rows = [(HOUR * i, 1, i, f"u{i}", "s", f"j{i}", "") for i in range(700)]
+    frame = spark.createDataFrame(rows, CANDIDATE)
+    passes, run = [], type(frame).mapInPandas
+    monkeypatch.setattr(type(frame), "mapInPandas", lambda *how: passes.append(1) or run(*how))
+    got = M.decided(frame, M.Limits(3), slice_hours=20).collect()
+    assert {r["arrival"]: r["outcome"] for r in got} == loop(rows, 3)
+    assert len(passes) <= 6
+
+
 def test_what_was_sent_is_not_emitted_days_later(spark):
     rows = [(HOUR * 24 * 30, 1, 0, "x", "s0", "j0", ""), (HOUR * 24 * 30, 2, 1, "y", "s0", "j0", ""), (0, 1, 2, "z", "s1", "j1", "")]
     sent = spark.createDataFrame([(0, "x", "s0", "j0")], "cycle_s long, uid string, story_key string, subject_key string")
