@@ -23,6 +23,7 @@ The fold says what is emitted; what becomes of all rows follows from that by joi
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -135,8 +136,9 @@ def _fold(batches: Iterator[pd.DataFrame], limits: Limits) -> Iterator[pd.DataFr
                 state, at, which = State(limits), row[0], []
             if row[1]:
                 after = int(b["after_s"].iloc[k])
-                marks = b["marks"].iloc[k]
-                for m in last if marks is None else [tuple(m[f] for f in MARK_FIELDS) for m in marks]:
+                # as text, since Arrow's arrays of structs cost more a row than the fold, also where they are null
+                brought = b["brought"].iloc[k]
+                for m in [tuple(m[f] for f in MARK_FIELDS) for m in json.loads(brought)] if isinstance(brought, str) else last:
                     state.add(m)
             elif state.visit(*row[2:]) == QUEUED:
                 which.append(k)
@@ -179,7 +181,7 @@ def decided(candidates: DataFrame, limits: Limits = Limits(), sent: DataFrame |
     # without a window of stories, a cycle may emit several of a story
     narrow = (narrowed(fresh) if limits.story >= 0 else fresh).withColumn("slice", F.floor(F.col("cycle_s") / (slice_hours * 3600)))
     no = F.lit(0).cast("bigint")
-    narrow = narrow.select("slice", F.lit(False).alias("brings"), no.alias("after_s"), F.lit(None).cast(MARK).alias("marks"), "cycle_s", F.col("rank").cast("bigint").alias("rank"), "arrival", "uid", "until_s", "story_key", "subject_key")
+    narrow = narrow.select("slice", F.lit(False).alias("brings"), no.alias("after_s"), F.lit(None).cast("string").alias("brought"), "cycle_s", F.col("rank").cast("bigint").alias("rank"), "arrival", "uid", "until_s", "story_key", "subject_key")
     marks = _emitted(narrow, limits, sent)
     if sent is not None:
         marks = marks.unionByName(sent.select("cycle_s", F.lit(BEFORE).alias("rank"), F.lit(BEFORE).alias("arrival"), "uid", "story_key", "subject_key", F.lit(BEFORE).alias("seen_s")))
@@ -232,13 +234,14 @@ def _emitted(rows: DataFrame, limits: Limits, sent: DataFrame | None) -> DataFra
     turn = slices.select("slice", F.lit(0).alias("turn"))
     folds: list[DataFrame] = []
     todo, ends = used, slices.select("slice", F.array().cast(MARK).alias("marks"))
+    as_text = F.to_json("marks", {"ignoreNullFields": "false"})
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while (wrong := todo.count()) > 0:
         length = 4 ** max(0, len(folds) - 1)
         runs = slices.withColumn("run", F.floor(F.col("ix") / length))
         starts = todo.join(runs, "slice").groupBy("run").agg(F.min("ix").alias("start"))
-        again = kept_once(runs.join(F.broadcast(starts), "run").where("ix >= start").join(todo, "slice", "left").select("slice", "run", "after_s", (F.col("ix") > F.col("start")).alias("goes_on"), F.when(F.col("ix") == F.col("start"), F.col("marks")).alias("marks")))
-        brought = again.select("run", "slice", F.lit(True).alias("brings"), "after_s", "marks", no.alias("cycle_s"), no.alias("rank"), no.alias("arrival"), F.lit("").alias("uid"), no.alias("until_s"), F.lit("").alias("story_key"), F.lit("").alias("subject_key"))
+        again = kept_once(runs.join(F.broadcast(starts), "run").where("ix >= start").join(todo, "slice", "left").select("slice", "run", "after_s", (F.col("ix") > F.col("start")).alias("goes_on"), F.when(F.col("ix") == F.col("start"), as_text).alias("brought")))
+        brought = again.select("run", "slice", F.lit(True).alias("brings"), "after_s", "brought", no.alias("cycle_s"), no.alias("rank"), no.alias("arrival"), F.lit("").alias("uid"), no.alias("until_s"), F.lit("").alias("story_key"), F.lit("").alias("subject_key"))
         taken = rows.join(F.broadcast(again.select("slice", "run")), "slice").unionByName(brought)
         ordered = taken.repartition(min(4 * wrong, tasks), "run").sortWithinPartitions("run", "slice", F.desc("brings"), "cycle_s", "rank", "arrival")
         folded = kept_once(ordered.drop("run").mapInPandas(lambda batches: _fold(batches, limits), schema))
